@@ -7,10 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, simhash, suffix_dedup
+from docloom.llm import decontaminate, licences, mixing, neighbours, simhash, suffix_dedup, url_filter
 from docloom.llm.shared import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", "line", "licence", "dice")
+
+
+_KNOWN = ", ".join(f"('{r['name']}', {r['pairs']!r})" for r in licences._template_rows(licences.TEMPLATES, licences.THRESHOLD))
+OP3_SQL = rf"""
+WITH known(licence, pairs) AS (VALUES {_KNOWN}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT r, doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM docs
+  UNION ALL SELECT r, doc_id, text, 0 FROM docs WHERE len(l) BETWEEN 2 AND {licences.NOTICE_LINES}),
+words AS (SELECT r, doc_id, line, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM lines),
+pairs AS (SELECT r, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM words WHERE len(w) > 1),
+scored AS (
+  SELECT r, doc_id, line, licence, 2.0::DOUBLE * len(list_intersect(p, pairs)) / (len(p) + len(pairs)) AS dice
+  FROM pairs JOIN known ON list_has_any(p, pairs)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, licence) AS k FROM scored WHERE dice >= {licences.THRESHOLD})
+SELECT doc_id, line::INTEGER AS line, licence, dice FROM best WHERE k = 1
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -22,6 +61,55 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hit_words").cast("bigint")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc.doc_id", F.size("words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+spots AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+known AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM spots),
+places AS (SELECT d.doc_id, d.w, m.n, unnest(range(1, len(d.w) - m.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM known) m WHERE len(d.w) >= m.n),
+met AS (SELECT p.doc_id, p.i, p.n, k.item_id FROM places p JOIN known k ON k.n = p.n AND k.t = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages")).select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def _term(term: str) -> str:
+    return rf"(regexp_matches(lower(url), '(^|[^\p{{L}}\p{{N}}]){term}([^\p{{L}}\p{{N}}]|$)'))::INTEGER"
+
+
+OP10_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+hits AS (
+  SELECT *, coalesce({' + '.join(map(_term, url_filter.STRICT))}, 0) AS strict, coalesce({' + '.join(map(_term, url_filter.SOFT))}, 0) AS soft,
+         {{rules}} AS rule
+  FROM cut)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ({{blocks}}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN strict >= 1 OR soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM hits
+"""
+OP10_SQL = OP10_SQL.replace("{rules}", "CASE " + " ".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r, _ in sorted(url_filter.RULES, key=lambda r: -len(r[0]))) + " END").replace("{blocks}", ", ".join(f"'{r}'" for r, v in url_filter.RULES if v == "block"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -54,11 +142,15 @@ FROM runs
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
+    "op3_licences": op3_licences,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_licences": OP3_SQL, "op6_mixing": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

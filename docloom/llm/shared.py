@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def row_key(*columns: Column) -> Column:
     """A text that equal rows share, nulls included."""
     return F.to_json(F.struct(*columns))
@@ -52,9 +58,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def blocks_of(batches, *names: str):
-    """Arrow batches as lists of Python values, a tuple for each batch; columns in the order of ``names``."""
-    for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(n)) for n in names)
