@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, licences, mixing, neighbours, simhash, suffix_dedup, url_filter
+from docloom.llm import decontaminate, language, licences, mixing, neighbours, quality, simhash, suffix_dedup, toxicity, url_filter
 from docloom.llm.shared import table
+from docloom.llm.training import fold
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,13 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    model = language.fitted(docs.select("doc_id", "text", "lang"), ~held_out)
+    found = language.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc.doc_id", "lang_pred", "score", "accepted").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scanned(table(spark, sf_dir, "documents"))
     return found.select("doc.doc_id", "line", "licence", "dice")
@@ -61,6 +69,20 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 5) == 0
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality.scored(docs, model).select("doc.doc_id", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 3) == 1
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.scored(docs, model).select("doc.doc_id", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hit_words").cast("bigint")
@@ -143,10 +165,13 @@ FROM runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
+    "op2_language": op2_language,
     "op3_licences": op3_licences,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }
