@@ -80,19 +80,24 @@ def budget_counters(events: DataFrame, run: str, kind: str, counted: Mapping[str
     return events.groupBy(run).agg(*[F.count_if(F.col(kind).isin(*kinds)).alias(name) for name, kinds in counted.items()])
 
 
+def _milliseconds(start: str, end: str) -> Column:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return F.round((micros(end) - micros(start)) / 1000).cast("bigint")
+
+
 def phase_traces(events: DataFrame, run: str, phase: str, at: str, failed: Column) -> DataFrame:
     """(run, phase, n, started_at, completed_at, duration_ms, status): FAILED if all of a phase's events failed, PARTIAL if some did."""
     n, bad = F.count("*"), F.count_if(failed)
     got = events.groupBy(run, phase).agg(n.alias("n"), bad.alias("n_failed"), F.min(at).alias("started_at"), F.max(at).alias("completed_at"))
     status = F.when(F.col("n_failed") == 0, "SUCCESS").when(F.col("n_failed") == F.col("n"), "FAILED").otherwise("PARTIAL")
-    return got.select(run, phase, "n", "started_at", "completed_at", F.round((F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1000).cast("bigint").alias("duration_ms"), status.alias("status"))
+    return got.select(run, phase, "n", "started_at", "completed_at", _milliseconds("started_at", "completed_at").alias("duration_ms"), status.alias("status"))
 
 
 def run_traces(phases: DataFrame, run: str, phase: str, known: Sequence[str]) -> DataFrame:
     """One row for each run: how many phases ran, their statuses in time order, its duration, and the known phases that were skipped."""
     order = F.array_sort(F.collect_list(F.struct("started_at", phase, "status")))
     got = phases.groupBy(run).agg(F.count("*").alias("n_phases"), F.concat_ws(",", F.transform(order, lambda x: x["status"])).alias("statuses"), F.array_sort(F.array_except(F.array(*map(F.lit, known)), F.collect_set(phase))).alias("skipped"), F.min("started_at").alias("a"), F.max("completed_at").alias("b"))
-    return got.select(run, "n_phases", "statuses", F.array_join("skipped", ",").alias("skipped"), F.round((F.unix_micros("b") - F.unix_micros("a")) / 1000).cast("bigint").alias("duration_ms"))
+    return got.select(run, "n_phases", "statuses", F.array_join("skipped", ",").alias("skipped"), _milliseconds("a", "b").alias("duration_ms"))
 
 
 def trace_errors(trace: Column, phases: Sequence[str]) -> Column:
