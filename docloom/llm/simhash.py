@@ -111,7 +111,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group: that with the group's least id (rows that repeat it are one row; null ids all stay)."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("id = component").select(F.col("id").alias(id_col)).distinct()
+    """One row of each group: that with the group's least id.  Rows that repeat it are one row; rows without an id all stay."""
+    found = written(near_duplicates(docs, id_col, text_col, **options), "near_duplicates")
+    kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
     rest = docs.where(F.col(id_col).isNull())
-    return docs.dropDuplicates([id_col]).where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(*docs.columns).union(rest)
+    first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
+    if not found.where("id = component").groupBy("id", "fp").count().where("count > 1").isEmpty():
+        first = first.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    return first.select(*docs.columns).union(rest)
