@@ -28,7 +28,7 @@ def validated(text: Column, known: Column) -> Column:
 
 def relevance(score: Column) -> Column:
     """0 to 100; 80 without a score."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score * 100 + 0.5))), F.lit(80)).cast("int")
+    return F.when(score.isNull() | F.isnan(score), 80).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.floor(score * 100 + 0.5)))).cast("int")
 
 
 def source_type(reference_id: Column, given: Column) -> Column:

@@ -204,7 +204,8 @@ def paragraph_numbers(values: Column) -> Column:
 
 
 def clamped_int(c: Column, fallback: int, low: int, high: int) -> Column:
-    return F.coalesce(F.greatest(F.least(F.floor(c.try_cast("double")), F.lit(high)), F.lit(low)), F.lit(fallback)).cast("int")
+    n = F.floor(c.try_cast("double"))
+    return F.when(n.isNull(), fallback).otherwise(F.greatest(F.least(n, F.lit(high)), F.lit(low))).cast("int")
 
 
 def meta_line(**parts: Column) -> Column:

@@ -203,7 +203,7 @@ SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(range(1, len(
     "citation_fields": f"""WITH v AS (SELECT vec_id, {sql_picked(('P', 'C', 'D'), 'vec_id')} || (vec_id + 1) AS reference_id, CASE WHEN vec_id % 5 <> 0 THEN (vec_id % 130) / 100.0::DOUBLE END AS score, CASE WHEN vec_id % 3 = 1 THEN 'cit' END AS citation FROM embeddings)
 SELECT vec_id, reference_id, CASE left(reference_id, 1) WHEN 'D' THEN 'user_document' WHEN 'C' THEN 'a2aj_case' ELSE 'pinecone' END AS source_type, CASE WHEN vec_id % 2 = 0 THEN 'Case A' ELSE 'Name B' END AS title,
   CASE left(reference_id, 1) WHEN 'C' THEN 'FC | 2020 FC 1 | 2020-01-01' WHEN 'D' THEN concat_ws(' | ', 'file.pdf', citation) ELSE concat_ws(' | ', 'ENF', '2', citation) END AS locator, coalesce(citation, '2020 FC 1') AS citation, '1,2,2' AS paragraphs,
-  coalesce(greatest(0, least(100, floor(score * 100 + 0.5))), 80)::INTEGER AS relevance FROM v""",
+  CASE WHEN score IS NULL THEN 80 ELSE greatest(0, least(100, floor(score * 100 + 0.5))) END::INTEGER AS relevance FROM v""",
     "query_terms": f"""WITH {_PHRASED} SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(p), '[^a-z0-9]+'), lambda w: len(w) >= 4 AND NOT list_contains([{_QUOTE(text.STOPWORDS)}], w))[1:8], ' ') AS terms,
   CASE WHEN regexp_full_match(upper(trim(p)), '[A-Z0-9-]{{2,20}}') THEN upper(trim(p)) {' '.join(f"WHEN contains(trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')), '{n}') THEN '{v}'" for v, n, _ in text.DATASETS)} END AS dataset FROM phrased""",
     "decision_excerpt": f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 700) || ' The appeal is dismissed. ' || substring(text, 701, 400) ELSE text END AS t FROM documents),

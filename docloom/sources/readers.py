@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, directory: str, glob: str = "*.md", most: int | None = None) -> DataFrame:
     """(path, content), recursively; the first ``most`` by path if given."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(directory)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(directory, wholetext=True)
     files = files.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
     return files if most is None else files.orderBy("path").limit(most)
 
@@ -64,7 +64,7 @@ def dimension(spark: SparkSession, rows: Mapping[str, Sequence], schema: str) ->
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """(url, pos) of a text file of one URL a line; blank and comment lines are left out."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "url"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "url"))
     return lines.select(F.trim("url").alias("url"), "pos").where("url <> '' and not startswith(url, '#')")
 
 
