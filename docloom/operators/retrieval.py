@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules
 
-#: Chunks in a question set that may be broadcast: above this it is joined by blocks.
-BROADCAST_QUERIES = 100_000
+#: Questions that are sent to every task at most; larger sets are joined block by block.
+BROADCAST_QUERIES = 50_000
 
 
 def compiled(filter: Mapping | None, schema_arrays: Sequence[str] = ()) -> Column:
@@ -55,24 +55,23 @@ def with_norms(rows: DataFrame, vector: str = "vector") -> DataFrame:
 def top_k(queries: DataFrame, chunks: DataFrame, k: Column | int, fits: Column | None = None, minimum: float | None = None, blocks: int = 1) -> DataFrame:
     """(query columns, chunk columns, score, position): the ``k`` most similar fitting chunks of each question, ties by id.
 
-    Each chunk meets each question of its block once; with ``blocks`` over 1 the questions are
-    spread over that many blocks instead of being sent whole to every task.
+    Up to ``BROADCAST_QUERIES`` questions are sent to every task.  More, or ``blocks`` over 1, are
+    spread over blocks, and each chunk is sent to all of these.
     """
+    blocks = max(blocks, -(-queries.count() // BROADCAST_QUERIES))
     q = with_norms(queries).withColumnRenamed("vector", "q_vector").withColumnRenamed("norm", "q_norm")
     c = with_norms(chunks)
     if blocks > 1:
         pairs = q.withColumn("_b", F.pmod(F.hash("query_id"), F.lit(blocks))).join(c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "_b").drop("_b")
         pairs = pairs.where(F.lit(True) if fits is None else fits)
     else:
-        if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-            raise ValueError("too many questions to send to every task: give blocks")
         pairs = c.join(F.broadcast(q), F.lit(True) if fits is None else fits)
     score = F.when((F.col("q_norm") > 0) & (F.col("norm") > 0) & (F.size("q_vector") == F.size("vector")), dot(F.col("q_vector"), F.col("vector")) / (F.col("q_norm") * F.col("norm")))
-    scored = pairs.withColumn("score", score).drop("q_vector", "vector", "q_norm", "norm").where("score is not null")
-    if minimum is not None:
-        scored = scored.where(F.col("score") >= minimum)
+    scored = pairs.withColumn("score", score).drop("q_vector", "vector", "q_norm", "norm")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    # Conditions on the score follow the ranking: before it they would join the pairs' condition and compute each score twice.
+    best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).where("score is not null")
+    return best if minimum is None else best.where(F.col("score") >= minimum)
 
 
 def tier_sizes(k: int) -> tuple[int, int]:

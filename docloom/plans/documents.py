@@ -53,7 +53,7 @@ def heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.recursive_chunks_of(F.col("text"))).alias("chunk_index", "chunk"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(chunking.recursive_chunks_of(F.col("text"))).alias("chunk_index", "chunk")).where("chunk_index is not null")
     return docs.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_hash"))
 
 
