@@ -78,7 +78,7 @@ def language_of_url(url: Column) -> Column:
 
 def manual_and_chapter(title: Column) -> Column:
     """(manual, chapter): the parts of a title before and after its first dash."""
-    parts = F.filter(F.transform(F.split(title, "-"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(title, "-"), lambda p: F.trim(p)), lambda p: p != "")
     return F.struct(F.get(parts, F.lit(0)).alias("manual"), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), " - ")).alias("chapter"))
 
 
