@@ -9,6 +9,7 @@ from docloom.functions import text as texts
 from docloom.functions import urls
 from docloom.operators import chunking, crawl, html, reports, retrieval, tables
 from docloom.plans.binding import PHRASES, picked, sql_picked
+from docloom.plans.text import SQL as TEXT_SQL
 from docloom.sources import readers, writers
 from docloom.sources.readers import table
 
@@ -181,6 +182,7 @@ l3 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), 'p' || b
 SELECT 'p' || u AS url, depth, position::INTEGER AS position FROM (SELECT u, 0 AS depth, position FROM lev0 UNION ALL SELECT u, 1, position FROM l1 UNION ALL SELECT u, 2, position FROM l2 UNION ALL SELECT u, 3, position FROM l3) WHERE position <= 40""",
     "crawl_statuses": """WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS clean FROM documents)
 SELECT CASE WHEN doc_id % 5 = 2 THEN 'out_of_scope' WHEN doc_id % 9 = 4 THEN 'pdf_asset' WHEN length(clean) < 200 OR contains(clean, 'enable javascript') OR contains(clean, 'access denied') OR contains(clean, 'request blocked') OR contains(clean, 'captcha') OR contains(clean, 'cloudflare') THEN 'quality_rejected' WHEN n > 1 THEN 'duplicate_content' ELSE 'saved' END AS status, count(*) AS n FROM d GROUP BY 1""",
+    "seed_urls": f"{TEXT_SQL['canonical_url_fast'].partition('SELECT page_id, canonical, ')[0]} SELECT page_id, canonical AS seed FROM canon WHERE canonical IS NOT NULL UNION SELECT page_id, 'http://hub.example.org/x' FROM pages",
     "hub_links": "SELECT page_id, 'https://hub.canada.ca/a https://hub.canada.ca/b' AS links FROM pages",
     "front_matter": r"SELECT doc_id, 'Doc ' || doc_id AS title, lang, regexp_replace(left(text, 80), '^\s+|\s+$', '', 'g') AS body FROM documents",
     "library_search": "SELECT doc_id FROM documents WHERE contains(lower(left(text, 100)), 'tion') AND source = 'src3' AND lang IN ('en', 'de')",
