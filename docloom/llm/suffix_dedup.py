@@ -35,11 +35,13 @@ from pyspark.sql import types as T
 from docloom.llm.shared import row_key, written
 from docloom.llm.suffixes import SHALLOW, repeated
 
-#: Bytes whose windows are anchored at a time: positions take the low 20 bits of a key.
-PIECE = 1 << 20
+#: Bytes whose windows are anchored at a time: positions take the low 18 bits of a key.
+PIECE = 1 << 18
 LOW = np.uint64(PIECE - 1)
 #: Windows sorted at a time, about.
-SORTED = 600_000
+SORTED = 300_000
+#: Texts that are Python bytes at a time.
+ROWS = 500
 #: Bits of a row's tag.
 TAGS = (1 << 24) - 1
 
@@ -137,7 +139,7 @@ def _packed(named: DataFrame) -> DataFrame:
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            z = [None if t is None else pack(t) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            z = [None if t is None else pack(t) for t in (x.as_py() for x in b.column(3).cast(pa.binary()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], ["row", "tag", "id", "z"])
 
     return named.mapInArrow(run, _schema(named, "z binary"))
@@ -148,7 +150,7 @@ def anchor_runs(named: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         hashing = _Hash()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             row, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
             for buf, owner, offset, first, last in _pieces(texts, length):
