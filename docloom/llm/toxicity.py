@@ -29,12 +29,17 @@ from docloom.llm.shared import written
 from docloom.llm.training import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"\w*[^\W\d_][\d@$!*_.-]+[^\W\d_]\w*")
+#: What stands between two letters of one word and is no letter.
+INSIDE = re.compile(r"[\d@$!*_.-]+(?=[^\W\d_])")
+BEFORE, AFTER = re.compile(r"[\w@$!*.-]*[^\W\d_]\Z"), re.compile(r"[\w@$!*.-]*")
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLAIN = str.maketrans("013457@$!", "oieastasi", "*_.-")
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestro".split())
 STEMS = (4, 5, 6)
 NEAR = 3
 LONGEST_TERM = 24
+#: Texts that are Python strings at a time.
+ROWS = 500
 FEATURES = ("hits", "density", "distinct", "near_second", "second", "upper", "exclaim", "punctuation", "mixed", "undone", "log_words", "longest_run")
 
 
@@ -57,6 +62,16 @@ class Lexicon:
         self.if_other = frozenset(w for w, t, o in counts if keep(t, max(0, o - 1), support))
 
 
+def mixed_words(text: str) -> list[str]:
+    """Words in which digits or symbols stand between letters."""
+    found, end = [], 0
+    for m in INSIDE.finditer(text):
+        if m.start() >= end and m.start() and (before := BEFORE.search(text, max(end, m.start() - LONGEST_TERM), m.start())):
+            end = AFTER.match(text, m.start()).end()
+            found.append(before[0] + text[m.start() : end])
+    return found
+
+
 def _known(word: str, lexicon: frozenset[str], heads: set[str]) -> bool:
     return (word[:4] in heads or word + "$" in lexicon) and any(t in lexicon for t in terms(word))
 
@@ -68,7 +83,7 @@ def _features(text: str, low: str, words: list[str], lexicon: frozenset[str], he
     near, near_at = 0, set(second)
     for i in hits:
         near += any(k in near_at for k in range(i - NEAR, i + NEAR + 1))
-    mixed = MIXED.findall(low)
+    mixed = mixed_words(low)
     undone = sum(_known(w.translate(PLAIN), lexicon, heads) for w in mixed) if mixed else 0
     n, size = max(1, len(words)), max(1, len(text))
     letters = max(1, sum(map(len, words)))
@@ -76,7 +91,8 @@ def _features(text: str, low: str, words: list[str], lexicon: frozenset[str], he
     for a, b in zip(hits, hits[1:]):
         run = run + 1 if b - a <= NEAR else 0
         longest = max(longest, run)
-    upper = sum(map(str.isupper, text)) if text != low else 0
+    raw = text.encode("utf-8", "replace")
+    upper = len(raw) - len(raw.translate(None, CAPITALS))
     punctuation = sum(map(text.count, ".,;:?'\"()-"))
     return [min(50.0, len(hits)), len(hits) / n, min(50.0, len(known)), near / n, len(second) / n, upper / letters, text.count("!") / size, punctuation / size, len(mixed) / n, float(min(20, undone)), float(np.log1p(len(words))), float(longest)]
 
@@ -118,9 +134,10 @@ def term_counts(rows: DataFrame) -> DataFrame:
             return got
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = text.as_py()
                 counts[label > 0].update({t for w in set(WORD.findall(text.lower())) for t in terms(w)})
-                if len(counts[0]) + len(counts[1]) > 400_000:
+                if len(counts[0]) + len(counts[1]) > 150_000:
                     yield out()
         if counts[0] or counts[1]:
             yield out()
@@ -159,7 +176,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores([t or "" for t in batch.column(1).to_pylist()]), pa.float64())], ["doc", "score"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores([t or "" for t in part.column(1).to_pylist()]), pa.float64())], ["doc", "score"])
 
     rows = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
