@@ -124,8 +124,7 @@ def test_suffix_dedup_equals_brute_force(spark, texts, length, gram, crowd):
     assert all(hashlib.sha256(r["kept"] or b"").hexdigest() == r["kept_sha256"] for r in got)
 
 
-def test_suffix_dedup_of_texts_beyond_a_piece(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 20)
+def test_suffix_dedup_of_texts_beyond_a_piece(spark):
     body = words(260_000, 9, 1 << 40)
     assert len(body) > suffix_dedup.PIECE
     texts = [(1, body), (2, "head " + body[700_000:700_900] + " tail"), (3, words(200, 12))]
@@ -261,8 +260,9 @@ def held_out(spark, query, folder):
 
 
 def test_language_on_held_out_rows(spark, data):
-    truth = spark.read.parquet(f"{medium()}/documents.parquet").select("doc_id", "lang").toPandas()
-    got = held_out(spark, registered.op2_language, medium()).merge(truth, on="doc_id")
+    small = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang").toPandas()
+    got = held_out(spark, registered.op2_language, small).merge(truth, on="doc_id")
     assert (got.lang_pred == got.lang).mean() > 0.99 and got.score.between(0, 1).all()
 
 
