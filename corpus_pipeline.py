@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
+from docloom.llm import decontaminate, mixing, near_copies, suffix_dedup, toxicity
 from docloom.llm.shared import table, written
 
 #: Documents with this score at least are toxic.
@@ -23,7 +23,7 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near copies."""
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
