@@ -145,14 +145,12 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that with the group's least id.  Rows that repeat it are one row; rows without an id all stay."""
+    """One row of each group: that of the least id, then of the least text hash.  Rows that repeat it are one row; a null id comes after all others."""
     rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("t"))
     found = rows.join(groups(docs, text_col), "t", "left").select("id", "t", F.coalesce("root", "t").alias("root"))
-    found = written(found, "near_copies")
-    least = found.groupBy("root").agg(F.min("id").alias("id"))
-    kept = written(found.join(least, ["root", "id"], "left_semi").select(F.col("id").alias(id_col), F.col("t").alias("_t")), "kept")
-    own = docs.withColumn("_t", text_hash(text_col))
-    first = own.join(kept.distinct(), [id_col, "_t"], "left_semi")
-    if not kept.groupBy(id_col, "_t").count().where("count > 1").isEmpty():
-        first = first.dropDuplicates([id_col, "_t"])
-    return first.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first"), F.count("*").alias("_size"))
+    kept = written(least.select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"), "_size"), "kept")
+    own = docs.withColumn("_hash", text_hash(text_col))
+    first = own.join(kept, (own["_hash"] == kept["_t"]) & own[id_col].eqNullSafe(kept["_id"]))
+    once, several = first.where("_size = 1"), first.where("_size > 1")
+    return once.select(*docs.columns).union(several.dropDuplicates(["_id", "_t"]).select(*docs.columns))

@@ -46,3 +46,10 @@ def test_any_order_of_shingles_lets_near_sets_meet():
         counted = np.unique(rng.choice(np.concatenate([a, b]), n // 2 + 1))
         counts = rng.integers(3, 9, len(counted))
         assert not near_copies.alike(a, b) or set(near_copies.prefix(a, counted, counts)) & set(near_copies.prefix(b, counted, counts))
+
+
+def test_one_row_of_each_group_where_ids_repeat_or_lack(spark):
+    a, b, c = (words(120, 900 + k) for k in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b + " more"), (None, c), (None, c), (None, c + " more"), (3, b + " less"), (None, a)]
+    got = [(r["doc_id"], r["text"][:20]) for r in corpus_pipeline.one_of_each(spark, table(spark, rows), "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, a[:20]), (2, b[:20]), (None, c[:20])], key=repr)
