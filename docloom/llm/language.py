@@ -9,9 +9,10 @@ the probabilities, and the least probability at which accepted held-back rows ar
 enough is the limit below which a prediction is rejected.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and not accepted; with
-no labelled text to learn from every text is; repeated rows are predicted alike; ties go to the
-first language by code point; an empty table gives no rows; other columns are carried along,
-whatever their names.
+no labelled text to learn from every text is; repeated rows are predicted alike, and of the rows of
+one id (null is one) one teaches, the least; ties go to the first language by code point; texts of
+any length are counted whole, some ten bytes a character at a time; an empty table gives no rows;
+other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.training import sampled
+from docloom.llm.training import once_each, sampled
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
-#: Characters that are turned into subwords at a time.
-PIECE = 1 << 20
+#: Characters in which subwords begin that are hashed at a time, and the longest subword.
+PIECE, LONGEST = 1 << 20, 4
 
 
 @cache
@@ -40,20 +41,23 @@ def _letters() -> np.ndarray:
 def bucket_counts(text: str) -> np.ndarray | None:
     """How often the subwords of a text fall into each bucket; None without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    counts, some = np.zeros(BUCKETS, np.int64), False
-    for i in range(0, len(points), PIECE):
-        c = points[max(0, i - 1) : i + PIECE]
-        letter = _letters()[c]
-        some |= bool(letter.any())
-        c = np.where(letter, c, 32).astype(np.uint64)
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-        c = np.concatenate([[32], c[keep], [32]]).astype(np.uint64)
+    letter = _letters()[points]
+    if not letter.any():
+        return None
+    points = np.where(letter, points, np.uint32(32))
+    keep = np.ones(len(points), bool)
+    keep[1:] = letter[1:] | letter[:-1]
+    edge = np.array([32], np.uint32)
+    whole = np.concatenate([edge, points[keep], edge])
+    counts = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(whole), PIECE):
+        c = whole[i : i + PIECE + LONGEST - 1].astype(np.uint64)  # subwords that begin in a piece end beyond it
         gap = c == 32
         h = c * np.uint64(0x9E3779B97F4A7C15)
-        for n in (2, 3, 4):
+        for n in range(2, LONGEST + 1):
             h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c[n - 1 :] * np.uint64(0x94D049BB133111EB)
             within = np.ones(len(h), bool)
+            within[PIECE:] = False
             for k in range(1, n - 1):
                 within &= ~gap[k : k + len(h)]
             if n == 2:
@@ -61,7 +65,7 @@ def bucket_counts(text: str) -> np.ndarray | None:
             mixed = h[within]
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             counts += np.bincount((mixed >> np.uint64(51)).astype(np.int64), minlength=BUCKETS)
-    return counts if some else None
+    return counts
 
 
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -132,8 +136,8 @@ class Model:
 
 def fitted(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_rows: int = 3000) -> Model | None:
     """A model of about ``most_rows`` rows at most that ``learn`` admits and whose text and language are known; None if there are none."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = sampled(rows, id_col, most_rows).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = once_each(sampled(rows, "id", most_rows), "id", ["lang", "text"])
 
     def run(batches):
         for batch in batches:

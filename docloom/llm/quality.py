@@ -12,7 +12,9 @@ calibrated by a logistic fit on held-back rows.
 
 Defined cases: null and empty texts have the features of an empty text and get a score as any
 other; with no labels, or labels of one kind, scores are the labels' smoothed share; repeated rows
-score alike; an empty table gives no rows; other columns are carried along, whatever their names.
+score alike; texts are described whole, whatever their length; nothing depends on the order of
+ties, as features are sums; an empty table gives no rows; other columns are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -57,6 +59,8 @@ class Model:
             return
         stats = np.array([r[2] for r in rows])
         self.mean, self.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
+        scaled = np.clip((stats - self.mean) / self.scale, -6, 6)
+        self.low, self.high = scaled.min(axis=0), scaled.max(axis=0)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(rows))
         held, learn = order[: len(rows) // 5], order[len(rows) // 5 :]
@@ -80,11 +84,15 @@ class Model:
         if len(set(labels[held].tolist())) == 2:
             self._calibrate(np.array([self._margin_of(rows[k]) for k in held]), labels[held])
 
+    def _scaled(self, stats: np.ndarray) -> np.ndarray:
+        """Statistics in their spread, within the range that the sample has: the machine does not extrapolate."""
+        return np.clip((stats - self.mean) / self.scale, self.low, self.high)
+
     def _dense(self, rows) -> np.ndarray:
         out = np.zeros((len(rows), WORDS + len(STATS)))
         for r, (at, share, stats) in enumerate(rows):
             out[r, at] = share * 8
-            out[r, WORDS:] = np.clip((stats - self.mean) / self.scale, -6, 6)
+            out[r, WORDS:] = self._scaled(stats)
         return out
 
     def _margin(self, x: np.ndarray, xv: np.ndarray) -> np.ndarray:
@@ -94,7 +102,7 @@ class Model:
         """In time linear in the features that are not zero."""
         at, share, stats = row
         i = np.concatenate([at, np.arange(WORDS, WORDS + len(STATS))])
-        x = np.concatenate([share * 8, np.clip((stats - self.mean) / self.scale, -6, 6)])
+        x = np.concatenate([share * 8, self._scaled(stats)])
         v = self.v[i]
         return float(self.w0 + x @ self.w[i] + 0.5 * (((x @ v) ** 2).sum() - ((x * x) @ (v * v)).sum()))
 

@@ -10,7 +10,9 @@ from folds calibrate the scores.
 
 Defined cases: null and empty texts have the features of an empty text and get a score as any
 other; with no labels, or labels of one kind, scores are the labels' smoothed share; repeated rows
-score alike; an empty table gives no rows; other columns are carried along, whatever their names.
+score alike, and equal texts of one label teach once; ties among splits go to the first feature and
+least cut; texts are described whole, whatever their length; an empty table gives no rows; other
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ from docloom.llm.training import labelled
 WORD = re.compile(r"[^\W\d_]+")
 #: What stands between two letters of one word and is no letter.
 INSIDE = re.compile(r"[\d@$!*_.-]+(?=[^\W\d_])")
-BEFORE, AFTER = re.compile(r"[\w@$!*.-]*[^\W\d_]\Z"), re.compile(r"[\w@$!*.-]*")
+AFTER = re.compile(r"[\w@$!*.-]*")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLAIN = str.maketrans("013457@$!", "oieastasi", "*_.-")
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch euer ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestro".split())
 STEMS = (4, 5, 6)
 NEAR = 3
-LONGEST_TERM = 24
 #: Texts that are Python strings at a time.
 ROWS = 500
 FEATURES = ("hits", "density", "distinct", "near_second", "second", "upper", "exclaim", "punctuation", "mixed", "undone", "log_words", "longest_run")
@@ -45,7 +47,7 @@ FEATURES = ("hits", "density", "distinct", "near_second", "second", "upper", "ex
 
 def terms(word: str) -> list[str]:
     """A word's entry, marked at its end, and its beginnings."""
-    return [word + "$", *(word[:n] for n in STEMS if len(word) >= n)] if len(word) <= LONGEST_TERM else [word[:n] for n in STEMS]
+    return [word + "$", *(word[:n] for n in STEMS if len(word) >= n)]
 
 
 def _odds(toxic: float, other: float, n_toxic: int, n_other: int) -> float:
@@ -66,12 +68,25 @@ def mixed_words(text: str) -> list[str]:
     """Words in which digits or symbols stand between letters."""
     found, end = [], 0
     for m in INSIDE.finditer(text):
-        if m.start() >= end and m.start() and (before := BEFORE.search(text, max(end, m.start() - LONGEST_TERM), m.start())):
-            end = AFTER.match(text, m.start()).end()
-            found.append(before[0] + text[m.start() : end])
+        at = m.start()
+        if at < end or not at or not text[at - 1].isalpha():
+            continue
+        begin = at - 1  # a word is walked back over once, as ``end`` then lies behind it
+        while begin > end and ((c := text[begin - 1]).isalnum() or c in "_@$!*.-"):
+            begin -= 1
+        end = AFTER.match(text, at).end()
+        found.append(text[begin:end])
     return found
 
 
+def capitals(text: str) -> int:
+    if text.isascii():
+        raw = text.encode()
+        return len(raw) - len(raw.translate(None, CAPITALS))
+    raw = text.encode("utf-8", "replace")
+    return len(raw) - len(raw.translate(None, CAPITALS)) + sum(c.isupper() for run in BEYOND_ASCII.findall(text) for c in run)
+
+
 def _known(word: str, lexicon: frozenset[str], heads: set[str]) -> bool:
     return (word[:4] in heads or word + "$" in lexicon) and any(t in lexicon for t in terms(word))
 
@@ -91,10 +106,8 @@ def _features(text: str, low: str, words: list[str], lexicon: frozenset[str], he
     for a, b in zip(hits, hits[1:]):
         run = run + 1 if b - a <= NEAR else 0
         longest = max(longest, run)
-    raw = text.encode("utf-8", "replace")
-    upper = len(raw) - len(raw.translate(None, CAPITALS))
     punctuation = sum(map(text.count, ".,;:?'\"()-"))
-    return [min(50.0, len(hits)), len(hits) / n, min(50.0, len(known)), near / n, len(second) / n, upper / letters, text.count("!") / size, punctuation / size, len(mixed) / n, float(min(20, undone)), float(np.log1p(len(words))), float(longest)]
+    return [min(50.0, len(hits)), len(hits) / n, min(50.0, len(known)), near / n, len(second) / n, capitals(text) / letters, text.count("!") / size, punctuation / size, len(mixed) / n, float(min(20, undone)), float(np.log1p(len(words))), float(longest)]
 
 
 class Model:
@@ -146,14 +159,17 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", most_rows: int = 20_000, most_terms: int = 5000, odds: float = 15.0) -> Model:
-    """A model of about ``most_rows`` labelled rows and ``most_terms`` terms at most, of the ids that ``learn`` admits."""
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", most_rows: int = 20_000, odds: float = 15.0) -> Model:
+    """A model of about ``most_rows`` labelled rows at most, of the ids that ``learn`` admits.
+
+    All terms of that sample that are frequent enough make the lexicon, so the sample bounds it.
+    """
     rows = labelled(docs, labels, label_col, id_col, text_col, learn, most_rows)
-    rows = written(rows.select("text", "label").distinct(), "toxicity_sample")
+    rows = written(rows.groupBy(F.sha2("text", 256).alias("hash"), "label").agg(F.min("text").alias("text")).select("text", "label"), "toxicity_sample")
     n_toxic, n_other = (n or 0 for n in rows.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first())
     support = max(3, round(0.003 * n_toxic))
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.greatest(F.col("other") - 1, F.lit(0)) + 0.5) / (n_other + 1))
-    chosen = term_counts(rows).where((F.col("toxic") >= support) & (ratio >= odds)).orderBy(F.desc("toxic"), "term").limit(most_terms).collect()
+    chosen = term_counts(rows).where((F.col("toxic") >= support) & (ratio >= odds)).orderBy("term").collect()
     lexicon = Lexicon([(r["term"], r["toxic"], r["other"]) for r in chosen], n_toxic, n_other, support, odds)
     heads = [{t[:4] for t in s} for s in (lexicon.if_other, lexicon.if_toxic)]
 

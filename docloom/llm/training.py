@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +19,33 @@ def fold(id_col: str, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)), F.lit(0))
 
 
+def below(most: int, n: int) -> int:
+    """The signed 64-bit number that a share most / n of uniform 64-bit hashes is below; exact for any ``n``."""
+    return -(1 << 63) + (most << 64) // n
+
+
 def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About ``most`` of ``rows`` at most, chosen by a hash of the id; all of them if they are fewer."""
+    """The rows of about ``most`` ids at most, chosen by a 64-bit hash of the id; all rows if they are fewer."""
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+    return rows if n <= most else rows.where(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")) < F.lit(below(most, n)))
+
+
+def once_each(rows: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of one row for each id, the least, so that an id that repeats cannot swell a sample."""
+    return rows.groupBy(F.col(id_col).alias("_of")).agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, learn: Column, most: int) -> DataFrame:
     """(id, text, label) of about ``most`` labelled documents at most, among the ids that ``learn`` admits.
 
-    Of several labels of an id the largest counts; null labels, ids and texts are left out.  The
-    sampled ids, bounded by ``most``, are broadcast.
+    Of several labels of an id the largest counts, of several texts the least; null labels, ids and
+    texts are left out.  The sampled ids, bounded by ``most``, are broadcast.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     known = sampled(known, "id", most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return texts.join(F.broadcast(known), "id")
+    return once_each(texts.join(F.broadcast(known), "id"), "id", ["id", "text", "label"])
 
 
 def word_hashes(text: bytes) -> np.ndarray:
