@@ -4,13 +4,15 @@ The windows of the benchmark (``width`` consecutive words, or a shorter item's w
 into buckets of a constant array that every task gets; its size is checked first.  A document's
 word hashes are combined by doubling (2, 4, 8 and so on) to hash the window at every position, each
 hash is looked up in its bucket, and the words of a hit are compared with the window itself.
-No row is joined, exploded or shuffled.  A benchmark with over ``most_windows`` windows takes
-another way: the windows are joined by hash and verified, then gathered by document.
+No row is joined, exploded or shuffled.  A benchmark with over ``most_windows`` windows has no
+constant set of them all: a bit set of their hashes thins out the documents' windows, and what is
+left is joined by hash, compared word by word and gathered by text.
 
 Defined cases: a null text has no words and no hits; null or wordless benchmark items are no
 windows, an empty benchmark hits nothing; items with equal windows all count; null item ids take
-no part in the list of items; repeated rows are judged alike; an empty table gives no rows; other
-columns are carried along, whatever their names.
+no part in the list of items; repeated rows are judged alike; every window of a text counts,
+whatever its length; hits and items have no order in which ties could fall; an empty table gives no
+rows; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from docloom.llm.shared import WORD_BREAK, ascii_lower, let
 #: Word characters before A-Z are lower-cased, and the other characters.
 RAW, BREAK = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
+#: The bit set of a large benchmark has 2 to this power bits at most, eight megabytes.
+MOST_BITS = 26
+
 
 def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), WORD_BREAK), ""), F.array().cast("array<string>"))
@@ -106,26 +111,45 @@ def _looked_up(rows: DataFrame, known: list[tuple[list[str], list[str], int]]) -
     return rows.withColumn("hits", F.concat(*[F.col(f"met{n}") for n in widths]))
 
 
-def _joined(rows: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
-    """The same by a join on the hash of every window of every document."""
+def _filter_of(coded: DataFrame, n: int) -> tuple[Column, int]:
+    """(words, mask): a bit set that has the hashes of ``coded``, sixteen bits for each of ``n`` but MOST_BITS at most, as a constant."""
+    size = 1 << min(MOST_BITS, max(10, (16 * n).bit_length()))
+    bit = F.col("hash").bitwiseAND(F.lit(size - 1))
+    word = coded.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    words = [0] * (size >> 6)
+    for r in word.collect():
+        words[r["at"]] = r["bits"]
+    return _constant(words, "array<bigint>"), size - 1
+
+
+def _joined(rows: DataFrame, known: DataFrame, n: int, widths: list[int]) -> DataFrame:
+    """The same by a join on the hash of every window that a bit set lets through.
+
+    A text is named by its SHA-256, which no shuffle changes; equal texts share their hits.
+    """
     kind = "array<struct<at:int,width:int,items:array<string>>>"
-    rows = _doubled(rows.withColumn("_row", F.monotonically_increasing_id()), max(widths))
+    rows = _doubled(rows.withColumn("named", F.sha2("text", 256)), max(widths))
+    bits, mask = _filter_of(known, n)
 
     def window(n: int):
         return lambda x, i: F.struct(i.alias("at"), F.lit(n).alias("width"), _window_hash(x, i, n).alias("hash"))
 
+    def may_hit(w: Column) -> Column:
+        bit = w["hash"].bitwiseAND(F.lit(mask))
+        word = F.get(bits, F.shiftright(bit, 6).cast("int"))
+        return (w["at"] + w["width"] <= F.size("words")) & (F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
     every = [F.transform(f"h{_powers(n)[0]}", window(n)) for n in widths]
-    spots = rows.select("_row", F.size("words").alias("n"), F.explode(F.concat(*every)).alias("w"), "words").where("w.at + w.width <= n")
-    spots = spots.select("_row", "w.at", "w.width", "w.hash", F.slice("words", F.col("w.at") + 1, F.col("w.width")).alias("words"))
-    found = spots.join(known, ["hash", "width", "words"]).groupBy("_row").agg(F.collect_list(F.struct("at", "width", "items")).alias("hits"))
-    return rows.join(found, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
+    spots = rows.select("named", "words", F.explode(F.filter(F.concat(*every), may_hit)).alias("w"))
+    spots = spots.select("named", "w.at", "w.width", "w.hash", F.slice("words", F.col("w.at") + 1, F.col("w.width")).alias("words"))
+    found = spots.join(known, ["hash", "width", "words"]).groupBy("named").agg(F.collect_set(F.struct("at", "width", "items")).alias("hits"))
+    return rows.join(found, "named", "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", benchmark_text: str = "text", width: int = 10, most_windows: int = 50_000) -> DataFrame:
     """(doc, words, hit_words, items) for each row: doc holds the row's own columns, hit_words the positions of words in hits."""
     known = windows(benchmark, item_col, benchmark_text, width)
     rows = docs.select(F.struct("*").alias("doc"), words_of(F.col(text_col)).alias("words"))
-    coded = known
     n, widths = known.agg(F.count("*"), F.collect_set("width")).first()
     if not n:
         return rows.select("doc", "words", F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("items"))
@@ -135,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if n <= most_windows:
         rows = _looked_up(rows, [(r.words, r["items"], r.hash) for r in coded.collect()])
     else:
-        rows = _joined(rows, coded, sorted(widths))
+        rows = _joined(rows.withColumn("text", F.col("doc")[text_col]), coded, n, sorted(widths))
     any_hit = F.size("hits") > 0
     spots = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["width"] - 1)))
     return rows.select(

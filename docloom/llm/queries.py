@@ -38,23 +38,31 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scanned(table(spark, sf_dir, "documents"))
-    return found.select("doc.doc_id", "line", "licence", "dice")
+    return found.select("doc.doc_id", "first_word", "n_words", "licence", "dice")
 
 
-_KNOWN = ", ".join(f"('{r['name']}', {r['pairs']!r})" for r in licences._template_rows(licences.TEMPLATES, licences.THRESHOLD))
+_KNOWN = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, texts in licences.TEMPLATES.items() for text in texts)
+_WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 OP3_SQL = rf"""
-WITH known(licence, pairs) AS (VALUES {_KNOWN}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-lines AS (
-  SELECT r, doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM docs
-  UNION ALL SELECT r, doc_id, text, 0 FROM docs WHERE len(l) BETWEEN 2 AND {licences.NOTICE_LINES}),
-words AS (SELECT r, doc_id, line, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM lines),
-pairs AS (SELECT r, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM words WHERE len(w) > 1),
-scored AS (
-  SELECT r, doc_id, line, licence, 2.0::DOUBLE * len(list_intersect(p, pairs)) / (len(p) + len(pairs)) AS dice
-  FROM pairs JOIN known ON list_has_any(p, pairs)),
-best AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, licence) AS k FROM scored WHERE dice >= {licences.THRESHOLD})
-SELECT doc_id, line::INTEGER AS line, licence, dice FROM best WHERE k = 1
+WITH template(licence, text) AS (VALUES {_KNOWN}),
+known AS (
+  SELECT row_number() OVER () AS k, licence, len(w) AS n, list_distinct({_PAIRS}) AS own FROM (SELECT licence, {_WORDS} AS w FROM template)),
+bounded AS (SELECT *, ceil({licences.THRESHOLD} * len(own) / {2 - licences.THRESHOLD} - 1e-9) AS low, floor(len(own) * {2 - licences.THRESHOLD} / {licences.THRESHOLD} + 1e-9) AS high FROM known),
+terms AS (SELECT k, unnest(own) AS pair FROM known),
+docs AS (SELECT r, doc_id, {_PAIRS} AS p FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 1),
+spots AS (SELECT r, unnest(range(0, len(p))) AS pos, unnest(p) AS pair FROM docs),
+hits AS (SELECT r, k, pos, pair FROM spots JOIN terms USING (pair)),
+enough AS (SELECT r, k FROM hits JOIN bounded USING (k) GROUP BY r, k, low HAVING count(DISTINCT pair) >= low),
+windows AS (
+  SELECT r, pos, least(n, len(p) + 1 - pos) AS n, licence, own, low, high, list_distinct(p[pos + 1:pos + n - 1]) AS here
+  FROM hits JOIN enough USING (r, k) JOIN bounded USING (k) JOIN docs USING (r)),
+scored AS (SELECT r, pos, n, licence, 2.0::DOUBLE * len(list_intersect(here, own)) / (len(here) + len(own)) AS dice FROM windows WHERE len(here) BETWEEN low AND high),
+best AS (
+  SELECT r, list_reduce(list([{{'pos': pos, 'n': n, 'licence': licence, 'dice': dice}}] ORDER BY dice DESC, n DESC, pos, licence),
+    lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.pos < x[1].pos + x[1].n AND x[1].pos < y.pos + y.n)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept
+  FROM scored WHERE dice >= {licences.THRESHOLD} GROUP BY r)
+SELECT doc_id, (x.pos + 1)::INTEGER AS first_word, x.n::INTEGER AS n_words, x.licence AS licence, x.dice AS dice FROM (SELECT r, unnest(kept) AS x FROM best) JOIN docs USING (r)
 """
 
 

@@ -1,20 +1,26 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight bytes at eight positions.  Two fingerprints that differ in at most
-two bits share at least six positional bytes.  The index posts each distinct fingerprint under
-the fourteen four-position blocks of the Steiner system S(3, 4, 8) (four positions whose numbers
-XOR to zero): fingerprints that share six positions meet in at least three of its blocks, while
-chance meetings need 32 equal bits, so postings stay short as the table grows.  For pairs that
-meet, the shared positional bytes are tallied, those with six or more are kept, and the bits are
-compared.
-
-A posting longer than ``posting_cap`` is not paired up: each of its fingerprints is posted under
-itself and its 64 one-bit neighbours instead.  Two fingerprints link exactly if they meet there,
-such a posting holds 65 at most, and a star through its least member keeps all connections.
+two bits share at least six positional bytes.  A posting is named by the positions that it keeps
+and by the bytes there.  The index begins with the fourteen four-position blocks of the Steiner
+system S(3, 4, 8) (four positions whose numbers XOR to zero): fingerprints that share six positions
+meet in three of its blocks at least, and these have all six, while chance meetings need 32 equal
+bits, so that postings stay short as the table grows.
+
+Pairs that meet are tallied: the positions kept by all postings of a pair, gathered by an
+aggregation, are the positional bytes that it shares.  Pairs with the guaranteed minimum are
+retained, and their bits are compared.
+
+A posting longer than ``posting_cap`` is split by one more position, each of the others in turn, and
+so on up to six positions; pairs that share six still meet, with the same tally.  Six positions that
+are still crowded are split by two of the remaining four half bytes (two differing bits leave two of
+them alone), and then hold 256 fingerprints at most.  So the index is one at every size, no posting
+is unbounded, and no link is lost.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; repeated
 rows and ids give a row each; a null id is kept and never names a component unless all are null;
-an empty table gives no rows; columns other than the two named are ignored.
+texts of any length are hashed whole, a piece at a time; an empty table gives no rows; columns other
+than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
@@ -45,6 +51,18 @@ def _mask(positions) -> int:
     return _signed(sum(255 << 8 * p for p in positions))
 
 
+#: What splits the postings of a crowded set of positions: one more position, or, from six on, two of the half bytes left.
+FINER: dict[int, list[int]] = {}
+for _size in (4, 5, 6):
+    for _own in combinations(range(8), _size):
+        _rest = [p for p in range(8) if p not in _own]
+        if _size < 6:
+            FINER[_mask(_own)] = [_mask((*_own, p)) for p in _rest]
+        else:
+            _halves = [15 << 8 * p + 4 * h for p in _rest for h in (0, 1)]
+            FINER[_mask(_own)] = [_signed(_mask(_own) % (1 << 64) | x | y) for x, y in combinations(_halves, 2)]
+
+
 def simhash(text: bytes, words_each: int = 3) -> int:
     """The fingerprint of a text as a signed 64-bit number."""
     words = text.lower().split()
@@ -74,29 +92,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _posted(rows: DataFrame, masks: Column) -> DataFrame:
+    """(kept, bytes, fp): each fingerprint under each of its masks, once."""
+    kept = rows.select("fp", F.explode(masks).alias("kept"))
+    return kept.select("kept", F.col("fp").bitwiseAND(F.col("kept")).alias("bytes"), "fp")
+
+
+def meetings(nodes: DataFrame, posting_cap: int = 32) -> DataFrame:
+    """(a, b, kept): pairs a > b of the distinct fingerprints ``nodes`` (fp) in each posting that both are in."""
+    finer = F.create_map(*[x for k, v in FINER.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    post, met = _posted(nodes, F.array(*[F.lit(_mask(b)) for b in BLOCKS])), None
+    for level in range(4):
+        sizes = written(post.groupBy("kept", "bytes").agg(F.count("*").alias("n")).where("n > 1"), f"posting_sizes{level}")
+        shared = written(post.join(sizes, ["kept", "bytes"]), f"postings{level}")
+        short = shared if level == 3 else shared.where(F.col("n") <= posting_cap)
+        a, b = (short.select("kept", "bytes", F.col("fp").alias(x)) for x in "ab")
+        pairs = a.join(b, ["kept", "bytes"]).where("a > b").select("a", "b", "kept")
+        met = pairs if met is None else met.union(pairs)
+        crowded = shared.where(F.col("n") > posting_cap)
+        if level == 3 or crowded.isEmpty():
+            return met
+        masks = crowded.select("fp", F.explode(F.element_at(finer, F.col("kept"))).alias("kept")).distinct()
+        post = masks.select("kept", F.col("fp").bitwiseAND(F.col("kept")).alias("bytes"), "fp")
+
+
 def links(nodes: DataFrame, bits: int = 2, posting_cap: int = 32) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``nodes`` (fp) just as all pairs within ``bits`` (at most 2) do."""
+    """Links (a, b), a > b: all pairs of the distinct fingerprints ``nodes`` (fp) within ``bits`` (at most 2) of each other."""
     if not 0 <= bits <= 2:
         raise ValueError("the index guarantees matches for at most 2 differing bits")
-    post = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("bytes")) for i, b in enumerate(BLOCKS)])).alias("p")).select("p.block", "p.bytes", "fp")
-    shared = written(post.groupBy("block", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "posting_sizes")
-    post = written(post.join(shared, ["block", "bytes"]), "postings")
-
-    short = post.where(F.col("n") <= posting_cap)
-    a, b = (short.select("block", "bytes", F.col("fp").alias(x)) for x in "ab")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    same_bytes = sum((F.shiftrightunsigned(differ, 8 * p).bitwiseAND(F.lit(255)) == 0).cast("int") for p in range(8))
-    pairs = a.join(b, ["block", "bytes"]).where("a > b").where(same_bytes >= 8 - bits).where(F.bit_count(differ) <= bits).select("a", "b")
-
-    crowded = post.where(F.col("n") > posting_cap).select("fp").distinct()
-    if bits == 2:
-        near = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)]))
-        met = crowded.select("fp", near.alias("spot")).groupBy("spot").agg(F.collect_set("fp").alias("all"), F.min("fp").alias("b")).where("size(all) > 1")
-        stars = met.select(F.explode("all").alias("a"), "b").where("a <> b")
-    else:
-        near = F.explode(F.array(*([F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)] if bits else [])).cast("array<bigint>"))
-        stars = crowded.select(F.col("fp").alias("a"), near.alias("b")).join(crowded.select(F.col("fp").alias("b")), "b").select("a", "b")
-    return pairs.union(stars)
+    tallied = meetings(nodes, posting_cap).groupBy("a", "b").agg(F.bit_or("kept").alias("shared"))
+    n_shared = sum((F.shiftrightunsigned("shared", 8 * p).bitwiseAND(F.lit(255)) == 255).cast("int") for p in range(8))
+    return tallied.where(n_shared >= 8 - bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, bits: int = 2, posting_cap: int = 32) -> DataFrame:
@@ -113,9 +139,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group: that with the group's least id.  Rows that repeat it are one row; rows without an id all stay."""
     found = written(near_duplicates(docs, id_col, text_col, **options), "near_duplicates")
-    kept = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    rest = docs.where(F.col(id_col).isNull())
-    first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
+    kept = found.where("id = component").select("id").distinct()
+    own = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    first = own.where("id is not null").join(kept, "id", "left_semi")
     if not found.where("id = component").groupBy("id", "fp").count().where("count > 1").isEmpty():
-        first = first.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
-    return first.select(*docs.columns).union(rest)
+        first = first.dropDuplicates(["id", "hash"])
+    return first.select("doc").union(own.where("id is null").select("doc")).select("doc.*")

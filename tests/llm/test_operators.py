@@ -95,6 +95,23 @@ def test_components_of_a_path_and_of_nothing(spark):
     assert graph.components(path.where("false")).count() == 0
 
 
+def test_links_are_all_pairs_within_two_bits(spark):
+    rng = np.random.default_rng(8)
+    prints = sorted({int(rng.integers(0, 1 << 62)) & ~0xFFFF | int(x) for x in rng.integers(0, 1 << 16, 3)} | set(rng.integers(0, 1 << 16, 900).tolist()))
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    want = {(a, b) for a in prints for b in prints if a > b and bin(a ^ b).count("1") <= 2}
+    for cap in (2, 40):
+        assert {tuple(r) for r in simhash.links(nodes, posting_cap=cap).collect()} == want
+    assert {tuple(r) for r in simhash.links(nodes, bits=1).collect()} == {(a, b) for a, b in want if bin(a ^ b).count("1") == 1}
+
+
+def test_simhash_deduplicates_beside_columns_of_any_name(spark):
+    rows = [(1, "a b c", 1, "x"), (1, "a b c", 2, "x"), (2, "a b c", 3, "y"), (3, "quite another text here", 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _text int, hash string")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_simhash_keeps_one_of_each(spark, texts):
     got = Counter(r["doc_id"] for r in simhash.deduplicated(table(spark, [*texts, (None, "x y z"), (None, "x y z")])).collect())
     assert got[None] == 2 and got[8] == 1 and got[10] == 0 and got[6] == 1 and got[1] == 1 and got[2] == 0
@@ -196,7 +213,11 @@ def test_decontamination_equals_brute_force(spark, most):
     texts = [(1, None), (2, ""), (3, f"x {item} y"), (4, "a SHORT item; short Item"), (5, item[: len(item) // 2]), (6, "é 9 é word 9"), (7, f"{item} {item}"), (8, words(4000, 31)), (9, " ".join(item.split()[2:12]))]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     docs = table(spark, texts)
-    assert contaminated(docs, benchmark, most_windows=most) == brute_contaminated(texts, items)
+    want = brute_contaminated(texts, items)
+    for dealt in (docs, docs.repartition(7), docs.repartition(5, "text"), docs.orderBy(F.desc("doc_id"))):
+        assert contaminated(dealt, benchmark, most_windows=most) == want
+    twice = decontaminate.contamination(docs.union(docs).repartition(7), benchmark, most_windows=most).select("doc.doc_id", F.size("hit_words").alias("n")).collect()
+    assert sorted(tuple(r) for r in twice) == sorted((i, len(h)) for i, (_, h, _) in want.items() for _ in "ab")
     kept = sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, benchmark, most_windows=most).collect())
     assert kept == [1, 2, 5, 8]
     spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(docs, benchmark, remove="spans", most_windows=most).collect()}
@@ -228,11 +249,21 @@ def test_neighbours_equal_brute_force(spark):
 
 
 def test_licences(spark):
-    notice = "Licensed under the Apache License, Version 2.0."
-    docs = table(spark, [(1, None), (2, ""), (3, f"text\n{notice}\n{notice}"), (4, "LICENSED under the apache license version 2"), (5, "Released under the MIT License."), (6, "This work is licensed\nunder the GNU General Public License, version 3."), (7, words(3000, 40)), (8, "under the")])
-    got = sorted((r["doc_id"], r["line"], r["licence"]) for r in licences.scanned(docs).select("doc.doc_id", "line", "licence").collect())
-    assert got == [(3, 0, "Apache-2.0"), (3, 2, "Apache-2.0"), (3, 3, "Apache-2.0"), (4, 1, "Apache-2.0"), (5, 1, "MIT"), (6, 0, "GPL-3.0"), (6, 2, "GPL-3.0")]
-    assert licences.scanned(docs.where("false")).count() == 0 and licences.scanned(docs, templates={}).count() == 0
+    notice, mit = "Licensed under the Apache License, Version 2.0.", licences.TEMPLATES["MIT"][2]
+    wrapped = "This work is licensed under the GNU General\nPublic License, version 3."
+    docs = table(spark, [
+        (1, None), (2, ""), (3, f"text\n{notice}\n{notice}"), (4, "LICENSED under the apache license version 2"), (5, "Released under the MIT License."), (6, wrapped), (7, words(3000, 40)), (8, "under the"),
+        (9, "\n".join([words(6, k) for k in range(5)] + [wrapped] + [words(6, k) for k in range(9)])), (10, "Copyright 2024 X Corp. Licensed under the MIT License. All rights reserved."),
+        (11, f"{words(50, 41)}\nMIT License\n\nCopyright (c) 2024\n\n{mit}\n{words(50, 42)}"), (12, f"{words(200_000, 43)} {notice}"), (13, notice), (13, notice),
+    ])
+    got = sorted((r["doc_id"], r["first_word"], r["n_words"], r["licence"]) for r in licences.scanned(docs).select("doc.doc_id", "first_word", "n_words", "licence").collect())
+    n = len(licences.TEMPLATES["MIT"][2].replace("/", " ").split())
+    assert [g for g in got if g[0] != 11] == [(3, 2, 8, "Apache-2.0"), (3, 10, 8, "Apache-2.0"), (4, 1, 7, "Apache-2.0"), (5, 1, 5, "MIT"), (6, 1, 12, "GPL-3.0"), (9, 31, 12, "GPL-3.0"), (10, 5, 5, "MIT"), (12, 200_001, 8, "Apache-2.0"), (13, 1, 8, "Apache-2.0"), (13, 1, 8, "Apache-2.0")]
+    assert [(g[1], g[3]) for g in got if g[0] == 11] == [(56, "MIT")] and abs(next(g for g in got if g[0] == 11)[2] - n) <= 2
+    own = spark.createDataFrame([("B", "one two three four"), ("A", "one two three four"), (None, "one two"), ("C", None), ("D", "word")], "licence string, text string")
+    tied = table(spark, [(1, "x ONE two, three four y")])
+    assert [tuple(r)[1:] for r in licences.scanned(tied, templates=own).collect()] == [(2, 4, "A", 1.0)]
+    assert licences.scanned(docs.where("false")).count() == 0 and licences.scanned(docs, templates=own.where("false")).count() == 0
 
 
 def test_url_rules_and_terms(spark):
