@@ -7,18 +7,24 @@ offsets.  About one position in sixty is an anchor and stands for the run of win
 anchors (its context).
 
 1. Anchors whose string occurs once cannot lie in a repeat: a count by hash drops them.
-2. Where all contexts of an anchor string are equal, the whole context repeats.
-3. For the others, one copy of each different context is fetched and the suffixes at its windows
-   are sorted (deep-shallow, see ``suffixes``); windows with an equal neighbour repeat.  The
-   different contexts of anchor strings with over ``crowd`` occurrences are spread out as single
-   windows, counted by content and joined back, so that no task gets a frequent passage whole.
+2. Contexts that occur again whole are told by two hashes of 64 bits each, of different bytes'
+   values and bases: that of the anchor's string and that of the context.  One copy of each stands
+   for the others in the sort.
+3. The suffixes at the windows of different contexts of one anchor string are sorted (deep-shallow,
+   see ``suffixes``); windows that share ``length`` bytes with a neighbour in that order repeat.
+
+Anchor strings are dealt to tasks by their hash.  One with over ``part`` occurrences is dealt to
+several tasks by a salt of the row, each of which sorts its part in the same way and passes on one
+window of each kind; these are put together by their bytes, counts aggregated before the shuffle.
+So no task gets a frequent passage whole, and nothing else depends on ``part``.
 
 Texts cross the network compressed.  Counts are aggregated before each shuffle, and what is joined
 against has been written, so that skewed keys can be split.
 
-Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows are
-copies of each other and lose all covered bytes, as all copies do; an empty table gives no rows;
-columns other than the two named are ignored.
+Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; texts of any length
+are taken whole, in pieces that overlap; repeated rows are copies of each other and lose all covered
+bytes, as all copies do; equal windows are ties and all go; an empty table gives no rows; columns
+other than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +55,7 @@ TAGS = (1 << 24) - 1
 class _Hash:
     """Polynomial hashes of substrings modulo 2^64, over random byte values."""
 
-    def __init__(self, seed: int = 20_200):
-        base = 0x9E3779B97F4A7C15
+    def __init__(self, seed: int = 20_200, base: int = 0x9E3779B97F4A7C15):
         self.value = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
         self.power, self.inverse = (self._powers(b) for b in (base, pow(base, -1, 1 << 64)))
 
@@ -71,7 +76,7 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(32))
 
 
-def anchors(hashing: _Hash, buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
+def anchors(hashing: _Hash, other: _Hash, buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
     """(lo, hi, key, context): runs of windows lo..hi of one anchor, for windows that start in first[i]..last[i]."""
     sums = hashing.sums(buf)
     own = _mix((sums[gram:] - sums[:-gram]) * hashing.inverse[: len(buf) - gram + 1])
@@ -89,7 +94,8 @@ def anchors(hashing: _Hash, buf: np.ndarray, first: np.ndarray, last: np.ndarray
     cut = cut[:0] if not len(p) else cut
     a, b = np.concatenate([np.zeros(min(1, len(p)), np.int64), cut]), np.concatenate([cut, np.full(min(1, len(p)), len(p))]) - 1
     lo, hi, x = p[a], p[b], x[a]
-    context = (sums[hi + length] - sums[lo]) * hashing.inverse[lo] + (x - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    whole = other.sums(buf)
+    context = (whole[hi + length] - whole[lo]) * other.inverse[lo] + (x - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return lo, hi, own[x], _mix(context)
 
 
@@ -149,12 +155,12 @@ def anchor_runs(named: DataFrame, length: int, gram: int) -> DataFrame:
     """(row, key, context, at) of every anchor of every text; at: lo, the row's tag and hi - lo in 30, 24 and 9 bits."""
 
     def run(batches):
-        hashing = _Hash()
+        hashing, other = _Hash(), _Hash(31_337, 0xD1342543DE82EF95)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             row, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
             for buf, owner, offset, first, last in _pieces(texts, length):
-                lo, hi, key, context = anchors(hashing, buf, first, last, length, gram)
+                lo, hi, key, context = anchors(hashing, other, buf, first, last, length, gram)
                 part = np.searchsorted(first, lo, "right") - 1
                 whose = owner[part]
                 at = (lo + offset[part] - first[part]) << 33 | tag[whose] << 9 | hi - lo
@@ -169,21 +175,22 @@ def _spans(runs: DataFrame, *more) -> DataFrame:
     return runs.select("row", tag.alias("tag"), lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(511)).cast("int")).alias("hi"), *more)
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, length: int, single: bool) -> DataFrame:
-    """(bucket, row, tag, lo, alone, body) of the contexts ``wanted``: whole ones, or all their windows."""
-    runs = wanted.groupBy("row", "tag").agg(F.collect_list(F.struct("key", "lo", "hi", "alone")).alias("runs"))
-    schema = "bucket bigint, row bigint, tag int, lo int, alone boolean, body binary"
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+def _batch(rows: list[tuple], schema: str, kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
+
+
+def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(key, salt, row, tag, lo, alone, body): the bytes of the contexts ``wanted``."""
+    runs = wanted.groupBy("row", "tag").agg(F.collect_list(F.struct("key", "salt", "lo", "hi", "alone")).alias("runs"))
+    schema = "key bigint, salt int, row bigint, tag int, lo int, alone boolean, body binary"
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
 
     def run(batches):
         unpack, out = zstandard.ZstdDecompressor().decompress, []
         for batch in batches:
             for row, tag, z, runs in zip(*batch.columns):
                 text, row, tag = unpack(z.as_py()), row.as_py(), tag.as_py()
-                for r in runs.as_py():
-                    lo, hi = r["lo"], r["hi"]
-                    for p, q in ((p, p) for p in range(lo, hi + 1)) if single else ((lo, hi),):
-                        out.append((r["key"], row, tag, p, r["alone"], text[p : q + length]))
+                out += [(r["key"], r["salt"], row, tag, r["lo"], r["alone"], text[r["lo"] : r["hi"] + length]) for r in runs.as_py()]
                 if len(out) >= 10_000:
                     yield _batch(out, schema, kinds)
                     out = []
@@ -193,73 +200,85 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int, single: bool) ->
     return texts.join(runs, ["row", "tag"]).select("row", "tag", "z", "runs").mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], schema: str, kinds) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
-
+def _sorted_runs(contexts: DataFrame, length: int, merge: bool) -> DataFrame:
+    """(row, tag, lo, hi, body): runs of repeated windows in the contexts that stand alone, by sorting suffixes key by key.
 
-def _sorted_runs(contexts: DataFrame, length: int) -> DataFrame:
-    """(row, tag, lo, hi): runs of repeated windows in the contexts that stand alone, by sorting suffixes bucket by bucket."""
-    schema, kinds = "row bigint, tag int, lo int, hi int", (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    Keys meet whole, or in parts by a salt.  If parts are to ``merge``, one window of each kind of a
+    part follows with its body; its row is null unless that window stands alone.
+    """
+    schema = "row bigint, tag int, lo int, hi int, body binary"
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
     def solve(held):
         size = np.array([len(h[-1]) for h in held])
         start, count = np.cumsum(size) - size, size - length + 1
         buf = np.frombuffer(b"".join(h[-1] for h in held) + bytes(8), np.uint8)
         windows = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        at = np.sort(repeated(buf, windows, length))
+        new = np.array([k > 0 and h[0] != held[k - 1][0] for k, h in enumerate(held)])
+        found, leads = repeated(buf, windows.copy(), length, np.repeat(np.cumsum(new), count))
+        single, again = np.array([h[4] for h in held]), np.zeros(len(buf), bool)
+        again[found] = True
+        at = windows[again[windows]]
         part = np.searchsorted(start, at, "right") - 1
-        alone = np.array([h[3] for h in held])[part]
-        at, part = at[alone], part[alone]
+        at, part = at[single[part]], part[single[part]]
         first = np.ones(len(at), bool)
         first[1:] = (np.diff(at) != 1) | (np.diff(part) != 0)
-        last = np.roll(first, -1)
-        for a, b, k in zip(at[first].tolist(), at[last].tolist(), part[first].tolist()):
-            row, tag, lo = held[k][:3]
+        for a, b, k in zip(at[first].tolist(), at[np.roll(first, -1)].tolist(), part[first].tolist()):
+            _, row, tag, lo, _, _ = held[k]
             shift = lo - int(start[k])
-            yield row, tag, a + shift, b + shift
+            yield row, tag, a + shift, b + shift, None
+        if merge:
+            text, kinds_of = buf.tobytes(), np.concatenate([found[leads], windows[~again[windows]]])
+            for a, k in zip(kinds_of.tolist(), (np.searchsorted(start, kinds_of, "right") - 1).tolist()):
+                _, row, tag, lo, alone, _ = held[k]
+                alone = alone and not again[a]
+                yield row if alone else None, tag, lo + a - int(start[k]), lo + a - int(start[k]), text[a : a + length]
 
     def run(batches):
         held, windows, last, out = [], 0, None, []
         for batch in batches:
-            for bucket, *one in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != last and windows >= SORTED:
+            for key, salt, *one in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, salt) != last and windows >= SORTED:
                     out += solve(held)
                     held, windows = [], 0
-                held.append(one)
+                held.append(((key, salt), *one))
                 windows += len(one[-1]) - length + 1
-                last = bucket
-            if len(out) >= 10_000:
-                yield _batch(out, schema, kinds)
-                out = []
+                last = key, salt
+            while len(out) >= 10_000:
+                yield _batch(out[:10_000], schema, kinds)
+                out = out[10_000:]
         if held:
             out += solve(held)
-        if out:
-            yield _batch(out, schema, kinds)
+        for k in range(0, len(out), 10_000):
+            yield _batch(out[k : k + 10_000], schema, kinds)
 
-    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return contexts.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, schema)
 
 
-def _counted_runs(windows: DataFrame) -> DataFrame:
-    """(row, tag, lo, hi) of the single windows that stand alone and whose content occurs again."""
-    twice = written(windows.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body"), "crowded_windows")
-    return windows.where("alone").join(twice, "body").select("row", "tag", "lo", F.col("lo").alias("hi"))
+def _merged_runs(found: DataFrame) -> DataFrame:
+    """(row, tag, lo, hi) of what the parts of keys have found, and of windows that stand alone in theirs and occur in another."""
+    kinds = found.where("body is not null")
+    twice = written(kinds.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body"), "windows_of_several_parts")
+    across = kinds.where("row is not null").join(twice, "body").select("row", "tag", "lo", "hi")
+    return found.where("body is null").select("row", "tag", "lo", "hi").union(across)
 
 
-def repeated_runs(named: DataFrame, texts: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+def repeated_runs(named: DataFrame, texts: DataFrame, length: int, gram: int, part: int) -> DataFrame:
     """(row, tag, lo, hi): runs of repeated windows; together they are all of them."""
     found = anchor_runs(named, length, gram)
     counts = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
     again = written(found.join(counts, "key"), "repeated_anchors")
     kinds = written(again.groupBy("key", "context").agg(F.count("*").alias("same"), F.max("n").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
     copied = _spans(again.join(kinds.where("same > 1").select("key", "context"), ["key", "context"]))
-    varied = kinds.where("same < n").select("one.row", "one.at", "key", "n", (F.col("same") == 1).alias("alone"))
-    wanted = _spans(varied, "key", "n", "alone")
-    runs = copied.union(_sorted_runs(_contexts(texts, wanted.where(F.col("n") <= crowd), length, False), length))
-    crowded = wanted.where(F.col("n") > crowd)
-    return runs if crowded.isEmpty() else runs.union(_counted_runs(_contexts(texts, crowded, length, True)))
+    salt = F.pmod(F.xxhash64("one.row"), F.ceil(F.col("n") / part)).cast("int")
+    varied = kinds.where("same < n").select("one.row", "one.at", "key", salt.alias("salt"), (F.col("n") > part).alias("hot"), (F.col("same") == 1).alias("alone"))
+    wanted = _spans(varied, "key", "salt", "hot", "alone")
+    runs = copied.union(_sorted_runs(_contexts(texts, wanted.where("not hot"), length), length, False).select("row", "tag", "lo", "hi"))
+    hot = wanted.where("hot")
+    return runs if hot.isEmpty() else runs.union(_merged_runs(written(_sorted_runs(_contexts(texts, hot, length), length, True), "sorted_parts")))
 
 
-def removed_spans(docs: DataFrame, carried: Column, text_col: str = "text", length: int = 200, gram: int = 64, crowd: int = 8192, keep: str = "nothing") -> DataFrame:
+def removed_spans(docs: DataFrame, carried: Column, text_col: str = "text", length: int = 200, gram: int = 64, part: int = 4096, keep: str = "nothing") -> DataFrame:
     """(row, tag, id, n_bytes, spans, kept, kept_sha256) for each row, with ``carried`` as id.
 
     spans are (start, end) of removed bytes.  kept is the rest if ``keep`` is "bytes", the rest
@@ -269,7 +288,7 @@ def removed_spans(docs: DataFrame, carried: Column, text_col: str = "text", leng
         raise ValueError("lengths from 32 up, and anchors' strings shorter by 510 at most")
     named = _named(docs, carried, text_col)
     texts = _packed(named)
-    runs = repeated_runs(named, texts, length, gram, crowd)
+    runs = repeated_runs(named, texts, length, gram, part)
     by_row = written(runs.groupBy("row", "tag").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs")), "runs")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
