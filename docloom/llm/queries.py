@@ -134,7 +134,7 @@ hits AS (
   FROM cut)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ({{blocks}}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN strict >= 1 OR soft >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+            WHEN strict >= 1 OR soft >= 2 THEN 'block' ELSE 'allow' END AS verdict
 FROM hits
 """
 OP10_SQL = OP10_SQL.replace("{rules}", "CASE " + " ".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r, _ in sorted(url_filter.RULES, key=lambda r: -len(r[0]))) + " END").replace("{blocks}", ", ".join(f"'{r}'" for r, v in url_filter.RULES if v == "block"))

@@ -131,11 +131,11 @@ def brute_removed(texts, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length, gram, crowd", [(200, 64, 8192), (48, 20, 8192), (48, 20, 1)])
-def test_suffix_dedup_equals_brute_force(spark, texts, length, gram, crowd):
+@pytest.mark.parametrize("length, gram, part", [(200, 64, 4096), (48, 20, 4096), (48, 20, 1), (50, 20, 3)])
+def test_suffix_dedup_equals_brute_force(spark, texts, length, gram, part):
     shared = [(100 + k, words(10, 50 + k) + " " + words(60, 2) + " " + words(10, 80 + k)) for k in range(6)]
     docs = table(spark, [*texts, *shared])
-    got = suffix_dedup.removed_spans(docs, F.col("doc_id"), length=length, gram=gram, crowd=crowd, keep="bytes").collect()
+    got = suffix_dedup.removed_spans(docs, F.col("doc_id"), length=length, gram=gram, part=part, keep="bytes").collect()
     rows = sorted((r["id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got)
     assert rows == brute_removed([*texts, *shared], length)
     assert all(hashlib.sha256(r["kept"] or b"").hexdigest() == r["kept_sha256"] for r in got)
@@ -157,15 +157,28 @@ def test_suffix_dedup_keeps_whole_characters_and_columns(spark, texts):
     assert by_id[1] is None and by_id[8] == "" and by_id[17] == dict(texts)[17] and "\ufffd" not in by_id[14]
 
 
-def test_sorted_suffixes_and_blind_tries():
-    rng = np.random.default_rng(4)
-    body = bytes(rng.integers(97, 99, 3000, dtype=np.uint8)) + b"q" * 90 + bytes(rng.integers(97, 99, 60, dtype=np.uint8)) * 9
-    buf, starts = np.frombuffer(body + bytes(8), np.uint8), np.arange(len(body) - 40 + 1)
-    count = Counter(body[k : k + 40] for k in starts)
-    assert sorted(suffixes.repeated(buf, starts, 40).tolist()) == [k for k in starts.tolist() if count[body[k : k + 40]] > 1]
-    parts = [b"abcdx", b"abcdy", b"abqqq", b"abcdx"]
-    best = suffixes.blind_trie(b"".join(parts), [0, 5, 10, 15], 2, 5)
-    assert best[0] == best[3] == 5 and best[2] == 2
+@pytest.mark.parametrize("length", [32, 37, 48])
+def test_sorted_suffixes_have_order_and_shared_prefixes(length):
+    rng = np.random.default_rng(length)
+    body = bytes(rng.integers(97, 99, 1500, dtype=np.uint8)) + b"q" * 90 + bytes(rng.integers(97, 99, 60, dtype=np.uint8)) * 9
+    body += body[100 : 110 + length]
+    buf, starts = np.frombuffer(body + bytes(8), np.uint8), np.arange(len(body) - length + 1)
+    group = np.sort(rng.integers(0, 3, len(starts)))
+    count = Counter((g, body[k : k + length]) for k, g in zip(starts.tolist(), group.tolist()))
+    want = [k for k in starts.tolist() if count[group[k], body[k : k + length]] > 1]
+    found, leads = suffixes.repeated(buf, starts.copy(), length, group)
+    assert sorted(found.tolist()) == want
+    assert sorted({(group[k], body[k : k + length]) for k in want}) == sorted((group[k], body[k : k + length]) for k in found[leads].tolist())
+    ordered, shared, first = suffixes.deep_shallow(buf, starts.copy(), group, length)
+    for i in range(1, len(ordered)):
+        if not first[i]:
+            a, b = (body[k : k + length] for k in ordered[i - 1 : i + 1])
+            assert a <= b and shared[i] == next((k for k in range(length) if a[k] != b[k]), length)
+
+
+def test_blind_trie_orders_its_suffixes():
+    order, shared = suffixes.blind_trie(b"abcdxabcdyabqqqabcdx", [0, 5, 10, 15], 2, 5)
+    assert order == [0, 3, 1, 2] and shared == [2, 5, 4, 2]
 
 
 def test_mixing_equals_sql(spark, data):
@@ -183,6 +196,22 @@ def test_mixing_with_hard_sources(spark):
         assert sum(r["taken"] for r in own) == int(own[0]["target"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
     assert abs(sum({r["source"]: r["target"] for r in rows}.values()) - 1.5 * sum(r["size"] for r in rows)) < 1e-6
     assert mixing.mixed(docs.where("false")).count() == 0
+    shuffled = mixing.mixed(docs.repartition(9), bucket_rows=4).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, shuffled), key=str)
+    assert mixing.mixed(table(spark, [(1, "w " * 300_000), (2, None)], source=["a", "a"])).agg(F.sum("taken")).first()[0] == 450_000
+
+
+def test_many_sources_are_ranked_and_levelled_as_by_hand(spark):
+    rng = np.random.default_rng(2)
+    sizes = [(f"s{k:03d}" if k else None, int(n)) for k, n in enumerate(rng.integers(0, 5000, 90))]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint").repartition(7)).collect()}
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(order)}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * n, level * weight[s]) for s, n in sizes) < 1.5 * sum(n for _, n in sizes) else (low, level)
+    assert all(abs(got[s] - min(2 * n, low * weight[s])) < 1e-6 for s, n in sizes)
 
 
 def contaminated(docs, benchmark, **options):
@@ -228,12 +257,13 @@ def test_decontamination_equals_brute_force(spark, most):
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = [list(map(float, v)) for v in rng.normal(size=(150, 8)).astype(np.float32)]
-    rows = [(k, v, 1) for k, v in enumerate(vectors)] + [(200 + k, vectors[3], 0) for k in range(30)] + [(240, None, 0), (260, [0.0] * 8, 0), (280, [1.0, None] + [0.0] * 6, 0), (300, [float("nan")] * 8, 0), (320, [float("inf")] * 8, 0), (340, [], 0), (360, [1.0, 2.0], 0), (None, vectors[0], 0)]
+    rows = [(k, v, 1) for k, v in enumerate(vectors)] + [(200 + k, vectors[3], 0) for k in range(30)] + [(20, vectors[20], 5), (20, vectors[20], 5)] + [(240, None, 0), (260, [0.0] * 8, 0), (280, [1.0, None] + [0.0] * 6, 0), (300, [float("nan")] * 8, 0), (320, [float("inf")] * 8, 0), (340, [], 0), (360, [1.0, 2.0], 0), (None, vectors[0], 0)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id int")
     got = {}
-    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, k=20, candidate_block=32, query_block=4, tiles_each=2).collect():
+    for r in neighbours.nearest(frame, F.col("vec_id") % 20 == 0, k=20, block_rows=32, query_rows=4, tiles_each=2).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
-    good = {i: np.array(v, float) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+    every = [(i, np.array(v, float)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    good = dict(every)
 
     def score(a, b):
         s = 0.0
@@ -242,7 +272,7 @@ def test_neighbours_equal_brute_force(spark):
         return s
 
     for q in (i for i in good if i % 20 == 0):
-        best = sorted(((-score(good[q], v), i) for i, v in good.items() if i != q and len(v) == len(good[q])))[:20]
+        best = sorted(((-score(good[q], v), i) for i, v in every if i != q and len(v) == len(good[q])))[:20]
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert set(got) == {i for i in good if i % 20 == 0 and len(good[i]) == 8}
     assert neighbours.nearest(frame.where("false"), F.lit(True)).count() == 0
@@ -272,9 +302,15 @@ def test_url_rules_and_terms(spark):
         "https://example.net/de/8": ("example.net", "/de/8", "example.net/de/8", "block"), "https://x.net/de/9#f": ("x.net", "/de/9", "net/de/", "allow"), "https://notexample.org/es/": ("notexample.org", "/es/", "org/es/", "block"), "https://free-bets.example.com/fr/1": ("free-bets.example.com", "/fr/1", None, "block"),
         "https://freebets.example.com/fr/1": ("freebets.example.com", "/fr/1", None, "allow"), "https://free.example.com/free": ("free.example.com", "/free", None, "allow"), "https://CASINO.example.com?x": ("casino.example.com", "", None, "block"), "a://b://c/d": ("b:", "//c/d", None, "allow"),
     }
+    cases |= {"https://x.example.com/" + "a/" * 50_000 + "casino": ("x.example.com", "/" + "a/" * 50_000 + "casino", None, "block")}
     rows = spark.createDataFrame([(u, 1, "x") for u in cases], "url string, host int, rule string")
     got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged(rows).select("page.url", "host", "path", "rule", "verdict").collect()}
     assert got == cases and url_filter.judged(rows.where("false")).count() == 0
+    assert url_filter.judged(rows.union(rows)).count() == 2 * len(cases)
+    own = spark.createDataFrame([("Soon", 0.4), ("now", 0.7), ("now", 0.1), ("", 9.0), (None, 9.0), ("never", None)], "term string, weight double")
+    urls = spark.createDataFrame([("x://a.b/now",), ("x://a.b/now-soon",), ("x://a.b/now-now",), ("x://a.b/nowhere-soon",)], "url string")
+    found = {r["url"]: (r["verdict"], r["terms"]) for r in url_filter.judged(urls, rules=(), vocabulary=own).select("page.url", "verdict", "terms").collect()}
+    assert found == {"x://a.b/now": ("allow", 1), "x://a.b/now-soon": ("block", 2), "x://a.b/now-now": ("allow", 1), "x://a.b/nowhere-soon": ("allow", 1)}
 
 
 @pytest.mark.parametrize("name", ["op1_neighbours", "op3_licences", "op9_decontamination", "op10_url_filter"])
