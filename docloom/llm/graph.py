@@ -33,7 +33,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Links may repeat and point either way; a link from a node to itself or to null is dropped.  No links give no rows.
     Each round is written to the shared folder; the rounds grow with the logarithm of the longest path.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None
     for k in range(most_rounds):
         edges = written(_stars(_stars(edges, True), False), f"stars{k}")

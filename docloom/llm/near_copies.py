@@ -1,14 +1,21 @@
 """Groups of near copies: texts whose sets of five-word shingles have Jaccard 0.8 at least, or whose SimHashes differ in at most two bits.
 
-The Jaccard join is exact, by prefix filtering.  All shingles have one order, the rare ones first; two
-sets that reach 0.8 share a shingle among the first n // 5 + 1 of each.  Those are posted, and a pair
-that meets is compared by its whole sets (of 64-bit hashes), unless the posted ones they share are too few:
-all else that two sets share lies beyond what one of them posts.  Only what connects is needed: first each
-posting's members are compared with its least member, then only pairs that are not connected yet.
-The order is that of a sample's counts, then of the hashes; any order gives the same groups.
+The Jaccard join is exact, by prefix filtering with positions.  All shingles have one order, the rare
+ones first.  Two sets of m and n that reach 0.8 share 4 (m + n) / 9 at least, so the first that they
+share stands no later in either than that many from its end, and among the first fifth and one of
+both.  Those are posted with their places, and only pairs that meet at such places are looked at: by
+the posted shingles that both have, which bounds what they can share, then by their whole sets (of
+64-bit hashes).
+
+Only what connects is needed.  First each posting's members are compared with the member that has the
+posting's shingle nearest to its start, one with few rare shingles of its own, which large groups
+of copies have in their middle.  Then only pairs that are not connected yet are compared: members
+outside a posting's largest component with all others of it.  The order is that of a sample's counts,
+then of the hashes; any order gives the same groups.
 
 Defined cases: letters A-Z are lower-cased and words end at ASCII white space; a text of fewer than
-five words is one shingle; a null text is like an empty one; an empty table gives no rows.
+five words is one shingle; a null text is like an empty one; texts of any length are taken whole; ties
+of the order go by hash; an empty table gives no rows; columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -92,30 +99,43 @@ def _compared(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _fit(a: str, b: str) -> Column:
+    """Two postings of one shingle are where the first shared one of two similar sets can be."""
+    need = 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return (9 * (F.col(f"{a}.n") - F.col(f"{a}.place")) >= need) & (9 * (F.col(f"{b}.n") - F.col(f"{b}.place")) >= need)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, that postings (key, p: node, place, n, root) of two kinds bring together across components."""
+    pairs = left.select("key", F.col("p").alias("x")).join(right.select("key", F.col("p").alias("y")), "key").where(F.col("x.root") != F.col("y.root")).where(_fit("x", "y"))
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def _within_reach(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of those ``met`` (a, b, posted) that can reach the similarity, sharing ``posted`` of the shingles that both post."""
+    """Pairs (a, b) of those ``met`` that can reach the similarity by the shingles that both post: all else they share lies beyond what one of them posts."""
     for x in "ab":
-        met = met.join(sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
+        met = met.join(sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"keys_{x}")), x)
     beyond = F.greatest(*[F.col(f"n_{x}") - F.expr(f"n_{x} div 5") - 1 for x in "ab"])
-    return met.where(9 * (F.col("posted") + beyond) >= 4 * F.expr("n_a + n_b")).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b")
+    return met.where(9 * (F.size(F.array_intersect("keys_a", "keys_b")) + beyond) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def jaccard_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect the ``sets`` (node, t, n, keys) just as all pairs of Jaccard 0.8 do."""
-    post = sets.select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = post.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1").select("key", "least")
-    post = written(post.join(shared, "key"), "postings")
-    met = post.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("posted"))
-    stars = written(_within_reach(met, sets), "stars")
+    post = sets.select("node", "n", F.posexplode("keys").alias("place", "key")).repartition("key")
+    shared = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    post = written(post.join(shared, "key").select("key", F.struct("node", "place", "n", F.col("node").alias("root")).alias("p")), "postings")
+    middle = post.groupBy("key").agg(F.min_by("p", F.struct("p.place", F.xxhash64("p.node", "key"))).alias("p"))
+    stars = written(_within_reach(_met(post, middle), sets), "stars")
     first = written(_compared(texts, sets, stars), "star_links")
 
-    rooted = written(post.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    apart = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "apart")
-    rest = rooted.join(apart, "key", "left_semi")
-    a, b = (rest.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    met = a.join(b, "key").where("a > b and root_a <> root_b").groupBy("a", "b").agg(F.count("*").alias("posted"))
-    pairs = written(_within_reach(met, sets).join(stars, ["a", "b"], "left_anti"), "pairs")
-    return first.union(_compared(texts, sets, pairs))
+    roots = components(first).select(F.col("node").alias("of"), F.col("root").alias("to"))
+    own = F.struct("p.node", "p.place", "p.n", F.coalesce("to", "p.root").alias("root"))
+    rooted = written(post.join(roots, post["p.node"] == roots["of"], "left").select("key", own.alias("p")), "rooted")
+    sizes = rooted.groupBy("key", F.col("p.root").alias("root")).agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    apart = written(sizes.where("parts > 1").select("key", "main"), "apart")
+    rest = rooted.join(apart, "key")
+    pairs = written(_within_reach(_met(rest.where("p.root <> main"), rest).join(stars, ["a", "b"], "left_anti"), sets), "pairs")
+    return first.union(written(_compared(texts, sets, pairs), "pair_links"))
 
 
 def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,16 +161,15 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for found, known, key in ((jaccard_links(texts, sets), sets, "node"), (simhash.links(prints.select("fp")), prints, "fp")):
         a, b = (known.select(F.col(key).alias(x), F.col("t").alias(f"t_{x}")) for x in "ab")
         links = links.union(found.join(a, "a").join(b, "b").select("t_a", "t_b"))
-    return components(links).withColumnRenamed("node", "t")
+    return components(links.toDF("a", "b")).withColumnRenamed("node", "t")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group: that of the least id, then of the least text hash.  Rows that repeat it are one row; a null id comes after all others."""
-    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("t"))
-    found = rows.join(groups(docs, text_col), "t", "left").select("id", "t", F.coalesce("root", "t").alias("root"))
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first"), F.count("*").alias("_size"))
-    kept = written(least.select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"), "_size"), "kept")
-    own = docs.withColumn("_hash", text_hash(text_col))
-    first = own.join(kept, (own["_hash"] == kept["_t"]) & own[id_col].eqNullSafe(kept["_id"]))
-    once, several = first.where("_size = 1"), first.where("_size > 1")
-    return once.select(*docs.columns).union(several.dropDuplicates(["_id", "_t"]).select(*docs.columns))
+    own = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), text_hash(text_col).alias("t"))
+    found = own.select("id", "t").join(groups(docs, text_col), "t", "left").select("id", "t", F.coalesce("root", "t").alias("root"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first"), F.count("*").alias("size"))
+    kept = written(least.select(F.col("first.id").alias("kept_id"), F.col("first.t").alias("kept_t"), "size"), "kept")
+    first = own.join(kept, (own["t"] == kept["kept_t"]) & own["id"].eqNullSafe(kept["kept_id"]))
+    once, several = first.where("size = 1"), first.where("size > 1")
+    return once.union(several.dropDuplicates(["id", "t"])).select("doc.*")
