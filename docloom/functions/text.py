@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _chained(c: Column, *steps: tuple[str, str]) -> Column:
     for pattern, to in steps:
         c = F.regexp_replace(c, pattern, to)
@@ -64,6 +71,20 @@ def slug(url: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_replace(bare, "^[-_]+|[-_]+$", "")), F.lit("")), F.lit("page"))
 
 
+def content_excerpt(c: Column, n: int = 300) -> Column:
+    """The start of a text without its white space."""
+    return F.substring(collapse(c), 1, n)
+
+
+def path_key(path: Column) -> Column:
+    """What a file is told by, whatever the case of its path."""
+    return F.substring(F.md5(F.lower(F.trim(path))), 1, 12)
+
+
+def query_key(query: Column) -> Column:
+    return F.sha1(normalize_query(query))
+
+
 def title_of_slug(c: Column) -> Column:
     return F.initcap(F.regexp_replace(c, "[-_]+", " "))
 

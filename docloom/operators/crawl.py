@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import block_page_reason
-from docloom.operators.tables import keep_first
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, most_depth: int = 2, most_pages: int = 250, allowed: Column | None = None) -> DataFrame:
@@ -16,9 +17,8 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, most_depth: int = 2, most_
     in each round, each level is checkpointed, and the rounds are ``most_depth`` at most.
     """
     edges = edges if allowed is None else edges.where(allowed)
-    level = keep_first(seeds, ["url"], ["pos"]).select("url", F.row_number().over(Window.orderBy("pos", "url")).alias("position"))
-    level = level.where(F.col("position") <= most_pages).withColumn("depth", F.lit(0))
-    visited = saved(level)
+    first = seeds.groupBy("url").agg(F.min("pos").alias("pos")).orderBy("pos", "url").limit(most_pages)
+    visited = saved(first.select("url", F.row_number().over(Window.orderBy("pos", "url")).alias("position"), F.lit(0).alias("depth")))
     n = visited.count()
     frontier = visited
     for depth in range(1, most_depth + 1):
@@ -37,17 +37,28 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, most_depth: int = 2, most_
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Checkpointed in the session's folder; in sessions without one, the plan as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Checkpointed in the folder that ``spark.checkpoint.dir`` names; only a session whose tasks all run here may go without it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
 
 
 def statuses(pages: DataFrame, canonical: Column, text: Column, allowed: Column, order: str, reject_low_quality: bool = False, deduplicate: bool = False) -> DataFrame:
-    """Adds ``status`` of each page: out_of_scope, pdf_asset, scrape_failed, quality_rejected, duplicate_content or saved."""
+    """Adds ``status`` of each page: out_of_scope, pdf_asset, scrape_failed, quality_rejected, duplicate_content or saved.
+
+    The first page of each text, by ``order``, is found by an aggregate, so that a text many pages share (all
+    empty ones) does not gather them.
+    """
     rows = pages.withColumn("content_hash", F.sha2(F.coalesce(text, F.lit("")), 256))
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy(order)) == 1
     status = F.when(~allowed, "out_of_scope").when(F.endswith(F.lower(canonical), F.lit(".pdf")), "pdf_asset").when(text.isNull(), "scrape_failed")
     if reject_low_quality:
         status = status.when(block_page_reason(text).isNotNull(), "quality_rejected")
-    if deduplicate:
-        status = status.when(~first, "duplicate_content")
-    return rows.withColumn("status", status.otherwise("saved"))
+    if not deduplicate:
+        return rows.withColumn("status", status.otherwise("saved"))
+    marked = rows.withColumn("status", status).select(F.struct(*rows.columns).alias("own"), "status", F.col("content_hash").alias("h"), F.col(order).alias("o"))
+    firsts = marked.groupBy(F.col("h").alias("of")).agg(F.min("o").alias("first"))
+    found = marked.join(firsts, F.col("h") == F.col("of"))
+    return found.select("own.*", F.coalesce("status", F.when(F.col("o") > F.col("first"), "duplicate_content").otherwise("saved")).alias("status"))

@@ -124,17 +124,29 @@ def contract_errors(record: Column, required: Sequence[str], enums: Mapping[str,
     return F.concat(found, F.transform(extra, lambda k: F.concat(k, F.lit(" is unexpected"))))
 
 
+SOURCE_TYPE = "guidance_pdi"
+
+
 def page_errors(page: Column, canonical: Column) -> Column:
-    """Checks of a page's JSON: texts, the fixed source type, and its canonical address."""
-    texts = [F.when(to_text(page[f]) == "", f"{f} is required") for f in ("source_id", "source_url", "title", "text")]
-    return F.array_compact(F.array(*texts, F.when(~page["source_url"].rlike("^https?://"), "source_url is not http"), F.when(~canonical.eqNullSafe(page["canonical_url"]), "canonical_url differs")))
+    """Checks of a page's JSON: required texts, the fixed source type, addresses, and sections with headings and texts; ``canonical`` is the source's address as it should be."""
+    texts = [F.when(to_text(page[f]) == "", f"{f} is required") for f in ("source_id", "source_url", "canonical_url", "title", "text")]
+    http = [F.when((to_text(page[f]) != "") & ~page[f].rlike("^https?://"), f"{f} is not http") for f in ("source_url", "canonical_url")]
+    source = F.when(~page["source_type"].eqNullSafe(SOURCE_TYPE), f"source_type is not {SOURCE_TYPE}")
+    differs = F.when((to_text(page["canonical_url"]) != "") & canonical.isNotNull() & (canonical != page["canonical_url"]), "canonical_url differs")
+    sections = F.transform(page["sections"], lambda s, i: F.when(to_text(s["heading"]) == "", F.concat(F.lit("section "), i.cast("string"), F.lit(" has no heading"))).when(s["text"].isNull(), F.concat(F.lit("section "), i.cast("string"), F.lit(" has no text"))))
+    return F.array_compact(F.concat(F.array(*texts, source, *http, differs), F.coalesce(sections, F.array().cast("array<string>"))))
 
 
 def vector_valid(record: Column, dims: int) -> Column:
     """An id, a vector of ``dims`` finite numbers, and a text in the metadata."""
-    sound = F.forall(record["values"], lambda x: x.isNotNull() & ~F.isnan(x))
+    sound = F.forall(record["values"], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce((to_text(record["id"]) != "") & (F.size(record["values"]) == dims) & sound & (to_text(record["text"]) != ""), F.lit(False))
 
 
+def blocked(text: Column, filtered: bool = True) -> Column:
+    """Whether a request is turned away: it holds an injection, is not of the domain, and such requests are filtered."""
+    return (F.size(rules.injected_lines(text)) > 0) & ~rules.domain_relevant(text) & F.lit(filtered)
+
+
 def redacted_log(messages: DataFrame, text: str) -> DataFrame:
     return messages.withColumn(text, redacted(F.col(text)))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import urls
-from docloom.operators.tables import keep_first
 
 # What is no content, where the content is looked for, and what ends a line.
 JUNK = frozenset("script style noscript nav header footer aside form svg iframe button template".split())
@@ -197,20 +196,23 @@ def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
 def markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, markdown): each different line once, where it is first."""
-    lines = _mapped(pages, key, html, "n int, line string", lambda h: enumerate(lines_of(h)))
-    once = keep_first(lines, [key, "line"], ["n"])
-    return once.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    return _mapped(pages, key, html, "markdown string", lambda h: [("\n\n".join(dict.fromkeys(lines_of(h))),)])
 
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)["']"""
 
 
+def main_part(html: Column) -> Column:
+    """The main element of a page, else all of it."""
+    return F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<main(?:\s[^>]*)?>(.*)</main>", 1), F.lit("")), html)
+
+
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, pos, link): canonical links of a page, each where it is first; relative ones are resolved."""
-    raw = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(html, F.lit(HREF), 1)).alias("pos", "_href"))
-    full = raw.withColumn("_full", urls.resolved("_href", "_base"))
-    canonical = urls.with_canonical(full, "_full", "link").where("link is not null")
-    return keep_first(canonical.select(key, "pos", "link"), [key, "link"], ["pos"])
+    """(key, pos, link): canonical links of a page's main part, each where it is first; relative ones are resolved."""
+    raw = pages.select(F.col(key).alias("key"), F.col(url).alias("base"), F.posexplode(F.regexp_extract_all(main_part(F.col(html)), F.lit(HREF), 1)).alias("pos", "href"))
+    full = raw.select("key", "pos", urls.resolved("href", "base").alias("full"))
+    canonical = urls.with_canonical(full, "full", "link").where("link is not null")
+    return canonical.groupBy("key", "link").agg(F.min("pos").alias("pos")).select(F.col("key").alias(key), "pos", "link")
 
 
 def markdown_links(text: Column) -> Column:
@@ -220,6 +222,20 @@ def markdown_links(text: Column) -> Column:
     return F.array_distinct(F.concat(labelled, bare))
 
 
+def page_title(html: Column) -> Column:
+    """The first heading of a page, else its title element, by expressions alone; ``Untitled`` if both are empty."""
+    plain = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1), "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+    return F.coalesce(plain("h1"), plain("title"), F.lit("Untitled"))
+
+
+def root_links(html: Column, base: Column) -> Column:
+    """The different addresses of a page's hrefs that are absolute or begin at the root, without order."""
+    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    found = F.regexp_extract_all(html, F.lit(r"""href=["']([^"']+)["']"""), 1)
+    full = F.transform(found, lambda h: F.when(F.startswith(h, F.lit("http")), h).when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, "^(https?:)", 1), h)).when(F.startswith(h, F.lit("/")), F.concat(origin, h)))
+    return F.array_sort(F.array_distinct(F.array_compact(full)))
+
+
 def title(html: Column) -> Column:
     """The title element of a page, by expressions alone."""
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")), F.lit("Untitled"))

@@ -4,18 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import first_line, to_text
 
 
-def quality(docs: DataFrame, id_col: str, text: str, short: int = 400) -> DataFrame:
-    """One row: how many documents there are, empty, short, and in groups of equal texts."""
+#: Ids that a report shows of each kind.
+EXAMPLES = 20
+
+
+def first_examples(rows: DataFrame, id_col: str, kinds: Mapping[str, Column], n: int = EXAMPLES) -> DataFrame:
+    """(kind, examples): the least ``n`` ids of each kind; what leaves a task is cut to ``n`` a kind before the shuffle."""
+    flags = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in kinds.items()]))).alias("kind")
+    least = Window.partitionBy("kind").orderBy("id")
+    kept = rows.select(F.col(id_col).alias("id"), flags).withColumn("place", F.row_number().over(least)).where(F.col("place") <= n)
+    return kept.groupBy("kind").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+
+
+def quality(docs: DataFrame, id_col: str, text: str, short: int = 400, last_updated: str | None = None, heading_path: str | None = None, sections: str | None = None) -> DataFrame:
+    """One row: how many documents there are, empty, short, in groups of equal texts and, where their columns are named, without a date, a heading path or sound sections.
+
+    ``sections`` is an array of structs with a heading; a missing array counts once, and so does each
+    section without one.  short_examples are the first ids of short or empty documents.
+    """
     body = to_text(F.col(text))
-    hashes = docs.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("h")).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("duplicates"))
-    totals = docs.agg(F.count("*").alias("total"), F.count_if(body == "").alias("empty"), F.count_if((body != "") & (F.length(body) < short)).alias("short"), F.slice(F.array_sort(F.collect_set(F.when(F.length(body) < short, F.col(id_col)))), 1, 20).alias("short_examples"))
-    return totals.withColumn("_k", F.lit(1)).join(hashes.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    hashes = docs.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("h")).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)), F.lit(0)).alias("duplicates"))
+    more = []
+    if last_updated:
+        more.append(F.count_if(to_text(F.col(last_updated)) == "").alias("missing_last_updated"))
+    if heading_path:
+        more.append(F.count_if(F.coalesce(F.size(heading_path), F.lit(0)) <= 0).alias("missing_heading_path"))
+    if sections:
+        bad = F.when(F.col(sections).isNull(), 1).otherwise(F.size(F.filter(sections, lambda s: to_text(s["heading"]) == "")))
+        more.append(F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("bad_sections"))
+    totals = docs.agg(F.count("*").alias("total"), F.count_if(body == "").alias("empty"), F.count_if((body != "") & (F.length(body) < short)).alias("short"), *more)
+    examples = first_examples(docs, id_col, {"short": F.length(body) < short}).agg(F.max("examples").alias("short_examples"))
+    none = F.array().cast(T.ArrayType(docs.schema[id_col].dataType))
+    found = totals.join(hashes, F.lit(True)).join(examples, F.lit(True))  # one row each
+    return found.withColumn("short_examples", F.coalesce("short_examples", none))
+
+
+def unique_count(rows: DataFrame, column: str) -> DataFrame:
+    """One row: how many different values that are not empty a column has, and in how many rows."""
+    value = F.nullif(F.col(column).cast("string"), F.lit(""))
+    return rows.agg(F.countDistinct(value).alias("n_unique"), F.count(value).alias("n_rows"))
+
+
+def ingest_stats(outcomes: DataFrame) -> DataFrame:
+    """One row of totals over outcomes (source, status, n_sections, n_chunks, n_upserted) of the sources of a run; what was not ingested adds nothing."""
+    done = F.col("status") == "ingested"
+    total = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("bigint")
+    return outcomes.agg(
+        F.count("*").alias("found"), F.count_if(done).alias("ingested"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"),
+        total("n_sections").alias("sections"), total("n_chunks").alias("chunks"), total("n_upserted").alias("upserted"),
+    )
 
 
 def top_first_lines(docs: DataFrame, text: str, order: str, n: int = 10) -> DataFrame:

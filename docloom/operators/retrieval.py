@@ -2,8 +2,8 @@
 
 A chunk table has (id, vector, authority_level, doc_family, instrument, jurisdiction,
 effective_date); a question table has (query_id, vector) and, for tiers, the query profile.  Each
-question's filter is a join condition on small arrays, and only the k best rows of a question
-leave each partition's scoring, by a bounded collection of the best before the shuffle.
+question's filter is a join condition on small arrays, a pair is scored once for all tiers it is in,
+and only the best rows of a question leave each task, as the ranking is cut before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,9 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
+from docloom.functions.text import bound
 
-#: Questions that are sent to every task at most; larger sets are joined block by block.
-BROADCAST_QUERIES = 50_000
+#: Bytes of questions that are sent to every task at most; larger sets meet the chunks cell by cell.
+BROADCAST_BYTES = 64 << 20
+#: Parts that chunks are dealt to in each block of questions, then.
+CELLS = 64
+#: Questions of one owner that a chunk is scored against at a time.
+QUESTIONS_EACH = 256
 
 
 def compiled(filter: Mapping | None, schema_arrays: Sequence[str] = ()) -> Column:
@@ -52,25 +57,43 @@ def with_norms(rows: DataFrame, vector: str = "vector") -> DataFrame:
     return rows.withColumn("norm", F.sqrt(dot(F.col(vector), F.col(vector))))
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: Column | int, fits: Column | None = None, minimum: float | None = None, blocks: int = 1) -> DataFrame:
-    """(query columns, chunk columns, score, position): the ``k`` most similar fitting chunks of each question, ties by id.
+def question_blocks(queries: DataFrame, vector: str = "vector") -> int:
+    """How many blocks of ``BROADCAST_BYTES`` at most the questions make; their number and largest vector are looked up once."""
+    n, dims = queries.agg(F.count("*"), F.max(F.size(vector))).first()
+    return max(1, -(-n * (8 * (dims or 0) + 1024) // BROADCAST_BYTES))
 
-    Up to ``BROADCAST_QUERIES`` questions are sent to every task.  More, or ``blocks`` over 1, are
-    spread over blocks, and each chunk is sent to all of these.
+
+def pairs_of(queries: DataFrame, chunks: DataFrame, fits: Column | None = None, blocks: int | None = None) -> DataFrame:
+    """(question and chunk columns, score): the cosine of every fitting pair, null where there is none.
+
+    One block of questions is sent to every task.  Several are dealt to cells of (block, part of the
+    chunks), so that neither side is sent whole to any task.
     """
-    blocks = max(blocks, -(-queries.count() // BROADCAST_QUERIES))
+    blocks = question_blocks(queries) if blocks is None else blocks
     q = with_norms(queries).withColumnRenamed("vector", "q_vector").withColumnRenamed("norm", "q_norm")
     c = with_norms(chunks)
+    fit = F.lit(True) if fits is None else fits
     if blocks > 1:
-        pairs = q.withColumn("_b", F.pmod(F.hash("query_id"), F.lit(blocks))).join(c.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "_b").drop("_b")
-        pairs = pairs.where(F.lit(True) if fits is None else fits)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.select(F.struct("*").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(CELLS).alias("cell"))
+        c = c.select(F.struct("*").alias("c"), F.pmod(F.xxhash64("id"), F.lit(CELLS)).cast("int").alias("cell"), each(blocks).alias("block"))
+        pairs = q.join(c, ["block", "cell"]).select("q.*", "c.*").where(fit)
     else:
-        pairs = c.join(F.broadcast(q), F.lit(True) if fits is None else fits)
+        pairs = c.join(F.broadcast(q), fit)
     score = F.when((F.col("q_norm") > 0) & (F.col("norm") > 0) & (F.size("q_vector") == F.size("vector")), dot(F.col("q_vector"), F.col("vector")) / (F.col("q_norm") * F.col("norm")))
-    scored = pairs.withColumn("score", score).drop("q_vector", "vector", "q_norm", "norm")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    # Conditions on the score follow the ranking: before it they would join the pairs' condition and compute each score twice.
-    best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).where("score is not null")
+    return pairs.withColumn("score", score).drop("q_vector", "vector", "q_norm", "norm")
+
+
+def _best(scored: DataFrame, keys: Sequence[str], most: int, k: Column | int) -> DataFrame:
+    """The first ``k`` of each group by score, ties by id, with ``position``; ``most`` is what ``k`` can be at most."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
+    # The cut by a constant is what Spark makes in each task; conditions on the score follow it, as before it they would compute each score twice.
+    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).where(F.col("position") <= k).where("score is not null")
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, k: int, fits: Column | None = None, minimum: float | None = None, blocks: int | None = None) -> DataFrame:
+    """(query columns, chunk columns, score, position): the ``k`` most similar fitting chunks of each question, ties by id."""
+    best = _best(pairs_of(queries, chunks, fits, blocks), ["query_id"], k, k)
     return best if minimum is None else best.where(F.col("score") >= minimum)
 
 
@@ -99,41 +122,51 @@ def tier_levels(tier: str) -> Column:
     return guidance.when(F.col("profile.case_law_requested"), lits(rules.GUIDANCE + rules.CASE_LAW)).otherwise(lits(rules.GUIDANCE))
 
 
-def tiered(queries: DataFrame, chunks: DataFrame, k: int = 8, fallback: bool = False, blocks: int = 1) -> DataFrame:
+def tiered(queries: DataFrame, chunks: DataFrame, k: int = 8, fallback: bool = False, blocks: int | None = None) -> DataFrame:
     """(query_id, id, ..., score, tier, position): binding sources, then guidance, then two families to compare.
 
-    With ``fallback``, questions whose filter finds nothing in a tier are asked again without it.
+    A pair is scored once and ranked in each tier it fits, all in one pass.  With ``fallback``,
+    questions whose filter finds nothing in a tier are asked again without it, for that tier.
     """
     sizes = dict(zip(("binding", "guidance"), tier_sizes(k)))
-    found = []
-    for tier, size in sizes.items():
-        fit = shared_fit() & F.array_contains(tier_levels(tier), F.col("authority_level"))
-        if tier == "guidance":
-            fit = fit & ((F.size("profile.compare_families") < 2) | F.array_contains("profile.compare_families", F.col("doc_family")))
-        own = top_k(queries, chunks, size, fit, blocks=blocks)
-        if fallback:
-            unanswered = queries.join(own.select("query_id").distinct(), "query_id", "left_anti")
-            own = own.unionByName(top_k(unanswered, chunks, size, blocks=blocks))
-        found.append(own.withColumn("tier", F.lit(tier)))
-    both = queries.where((F.size("profile.compare_families") > 1) & F.col("profile.compare_requested"))
+    blocks = question_blocks(queries) if blocks is None else blocks
+    in_tier = {tier: shared_fit() & F.array_contains(tier_levels(tier), F.col("authority_level")) for tier in sizes}
+    families = F.col("profile.compare_families")
+    in_tier["guidance"] = in_tier["guidance"] & ((F.size(families) < 2) | F.array_contains(families, F.col("doc_family")))
+    fits = [F.when(F.coalesce(test, F.lit(False)), tier) for tier, test in in_tier.items()]
+    compares = (F.size(families) > 1) & F.col("profile.compare_requested")
     for place in (0, 1):
-        family = F.col("profile.compare_families")[place]
-        own = top_k(both, chunks, sizes["guidance"], F.col("doc_family") == family, blocks=blocks)
-        found.append(own.withColumn("tier", F.concat(F.lit("compare_"), family)))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        family = F.get(families, F.lit(place))
+        fits.append(F.when(F.coalesce(compares & (F.col("doc_family") == family), F.lit(False)), F.concat(F.lit("compare_"), family)))
+    tiers = F.array_compact(F.array(*fits))
+    most = max(sizes.values())
+    size = F.when(F.col("tier") == "binding", sizes["binding"]).otherwise(sizes["guidance"])
+    scored = pairs_of(queries, chunks, F.size(tiers) > 0, blocks)
+    found = _best(scored.withColumn("tier", F.explode(tiers)), ["query_id", "tier"], most, size)
+    if not fallback:
+        return found
+    asked = queries.withColumn("tier", F.explode(F.array(*map(F.lit, sizes))))
+    unanswered = asked.join(found.select("query_id", "tier").distinct(), ["query_id", "tier"], "left_anti")
+    again = unanswered.groupBy("query_id").agg(F.collect_set("tier").alias("tiers")).join(queries, "query_id")
+    again = pairs_of(again, chunks, None, blocks).withColumn("tier", F.explode("tiers")).drop("tiers")
+    return found.unionByName(_best(again, ["query_id", "tier"], most, size))
 
 
 def tier_order() -> Column:
     return F.when(F.col("tier") == "binding", 0).when(F.col("tier") == "guidance", 1).otherwise(2)
 
 
-def deduplicated(sources: DataFrame) -> DataFrame:
-    """The first of each question's sources by id, in tier order."""
-    first = Window.partitionBy("query_id", "id").orderBy(tier_order(), "tier", "position")
-    return sources.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+def source_key(id: Column, title: Column, url: Column) -> Column:
+    """What sources are told apart by: the id, else title and address together."""
+    text = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    return F.coalesce(F.nullif(text(id), F.lit("")), F.concat(text(title), F.lit("|"), text(url)))
+
+
+def deduplicated(sources: DataFrame, key: Column | None = None) -> DataFrame:
+    """The first of each question's sources by id, or by another key, in tier order."""
+    own = sources.select(F.struct("*").alias("own"), "query_id", (F.col("id") if key is None else key).alias("key"), tier_order().alias("place"), "tier", "position")
+    first = Window.partitionBy("query_id", "key").orderBy("place", "tier", "position")
+    return own.withColumn("n", F.row_number().over(first)).where("n = 1").select("own.*")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -163,16 +196,36 @@ def lexical_rank(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame
     Words of three letters or digits at least count as often as they occur, substrings are hits,
     the whole phrase adds a quarter, and chunks without a hit stay.  Questions meet the chunks of
     their own ``owner`` only.
+
+    The questions of an owner are packed in blocks of ``QUESTIONS_EACH``.  A chunk is put in lower
+    case once and looked through once for each different word of a block; questions then count what
+    was found by the places of their words.
     """
     words = F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    pairs = queries.withColumn("words", words).join(chunks, "owner")
-    low = F.lower("text")
-    hits = F.size(F.filter("words", lambda w: F.contains(low, w)))
-    share = F.when(F.size("words") > 0, hits / F.size("words")).otherwise(0.0)
-    bonus = F.when((F.size("words") > 0) & F.contains(low, F.array_join("words", " ")), 0.25).otherwise(0.0)
-    scored = pairs.where(F.trim("text") != "").select("query_id", "owner", "chunk_index", F.least(F.lit(1.0), share + bonus).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "owner")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max(1, min(12, k)))
+    asked = queries.select("query_id", "owner", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    sizes = asked.groupBy(F.col("owner").alias("of")).agg(F.ceil(F.count("*") / QUESTIONS_EACH).alias("blocks"))
+    asked = asked.join(sizes, F.col("owner") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+    blocks = asked.groupBy("owner", "block").agg(F.collect_list(F.struct("query_id", "words")).alias("asks"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all"))
+    places = lambda ws: F.transform(ws, lambda w: F.array_position(F.col("all"), w).cast("int") - 1)
+    blocks = blocks.select("owner", "all", F.transform("asks", lambda a: F.struct(a["query_id"].alias("query_id"), places(a["words"]).alias("at"), F.array_join(a["words"], " ").alias("phrase"))).alias("asks"))
+
+    def scores(low: Column) -> Column:
+        def of_found(found: Column) -> Column:
+            def one(a: Column) -> Column:
+                hits = F.size(F.filter(a["at"], lambda i: F.get(found, i)))
+                share = F.when(F.size(a["at"]) > 0, hits / F.size(a["at"])).otherwise(0.0)
+                bonus = F.when((F.size(a["at"]) > 0) & F.contains(low, a["phrase"]), 0.25).otherwise(0.0)
+                return F.struct(a["query_id"].alias("query_id"), F.least(F.lit(1.0), share + bonus).alias("score"))
+
+            return F.transform("asks", one)
+
+        return bound(F.transform("all", lambda w: F.contains(low, w)), of_found)
+
+    met = chunks.where(F.trim("text") != "").select("owner", "chunk_index", "text").join(blocks, "owner")
+    scored = met.select("owner", "chunk_index", F.explode_outer(bound(F.lower("text"), scores)).alias("s")).select("s.query_id", "owner", "chunk_index", "s.score")
+    k = max(1, min(12, k))
+    order = Window.partitionBy("query_id", "owner").orderBy(F.desc("score"), "chunk_index")
+    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:

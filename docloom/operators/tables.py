@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -71,6 +73,14 @@ def appended(messages: DataFrame, new: DataFrame, sessions: DataFrame) -> DataFr
     return messages.unionByName(owned(new, sessions, ["session_id", "user_id"]).select(*messages.columns))
 
 
+def appended_and_touched(messages: DataFrame, new: DataFrame, sessions: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, sessions): what the owners of sessions (session_id, user_id, updated_at) say is appended, and their sessions' time moves on."""
+    kept = owned(new, sessions, ["session_id", "user_id"])
+    last = kept.groupBy("session_id").agg(F.max(at).alias("now"))
+    moved = F.greatest("updated_at", F.coalesce("now", "updated_at"))
+    return messages.unionByName(kept.select(*messages.columns)), sessions.join(last, "session_id", "left").withColumn("updated_at", moved).select(*sessions.columns)
+
+
 def recent(messages: DataFrame, session: str, order: str, n: int) -> DataFrame:
     """The last ``n`` messages of each session; sort by ``order`` to read them forwards."""
     return best_per_group(messages, [session], [F.desc(order)], n).drop("position")
@@ -118,21 +128,54 @@ def active_citations(messages: DataFrame, chat: str = "chat_id", order: str = "t
 def batches(records: DataFrame, group: str, order: str, size: str, most_records: int, most_bytes: int) -> DataFrame:
     """Adds ``batch``: records packed in order until the next would exceed either limit; an oversized one goes alone.
 
-    The fold resets at each batch and so is no window sum.  It runs over the group's record sizes
-    alone, an aggregate over one array, and its result is joined to the records by position.
+    Whether a record begins a batch depends on where the one before began, so this is no window sum:
+    tasks walk their sorted groups once, with the open batch's count and bytes as their only state.
+    Ties of the order go by size; a null group is a group, and a null size counts for nothing.
+    """
+    names, kind = records.columns, T.StructType([*records.schema.fields, T.StructField("batch", T.LongType())])
+
+    def run(parts):
+        own, batch, n, held = None, 0, 0, 0
+        for part in parts:
+            out = []
+            for key, one in zip(part.column(names.index(group)).to_pylist(), part.column(names.index(size)).to_pylist()):
+                one = one or 0
+                if n and (key,) == own and n + 1 <= most_records and held + one <= most_bytes:
+                    n, held = n + 1, held + one
+                else:
+                    batch = batch + 1 if (key,) == own else 0
+                    own, n, held = (key,), 1, one
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], [*names, "batch"])
+
+    return records.repartition(group).sortWithinPartitions(group, order, size).mapInArrow(run, kind)
+
+
+def even_batches(records: DataFrame, group: str, order: str, size: str, most_records: int = 100, most_bytes: int = 1_800_000) -> DataFrame:
+    """Adds ``batch``: each group in order, cut into equal numbers of records that fit the bytes on average; one at least."""
+    fits = F.greatest(F.lit(1), F.least(F.lit(most_records), F.floor(most_bytes / F.greatest(F.avg(size), F.lit(1.0)))))
+    sizes = records.groupBy(F.col(group).alias("of")).agg(fits.alias("fits"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order, size)) - 1
+    own = records.select("*", place.alias("batch")).select(F.struct(*records.columns).alias("own"), "batch", F.col(group).alias("key"))
+    return own.join(sizes, F.col("key").eqNullSafe(F.col("of"))).select("own.*", F.floor(F.col("batch") / F.col("fits")).alias("batch"))
+
+
+def chunks_replaced(existing: DataFrame, new: DataFrame, parents: DataFrame, source: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, parents): all chunks of the sources that ``new`` has go and its own come; these sources' parents are touched.
+
+    ``parents`` has (source, updated_at, ...); ``new`` carries when it came in the column ``at``.
     """
-    one = F.struct("order", "size")
-    rows = records.withColumn("order", F.col(order)).withColumn("size", F.col(size).cast("bigint"))
-    start = F.struct(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("bytes"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] + 1 > most_records) | (s["bytes"] + r["size"] > most_bytes))
-        batch = s["batch"] + full.cast("bigint")
-        return F.struct(batch.alias("batch"), F.when(full, F.lit(1)).otherwise(s["n"] + 1).cast("bigint").alias("n"), F.when(full, r["size"]).otherwise(s["bytes"] + r["size"]).alias("bytes"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    folded = rows.groupBy(group).agg(F.array_sort(F.collect_list(one)).alias("all")).withColumn("batches", F.aggregate("all", start, step, lambda s: s["out"]))
-    placed = folded.select(group, F.explode(F.arrays_zip("all", "batches")).alias("z")).select(group, F.col("z.all.order").alias(order), F.col("z.batches").alias("batch"))
-    return records.join(placed, [group, order])
+    times = new.groupBy(F.col(source).alias("touched")).agg(F.max(at).alias("now"))
+    own = parents.select(F.struct("*").alias("own"), F.col(source).alias("of")).join(times, F.col("of") == F.col("touched"), "left")
+    moved = F.greatest(F.col("own")["updated_at"], F.coalesce("now", F.col("own")["updated_at"]))
+    touched = own.select(*[moved.alias(c) if c == "updated_at" else F.col("own")[c].alias(c) for c in parents.columns])
+    return replaced(existing, new.drop(at), source), touched
+
+
+def chunk_pool(chunks: DataFrame, documents: DataFrame, most: int = 80) -> DataFrame:
+    """The first ``most`` chunks (document_id, chunk_index, ...) of each session's ready documents (document_id, session_id, status, updated_at), newest documents first; with ``position``."""
+    ready = documents.where("status = 'ready'").select("document_id", "session_id", "updated_at")
+    return best_per_group(chunks.join(ready, "document_id"), ["session_id"], [F.desc("updated_at"), "document_id", "chunk_index"], most)
 
 
 def content_deduplicated(rows: DataFrame, text: str, order: str) -> DataFrame:

@@ -27,6 +27,10 @@ INSTRUMENTS = tuple(v for v, _ in rules.INSTRUMENT)
 URLS = ("https://www.canada.ca/ontario/page", "https://www.canada.ca/visa-office/page", "https://www.canada.ca/enforcement/page", "https://www.canada.ca/temporary-residents/page", "https://www.canada.ca/permanent-residence/page", "https://www.canada.ca/refugees/page", "https://www.canada.ca/other/page")
 
 
+#: The query set: vectors whose id this divides.
+QUESTION_EACH = 100
+
+
 def picked(values, at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(at, F.lit(len(values))) + 1).cast("int"))
 
@@ -54,8 +58,9 @@ chunks AS (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first vectors as questions, each with the profile of its phrase."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < len(PHRASES)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), rules.query_profile(picked(PHRASES, F.col("vec_id"))).alias("profile"))
+    """Every hundredth vector as a question to all of them, with the profile of a phrase."""
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % QUESTION_EACH == 0)
+    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), rules.query_profile(picked(PHRASES, F.floor(F.col("vec_id") / QUESTION_EACH) * 7 + 5)).alias("profile"))
 
 
 def sql_profile(q: str) -> dict[str, str]:
@@ -70,5 +75,5 @@ def sql_profile(q: str) -> dict[str, str]:
 
 
 SQL_QUESTIONS = f"""
-asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q_vector, trim(regexp_replace(lower({sql_picked(PHRASES, 'vec_id')}), '\\s+', ' ', 'g')) AS q FROM embeddings WHERE vec_id < {len(PHRASES)}),
+asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q_vector, trim(regexp_replace(lower({sql_picked(PHRASES, f'vec_id // {QUESTION_EACH} * 7 + 5')}), '\\s+', ' ', 'g')) AS q FROM embeddings WHERE vec_id % {QUESTION_EACH} = 0),
 questions AS (SELECT query_id, q_vector, {', '.join(f'{v} AS {k}' for k, v in sql_profile('q').items())} FROM asked)"""

@@ -59,10 +59,10 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of larger ones, with running lines."""
+    """Documents as pages of their sources, with running lines."""
     k = F.col("doc_id")
-    body = F.concat(F.lit("Manual 12 page "), k.cast("string"), F.lit("\n"), F.substring("text", 1, 400), F.lit("\n\nRevised 2024-01-01\n"), k.cast("string"))
-    return table(spark, sf_dir, "documents").select((k % 40).alias("doc"), F.floor(k / 40).alias("page"), body.alias("text"))
+    body = F.concat(F.lit("Manual 12 page "), k.cast("string"), F.lit("\n"), "text", F.lit("\n\nRevised 2024-01-01\n"), k.cast("string"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), k.alias("page"), body.alias("text"))
 
 
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,20 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc", "page", F.length("text").alias("n_chars"), F.contains("text", F.lit("Manual 12")).alias("has_header"))
 
 
+def running_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.running_lines(_pages(spark, sf_dir), "doc", "text").where("n_top + n_bottom > 1")
+
+
+def printed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of printed documents: cleaned pages, cut at headings, with the pages that they span."""
+    k = F.col("doc_id")
+    heading = F.when(k % 7 == 3, F.concat(F.lit("1.2 Scope of "), k.cast("string"), F.lit("\nIt begins\n\n"))).when(k % 7 == 5, "OVERVIEW\n\n").otherwise("")
+    body = F.concat(F.lit("2024-01-01\n"), heading, "text", F.lit("\n\nrules ..... 12\nhyphen-\nated"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), k.alias("page"), chunking.cleaned_page(body).alias("text"))
+    got = chunking.page_sections(pages, "doc", "page", "text").where("heading like 'Scope%' or heading = 'Document' or heading = 'OVERVIEW' or heading like '1.2 Scope%'")
+    return got.select("doc", "heading", F.array_join("heading_path", " > ").alias("path"), "page_start")
+
+
 def chunk_page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = chunking.page_spans(_pages(spark, sf_dir), "doc", "page", "text")
     ends = spans.groupBy("doc").agg(F.max("last").alias("n"))
@@ -80,18 +94,20 @@ def chunk_page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    body = F.concat(F.lit("# Top "), k.cast("string"), F.lit("\nIntro\n## "), picked(PHRASES[:5], k), F.lit("\n"), F.substring("text", 1, 50), F.lit("\n### Empty\n## Last\nEnd"))
+    body = F.concat(F.lit("# Top "), k.cast("string"), F.lit("\nIntro\n## "), picked(PHRASES[:5], k), F.lit("\n"), "text", F.lit("\n### Empty\n## Last\nEnd"))
     got = chunking.markdown_sections(table(spark, sf_dir, "documents").select("doc_id", body.alias("md")), "doc_id", "md")
     return got.select("doc_id", "section", "level", "heading", F.array_join("heading_path", " > ").alias("path"), "anchor", F.md5("text").alias("text_hash"))
 
 
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of all lines that are headings, in the texts and ten samples."""
     samples = ("1.2 Scope of it", "3. Overview", "TABLE OF RULES", "- bullet item", "Smith v. Jones", "Contents ....... 4", "1 short;", "PAGE DETAILS", "plain words here", "4.5.6) Deep heading")
-    return table(spark, sf_dir, "documents").select("doc_id", chunking.heading_level(picked(samples, F.col("doc_id"))).alias("level"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat(F.lit("\n".join(samples) + "\n"), "text"), "\n")).alias("line"))
+    return lines.select("doc_id", chunking.heading_level(F.col("line")).alias("level")).where("level is not null").groupBy("doc_id", "level").agg(F.count("*").alias("n"))
 
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(picked(("Contents\nRules ..... 12", "short", "enable javascript"), F.col("doc_id")), F.lit("\n"), F.substring("text", 1, 260))
+    t = F.concat(picked(("Contents\nRules ..... 12", "short", "enable javascript"), F.col("doc_id")), F.lit("\n"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", html.toc_like(t).alias("toc_like"), html.low_text(t).alias("low_text"), texts.block_page_reason(t).alias("block_reason"))
 
 
@@ -127,13 +143,13 @@ def hub_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.create_map(F.lit("title"), F.concat(F.lit("Doc "), F.col("doc_id")), F.lit("lang"), F.col("lang"))
-    whole = writers.markdown_body(meta, F.substring("text", 1, 80))
+    whole = writers.markdown_body(meta, F.col("text"))
     parsed = readers.front_matter(whole)
     return table(spark, sf_dir, "documents").select("doc_id", parsed.alias("f")).select("doc_id", F.col("f.meta")["title"].alias("title"), F.col("f.meta")["lang"].alias("lang"), F.trim(F.regexp_replace("f.body", r"^\s+|\s+$", "")).alias("body"))
 
 
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Case "), F.col("doc_id")).alias("name"), F.concat(F.lit("2020 FC "), F.col("doc_id")).alias("citation"), F.col("source").alias("court"), F.array("lang", "source").alias("tags"), "text", F.substring("text", 1, 100).alias("summary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Case "), F.col("doc_id")).alias("name"), F.concat(F.lit("2020 FC "), F.col("doc_id")).alias("citation"), F.col("source").alias("court"), F.array("lang", "source").alias("tags"), F.col("text").alias("summary"))
     return readers.library_search(docs, "tion", "src3", ("en", "de")).select("doc_id")
 
 
@@ -143,22 +159,28 @@ def case_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.lit("cited").alias("citation"), F.substring("text", 1, 20).alias("snippet"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.lit("cited").alias("citation"), F.col("text").alias("snippet"))
     return writers.memo(c, "conv_id", "turn")
 
 
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), picked(("pinecone", "a2aj_case", "user_document"), F.col("turn")).alias("source_type"), F.col("role").alias("title"), F.substring("text", 1, 30).alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), picked(("pinecone", "a2aj_case", "user_document"), F.col("turn")).alias("source_type"), F.col("role").alias("title"), "text")
     return retrieval.prompts(c)
 
 
 QUERIES = {f.__name__: f for f in (
-    html_title, html_sections, html_markdown, html_links, html_text, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, chunk_page_spans, markdown_sections, heading_lines, page_quality,
+    html_title, html_sections, html_markdown, html_links, html_text, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, running_line_counts, printed_sections, chunk_page_spans, markdown_sections, heading_lines, page_quality,
     crawl_bfs, crawl_statuses, seed_urls, hub_links, front_matter, library_search, case_search, citation_memo, prompt_assembly,
 )}
-_MD = f"md AS (SELECT doc_id, {sql_picked(PHRASES[:5], 'doc_id')} AS h, left(text, 50) AS t FROM documents)"
+_MD = f"md AS (SELECT doc_id, {sql_picked(PHRASES[:5], 'doc_id')} AS h, text AS t FROM documents)"
 _SLUG = lambda e: f"'#' || regexp_replace(regexp_replace(lower({e}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-_PAGES = "pages2 AS (SELECT doc_id % 40 AS doc, doc_id // 40 AS page, 'Manual 12 page ' || doc_id || chr(10) || left(text, 400) || chr(10) || chr(10) || 'Revised 2024-01-01' || chr(10) || doc_id AS text FROM documents)"
+_PAGES = "pages2 AS (SELECT source AS doc, doc_id AS page, 'Manual 12 page ' || doc_id || chr(10) || text || chr(10) || chr(10) || 'Revised 2024-01-01' || chr(10) || doc_id AS text FROM documents)"
+_ZONES = _PAGES + r""",
+l AS (SELECT doc, page, unnest(string_split_regex(text, '\r?\n')) AS t, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS n FROM pages2),
+w AS (SELECT *, trim(t) <> '' AS filled, sum((trim(t) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY n) AS up, sum((trim(t) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY n DESC) AS down FROM l),
+z AS (SELECT doc, page, n, t, regexp_replace(regexp_replace(lower(trim(t)), '\d+', '#', 'g'), '\s+', ' ', 'g') AS k, filled AND up <= 4 AS top, filled AND down <= 4 AS bottom FROM w),
+size AS (SELECT doc, greatest(3, floor(count(*) * 0.55::DOUBLE)) AS least FROM pages2 GROUP BY doc),
+c AS (SELECT doc, k, sum(top::INT) AS n_top, sum(bottom::INT) AS n_bottom, sum(top::INT) >= min(least) AS head, sum(bottom::INT) >= min(least) AS foot FROM z JOIN size USING (doc) WHERE top OR bottom GROUP BY doc, k)"""
 SQL = {
     "html_title": r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'Untitled') AS title FROM pages",
     "html_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, md5(t) AS text_hash, length(t)::INTEGER AS n_chars FROM t",
@@ -168,10 +190,25 @@ SELECT doc, chunk_index::INTEGER AS chunk_index, min(page) AS page_start, max(pa
     "markdown_sections": f"""WITH {_MD} SELECT doc_id, 1::BIGINT AS section, 1 AS level, 'Top ' || doc_id AS heading, 'Top ' || doc_id AS path, '#top-' || doc_id AS anchor, md5('Intro') AS text_hash FROM md
 UNION ALL SELECT doc_id, 2, 2, h, 'Top ' || doc_id || ' > ' || h, {_SLUG('h')}, md5(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) FROM md WHERE trim(t) <> ''
 UNION ALL SELECT doc_id, 4, 2, 'Last', 'Top ' || doc_id || ' > Last', '#last', md5('End') FROM md""",
-    "heading_lines": "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 9 THEN 3 END AS level FROM documents",
-    "page_quality": f"""WITH t AS (SELECT doc_id, doc_id % 3 AS k, {sql_picked(('Contents' + chr(10) + 'Rules ..... 12', 'short', 'enable javascript'), 'doc_id')} || chr(10) || left(text, 260) AS t FROM documents),
+    "heading_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(trim(t, ' '), '\s+', ' ', 'g'), '^[:-]+|[:-]+$', '', 'g') AS t FROM l),
+n AS (SELECT doc_id, t, regexp_extract(t, '^(\d+(?:\.\d+)*)(?:[.)])?\s+(.+)$', ['number', 'title']) AS r FROM c WHERE length(t) BETWEEN 4 AND 130),
+h AS (SELECT doc_id, CASE WHEN r.number <> '' THEN len(string_split(r.number, '.')) WHEN regexp_matches(t, '^[A-Z][A-Z0-9 ,:/()\-]{4,}$') THEN 1 END AS level FROM n
+      WHERE NOT regexp_matches(t, '^[-*•]|[;,]$|\bv\.\s+[A-Z]|\.{3,}') AND NOT contains(lower(t), '(canada.ca)') AND lower(t) NOT IN ('table of contents', 'updates to chapter', 'page details') AND NOT (length(r.title) > 100 AND contains(r.title, ';'))
+      UNION ALL SELECT doc_id, unnest([2, 1, 1, 3]) FROM documents)
+SELECT doc_id, level::INTEGER AS level, count(*) AS n FROM h WHERE level IS NOT NULL GROUP BY ALL""",
+    "running_lines": f"""WITH {_ZONES}, kept AS (SELECT z.* FROM z LEFT JOIN c ON z.doc = c.doc AND z.k = c.k WHERE NOT ((top AND coalesce(head, false)) OR (bottom AND coalesce(foot, false))))
+SELECT doc, page, coalesce(sum(length(t) + 1)::BIGINT - 1, 0)::INTEGER AS n_chars, coalesce(bool_or(contains(t, 'Manual 12')), false) AS has_header FROM pages2 LEFT JOIN kept USING (doc, page) GROUP BY doc, page""",
+    "running_line_counts": f"WITH {_ZONES} SELECT doc, k AS key, n_top::BIGINT AS n_top, n_bottom::BIGINT AS n_bottom, head, foot FROM c WHERE n_top + n_bottom > 1",
+    "printed_sections": """WITH k AS (SELECT source AS doc, doc_id AS page, doc_id % 7 AS m FROM documents),
+s AS (SELECT *, min(page) OVER (PARTITION BY doc) AS first, max(CASE WHEN m = 5 THEN page END) OVER (PARTITION BY doc ORDER BY page) AS top FROM k)
+SELECT doc, 'OVERVIEW' AS heading, 'OVERVIEW' AS path, page AS page_start FROM s WHERE m = 5
+UNION ALL SELECT doc, '1.2 Scope of ' || page, CASE WHEN top IS NULL THEN 'Document' ELSE 'OVERVIEW' END || ' > 1.2 Scope of ' || page, page FROM s WHERE m = 3
+UNION ALL SELECT DISTINCT doc, 'Document', 'Document', first FROM s WHERE page = first AND m NOT IN (3, 5)""",
+    "page_quality": f"""WITH t AS (SELECT doc_id, doc_id % 3 AS k, {sql_picked(('Contents' + chr(10) + 'Rules ..... 12', 'short', 'enable javascript'), 'doc_id')} || chr(10) || text AS t FROM documents),
 c AS (SELECT *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS clean FROM t)
-SELECT doc_id, k = 0 AS toc_like, length(trim(t)) < 300 AS low_text, CASE WHEN length(clean) < 200 THEN 'content too short (' || length(clean) || ' chars)' WHEN k = 2 THEN 'blocked pattern detected: enable javascript' END AS block_reason FROM c""",
+SELECT doc_id, contains(lower(t), 'contents') AND regexp_matches(t, '(?m)\\.{{3,}}\\s*\\d+\\s*$') AS toc_like, length(trim(t)) < 300 AS low_text, CASE WHEN length(clean) < 200 THEN 'content too short (' || length(clean) || ' chars)' WHEN contains(clean, 'enable javascript') THEN 'blocked pattern detected: enable javascript'
+  WHEN contains(clean, 'access denied') THEN 'blocked pattern detected: access denied' WHEN contains(clean, 'captcha') THEN 'blocked pattern detected: captcha' WHEN contains(clean, 'cloudflare') THEN 'blocked pattern detected: cloudflare' END AS block_reason FROM c""",
     "crawl_bfs": """WITH RECURSIVE edges AS (SELECT page_id AS a, unnest([0, 1, 2, 3]) AS pos, unnest([(page_id * 2 + 1) % 200, (page_id * 3 + 2) % 200, page_id, (page_id + 50) % 250]) AS b FROM pages),
 lev0 AS (SELECT * FROM (VALUES (0::BIGINT, 1), (7, 2)) v(u, position)),
 l1 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), 'p' || b) + 2 AS position FROM lev0 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM lev0) GROUP BY b),
@@ -184,10 +221,10 @@ SELECT 'p' || u AS url, depth, position::INTEGER AS position FROM (SELECT u, 0 A
 SELECT CASE WHEN doc_id % 5 = 2 THEN 'out_of_scope' WHEN doc_id % 9 = 4 THEN 'pdf_asset' WHEN length(clean) < 200 OR contains(clean, 'enable javascript') OR contains(clean, 'access denied') OR contains(clean, 'request blocked') OR contains(clean, 'captcha') OR contains(clean, 'cloudflare') THEN 'quality_rejected' WHEN n > 1 THEN 'duplicate_content' ELSE 'saved' END AS status, count(*) AS n FROM d GROUP BY 1""",
     "seed_urls": f"{TEXT_SQL['canonical_url_fast'].partition('SELECT page_id, canonical, ')[0]} SELECT page_id, canonical AS seed FROM canon WHERE canonical IS NOT NULL UNION SELECT page_id, 'http://hub.example.org/x' FROM pages",
     "hub_links": "SELECT page_id, 'https://hub.canada.ca/a https://hub.canada.ca/b' AS links FROM pages",
-    "front_matter": r"SELECT doc_id, 'Doc ' || doc_id AS title, lang, regexp_replace(left(text, 80), '^\s+|\s+$', '', 'g') AS body FROM documents",
-    "library_search": "SELECT doc_id FROM documents WHERE contains(lower(left(text, 100)), 'tion') AND source = 'src3' AND lang IN ('en', 'de')",
+    "front_matter": r"SELECT doc_id, 'Doc ' || doc_id AS title, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents",
+    "library_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') AND source = 'src3' AND lang IN ('en', 'de')",
     "case_search": "SELECT o_orderkey AS id, o_orderpriority AS dataset, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1996-12-31' ORDER BY date DESC, id LIMIT 50",
-    "citation_memo": "SELECT conv_id, string_agg(role || chr(10) || 'cited' || chr(10) || left(text, 20), chr(10) || chr(10) ORDER BY turn) AS memo FROM conversations GROUP BY conv_id",
-    "prompt_assembly": """WITH n AS (SELECT conv_id, turn, role, left(text, 30) AS t, turn % 3 AS k, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS r FROM conversations),
+    "citation_memo": "SELECT conv_id, string_agg(role || chr(10) || 'cited' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS memo FROM conversations GROUP BY conv_id",
+    "prompt_assembly": """WITH n AS (SELECT conv_id, turn, role, text AS t, turn % 3 AS k, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS r FROM conversations),
 p AS (SELECT conv_id AS query_id, string_agg('[' || (['P', 'C', 'D'])[k + 1] || r || '] ' || role || chr(10) || t, chr(10) || chr(10) ORDER BY k, r) AS prompt FROM n GROUP BY conv_id) SELECT query_id, prompt, sha256(prompt) AS prompt_hash FROM p""",
 }

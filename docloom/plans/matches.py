@@ -54,7 +54,7 @@ def shown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legal_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(picked(("See R205, ", "r205(c) and ", "A25(1)x ", "a25 () R205() "), F.col("doc_id")), F.substring("text", 1, 40))
+    raw = F.concat(picked(("See R205, ", "r205(c) and ", "A25(1)x ", "a25 () R205() "), F.col("doc_id")), "text")
     return table(spark, sf_dir, "documents").select("doc_id", matches.enriched_markdown(raw).alias("enriched"))
 
 
@@ -94,7 +94,7 @@ SQL = {
   CASE WHEN c_custkey % 3 = 0 THEN 'explicit_as_of' WHEN c_custkey % 2 = 0 THEN 'application_date' ELSE 'today' END AS basis, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01' WHEN c_custkey % 2 = 0 THEN '2023-05-05' ELSE '2025-01-01' END AS date FROM customer""",
     "history_titles": "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'given' ELSE coalesce(nullif(left(arg_min(text, turn) FILTER (WHERE role = 'user'), 40), ''), 'New Case Research') END AS title FROM conversations GROUP BY conv_id",
     "shown_tokens": "SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 4 THEN 2 END::INTEGER AS place FROM embeddings",
-    "legal_enrichment": r"""WITH r AS (SELECT doc_id, (['See R205, ', 'r205(c) and ', 'A25(1)x ', 'a25 () R205() '])[doc_id % 4 + 1] || left(text, 40) AS t FROM documents)
+    "legal_enrichment": r"""WITH r AS (SELECT doc_id, (['See R205, ', 'r205(c) and ', 'A25(1)x ', 'a25 () R205() '])[doc_id % 4 + 1] || text AS t FROM documents)
 SELECT doc_id, replace(replace(regexp_replace(regexp_replace(t, '(?i)\bR205\(?(\w*)\)?', 'R205(\1) (Regulation 205)', 'g'), '(?i)\bA25\(?(\w*)\)?', 'A25(\1) (Act Section 25)', 'g'), 'R205()', 'R205(d)'), 'A25()', 'A25(1)') AS enriched FROM r""",
     "effective_dates": "SELECT doc_id, (['2021-03-05', '2020-01-07', '2019-05-01', '2018-02-03', NULL, NULL])[doc_id % 6 + 1] AS effective_date FROM documents",
     "family_variants": f"WITH x AS (SELECT doc_id, {sql_picked(PHRASES, 'doc_id')} AS p, {sql_picked(URLS, f'doc_id // {len(PHRASES)}')} AS u, {sql_picked(CODES, 'doc_id')} AS m FROM documents) SELECT doc_id, {_family('markdown_family', False)}, {_family('print_family', True)} FROM x",

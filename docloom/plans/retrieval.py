@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules
 from docloom.operators import retrieval
-from docloom.plans.binding import SQL_CHUNKS, SQL_QUESTIONS, chunks, questions
+from docloom.plans.binding import PHRASES, SQL_CHUNKS, SQL_QUESTIONS, chunks, picked, questions, sql_picked, sql_profile
 from docloom.sources.readers import table
 
 K = 8
@@ -59,16 +59,30 @@ def no_binding_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_chunk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 20).alias("owner"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("owner"), F.col("doc_id").alias("chunk_index"), "text")
+    """Each benchmark text as a question to the documents of one source."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("owner"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("chunk_index"), "text")
     return retrieval.lexical_rank(asked, docs).select("query_id", "chunk_index", F.round("score", 6).alias("score"), "position")
 
 
 def query_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = questions(spark, sf_dir).select("query_id", "profile.*")
+    """The profile of a phrase for every row."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), rules.query_profile(picked(PHRASES, F.col("vec_id"))).alias("profile"))
+    got = rows.select("query_id", "profile.*")
     return got.select("query_id", "mode", "requires_binding", F.col("jurisdiction").alias("jurisdiction_asked"), F.col("doc_family").alias("family_asked"), F.array_join("instruments", ",").alias("instruments"), "compare_requested", F.array_join("compare_families", ",").alias("compare_families"), "case_law_requested")
 
 
+def source_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of conversations, some without an id, of which the first of each id, or of each title and address, stays."""
+    k = F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("query_id"), F.when(k % 3 == 0, (k % 2).cast("string")).when(k % 3 == 1, "").alias("id"), F.col("role").alias("title"), F.when(k % 4 < 2, "u").alias("url"),
+        picked(("guidance", "binding", "compare_MI"), k).alias("tier"), k.alias("position"),
+    )
+    key = retrieval.source_key(F.col("id"), F.col("title"), F.col("url"))
+    return retrieval.deduplicated(rows, key).select("query_id", "position", key.alias("key"))
+
+
 _LIST = lambda levels: "[" + ", ".join(f"'{x}'" for x in levels) + "]"
 _LEVELS = {
     "binding": f"CASE mode WHEN 'reference' THEN {_LIST(rules.REFERENCE)} WHEN 'provincial' THEN {_LIST(rules.PROVINCIAL)} WHEN 'case_law' THEN {_LIST(rules.CASE_LAW)} ELSE {_LIST(rules.BINDING)} END",
@@ -107,7 +121,7 @@ def _tiers(fallback: bool = False) -> str:
 _RANKED = "SELECT query_id, id, tier, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked"
 QUERIES = {
     "tiered_topk": tiered_topk, "single_topk": single_topk, "fallback_topk": fallback_topk, "compare_topk": compare_topk, "filter_eq_in_and": filter_eq_in_and, "authority_mix": authority_mix, "family_mix": family_mix,
-    "no_binding_flag": no_binding_flag, "lexical_chunk_rank": lexical_chunk_rank, "query_profile": query_profiles,
+    "no_binding_flag": no_binding_flag, "lexical_chunk_rank": lexical_chunk_rank, "query_profile": query_profiles, "source_dedupe": source_dedupe,
 }
 SQL = {
     "tiered_topk": f"WITH {_tiers()} {_RANKED}",
@@ -120,11 +134,14 @@ SQL = {
     "no_binding_flag": f"""WITH {_tiers()}, got AS (
   SELECT query_id, count(*) AS n_sources, count(*) FILTER (WHERE tier = 'binding' AND list_contains({_LIST(rules.BINDING)}, authority_level)) AS n_binding, string_agg(id::VARCHAR, ',' ORDER BY rank) FILTER (WHERE rank <= 10) AS top_ids FROM ranked GROUP BY query_id)
 SELECT q.query_id, coalesce(n_sources, 0) AS n_sources, coalesce(n_binding, 0) AS n_binding, coalesce(top_ids, '') AS top_ids, q.requires_binding AND coalesce(n_binding, 0) = 0 AS no_binding_found FROM questions q LEFT JOIN got USING (query_id)""",
-    "lexical_chunk_rank": """WITH asked AS (SELECT item_id AS query_id, item_id % 20 AS owner, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) >= 3) AS words FROM benchmark),
+    "lexical_chunk_rank": """WITH asked AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS owner, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) >= 3) AS words FROM benchmark),
 scored AS (
   SELECT query_id, doc_id AS chunk_index, least(1.0, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda w: contains(lower(text), w)))::DOUBLE / len(words) ELSE 0 END
          + CASE WHEN len(words) > 0 AND contains(lower(text), array_to_string(words, ' ')) THEN 0.25 ELSE 0 END) AS score
-  FROM asked JOIN documents d ON d.doc_id % 20 = asked.owner WHERE trim(text) <> '')
+  FROM asked JOIN documents d ON d.source = asked.owner WHERE trim(text) <> '')
 SELECT query_id, chunk_index, round(score, 6) AS score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS position FROM scored) WHERE position <= 4""",
-    "query_profile": f"WITH {SQL_QUESTIONS} SELECT query_id, mode, requires_binding, jurisdiction_asked, family_asked, array_to_string(instruments, ',') AS instruments, compare_requested, array_to_string(compare_families, ',') AS compare_families, case_law_requested FROM questions",
+    "source_dedupe": """WITH s AS (SELECT conv_id AS query_id, turn AS position, CASE WHEN turn % 3 = 0 THEN (turn % 2)::VARCHAR WHEN turn % 3 = 1 THEN '' END AS id, role AS title, CASE WHEN turn % 4 < 2 THEN 'u' END AS url, (['guidance', 'binding', 'compare_MI'])[turn % 3 + 1] AS tier FROM conversations),
+k AS (SELECT *, coalesce(nullif(coalesce(trim(id), ''), ''), coalesce(title, '') || '|' || coalesce(url, '')) AS key FROM s)
+SELECT query_id, position, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY CASE tier WHEN 'binding' THEN 0 WHEN 'guidance' THEN 1 ELSE 2 END, tier, position) AS n FROM k) WHERE n = 1""",
+    "query_profile": f"WITH asked AS (SELECT vec_id AS query_id, trim(regexp_replace(lower({sql_picked(PHRASES, 'vec_id')}), '\\s+', ' ', 'g')) AS q FROM embeddings), questions AS (SELECT query_id, {', '.join(f'{v} AS {k}' for k, v in sql_profile('q').items())} FROM asked) SELECT query_id, mode, requires_binding, jurisdiction_asked, family_asked, array_to_string(instruments, ',') AS instruments, compare_requested, array_to_string(compare_families, ',') AS compare_families, case_law_requested FROM questions",
 }

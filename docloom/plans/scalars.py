@@ -27,7 +27,7 @@ def title_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    body = F.concat(F.lit("\n  "), F.substring("text", 1, 60), F.lit(" ![i](u.png) [label](http://x.y)\nDate modified: 2023-0"), (k % 9 + 1).cast("string"), F.lit("-11 and 2024-02-02\n"))
+    body = F.concat(F.lit("\n  "), "text", F.lit(" ![i](u.png) [label](http://x.y)\nDate modified: 2023-0"), (k % 9 + 1).cast("string"), F.lit("-11 and 2024-02-02\n"))
     return table(spark, sf_dir, "documents").select("doc_id", text.first_line(F.regexp_replace(body, r"[ \t]+", " ")).alias("first_line"), html.last_updated(body).alias("last_updated"), text.last_iso_date(body).alias("last_date"), F.md5(text.clean_markdown(body)).alias("markdown"))
 
 
@@ -53,10 +53,12 @@ def url_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's list of raw URLs, flattened and kept by key where first, with what is no URL dropped."""
-    raw = F.array(F.col("url"), F.lit(None).cast("string"), F.lit("12"), F.concat(F.col("url"), F.lit("#again")), F.lit("https://b.example.org//x/?utm_source=1"), F.lit("https://b.example.org/x"))
-    flat = table(spark, sf_dir, "pages").select("page_id", F.posexplode(raw).alias("pos", "u")).withColumn("key", urls.dedupe_key(F.col("u"))).where("key is not null")
-    return tables.keep_first(flat, ["page_id", "key"], ["pos"]).select("page_id", "pos", "key")
+    """Each page's payload of URLs, nested and wrapped, flattened; of each address the first form stays, and what is no URL is dropped."""
+    url, quoted = F.col("url"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    wrapped = F.concat(F.lit("https://out.example.org/r?x=1&url="), F.url_encode(url), F.lit("&utm_source=t"))
+    payload = F.concat(F.lit('{"urls":['), quoted(wrapped), F.lit(',[{"href":'), quoted(F.concat(url, F.lit("#again"))), F.lit(',"n":12}],null,12,"not-a-url","https://b.example.org//x/?b=2&utm_source=1&a=1",["https://b.example.org//x?a=1&b=2"]],"other":"https://c.example.org"}'))
+    flat = table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.posexplode(urls.payload_strings(payload)).alias("pos", "u")).select("page_id", "pos", urls.kept_form(F.col("u")).alias("url"), urls.dedupe_key(F.col("u")).alias("key"))
+    return tables.keep_first(flat.where("key is not null"), ["page_id", "key"], ["pos"]).select("page_id", "pos", "url")
 
 
 def points_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +70,14 @@ def points_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("vec_id")
-    values = F.when(k % 5 == 0, F.slice("embedding", 1, 63)).when(k % 7 == 0, F.transform("embedding", lambda x, i: F.when(i != 3, x))).otherwise(F.col("embedding"))
+    values = F.when(k % 5 == 0, F.slice("embedding", 1, 63)).when(k % 7 == 0, F.transform("embedding", lambda x, i: F.when(i != 3, x))).when(k % 13 == 0, F.transform("embedding", lambda x, i: F.when(i == 2, F.lit(float("inf"))).otherwise(x.cast("double")))).otherwise(F.col("embedding"))
     record = F.struct(F.when(k % 11 != 0, k.cast("string")).otherwise(" ").alias("id"), values.alias("values"), F.when(k % 3 != 0, "t").alias("text"))
     return table(spark, sf_dir, "embeddings").select("vec_id", guards.vector_valid(record, 64).alias("valid"))
 
 
 def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
-    page = F.struct(F.concat(F.lit("pdi_"), k).alias("source_id"), F.when(k % 3 == 0, "ftp://x").otherwise(F.col("url")).alias("source_url"), F.when(k % 4 == 0, "").otherwise("t").alias("title"), F.lit("x").alias("text"), F.when(k % 5 != 0, urls.canonical(F.col("url"))).alias("canonical_url"))
+    page = F.struct(F.concat(F.lit("pdi_"), k).alias("source_id"), F.when(k % 3 == 0, "ftp://x").otherwise(F.col("url")).alias("source_url"), F.when(k % 4 == 0, "").otherwise("t").alias("title"), F.lit("x").alias("text"), F.when(k % 5 != 0, urls.canonical(F.col("url"))).when(k % 2 == 0, "https://other.org/").otherwise("").alias("canonical_url"), F.when(k % 6 == 1, "other").otherwise(guards.SOURCE_TYPE).alias("source_type"), F.array(F.struct(F.lit("h").alias("heading"), F.lit("t").alias("text")), F.struct(F.when(k % 7 == 0, " ").otherwise("h").alias("heading"), F.when(k % 8 != 0, "t").alias("text"))).alias("sections"))
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(guards.page_errors(page, urls.canonical(F.col("url"))), "; ").alias("errors"))
 
 
@@ -113,7 +115,7 @@ _CANON = TEXT_SQL["canonical_url_fast"].partition("SELECT page_id, canonical, ")
 SQL = {
     "title_parts": f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ENF 2' WHEN 1 THEN 'Chapter' WHEN 3 THEN 'IP 5' END AS manual, CASE doc_id % 4 WHEN 0 THEN 'Evaluating - Part A' WHEN 3 THEN 'Immigrant' END AS chapter,
   CASE doc_id % 3 WHEN 0 THEN 'enf01' WHEN 1 THEN 'some_long_file_name' ELSE 'op12a' END AS code, 'Temporary Resident Visas' AS title FROM documents""",
-    "line_functions": r"""WITH b AS (SELECT doc_id, chr(10) || '  ' || left(text, 60) || ' ![i](u.png) [label](http://x.y)' || chr(10) || 'Date modified: 2023-0' || (doc_id % 9 + 1) || '-11 and 2024-02-02' || chr(10) AS t FROM documents)
+    "line_functions": r"""WITH b AS (SELECT doc_id, chr(10) || '  ' || text || ' ![i](u.png) [label](http://x.y)' || chr(10) || 'Date modified: 2023-0' || (doc_id % 9 + 1) || '-11 and 2024-02-02' || chr(10) AS t FROM documents)
 SELECT doc_id, regexp_extract(regexp_replace(t, '[ \t]+', ' ', 'g'), '(?m)^\s*(\S.*?)\s*$', 1) AS first_line, '2023-0' || (doc_id % 9 + 1) || '-11' AS last_updated, '2024-02-02' AS last_date,
   md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS markdown FROM b""",
     "notices_and_dates": """WITH y AS (SELECT c_custkey AS k, c_custkey % 60 + 1980 AS a, CASE WHEN c_custkey % 3 <> 0 THEN 2030 - c_custkey % 50 END AS b FROM customer)
@@ -123,13 +125,13 @@ SELECT k AS c_custkey, CASE WHEN b IS NULL THEN a ELSE least(a, b) END || '-01-0
   CASE WHEN k % 4 = 0 THEN 8 ELSE greatest(1, least(16, k % 40)) END::INTEGER AS clamped, CASE WHEN k % 2 = 0 THEN 'n here' ELSE 'n' END AS noticed FROM y""",
     "content_kinds": """SELECT page_id, page_id % 4 IN (0, 1) AS is_html, page_id % 4 = 2 OR ends_with(lower(coalesce(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '')), '.pdf') AS is_pdf, page_id % 6 IN (0, 1, 2, 5) AS target, page_id % 6 IN (0, 1, 2) AS allowed FROM pages""",
     "url_unwrap": f"{_CANON} SELECT page_id, canonical FROM canon WHERE url IS NOT NULL",
-    "payload_urls": f"{_CANON} SELECT page_id, 0 AS pos, canonical AS key FROM canon WHERE canonical IS NOT NULL UNION ALL SELECT page_id, 4, 'https://b.example.org/x' FROM canon",
+    "payload_urls": "SELECT page_id, 0 AS pos, regexp_replace(url, '#.*$', '') AS url FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, 3, 'https://b.example.org//x/?b=2&utm_source=1&a=1' FROM pages WHERE url IS NOT NULL",
     "points_breakdown": "WITH s AS (" + TEXT_SQL["points_score"] + """), p AS (SELECT c_custkey % 2 = 0 AS sp, * FROM s),
 l AS (SELECT 'Age' AS category, CASE WHEN sp THEN 100 ELSE 110 END AS most, age AS points FROM p UNION ALL SELECT 'Education', CASE WHEN sp THEN 140 ELSE 150 END, education FROM p UNION ALL SELECT 'First Official Language', CASE WHEN sp THEN 128 ELSE 136 END, language FROM p
   UNION ALL SELECT 'Canadian Work Experience', CASE WHEN sp THEN 70 ELSE 80 END, work FROM p UNION ALL SELECT 'Spouse Factors', 40, spouse FROM p WHERE sp UNION ALL SELECT 'Skill Transferability', 100, transfer FROM p UNION ALL SELECT 'Additional Points', 600, additional FROM p WHERE additional > 0)
 SELECT category, most, count(*) AS n, sum(points)::BIGINT AS points FROM l GROUP BY ALL""",
-    "vector_checks": "SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 3 <> 0 AS valid FROM embeddings",
-    "page_checks": "SELECT page_id, concat_ws('; ', CASE WHEN page_id % 4 = 0 THEN 'title is required' END, CASE WHEN page_id % 3 = 0 THEN 'source_url is not http' END, CASE WHEN page_id % 5 = 0 THEN 'canonical_url differs' END) AS errors FROM pages",
+    "vector_checks": "SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 13 <> 0 AND vec_id % 11 <> 0 AND vec_id % 3 <> 0 AS valid FROM embeddings",
+    "page_checks": "SELECT page_id, concat_ws('; ', CASE WHEN page_id % 10 = 5 THEN 'canonical_url is required' END, CASE WHEN page_id % 4 = 0 THEN 'title is required' END, CASE WHEN page_id % 6 = 1 THEN 'source_type is not guidance_pdi' END, CASE WHEN page_id % 3 = 0 THEN 'source_url is not http' END, CASE WHEN page_id % 10 = 0 THEN 'canonical_url differs' END, CASE WHEN page_id % 7 = 0 THEN 'section 1 has no heading' WHEN page_id % 8 = 0 THEN 'section 1 has no text' END) AS errors FROM pages",
     "gold_evaluation": f"""WITH g AS (SELECT item_id AS k, {sql_picked(FAMILIES, 'item_id')} AS fam FROM benchmark),
 r AS (SELECT k, fam, concat_ws(',', CASE WHEN k % 9 = 0 THEN 'not run' END, CASE WHEN k % 9 = 0 OR (k % 2 = 1 AND fam <> 'VOI') THEN 'missing family' END, CASE WHEN k % 9 <> 0 AND (k % 2 = 1 OR fam = 'VOI') THEN 'barred family' END, CASE WHEN k % 9 = 0 OR k % 5 = 0 THEN 'missing level' END, CASE WHEN k % 9 = 0 OR k % 7 = 0 THEN 'wrong state' END) AS reasons FROM g)
 SELECT 'q' || k AS query, reasons, reasons = '' AS passed, (k % 6 = 0)::INTEGER AS n_errors FROM r""",

@@ -40,7 +40,7 @@ def history_top_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = spark.range(0, 130).withColumnRenamed("id", "conv_id")
+    parents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("conv_id"))
     got = tables.nested(parents, table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role"], "messages")
     title = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["turn"]
     return got.select("conv_id", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), title.alias("first_user_turn"))
@@ -93,7 +93,7 @@ def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
-    return tables.replaced(old, new.where("id < 200"), "id").groupBy("id").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+    return tables.replaced(old, new.where("version % 3 = 0"), "id").groupBy("id").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
 
 
 def upsert_email_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +128,54 @@ def active_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 8).alias("source_id"), "doc_id", F.col("n_chars").alias("size"))
-    return tables.batches(docs, "source_id", "doc_id", "size", 20, 20_000).select("source_id", "doc_id", "batch")
+    """The documents of each source, some without one, in an order with ties."""
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("source") != "src3", F.col("source")).alias("source_id"), "doc_id", F.floor(F.col("doc_id") / 2).alias("place"), (F.col("n_chars") * 100_000 + F.col("doc_id")).alias("size"))
+    return tables.batches(docs, "source_id", "place", "size", 20, 2_000_000_000).select("source_id", "doc_id", "batch")
+
+
+def even_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("source") != "src3", F.col("source")).alias("source_id"), "doc_id", F.col("n_chars").alias("size"))
+    return tables.even_batches(docs, "source_id", "doc_id", "size", 100, 20_000).select("source_id", "doc_id", "batch")
+
+
+def chunk_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first items of each customer's finished orders, newest orders first."""
+    boxes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("open").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"))
+    return tables.chunk_pool(items, boxes, 10).select("session_id", "document_id", "chunk_index", "position")
+
+
+def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents after new chunks of some came."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn")
+    parents = c.groupBy("id").agg(F.max("turn").alias("updated_at"))
+    new = c.where("turn % 3 = 1").withColumn("at", F.col("turn") + 2)
+    chunks, touched = tables.chunks_replaced(c, new, parents, "id", "at")
+    return chunks.groupBy("id").agg(F.count("*").alias("n_chunks")).join(touched, "id")
+
+
+def appended_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after their owners' later messages were appended."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id") % 3).alias("user_id"), "turn")
+    sessions = c.groupBy("session_id").agg(F.lit(1).cast("bigint").alias("user_id"), F.min("turn").alias("updated_at"))
+    return tables.appended_and_touched(c.where("turn < 2"), c.where("turn >= 2"), sessions, "turn")[1]
+
+
+def unique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.unique_count(table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 9 != 0, F.col("source")).when(F.col("doc_id") % 2 == 0, "").alias("source")), "source")
+
+
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    runs = table(spark, sf_dir, "orders").select(k.alias("source"), picked(("ingested", "skipped", "failed", "ingested"), k).alias("status"), (k % 5).alias("n_sections"), (k % 11).alias("n_chunks"), F.when(k % 13 != 0, k % 11).alias("n_upserted"))
+    return reports.ingest_stats(runs)
+
+
+def page_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    section = lambda h: F.struct(h.alias("heading"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(k % 5 != 0, "2024-01-01").when(k % 2 == 0, "").alias("last_updated"), F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 7 != 1, F.array("lang")).alias("heading_path"), F.when(k % 11 != 0, F.array(section(F.col("lang")), section(F.when(k % 3 != 0, "h").otherwise("")))).alias("sections"))
+    return reports.quality(pages, "doc_id", "text", last_updated="last_updated", heading_path="heading_path", sections="sections").drop("short_examples")
 
 
 def trace_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +271,7 @@ _STATES = ", ".join(f"('{c}', '{s}', {str(r not in guards.NO_RETRY).lower()})" f
 
 QUERIES = {f.__name__: f for f in (
     owner_join_chain, owner_semi_guard, orphan_anti, recent_messages, history_top_sessions, history_nested, citation_first_hit, sync_mismatches, content_hash_dedupe, duplicate_hash_groups, quality_report, top_first_lines,
-    upsert_latest_wins, skip_existing, replace_source, upsert_email_coalesce, session_touch, append_guarded, chat_merge, active_citations, greedy_batches, trace_sample, validate_fields, enum_distribution, idempotency_check,
+    upsert_latest_wins, skip_existing, replace_source, upsert_email_coalesce, session_touch, append_guarded, chat_merge, active_citations, greedy_batches, even_batches, chunk_pool, replaced_chunks, appended_sessions, unique_sources, ingest_stats, page_quality_report, trace_sample, validate_fields, enum_distribution, idempotency_check,
     eval_summary, budget_counters, trace_phases, trace_runs, trace_contract_errors, contract_check, authority_guard, failure_state,
 )}
 SQL = {
@@ -234,7 +280,7 @@ SQL = {
     "orphan_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "recent_messages": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
     "history_top_sessions": "SELECT conv_id, max(turn) AS last_turn, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 40",
-    "history_nested": "SELECT p.conv_id, count(c.turn)::INTEGER AS n, coalesce(string_agg(c.role, ',' ORDER BY c.turn), '') AS roles, min(c.turn) FILTER (WHERE c.role = 'user') AS first_user_turn FROM (SELECT unnest(range(0, 130)) AS conv_id) p LEFT JOIN conversations c USING (conv_id) GROUP BY p.conv_id",
+    "history_nested": "SELECT p.conv_id, count(c.turn)::INTEGER AS n, coalesce(string_agg(c.role, ',' ORDER BY c.turn), '') AS roles, min(c.turn) FILTER (WHERE c.role = 'user') AS first_user_turn FROM (SELECT c_custkey AS conv_id FROM customer) p LEFT JOIN conversations c USING (conv_id) GROUP BY p.conv_id",
     "citation_first_hit": """WITH w AS (SELECT o_orderkey, unnest([1, 2, 3]) AS pos, unnest([o_orderkey * 7 % 3001, o_orderkey * 11 % 3001, o_orderkey * 13 % 3001]) AS p_partkey FROM orders),
 h AS (SELECT o_orderkey, p_partkey, p_brand, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) AS n FROM w JOIN part USING (p_partkey) WHERE p_size > 25)
 SELECT o_orderkey, h.p_partkey, h.p_brand FROM orders LEFT JOIN (SELECT * FROM h WHERE n = 1) h USING (o_orderkey)""",
@@ -247,7 +293,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE t = '') AS empty, count(*) FILT
     "top_first_lines": "SELECT line, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, regexp_extract(text, '(?m)^\\s*(\\S.*?)\\s*$', 1) AS line FROM documents) WHERE line <> '' GROUP BY line ORDER BY n DESC, first LIMIT 10",
     "upsert_latest_wins": f"WITH {_VERSIONS} SELECT id, hash, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, hash DESC) AS n FROM docs) WHERE n = 1",
     "skip_existing": f"WITH {_VERSIONS} SELECT id, count(*) AS n FROM news WHERE id NOT IN (SELECT id FROM olds) GROUP BY id",
-    "replace_source": f"WITH {_VERSIONS}, n AS (SELECT * FROM news WHERE id < 200), u AS (SELECT * FROM olds WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) SELECT id, count(*) AS n, sum(version)::BIGINT AS versions FROM u GROUP BY id",
+    "replace_source": f"WITH {_VERSIONS}, n AS (SELECT * FROM news WHERE version % 3 = 0), u AS (SELECT * FROM olds WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) SELECT id, count(*) AS n, sum(version)::BIGINT AS versions FROM u GROUP BY id",
     "upsert_email_coalesce": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new ' || c_name WHEN c_custkey % 3 <> 0 THEN c_name END AS email FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "session_touch": """WITH olds AS (SELECT conv_id AS session_id, 1 AS user_id, CASE WHEN conv_id % 4 = 0 THEN 'kept' ELSE '' END AS title, min(turn) AS updated_at FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id),
 reqs AS (SELECT conv_id AS session_id, CASE WHEN conv_id % 10 = 6 THEN 2 ELSE 1 END AS user_id, arg_min('t' || turn, turn) AS title, max(turn) + 100 AS ts FROM conversations WHERE role = 'user' GROUP BY ALL)
@@ -257,12 +303,27 @@ UNION ALL SELECT session_id, user_id, title, ts FROM reqs WHERE session_id NOT I
     "chat_merge": "SELECT chat_id, message_id, ts, role FROM (SELECT conv_id AS chat_id, turn // 2 AS message_id, turn AS ts, role, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY 1 - turn % 2, turn) AS n FROM conversations) WHERE n = 1",
     "active_citations": """WITH f AS (SELECT conv_id AS chat_id, turn * m % 4 AS citation_id, turn * 10 + m AS value, turn * 2 + i AS spot FROM conversations, (VALUES (0, 1), (1, 3)) v(i, m)),
 g AS (SELECT chat_id, citation_id, arg_max(value, spot) AS value, min(spot) AS first_spot FROM f GROUP BY ALL) SELECT chat_id, citation_id, value, row_number() OVER (PARTITION BY chat_id ORDER BY first_spot)::INTEGER AS place FROM g""",
-    "greedy_batches": """WITH RECURSIVE o AS (SELECT doc_id % 8 AS source_id, doc_id, n_chars AS size, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS r FROM documents),
+    "even_batches": """WITH o AS (SELECT CASE WHEN source <> 'src3' THEN source END AS source_id, doc_id, n_chars AS size FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1 AS r, greatest(1, least(100, floor(20000 / avg(size) OVER (PARTITION BY source_id)))) AS fits FROM o)
+SELECT source_id, doc_id, (r // fits::BIGINT)::BIGINT AS batch FROM n""",
+    "chunk_pool": """SELECT o_custkey AS session_id, o_orderkey AS document_id, l_linenumber AS chunk_index, position::INTEGER AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey, l_linenumber) AS position FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') WHERE position <= 10""",
+    "replaced_chunks": """WITH n AS (SELECT conv_id AS id, count(*) AS n, max(turn) + 2 AS ts FROM conversations WHERE turn % 3 = 1 GROUP BY conv_id), p AS (SELECT conv_id AS id, count(*) AS n, max(turn) AS ts FROM conversations GROUP BY conv_id)
+SELECT p.id, coalesce(n.n, p.n) AS n_chunks, greatest(p.ts, coalesce(n.ts, p.ts)) AS updated_at FROM p LEFT JOIN n USING (id)""",
+    "appended_sessions": "SELECT conv_id AS session_id, 1::BIGINT AS user_id, CASE WHEN conv_id % 3 = 1 THEN greatest(min(turn), coalesce(max(turn) FILTER (WHERE turn >= 2), min(turn))) ELSE min(turn) END AS updated_at FROM conversations GROUP BY conv_id",
+    "unique_sources": "SELECT count(DISTINCT source) AS n_unique, count(*) AS n_rows FROM documents WHERE doc_id % 9 <> 0 AND source <> ''",
+    "ingest_stats": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 IN (0, 3) AS done FROM orders)
+SELECT count(*) AS found, count(*) FILTER (WHERE done) AS ingested, count(*) FILTER (WHERE k % 4 = 1) AS skipped, count(*) FILTER (WHERE k % 4 = 2) AS failed,
+  (sum(k % 5) FILTER (WHERE done))::BIGINT AS sections, (sum(k % 11) FILTER (WHERE done))::BIGINT AS chunks, (sum(k % 11) FILTER (WHERE done AND k % 13 <> 0))::BIGINT AS upserted FROM r""",
+    "page_quality_report": """WITH b AS (SELECT doc_id AS k, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), h AS (SELECT count(*) AS n FROM b GROUP BY sha256(text))
+SELECT count(*) AS total, count(*) FILTER (WHERE t = '') AS empty, count(*) FILTER (WHERE t <> '' AND length(t) < 400) AS short, count(*) FILTER (WHERE k % 5 = 0) AS missing_last_updated, count(*) FILTER (WHERE k % 7 < 2) AS missing_heading_path,
+  sum(CASE WHEN k % 11 = 0 THEN 1 WHEN k % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_sections, (SELECT count(*) FROM h WHERE n > 1) AS duplicate_groups, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM h WHERE n > 1) AS duplicates FROM b""",
+    "greedy_batches": """WITH RECURSIVE o AS (SELECT coalesce(source_id, '-') AS source_id, doc_id, size, row_number() OVER (PARTITION BY source_id ORDER BY doc_id // 2, size) AS r FROM (SELECT CASE WHEN source <> 'src3' THEN source END AS source_id, doc_id, n_chars * 100000 + doc_id AS size FROM documents)),
 walk AS (
   SELECT source_id, doc_id, r, 0::BIGINT AS batch, 1::BIGINT AS n, size AS bytes FROM o WHERE r = 1
-  UNION ALL SELECT o.source_id, o.doc_id, o.r, w.batch + (w.n + 1 > 20 OR w.bytes + o.size > 20000)::BIGINT, CASE WHEN w.n + 1 > 20 OR w.bytes + o.size > 20000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n + 1 > 20 OR w.bytes + o.size > 20000 THEN o.size ELSE w.bytes + o.size END
+  UNION ALL SELECT o.source_id, o.doc_id, o.r, w.batch + (w.n + 1 > 20 OR w.bytes + o.size > 2000000000)::BIGINT, CASE WHEN w.n + 1 > 20 OR w.bytes + o.size > 2000000000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n + 1 > 20 OR w.bytes + o.size > 2000000000 THEN o.size ELSE w.bytes + o.size END
   FROM walk w JOIN o ON o.source_id = w.source_id AND o.r = w.r + 1)
-SELECT source_id, doc_id, batch FROM walk""",
+SELECT nullif(source_id, '-') AS source_id, doc_id, batch FROM walk""",
     "trace_sample": "SELECT event_id FROM events WHERE ('0x' || left(md5(event_id::VARCHAR), 8))::BIGINT < 429496729",
     "validate_fields": f"""WITH {SQL_CHUNKS}, f AS (SELECT *, CASE WHEN id % 5 = 0 THEN instrument || ', BAD' WHEN id % 3 = 0 THEN '' ELSE instrument END AS instruments FROM chunks),
 l AS (SELECT 'authority_level' AS field, authority_level AS v, false AS bad FROM f UNION ALL SELECT 'effective_date', effective_date, false FROM f UNION ALL SELECT 'instruments', instruments, contains(instruments, 'BAD') FROM f

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import citations, points, rules, text, urls
+from docloom.operators import html
+from docloom.operators.guards import blocked
 from docloom.operators.tables import keep_first
 from docloom.plans.binding import PHRASES, URLS, picked, sql_picked
 from docloom.sources.readers import table
@@ -31,7 +33,7 @@ def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slugs_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     slug = text.slug(F.col("url"))
-    return pages.select("page_id", slug.alias("slug"), text.anchor(F.substring("html", 60, 60)).alias("anchor"), text.language_of_url(F.col("url")).alias("language"), F.concat(slug, F.lit("-"), F.substring(F.sha1("url"), 1, 10), F.lit(".md")).alias("file_name"))
+    return pages.select("page_id", slug.alias("slug"), text.anchor(html.title(F.col("html"))).alias("anchor"), text.language_of_url(F.col("url")).alias("language"), F.concat(slug, F.lit("-"), F.substring(F.sha1("url"), 1, 10), F.lit(".md")).alias("file_name"))
 
 
 def canonical_url_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +78,7 @@ def case_law_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.injected_lines(F.col("p"))
-    blocked = (F.size(found) > 0) & ~rules.domain_relevant(F.col("p"))
-    return _phrased(spark, sf_dir).select("doc_id", F.size(found).alias("score"), F.array_join(found, "|").alias("lines"), rules.sanitized(F.col("p")).alias("sanitized"), blocked.alias("blocked"))
+    return _phrased(spark, sf_dir).select("doc_id", F.size(found).alias("score"), F.array_join(found, "|").alias("lines"), rules.sanitized(F.col("p")).alias("sanitized"), blocked(F.col("p")).alias("blocked"))
 
 
 def citation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.substring("text", 1, 700), F.lit(" The appeal is dismissed. "), F.substring("text", 701, 400))).otherwise(F.col("text"))
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.substring("text", 1, 700), F.lit(" The appeal is dismissed. "), F.expr("substring(text, 701)"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.excerpt(body, F.array(F.lit("tion"), F.lit("ment")), 400)).alias("excerpt"))
 
 
@@ -182,7 +183,7 @@ SQL = {
   md5(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS collapsed, ceil(length(text) / 4.0)::INTEGER AS est_tokens FROM raw""",
     "redact_pii": r"SELECT doc_id, left(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g'), '\b[0-9]{6,}\b', '[REDACTED_NUMBER]', 'g'), 300) AS redacted FROM documents",
     "slugs_and_titles": r"""WITH s AS (SELECT *, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1], '\.html?$', ''), '[^A-Za-z0-9_-]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g')), ''), 'page') AS slug FROM pages)
-SELECT page_id, slug, '#' || regexp_replace(regexp_replace(lower(substring(html, 60, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor, CASE WHEN contains(lower(url), '/fr/') THEN 'fr' ELSE 'en' END AS language, slug || '-' || left(sha1(url), 10) || '.md' AS file_name FROM s""",
+SELECT page_id, slug, '#' || regexp_replace(regexp_replace(lower(coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'Untitled')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor, CASE WHEN contains(lower(url), '/fr/') THEN 'fr' ELSE 'en' END AS language, slug || '-' || left(sha1(url), 10) || '.md' AS file_name FROM s""",
     "canonical_url_fast": f"WITH {_CANON} SELECT page_id, canonical, 'pdi_' || left(sha1(canonical), 12) AS source_id FROM canon",
     "url_dedupe_keep_first": f"WITH {_CANON} SELECT min(page_id) AS page_id, arg_min(url, page_id) AS url FROM canon WHERE canonical IS NOT NULL GROUP BY canonical",
     "source_policy": f"""WITH made AS (SELECT page_id, CASE WHEN page_id % 11 = 3 THEN url WHEN page_id % 13 = 5 THEN 'no address' ELSE 'https://' || {sql_picked(_POLICY_HOSTS, 'page_id')} || {sql_picked(_POLICY_PATHS, f'page_id // {len(_POLICY_HOSTS)}')} END AS url FROM pages),
@@ -206,7 +207,7 @@ SELECT vec_id, reference_id, CASE left(reference_id, 1) WHEN 'D' THEN 'user_docu
   CASE WHEN score IS NULL THEN 80 ELSE greatest(0, least(100, floor(score * 100 + 0.5))) END::INTEGER AS relevance FROM v""",
     "query_terms": f"""WITH {_PHRASED} SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(p), '[^a-z0-9]+'), lambda w: len(w) >= 4 AND NOT list_contains([{_QUOTE(text.STOPWORDS)}], w))[1:8], ' ') AS terms,
   CASE WHEN regexp_full_match(upper(trim(p)), '[A-Z0-9-]{{2,20}}') THEN upper(trim(p)) {' '.join(f"WHEN contains(trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')), '{n}') THEN '{v}'" for v, n, _ in text.DATASETS)} END AS dataset FROM phrased""",
-    "decision_excerpt": f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 700) || ' The appeal is dismissed. ' || substring(text, 701, 400) ELSE text END AS t FROM documents),
+    "decision_excerpt": f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 700) || ' The appeal is dismissed. ' || substring(text, 701) ELSE text END AS t FROM documents),
 f AS (SELECT doc_id, t, coalesce({', '.join(f"nullif(strpos(lower(t), '{m}'), 0)" for m in (*text.EXCERPT_MARKERS, 'tion', 'ment'))}, 1) AS k FROM b)
 SELECT doc_id, md5(substring(t, greatest(k - 120, 1), 400)) AS excerpt FROM f""",
     "points_score": f"""WITH k AS (SELECT c_custkey, c_custkey AS k, c_custkey % 2 = 0 AS sp, c_custkey % 32 + 16 AS age, {sql_picked(tuple(points.EDUCATION), 'c_custkey')} AS ed, {sql_picked(tuple(points.EDUCATION), 'c_custkey // 3')} AS sed, {sql_picked(tuple(points.LOCAL_EDUCATION), 'c_custkey // 5')} AS led,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,13 +21,56 @@ def markdown_body(meta: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n"), body)
 
 
-def json_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def append_markdown(pages: DataFrame, path: str) -> int:
+    """Adds pages (name, content) to a folder of markdown texts by name, and says how many; a name that is there already is never written again.
+
+    Of pages that share a name the least content counts.
+    """
+    spark = pages.sparkSession
+    new = pages.groupBy("name").agg(F.min("content").alias("content"))
+    if _exists(spark, path):
+        new = new.join(markdown_store(spark, path).select("name"), "name", "left_anti")
+    new = new.cache()
+    n = new.count()
+    if n:
+        new.withColumnRenamed("content", "value").write.mode("append").option("lineSep", "\u0000").partitionBy("name").text(path)
+    new.unpersist()
+    return n
+
+
+def markdown_store(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the folder that ``append_markdown`` fills."""
+    return spark.read.schema("value string, name string").option("lineSep", "\u0000").text(path).select("name", F.col("value").alias("content"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a state that are complete, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
 
-def state(rows: DataFrame, path: str) -> None:
-    """The ingest state by path of file, whole."""
-    rows.write.mode("overwrite").parquet(path)
+
+def save_state(rows: DataFrame, path: str) -> int:
+    """Saves a state whole as the next version of it; readers see the last version until this one is complete."""
+    done = _versions(rows.sparkSession, path)
+    version = done[-1] + 1 if done else 0
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
+
+
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last complete version of a state, empty if there is none."""
+    done = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def json_rows(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
 
 
 def memo(citations: DataFrame, key: str, order: str) -> DataFrame:

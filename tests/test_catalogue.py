@@ -2,11 +2,11 @@
 
 import pytest
 
-from docloom.plans import documents, matches, retrieval, scalars, tables, text
+from docloom.plans import documents, matches, records, retrieval, scalars, tables, text
 from tests.compare import assert_same, database
 
-QUERIES = {k: v for m in (retrieval, text, matches, scalars, tables, documents) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (retrieval, text, matches, scalars, tables, documents) for k, v in m.SQL.items()}
+QUERIES = {k: v for m in (retrieval, text, matches, scalars, tables, documents, records) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (retrieval, text, matches, scalars, tables, documents, records) for k, v in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

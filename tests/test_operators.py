@@ -101,6 +101,108 @@ def test_batches_by_count_and_size(spark):
     assert got == [0, 1, 1, 1, 2, 3, 4]
 
 
+def test_batches_keep_ties_and_null_groups(spark):
+    rows = [(None, 1, 5), ("a", 1, 2), ("a", 1, 2), (None, 2, 6), ("a", 2, None), ("b", 1, 99)]
+    got = tables.batches(spark.createDataFrame(rows, "s string, k int, n int"), "s", "k", "n", 2, 10).collect()
+    assert sorted(tuple(r) for r in got if r["s"] is None) == [(None, 1, 5, 0), (None, 2, 6, 1)]
+    assert sorted((r["k"], r["batch"]) for r in got if r["s"] == "a") == [(1, 0), (1, 0), (2, 1)]
+    assert len(got) == 6 and tables.batches(spark.createDataFrame([], "s string, k int, n int"), "s", "k", "n", 2, 10).count() == 0
+
+
+def test_long_groups_are_batched_in_one_pass(spark):
+    rows = spark.range(200_000).select(F.lit("s").alias("s"), F.col("id").alias("k"), F.lit(7).alias("n"))
+    got = tables.batches(rows, "s", "k", "n", 100, 70).groupBy("batch").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(10, 20_000)]
+
+
+def test_vectors_must_be_finite(spark):
+    record = lambda x: F.struct(F.lit("i").alias("id"), F.array(F.lit(1.0), F.lit(x)).alias("values"), F.lit("t").alias("text"))
+    assert [one(spark, guards.vector_valid(record(x), 2)) for x in (2.0, float("inf"), float("nan"), None)] == [True, False, False, False]
+
+
+def test_nested_payloads_of_urls(spark):
+    page = "https://www.canada.ca/study-permit.html"
+    payloads = [
+        ('{"urls":["https://e.com/redirect?url=https%3A%2F%2Fwww.canada.ca%2Fstudy-permit.html&utm_source=t",["' + page + '#eligibility",{"href":"' + page + '?utm_medium=email"}]]}', [page]),
+        ('{"urls":["https://www.canada.ca/i.html?a=1&b=2","https://www.canada.ca/i.html?b=2&a=1","not-a-url","",null,123]}', ["https://www.canada.ca/i.html?a=1&b=2"]), ('{"url":"https://www.canada.ca/i.html"}', ["https://www.canada.ca/i.html"]), ("{}", []), (None, []), ("none", []),
+        ('{"url":' + "[" * 8 + '"https://a.b/8",["https://a.b/9"]' + "]" * 8 + "}", ["https://a.b/8"]),
+    ]
+    rows = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(payloads)], "k int, p string").select("k", F.posexplode(urls.payload_strings(F.col("p"))).alias("pos", "u"))
+    kept = tables.keep_first(rows.select("k", "pos", urls.kept_form(F.col("u")).alias("url"), urls.dedupe_key(F.col("u")).alias("key")).where("key is not null"), ["k", "key"], ["pos"])
+    got = {}
+    for r in kept.orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append(r["url"])
+    assert got == {k: want for k, (_, want) in enumerate(payloads) if want}
+
+
+def test_printed_pages_are_cleaned_and_cut(spark):
+    raw = "Scope of rules ....... 12\n.....\n2024-01-01\nhyphen-\nated  word\n\n\n\nKept ... here"
+    assert one(spark, chunking.cleaned_page(F.lit(raw))) == "Scope of rules\nhyphenated word\n\nKept here"
+    pages = spark.createDataFrame([("d", 1, "lead\n\n1 First part\nbody"), ("d", 2, "more\n\n1.1 Inner part\nb"), ("d", 3, ""), ("d", 4, "end"), ("e", 5, "only"), ("f", 6, None)], "doc string, page int, text string")
+    got = [tuple(r) for r in chunking.page_sections(pages, "doc", "page", "text").orderBy("doc", "section").collect()]
+    assert got == [
+        ("d", 0, "Document", ["Document"], 1, 1, "lead"), ("d", 1, "1 First part", ["1 First part"], 1, 2, "1 First part\nbody\n\nmore"), ("d", 2, "1.1 Inner part", ["1 First part", "1.1 Inner part"], 2, 4, "1.1 Inner part\nb\n\nend"),
+        ("e", 0, "Document", ["Document"], 5, 5, "only"),
+    ]
+
+
+def test_cut_places_match_a_plain_walk():
+    """Chunks against a walk that looks for each cut in the text itself."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        body = "".join(rng.choice(["word " * rng.randint(1, 30), "Table: x", "a | b | " + "c" * rng.randint(1, 200), "\n", "\n\n", "x" * rng.randint(1, 300)]) for _ in range(rng.randint(1, 40))).strip()
+        for most, least, overlap, room in ((140, 40, 20, 600), (600, 120, 120, 400)):
+            got = chunking.overlapping(body, most, least, overlap, room)
+            for (text_, a, b), after in zip(got, [*got[1:], None]):
+                assert text_ == body[a:b].strip()
+                hard = a + most
+                if b < len(body) and b <= hard:
+                    lines, spaces = ([k for k in range(a + int(most * 0.6), hard + 1) if body[k] == mark] for mark in "\n ")
+                    assert b == (lines or spaces or [hard])[-1]
+                elif b < len(body):
+                    assert body[b] == "\n" and b - hard <= room
+                assert after is None or after[1] == (b - overlap if b - overlap > a else a + most - overlap)
+
+
+def test_chunks_touch_pages_across_stretches(spark):
+    spans = spark.createDataFrame([("d", p, p * 3000, p * 3000 + 2998) for p in range(6)], "doc string, page int, first int, last int")
+    chunks = spark.createDataFrame([("d", 0, 0, 2998), ("d", 1, 2999, 9500), ("d", 2, 17_000, 99_000)], "doc string, chunk_index int, start_char int, end_char int")
+    assert sorted(tuple(r) for r in chunking.chunk_pages(chunks, spans, "doc").collect()) == [("d", 0, 0, 0), ("d", 1, 1, 3), ("d", 2, 5, 5)]
+
+
+def test_markdown_and_state_are_stored_once(spark, tmp_path):
+    from docloom.sources import writers
+
+    folder, state = str(tmp_path / "md"), str(tmp_path / "state")
+    pages = spark.createDataFrame([("a.md", "one\ntwo\n"), ("b.md", "")], "name string, content string")
+    assert writers.append_markdown(pages, folder) == 2
+    again = spark.createDataFrame([("a.md", "changed"), ("c.md", "new")], "name string, content string")
+    assert writers.append_markdown(again, folder) == 1
+    assert {r["name"]: r["content"] for r in writers.markdown_store(spark, folder).collect()} == {"a.md": "one\ntwo\n", "b.md": "", "c.md": "new"}
+    assert writers.load_state(spark, state, "path string, n int").count() == 0
+    for n in (1, 2):
+        assert writers.save_state(spark.createDataFrame([("f", n)], "path string, n int"), state) == n - 1
+    (tmp_path / "state" / "version=7").mkdir()  # a save that was cut off
+    assert [tuple(r) for r in writers.load_state(spark, state, "path string, n int").collect()] == [("f", 2)]
+
+
+def test_questions_of_an_owner_rank_its_chunks(spark):
+    asked = spark.createDataFrame([(1, "Alpha beta beta", "o"), (2, "zz", "o"), (3, "gamma", "none")], "query_id int, query string, owner string")
+    chunks = spark.createDataFrame([("o", 0, "ALPHA only"), ("o", 1, "x alpha beta beta y"), ("o", 2, " "), ("o", 3, "nothing"), ("p", 4, "gamma")], "owner string, chunk_index int, text string")
+    got = [tuple(r) for r in retrieval.lexical_rank(asked, chunks, 2).select("query_id", "chunk_index", F.round("score", 4), "position").orderBy("query_id", "position").collect()]
+    assert got == [(1, 1, 1.0, 1), (1, 0, 0.3333, 2), (2, 0, 0.0, 1), (2, 1, 0.0, 2)]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    rows = spark.createDataFrame([(1, "https://a.b/?url=https%3A%2F%2Fc.d%2Fx", "i", "c", "o")], "k int, url string, _inner string, _c string, _one string")
+    got = urls.with_canonical(rows, "url").first()
+    assert got["canonical"] == "https://c.d/x" and got["_inner"] == "i"
+    chunk = chunking.chunked_documents(rows.withColumn("text", F.lit("some text")), "text").first()
+    assert chunk["_c"] == "c" and chunk["_one"] == "o" and chunk["chunk_text"] == "some text"
+
+
 def test_failure_states_have_precedence(spark):
     no = F.array().cast("array<string>")
     state = lambda blocked=False, calls=0, issues=no, sources=1, query="a long and precise question": one(spark, guards.failure_state(F.lit(blocked), F.lit(calls), F.lit(2), F.lit(0), F.lit(0), issues, F.lit(sources), F.lit(0), F.lit(query)))
