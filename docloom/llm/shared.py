@@ -38,17 +38,17 @@ def row_key(*columns: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the one named by ``spark.checkpoint.dir``.  Only a session whose tasks all run on
-    this machine may go without it; such a session gets a folder of its own.
+    It is the one named by ``spark.checkpoint.dir``, or set as the context's checkpoint folder.  Only a
+    session whose tasks all run on this machine may go without it; such a session gets a folder of
+    its own.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if known:
+        return known
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
 

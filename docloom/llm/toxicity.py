@@ -80,11 +80,12 @@ def mixed_words(text: str) -> list[str]:
 
 
 def capitals(text: str) -> int:
-    if text.isascii():
-        raw = text.encode()
-        return len(raw) - len(raw.translate(None, CAPITALS))
     raw = text.encode("utf-8", "replace")
-    return len(raw) - len(raw.translate(None, CAPITALS)) + sum(c.isupper() for run in BEYOND_ASCII.findall(text) for c in run)
+    found = len(raw) - len(raw.translate(None, CAPITALS))
+    if not text.isascii():
+        others = "".join(BEYOND_ASCII.findall(text))
+        found += sum(others.count(c) for c in set(others) if c.isupper())
+    return found
 
 
 def _known(word: str, lexicon: frozenset[str], heads: set[str]) -> bool:

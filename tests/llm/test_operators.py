@@ -3,13 +3,14 @@
 import hashlib
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import boosting, decontaminate, graph, language, licences, mixing, neighbours, quality, simhash, suffix_dedup, suffixes, toxicity, url_filter
+from docloom.llm import boosting, decontaminate, graph, language, licences, mixing, neighbours, quality, simhash, suffix_dedup, suffixes, toxicity, training, url_filter
 from docloom.llm import queries as registered
 from tests.compare import assert_same, database
 
@@ -369,6 +370,120 @@ def test_classifiers_without_labels(spark):
             assert module.scored(docs.where("false"), model).count() == 0
 
 
+def plain_words(text):
+    """Runs of ASCII letters, digits and everything beyond ASCII, as bytes."""
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", text)
+
+
+def test_quality_scores_equal_a_plain_computation(spark, data, texts):
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fitted(docs, labels, F.lit(True))
+    got = {}
+    for r in quality.scored(table(spark, texts).repartition(5), model).select("doc.doc_id", "score").collect():
+        got.setdefault(r["doc_id"], set()).add(r["score"])
+    for i, t in texts:
+        raw = (t or "").encode()
+        count = Counter(int(quality.word_hashes(w)[0]) % quality.WORDS for w in plain_words(raw.lower()))
+        n = max(1, sum(count.values()))
+        stats = quality.features(raw)[2]
+        assert stats[0] == np.log1p(len(raw)) and stats[1] == np.log1p(sum(count.values())) and stats[7] == raw.count(b"!") / max(1, len(raw))
+        x = {b: 8 * c / n for b, c in count.items()} | {quality.WORDS + k: min(max((v - model.mean[k]) / model.scale[k], model.low[k]), model.high[k]) for k, v in enumerate(stats)}
+        y = model.w0 + sum(model.w[k] * v for k, v in x.items()) + 0.5 * sum(sum(model.v[k, f] * v for k, v in x.items()) ** 2 - sum((model.v[k, f] * v) ** 2 for k, v in x.items()) for f in range(quality.RANK))
+        want = 1 / (1 + np.exp(-min(35, max(-35, model.a * y + model.b))))
+        assert all(abs(s - want) < 1e-9 for s in got[i])
+
+
+def test_language_scores_equal_a_plain_computation(spark, data, texts):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fitted(docs, F.lit(True))
+    more = [(50, "Grüße aus der Stadt und vom Land"), (51, "el perro y la casa"), (52, "a" * 20), (53, "x1y2z3"), (54, "the dog " * 40_000)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predicted(table(spark, [*texts, *more]).repartition(6), model).select("doc.doc_id", "lang_pred", "score").collect()}
+    mask = (1 << 64) - 1
+    for i, t in [*texts[:6], *texts[12:], *more[:4]]:
+        padded = " " + " ".join(re.findall(r"[^\W\d_]+", (t or "").lower())) + " "
+        counts = np.zeros(language.BUCKETS)
+        for n in (2, 3, 4):
+            for k in range(len(padded) - n + 1):
+                if padded[k : k + n].strip() and " " not in padded[k + 1 : k + n - 1]:
+                    h = ord(padded[k]) * 0x9E3779B97F4A7C15 & mask
+                    for c in padded[k + 1 : k + n]:
+                        h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 + ord(c) * 0x94D049BB133111EB) & mask
+                    counts[((h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask) >> 51] += 1
+        if not padded.strip():
+            assert got[i] == ("und", 0.0)
+            continue
+        logits = counts @ model.table / counts.sum() + model.bias
+        p = np.exp(logits / model.temperature)
+        p /= p.sum()
+        assert got[i][0] == model.languages[p.argmax()] and abs(got[i][1] - p.max()) < 1e-9, i
+    assert got[54][0] == "en"
+
+
+def test_subwords_do_not_depend_on_pieces(monkeypatch):
+    text = "Ein Wort, noch ein langesWort " + "ab" * 300 + " fin."
+    whole = language.bucket_counts(text)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert (language.bucket_counts(text) == whole).all()
+
+
+def test_toxicity_scores_equal_a_plain_computation(spark, data, texts):
+    docs, labels = (spark.read.parquet(f"{medium()}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fitted(docs, labels, F.lit(True), most_rows=3000)
+    assert model.lexicon
+    term = max((t for t in model.lexicon if t.endswith("$") and t[:-1].isalpha()), key=len)[:-1]
+    more = [(60, f"You {term}! YOU {term.upper()} ÉCOLE"), (61, f"x {term[0]}*{term[1:]} y" if len(term) > 2 else term), (62, "quiet text about nothing"), (63, "so 3rd-party_code v1.2b " + "w" * 200_000)]
+    got = {}
+    for r in toxicity.scored(table(spark, [*texts, *more]).repartition(6), model).select("doc.doc_id", "score").collect():
+        got.setdefault(r["doc_id"], set()).add(r["score"])
+
+    def known(w):
+        return any(t in model.lexicon for t in [w + "$", *(w[:n] for n in toxicity.STEMS if len(w) >= n)])
+
+    for i, t in [*texts[:6], *texts[7:], *more]:
+        t = t or ""
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        hits, second = [k for k, w in enumerate(words) if known(w)], {k for k, w in enumerate(words) if w in toxicity.SECOND}
+        mixed = [m for m in re.findall(r"[\w@$!*.-]+", t.lower()) if re.search(r"[^\W\d_][\d@$!*_.-]+[^\W\d_]", m)]
+        gaps = [b - a <= toxicity.NEAR for a, b in zip(hits, hits[1:])]
+        longest = max((len(list(g)) for v, g in groupby(gaps) if v), default=0)
+        n, size = max(1, len(words)), max(1, len(t))
+        x = [min(50, len(hits)), len(hits) / n, min(50, len({words[k] for k in hits})), sum(any(abs(k - s) <= toxicity.NEAR for s in second) for k in hits) / n, len(second) / n, sum(c.isupper() and c.isalpha() for c in t) / max(1, sum(map(len, words))),
+             t.count("!") / size, sum(map(t.count, ".,;:?'\"()-")) / size, len(mixed) / n, float(min(20, sum(known(w.translate(toxicity.PLAIN)) for w in mixed))), np.log1p(len(words)), longest]
+        f = model.trees.base
+        for feature, cut, leaf in model.trees.trees:
+            at = 0
+            for level in range(model.trees.depth):
+                node = 2**level - 1 + at
+                j = feature[node]
+                at = 2 * at + (np.searchsorted(model.trees.cuts[j], x[j], "right") > cut[node])
+            f += leaf[at]
+        want = np.interp(f, model.calibrated.x, model.calibrated.y)
+        assert all(abs(s - want) < 1e-9 for s in got[i]), (i, x)
+
+
+def test_samples_keep_their_size_at_any_count(spark):
+    for n in (10, 5 * 10**9, 4 * 10**10, 10**13):
+        share = (training.below(3000, n) + (1 << 63)) / 2**64
+        assert abs(share * n - 3000) < 1e-3 * 3000 + 1
+    rows = spark.range(50_000).withColumn("v", F.lit(1))
+    assert 2_700 < training.sampled(rows, "id", 3000).count() < 3_300 and training.sampled(rows, "id", 50_000).count() == 50_000
+    hot = spark.range(30_000).select(F.when(F.col("id") < 20_000, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.lit("the text").alias("text"), F.lit("en").alias("lang"))
+    known = training.once_each(hot.withColumnRenamed("doc_id", "id"), "id", ["lang", "text"])
+    assert known.count() == 10_001
+    labels = hot.select("doc_id", F.lit(1).alias("quality"))
+    assert training.labelled(hot, labels, "quality", "doc_id", "text", F.lit(True), 500).count() < 650
+
+
+def test_fitted_models_score_hard_texts_within_reason(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    hard = table(spark, [(1, None), (2, ""), (3, "x" * 300_000), (4, "You IDIOT!! " * 20_000), (5, "\n" * 1000), (5, "\n" * 1000)])
+    for module in (quality, toxicity):
+        model = module.fitted(docs, labels, F.lit(True))
+        got = module.scored(hard, model).select("doc.doc_id", "score").collect()
+        assert len(got) == 6 and all(0 < r["score"] < 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+
+
 def test_factorisation_machine_equals_its_pairs():
     rows = [quality.features(words(40, k).encode()) for k in range(60)] + [quality.features(words(40, k).upper().encode()) for k in range(60)]
     model = quality.Model(rows, np.repeat([1.0, 0.0], 60), epochs=3)
@@ -413,3 +528,7 @@ def test_empty_documents_pass_through_the_stages(spark):
     assert simhash.deduplicated(docs).count() == 0 and suffix_dedup.without_repeats(docs).count() == 0 and mixing.mixed(docs).count() == 0
     benchmark = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert decontaminate.decontaminated(docs, benchmark).count() == 0
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
