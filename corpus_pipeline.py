@@ -1,5 +1,12 @@
 """A training corpus from ``documents``: toxic texts and near copies go, repeated passages are cut out,
-benchmark passages' documents go, and what is left is mixed to target weights."""
+benchmark passages' documents go, and what is left is mixed to target weights.
+
+Defined cases: a null or empty text is scored, grouped, cut and sized like any other empty text, so that one
+of all empty ones stays; rows that repeat are near copies, and the one of least id stays, ids that are null
+last; ties of ids go by the text's hash; texts of any length are taken whole; without labels no document is
+toxic (the smoothed share is a half), and without a benchmark none is contaminated; an empty table passes
+through all stages; columns beside those of ``documents`` are carried through all stages but the last.
+"""
 
 from __future__ import annotations
 
