@@ -54,3 +54,18 @@ def citation(reference_id: Column, source: Column) -> Column:
         paragraph_numbers(source["paragraphs"]).alias("paragraph_numbers"), relevance(source["score"]).alias("relevance"),
     )
     return F.when(to_text(reference_id) != "", made)
+
+
+def shown_title(manual: Column, chapter: Column, title: Column, case_name: Column) -> Column:
+    """A citation's title as it is shown: under its manual and chapter, unless it begins with them."""
+    blank = lambda c: F.nullif(to_text(c), F.lit(""))
+    prefix, base = F.concat_ws(" ", blank(manual), blank(chapter)), F.coalesce(F.nullif(title, F.lit("")), F.nullif(case_name, F.lit("")), F.lit("Source"))
+    return F.when((prefix != "") & ~F.startswith(base, prefix), F.trim(F.concat(prefix, F.lit(" "), base))).otherwise(base)
+
+
+def shown_locator(given: Column, manual: Column, chapter: Column, citation: Column, first_page: Column, last_page: Column) -> Column:
+    """A citation's locator as it is shown: what is given, else its manual and chapter, citation and pages."""
+    blank = lambda c: F.nullif(to_text(c), F.lit(""))
+    pages = F.when(last_page.isNotNull(), F.concat(F.lit("pp. "), first_page.cast("string"), F.lit("-"), last_page.cast("string"))).otherwise(F.concat(F.lit("p. "), first_page.cast("string")))
+    parts = F.concat_ws(" | ", F.nullif(F.concat_ws(" ", blank(manual), blank(chapter)), F.lit("")), F.nullif(citation, F.lit("")), F.when(first_page.isNotNull(), pages))
+    return F.coalesce(F.nullif(given, F.lit("")), parts)

@@ -85,6 +85,12 @@ def query_key(query: Column) -> Column:
     return F.sha1(normalize_query(query))
 
 
+def prompt_hashes(system: Column, user: Column) -> Column:
+    """(prompt_hash, system_hash, user_hash) of the two parts of a prompt; a missing part is empty."""
+    system, user = F.coalesce(system, F.lit("")), F.coalesce(user, F.lit(""))
+    return F.struct(F.sha2(F.concat(system, F.lit("\n\n"), user), 256).alias("prompt_hash"), F.sha2(system, 256).alias("system_hash"), F.sha2(user, 256).alias("user_hash"))
+
+
 def title_of_slug(c: Column) -> Column:
     return F.initcap(F.regexp_replace(c, "[-_]+", " "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import text
+from docloom.functions import citations, text
 from docloom.operators import chunking, html, records
 from docloom.sources.readers import table
 
@@ -59,7 +59,27 @@ def message_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "place", "m.role", "m.at", F.array_join("m.citations", "+").alias("citations"))
 
 
-QUERIES = {f.__name__: f for f in (sanitized_metadata, content_keys, page_titles, root_links, page_records, failed_urls, message_history)}
+def citation_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("vec_id")
+    manual, chapter = F.when(k % 3 != 0, F.lit(" ENF ")), F.when(k % 2 == 0, F.lit("2"))
+    title = F.when(k % 5 == 0, "ENF 2 Evaluating").when(k % 5 < 3, "Evaluating")
+    shown = citations.shown_title(manual, chapter, title, F.when(k % 7 == 0, "Case"))
+    place = citations.shown_locator(F.when(k % 11 == 0, "given"), manual, chapter, F.when(k % 4 == 0, "c").otherwise(""), F.when(k % 6 != 0, k % 6), F.when(k % 6 > 3, k % 6 + 1))
+    return table(spark, sf_dir, "embeddings").select("vec_id", shown.alias("title"), place.alias("locator"))
+
+
+def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    system = F.when(F.col("turn") % 3 != 0, F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.prompt_hashes(system, F.col("text")).alias("h")).select("conv_id", "turn", "h.*")
+
+
+def citation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    found = text.citation_candidates(F.concat(F.lit(" "), k % 100 + 1950, F.lit(" FC "), k, F.lit(" ")), F.when(k % 2 == 0, F.concat(F.lit("https://a.b/2020 FC "), k)).otherwise("plain"), F.when(k % 3 == 0, F.concat(k % 100 + 1950, F.lit(" FC "), k)), F.lit("see 2001 SCC 7."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "|").alias("candidates"))
+
+
+QUERIES = {f.__name__: f for f in (sanitized_metadata, content_keys, page_titles, root_links, page_records, failed_urls, message_history, citation_display, prompt_parts, citation_candidates)}
 _TITLE = lambda e, tag: rf"nullif(trim(regexp_replace(regexp_replace(regexp_extract({e}, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')"
 SQL = {
     "sanitized_metadata": """SELECT doc_id, CASE WHEN doc_id % 17 <> 4 THEN '{"id":' || doc_id || coalesce(',"lang":"' || lang || '"', '') || CASE WHEN doc_id % 3 <> 0 THEN ',"size":' || n_chars ELSE '' END || ',"tags":["x","' || source || '"],"ok":' || (doc_id % 2 = 0)::VARCHAR || ',"none":[]}' END AS metadata FROM documents""",
@@ -73,5 +93,11 @@ SELECT 'md/' || k || '.md' AS markdown_path, 'pdi_' || left(sha1(u), 12) AS sour
   (k % 3 < 2)::INTEGER AS n_path, CASE WHEN k % 5 = 0 THEN '2024-03-04' ELSE nullif(regexp_extract(text, '^(?s:.*)(20\\d{2}-\\d{2}-\\d{2})', 1), '') END AS last_updated, CASE WHEN k % 5 = 0 THEN 'https://a.example.org/x' ELSE '' END AS outbound,
   k % 5 = 0 AS is_toc_like, length(regexp_replace(regexp_replace(regexp_replace(text || CASE WHEN k % 5 = 0 THEN chr(10) || '[a](https://a.example.org/x/) https://a.example.org/x 2023-01-02 and 2024-03-04' || chr(10) || 'Contents' || chr(10) || 'A ..... 7' ELSE '' END, '^\\s+|\\s+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g')) < 300 AS is_low_text, 1 AS n_sections, 'Document' AS first_heading FROM d""",
     "failed_urls": "SELECT page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE length(html) % 3 > 0 AND url IS NOT NULL)",
+    "citation_display": """WITH c AS (SELECT vec_id AS k, CASE WHEN vec_id % 3 <> 0 THEN 'ENF' END AS m, CASE WHEN vec_id % 2 = 0 THEN '2' END AS ch, CASE WHEN vec_id % 5 = 0 THEN 'ENF 2 Evaluating' WHEN vec_id % 5 < 3 THEN 'Evaluating' WHEN vec_id % 7 = 0 THEN 'Case' ELSE 'Source' END AS t FROM embeddings),
+x AS (SELECT *, concat_ws(' ', m, ch) AS p FROM c)
+SELECT k AS vec_id, CASE WHEN p <> '' AND NOT starts_with(t, p) THEN p || ' ' || t ELSE t END AS title,
+  CASE WHEN k % 11 = 0 THEN 'given' ELSE concat_ws(' | ', nullif(p, ''), CASE WHEN k % 4 = 0 THEN 'c' END, CASE WHEN k % 6 > 3 THEN 'pp. ' || k % 6 || '-' || (k % 6 + 1) WHEN k % 6 > 0 THEN 'p. ' || k % 6 END) END AS locator FROM x""",
+    "prompt_parts": "SELECT conv_id, turn, sha256(CASE WHEN turn % 3 <> 0 THEN role ELSE '' END || chr(10) || chr(10) || text) AS prompt_hash, sha256(CASE WHEN turn % 3 <> 0 THEN role ELSE '' END) AS system_hash, sha256(text) AS user_hash FROM conversations",
+    "citation_candidates": "SELECT o_orderkey, (o_orderkey % 100 + 1950) || ' FC ' || o_orderkey || '|see 2001 SCC 7.' AS candidates FROM orders",
     "message_history": """SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, role, turn * 60000 + 250 AS at, CASE WHEN turn % 3 = 0 THEN 'a+b' ELSE '' END AS citations FROM conversations""",
 }

@@ -62,6 +62,11 @@ def dimension(spark: SparkSession, rows: Mapping[str, Sequence], schema: str) ->
     return spark.createDataFrame([(k, *v) for k, v in rows.items()], schema)
 
 
+def config(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A configuration file of one JSON object or an array of them, as a small table."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """(url, pos) of a text file of one URL a line; blank and comment lines are left out."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "url"))

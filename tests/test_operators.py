@@ -263,3 +263,31 @@ def test_readers_and_writers(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [1, 3]
     writers.json_rows(spark.createDataFrame([("q", "2024-01-01", "NONE")], "query string, as_of string, expected_failure_state string"), str(tmp_path / "gold"))
     assert readers.gold_set(spark, str(tmp_path / "gold")).first()["query"] == "q"
+
+
+def test_readers_of_files(spark, tmp_path):
+    from docloom.sources import readers, writers
+
+    for name in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r["path"].rsplit("/", 1)[1] for r in readers.binary_files(spark, str(tmp_path), most=9).collect()] == ["a.pdf", "b.pdf"]
+    files = spark.createDataFrame([("a.pdf", b"one|two two two two two two two")], "path string, content binary")
+
+    def extract(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([(p, n, t) for p, c in zip(f["path"], f["content"]) for n, t in enumerate(c.decode().split("|"), 1)], columns=["path", "page", "text"])
+
+    got = readers.pages_of_files(files, extract).orderBy("page").collect()
+    assert [(r["page"], r["warning"] is not None) for r in got] == [(1, True), (2, False)]
+    (tmp_path / "j").mkdir()
+    for name, body in (("a.json", '{"source_id": "s", "text": "t",\n "sections": [{"heading": "h"}]}'), ("summary.json", "{}"), ("bad.json", "{no")):
+        (tmp_path / "j" / name).write_text(body)
+    assert [(r["source_id"], r["sections"][0]["heading"]) for r in readers.page_json(spark, str(tmp_path / "j")).collect()] == [("s", "h")]
+    (tmp_path / "policy.json").write_text('[{"host": "a.b",\n "most": 3}, {"host": "c.d"}]')
+    assert sorted(tuple(r) for r in readers.config(spark, str(tmp_path / "policy.json"), "host string, most int").collect()) == [("a.b", 3), ("c.d", None)]
+    (tmp_path / "urls.txt").write_text("# list\nhttps://a.b\n\n https://c.d \n")
+    assert [r["url"] for r in readers.url_list(spark, str(tmp_path / "urls.txt")).orderBy("pos").collect()] == ["https://a.b", "https://c.d"]
+    writers.json_rows(spark.createDataFrame([("s", "t")], "source_id string, text string"), str(tmp_path / "out"))
+    assert readers.page_json(spark, str(tmp_path / "out")).first()["text"] == "t"
