@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import written
+from docloom.llm.shared import scratch, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,17 +28,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that ``links`` (a, b) name; root is the least node reachable.
+    """(node, root) of every node that ``links`` (a, b) name, as a written table; root is the least node reachable.
 
     Links may repeat and point either way; a link from a node to itself or to null is dropped.  No links give no rows.
     Each round is written to the shared folder; the rounds grow with the logarithm of the longest path.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = None
-    for k in range(most_rounds):
-        edges = written(_stars(_stars(edges, True), False), f"stars{k}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        seen = now
+    with scratch(links.sparkSession) as result:
+        edges, seen = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"), None
+        for k in range(most_rounds):
+            edges = written(_stars(_stars(edges, True), False), f"stars{k}")
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == seen:
+                return result(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct()), "roots")
+            seen = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import simhash
 from docloom.llm.graph import components
-from docloom.llm.shared import written
+from docloom.llm.shared import scratch, written
 
 SEED = 42
 WORDS_EACH = 5
@@ -92,6 +92,11 @@ def _compared(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             kept = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
+    with scratch(pairs.sparkSession) as result:
+        return result(_compared_with(texts, sets, pairs, whole, compare), "similar")
+
+
+def _compared_with(texts: DataFrame, sets: DataFrame, pairs: DataFrame, whole, compare) -> DataFrame:
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "t"), "node"), "wanted")
     bodies = texts.join(wanted, "t").dropDuplicates(["t"]).select("node", "text").mapInArrow(whole, "node bigint, hashes binary")
     bodies = written(bodies, "bodies")
@@ -126,7 +131,7 @@ def jaccard_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     post = written(post.join(shared, "key").select("key", F.struct("node", "place", "n", F.col("node").alias("root")).alias("p")), "postings")
     middle = post.groupBy("key").agg(F.min_by("p", F.struct("p.place", F.xxhash64("p.node", "key"))).alias("p"))
     stars = written(_within_reach(_met(post, middle), sets), "stars")
-    first = written(_compared(texts, sets, stars), "star_links")
+    first = _compared(texts, sets, stars)
 
     roots = components(first).select(F.col("node").alias("of"), F.col("root").alias("to"))
     own = F.struct("p.node", "p.place", "p.n", F.coalesce("to", "p.root").alias("root"))
@@ -135,7 +140,7 @@ def jaccard_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
     apart = written(sizes.where("parts > 1").select("key", "main"), "apart")
     rest = rooted.join(apart, "key")
     pairs = written(_within_reach(_met(rest.where("p.root <> main"), rest).join(stars, ["a", "b"], "left_anti"), sets), "pairs")
-    return first.union(written(_compared(texts, sets, pairs), "pair_links"))
+    return first.union(_compared(texts, sets, pairs))
 
 
 def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -151,17 +156,18 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
             keys = [prefix(h, counted, counts).view(np.int64) for h in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["t", "fp", "node", "n", "keys"])
 
-    rows = written(texts.mapInArrow(run, "t bigint, fp bigint, node bigint, n int, keys array<bigint>"), "sketches")
-    sets = written(rows.groupBy("node").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select("node", "s.*"), "sets")
-    prints = written(rows.groupBy("fp").agg(F.min("t").alias("t")), "prints")
-
-    same_set = rows.select("node", F.col("t").alias("a")).join(sets.select("node", F.col("t").alias("b")), "node").select("a", "b")
-    same_print = rows.select("fp", F.col("t").alias("a")).join(prints.withColumnRenamed("t", "b"), "fp").select("a", "b")
-    links = same_set.union(same_print).where("a <> b").distinct()
-    for found, known, key in ((jaccard_links(texts, sets), sets, "node"), (simhash.links(prints.select("fp")), prints, "fp")):
-        a, b = (known.select(F.col(key).alias(x), F.col("t").alias(f"t_{x}")) for x in "ab")
-        links = links.union(found.join(a, "a").join(b, "b").select("t_a", "t_b"))
-    return components(links.toDF("a", "b")).withColumnRenamed("node", "t")
+    with scratch(docs.sparkSession) as result:
+        rows = written(texts.mapInArrow(run, "t bigint, fp bigint, node bigint, n int, keys array<bigint>"), "sketches")
+        sets = written(rows.groupBy("node").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select("node", "s.*"), "sets")
+        prints = written(rows.groupBy("fp").agg(F.min("t").alias("t")), "prints")
+
+        same_set = rows.select("node", F.col("t").alias("a")).join(sets.select("node", F.col("t").alias("b")), "node").select("a", "b")
+        same_print = rows.select("fp", F.col("t").alias("a")).join(prints.withColumnRenamed("t", "b"), "fp").select("a", "b")
+        links = same_set.union(same_print).where("a <> b").distinct()
+        for found, known, key in ((jaccard_links(texts, sets), sets, "node"), (simhash.links(prints.select("fp")), prints, "fp")):
+            a, b = (known.select(F.col(key).alias(x), F.col("t").alias(f"t_{x}")) for x in "ab")
+            links = links.union(found.join(a, "a").join(b, "b").select("t_a", "t_b"))
+        return result(components(links.toDF("a", "b")).withColumnRenamed("node", "t"), "groups")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,40 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: The tables of the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage, and any executor may be lost after."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose written tables are deleted at its end; what it yields writes a table that outlives it.
+
+    Only what was written through that may be used afterwards.
+    """
+    own: list[str] = []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        last = _SCOPES.pop()
+        try:
+            return written(df, name)
+        finally:
+            _SCOPES.append(last)
+
+    _SCOPES.append(own)
+    try:
+        yield result
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
-from docloom.llm.shared import written
+from docloom.llm.shared import scratch, written
 
 #: The four-position blocks of S(3, 4, 8).
 BLOCKS = [s for s in combinations(range(8), 4) if not s[0] ^ s[1] ^ s[2] ^ s[3]]
@@ -128,11 +128,12 @@ def links(nodes: DataFrame, bits: int = 2, posting_cap: int = 32) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, bits: int = 2, posting_cap: int = 32) -> DataFrame:
     """(id, fp, component): component is the least id that links reach from a row, its own included."""
     rows = written(fingerprints(docs, id_col, text_col, words_each), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), bits, posting_cap))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    component = written(rooted.join(least, "root").select("fp", "component"), "components")
+    with scratch(docs.sparkSession) as result:
+        nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+        roots = components(links(nodes.select("fp"), bits, posting_cap))
+        rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+        component = result(rooted.join(least, "root").select("fp", "component"), "components")
     return rows.join(component, "fp").select("id", "fp", "component")
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.shared import row_key, written
+from docloom.llm.shared import row_key, scratch, written
 from docloom.llm.suffixes import SHALLOW, repeated
 
 #: Bytes whose windows are anchored at a time: positions take the low 18 bits of a key.
@@ -288,8 +288,9 @@ def removed_spans(docs: DataFrame, carried: Column, text_col: str = "text", leng
         raise ValueError("lengths from 32 up, and anchors' strings shorter by 510 at most")
     named = _named(docs, carried, text_col)
     texts = _packed(named)
-    runs = repeated_runs(named, texts, length, gram, part)
-    by_row = written(runs.groupBy("row", "tag").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs")), "runs")
+    with scratch(docs.sparkSession) as result:
+        runs = repeated_runs(named, texts, length, gram, part)
+        by_row = result(runs.groupBy("row", "tag").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs")), "runs")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
