@@ -42,7 +42,8 @@ def quality(docs: DataFrame, id_col: str, text: str, short: int = 400, last_upda
     totals = docs.agg(F.count("*").alias("total"), F.count_if(body == "").alias("empty"), F.count_if((body != "") & (F.length(body) < short)).alias("short"), *more)
     examples = first_examples(docs, id_col, {"short": F.length(body) < short}).agg(F.max("examples").alias("short_examples"))
     none = F.array().cast(T.ArrayType(docs.schema[id_col].dataType))
-    found = totals.join(hashes, F.lit(True)).join(examples, F.lit(True))  # one row each
+    one = F.lit(1).alias("one")
+    found = totals.select(one, "*").join(hashes.select(one, "*"), "one").join(examples.select(one, "*"), "one").drop("one")  # one row each
     return found.withColumn("short_examples", F.coalesce("short_examples", none))
 
 
