@@ -189,13 +189,15 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(doc, score) for each row; doc holds the row's own columns."""
+    """(doc, score) for each row; doc holds the row's own columns, the text among them, which goes to Python once."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores([t or "" for t in part.column(1).to_pylist()]), pa.float64())], ["doc", "score"])
+                texts = part.column(0).flatten()[at].to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores([t or "" for t in texts]), pa.float64())], ["doc", "score"])
 
-    rows = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("doc"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())]))
