@@ -34,6 +34,8 @@ SEED = 42
 WORDS_EACH = 5
 #: Documents whose shingles are counted for the order, and the shingles whose counts are used.
 SAMPLE, MOST_COUNTED = 4_000, 100_000
+#: Rows of two numbers that are sent to every task at most: 16 megabytes.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
@@ -72,7 +74,7 @@ def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["key"])
 
     every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(every)) == 0).select("text").mapInArrow(run, "key bigint")
+    some = texts.where(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(every)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(run, "key bigint")
     found = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_COUNTED).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -98,7 +100,8 @@ def _compared(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _compared_with(texts: DataFrame, sets: DataFrame, pairs: DataFrame, whole, compare) -> DataFrame:
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "t"), "node"), "wanted")
-    bodies = texts.join(wanted, "t").dropDuplicates(["t"]).select("node", "text").mapInArrow(whole, "node bigint, hashes binary")
+    few = wanted.count() <= BROADCAST_ROWS  # else texts and what is wanted meet by shuffles
+    bodies = texts.join(F.broadcast(wanted) if few else wanted, "t").dropDuplicates(["t"]).select("node", "text").mapInArrow(whole, "node bigint, hashes binary")
     bodies = written(bodies, "bodies")
     a, b = (bodies.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a bigint, b bigint")
