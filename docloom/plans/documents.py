@@ -184,6 +184,9 @@ c AS (SELECT doc, k, sum(top::INT) AS n_top, sum(bottom::INT) AS n_bottom, sum(t
 SQL = {
     "html_title": r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'Untitled') AS title FROM pages",
     "html_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, md5(t) AS text_hash, length(t)::INTEGER AS n_chars FROM t",
+    "html_links": r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1)) AS h, generate_subscripts(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1), 1) - 1 AS pos FROM pages),
+p AS (SELECT page_id, pos, lower(regexp_extract(CASE WHEN starts_with(h, '/') THEN url ELSE h END, '^(https?://[^/?#]+)', 1)) AS origin, regexp_replace(regexp_extract(CASE WHEN starts_with(h, '/') THEN h ELSE regexp_extract(h, '^https?://[^/?#]+(.*)$', 1) END, '^([^?#]*)', 1), '/{2,}', '/', 'g') AS way FROM h)
+SELECT page_id, min(pos)::INTEGER AS pos, origin || CASE WHEN way IN ('', '/') THEN '/' ELSE rtrim(way, '/') END AS link FROM p WHERE origin <> '' GROUP BY ALL""",
     "chunk_page_spans": f"""WITH {_PAGES}, s AS (SELECT doc, page, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, length(text) AS n FROM pages2),
 c AS (SELECT doc, unnest(range(0, max(first + n)::BIGINT // 700 + 1)) AS chunk_index FROM s GROUP BY doc)
 SELECT doc, chunk_index::INTEGER AS chunk_index, min(page) AS page_start, max(page) AS page_end FROM c JOIN s USING (doc) WHERE chunk_index * 700 + 700 >= first AND chunk_index * 700 <= first + n GROUP BY doc, chunk_index""",
