@@ -20,6 +20,8 @@ of the order go by hash; an empty table gives no rows; columns of any name are c
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +36,17 @@ SEED = 42
 WORDS_EACH = 5
 #: Documents whose shingles are counted for the order, and the shingles whose counts are used.
 SAMPLE, MOST_COUNTED = 4_000, 100_000
+#: Texts that are Python bytes at a time.
+ROWS = 250
 #: Rows of two numbers that are sent to every task at most: 16 megabytes.
 BROADCAST_ROWS = 1_000_000
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ROWS`` at most, so that few texts are Python objects at a time."""
+    return (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
+
+
 def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
     """The hashes of a text's different shingles, in order."""
     words = text.lower().split()
@@ -85,12 +94,12 @@ def _compared(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of sets that reach the similarity."""
 
     def whole(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [shingles(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "hashes"])
 
     def compare(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             kept = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
@@ -152,7 +161,7 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counted, counts = _counted(texts)
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             bodies = [t.as_py() for t in batch.column(1).cast(pa.binary())]
             prints, found = [simhash.simhash(t) for t in bodies], [shingles(t) for t in bodies]
             nodes = [int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0]) for h in found]

@@ -41,7 +41,7 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen e
 STEMS = (4, 5, 6)
 NEAR = 3
 #: Texts that are Python strings at a time.
-ROWS = 500
+ROWS = 250
 FEATURES = ("hits", "density", "distinct", "near_second", "second", "upper", "exclaim", "punctuation", "mixed", "undone", "log_words", "longest_run")
 
 
