@@ -92,7 +92,8 @@ def words_of(text: Column) -> Column:
 
 def template_table(spark: SparkSession) -> DataFrame:
     """(licence, text) of the templates that come with this module."""
-    return spark.createDataFrame([(name, text) for name, texts in TEMPLATES.items() for text in texts], "licence string, text string")
+    rows = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, texts in TEMPLATES.items() for text in texts])
+    return spark.range(1).select(F.inline(rows))
 
 
 def size_bounds(m: int, threshold: float = THRESHOLD) -> tuple[int, int]:
