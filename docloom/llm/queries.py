@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language, licences, mixing, neighbours, quality, simhash, suffix_dedup, toxicity, url_filter
+from docloom.llm import byte_bpe, decontaminate, infilling, language, licences, mixing, neighbours, quality, resampling, simhash, suffix_dedup, toxicity, url_filter
 from docloom.llm.shared import table
 from docloom.llm.training import fold
 
@@ -171,6 +172,74 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = byte_bpe.of_file(public_tokenizers.path(byte_bpe.VOCABULARY))
+    found = byte_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), known)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("ids"), known), 256).alias("decoded_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.gains(docs, table(spark, sf_dir, "benchmark"))
+    return resampling.ranked(resampling.scored(docs, found, F.lit(None))).withColumnRenamed("id", "doc_id")
+
+
+_OWN_WORDS = r"coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), [])"
+#: The table of CRC-32 is worked out from its polynomial; each different word is hashed once.
+OP12_SQL = rf"""
+WITH RECURSIVE steps(byte, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT byte, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_OWN_WORDS} AS w FROM documents),
+own AS (SELECT r, unnest(w) AS word FROM d),
+aimed AS (SELECT word, count(*) AS n FROM (SELECT unnest({_OWN_WORDS}) AS word FROM benchmark) GROUP BY word),
+met AS (SELECT word, count(*) AS n FROM own GROUP BY word),
+known AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM met UNION SELECT word, hex(encode(word)) FROM aimed), crc_table),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM met JOIN known USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM aimed JOIN known USING (word) GROUP BY bucket),
+gains AS (
+  SELECT range AS bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain
+  FROM range(10000) LEFT JOIN s ON s.bucket = range LEFT JOIN t ON t.bucket = range),
+weights AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM own JOIN known USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5) / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.infilled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return found.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS two,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS three, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS four
+  FROM d),
+forms AS (
+  SELECT *, least(one, two) AS low, greatest(one, two) AS high,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR three >= 90 THEN 'plain' WHEN four < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (SELECT *, substr(x, 1, low) AS p, substr(x, low + 1, high - low) AS m, substr(x, high + 1) AS s FROM forms)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN low END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM parts
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_language": op2_language,
@@ -182,8 +251,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_resampling": op12_resampling,
+    "op13_infilling": op13_infilling,
 }
-SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_licences": OP3_SQL, "op6_mixing": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL}
+SQL: dict[str, str] = {"op1_neighbours": OP1_SQL, "op3_licences": OP3_SQL, "op6_mixing": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_resampling": OP12_SQL, "op13_infilling": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
