@@ -1,13 +1,18 @@
-"""Structure of HTML pages: sections, lines, links and titles.
+"""Structure of HTML pages: the content's container, sections, lines, links, titles and dates.
 
-Pages are parsed one at a time in ``mapInPandas``; what follows (numbering, de-duplication,
-canonical links) is Spark's.
+A page is parsed once and laid out as one text in which every element is a span, so that the text of an
+element, its length and whether it holds a phrase are slices and searches, however deep elements are
+nested.  What follows (numbering, de-duplication, canonical links) is Spark's.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,34 +20,53 @@ from pyspark.sql import functions as F
 
 from docloom.functions import urls
 
-# What is no content, where the content is looked for, and what ends a line.
-JUNK = frozenset("script style noscript nav header footer aside form svg iframe button template".split())
-MAIN = ("main", "article")
+# What is no content, where the content is looked for, where links are, what dates a page, and what ends a line.
+JUNK = frozenset("script style noscript template iframe svg nav header footer".split())
+JUNK_ROLES = ("navigation",)
+JUNK_NAMES = ("cookie", "banner", "consent")
+PREFERRED = (("tag", "main"), ("id", "main-content"), ("class", "main-content"), ("class", "content"), ("class", "field--name-body"), ("role", "main"))
+FALLBACK = (("tag", "article"), ("id", "content"), ("class", "container"), ("class", "region-content"))
+LEAST_CONTENT = 120
+LINKED = (("id", "wb-cont"), ("tag", "main"))
+DATED = frozenset("time p div span li strong".split())
+DATE_MARK = re.compile(r"date\s+modified|last\s+updated|date\s+updated", re.I)
+UNTITLED = "Untitled PDI"
 BLOCKS = frozenset("p blockquote li h1 h2 h3 h4 h5 h6 tr table caption ul ol div section article main body".split())
 # End of fixed values.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-LEAST_MAIN = 120
+HEADINGS = ("h1", "h2", "h3", "h4")
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+DATES = (r"\b(?P<iso>\d{4}-\d{2}-\d{2})\b", r"\b(?P<month>[A-Za-z]{3,9})\s+(?P<day>\d{1,2}),\s*(?P<year>\d{4})\b", r"\b(?P<day>\d{1,2})\s+(?P<month>[A-Za-z]{3,9})\s+(?P<year>\d{4})\b")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "items")
+    """An element: its children and texts, and where it begins and ends in the page's texts."""
+
+    __slots__ = ("tag", "attrs", "items", "junk", "shown", "bare")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.items = tag, attrs, []
+        self.junk = tag in JUNK or attrs.get("role") in JUNK_ROLES or any(name in attrs.get(a, "") for a in ("class", "id") for name in JUNK_NAMES)
+
+    def walk(self, junk: bool = False) -> Iterator[_Node]:
+        """The elements within, in the order of their beginnings."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            if node is not self:
+                yield node
+            stack += [x for x in reversed(node.items) if isinstance(x, _Node) and (junk or not x.junk)]
 
-    def walk(self):
-        for x in self.items:
-            if isinstance(x, _Node):
-                yield x
-                yield from x.walk()
+    def children(self, *tags: str) -> list[_Node]:
+        return [x for x in self.items if isinstance(x, _Node) and x.tag in tags and not x.junk]
 
-    def text(self, junk: bool = False) -> str:
-        parts = [x if isinstance(x, str) else x.text(junk) if junk or x.tag not in JUNK else " " for x in self.items]
-        return re.sub(r"\s+", " ", " ".join(parts) if self.tag in BLOCKS else "".join(parts))
+    def fits(self, kind: str, value: str) -> bool:
+        """Whether a selector of an element's tag, class or other attribute is met."""
+        return self.tag == value if kind == "tag" else value in self.attrs.get(kind, "").split() if kind == "class" else self.attrs.get(kind) == value
 
 
 class _Tree(HTMLParser):
-    """A tree that closes what is left open when its parent ends."""
+    """A tree that closes what is left open when its parent ends; what follows the body's end belongs to the body."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -58,6 +82,8 @@ class _Tree(HTMLParser):
             self.open.append(node)
 
     def handle_endtag(self, tag):
+        if tag in ("body", "html"):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
@@ -67,42 +93,99 @@ class _Tree(HTMLParser):
         self.open[-1].items.append(data)
 
 
-def parsed(html: str) -> _Node:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree.root
-
-
 def _clean(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def container(root: _Node) -> _Node:
-    """The main part: a ``main`` or ``article`` with enough text, else the body, else everything."""
-    nodes = list(root.walk())
-    for tag in MAIN:
-        for n in nodes:
-            if n.tag == tag and len(_clean(n.text())) > LEAST_MAIN:
-                return n
-    return max((n for n in nodes if n.tag == "body"), key=lambda n: len(n.text()), default=root)
-
-
-def title_of(root: _Node, main: _Node) -> str:
-    for place, tag in ((main, "h1"), (root, "title")):
-        for n in place.walk():
-            if n.tag == tag and (t := _clean(n.text(junk=True))):
-                return t
-    return "Untitled"
-
-
-def table_lines(table: _Node) -> list[str]:
+class Page:
+    """A parsed page.  ``shown`` is its text with spaces between blocks, ``bare`` without; neither has junk."""
+
+    def __init__(self, html: str | None):
+        tree = _Tree()
+        tree.feed(html or "")
+        tree.close()
+        self.root = tree.root
+        self.shown, self.bare = self._laid_out()
+        self.content = self._content()
+
+    def _laid_out(self) -> tuple[str, str]:
+        shown, bare, at, plain = [], [], 0, 0
+        stack = [(self.root, iter(self.root.items))]
+        self.root.shown, self.root.bare = 0, 0
+        while stack:
+            node, items = stack[-1]
+            x = next(items, None)
+            if x is None:
+                node.shown, node.bare = slice(node.shown, at), slice(node.bare, plain)
+                stack.pop()
+                continue
+            gap = isinstance(x, _Node) and x.junk or node.tag in BLOCKS
+            if gap:
+                shown.append(" ")
+                at += 1
+            if isinstance(x, str):
+                shown.append(x)
+                bare.append(x)
+                at, plain = at + len(x), plain + len(x)
+            elif not x.junk:
+                x.shown, x.bare = at, plain
+                stack.append((x, iter(x.items)))
+        return "".join(shown), "".join(bare)
+
+    def text(self, node: _Node) -> str:
+        return _clean(self.shown[node.shown])
+
+    def length(self, node: _Node) -> int:
+        return len(_clean(self.bare[node.bare]))
+
+    def _content(self) -> _Node:
+        """The first element of the first preferred selector whose first element has text enough, else the longest of the body and the fallbacks."""
+        nodes = list(self.root.walk())
+        for selector in PREFERRED:
+            node = next((n for n in nodes if n.fits(*selector)), None)
+            if node and self.length(node) > LEAST_CONTENT:
+                return node
+        body = next((n for n in nodes if n.tag == "body"), self.root)
+        return max([body, *(n for s in FALLBACK for n in nodes if n.fits(*s))], key=self.length)
+
+    def title(self) -> str:
+        found = (next((n for n in place.walk() if n.tag == tag), None) for place, tag in ((self.content, "h1"), (self.root, "title")))
+        return next((t for n in found if n and (t := self.text(n))), UNTITLED)
+
+    def updated(self) -> str | None:
+        """The first date of an element that speaks of its change: in the content, or else anywhere."""
+        marks = [(m.start(), m.end()) for m in DATE_MARK.finditer(self.bare)]
+        for place in (self.content, self.root):
+            marked = [n for n in place.walk() if n.tag in DATED and (k := bisect_left(marks, (n.bare.start, 0))) < len(marks) and marks[k][1] <= n.bare.stop]
+            if marked:
+                return next((d for n in marked if (d := iso_date(_clean(self.bare[n.bare])))), None)
+        return None
+
+    def links(self) -> list[str]:
+        """The addresses of the links in the part that is crawled, in order; junk there is crawled too."""
+        nodes = list(self.root.walk(junk=True))
+        place = next((n for s in LINKED for n in nodes if n.fits(*s)), self.root)
+        return [n.attrs["href"] for n in place.walk(junk=True) if n.tag == "a" and "href" in n.attrs]
+
+
+def iso_date(text: str) -> str | None:
+    """The first date of a text that is one, by format: ISO, then month, day and year, then day, month and year; the 31st of a short month is the next one's first."""
+    for pattern in DATES:
+        if m := re.search(pattern, text):
+            if "iso" in m.groupdict():
+                return m["iso"]
+            month, day = m["month"][:3].lower(), int(m["day"])
+            if month in MONTHS and 1 <= day <= 31 and m["year"] != "0000":
+                return (date(int(m["year"]), MONTHS.index(month) + 1, 1) + timedelta(day - 1)).isoformat()
+    return None
+
+
+def table_lines(page: Page, table: _Node) -> list[str]:
     """``Table: <caption>``, then a line for each row, labelled by the header if there is one."""
-    rows, header, out = [n for n in table.walk() if n.tag == "tr"], [], []
-    out += [f"Table: {_clean(n.text())}" for n in table.walk() if n.tag == "caption"]
-    for row in rows:
-        cells = [c for c in row.items if isinstance(c, _Node) and c.tag in ("td", "th")]
-        values = [_clean(c.text()) for c in cells]
+    header, out = [], [f"Table: {page.text(n)}" for n in table.walk() if n.tag == "caption"]
+    for row in (n for n in table.walk() if n.tag == "tr"):
+        cells = row.children("td", "th")
+        values = [page.text(c) for c in cells]
         if not header and cells and all(c.tag == "th" for c in cells):
             header = [v for v in values if v]
         elif any(values):
@@ -110,108 +193,116 @@ def table_lines(table: _Node) -> list[str]:
     return out
 
 
-def item_lines(item: _Node) -> list[str]:
-    own = _Node("li", {})
-    own.items = [x for x in item.items if not (isinstance(x, _Node) and x.tag in ("ul", "ol"))]
-    lines = [f"- {t}"] if (t := _clean(own.text())) else []
-    for nest in (x for x in item.items if isinstance(x, _Node) and x.tag in ("ul", "ol")):
-        for child in nest.items:
-            if isinstance(child, _Node) and child.tag == "li":
-                lines += item_lines(child)
+def item_lines(page: Page, item: _Node) -> list[str]:
+    """A line for an item without its nested lists, then those of their items."""
+    lines, stack = [], [item]
+    while stack:
+        node = stack.pop()
+        own = [x if isinstance(x, str) else page.text(x) for x in node.items if isinstance(x, str) or not (x.junk or x.tag in ("ul", "ol"))]
+        if t := _clean(" ".join(own)):
+            lines.append(f"- {t}")
+        stack += reversed([child for nest in node.children("ul", "ol") for child in nest.children("li")])
     return lines
 
 
-def sections_of(html: str) -> list[tuple[list[str], str, str]]:
+def sections_of(page: Page) -> list[tuple[list[str], str, str]]:
     """(heading path, anchor, text) of the parts under h1 to h4; parts without text are left out."""
-    root = parsed(html)
-    main = container(root)
-    title = title_of(root, main)
+    title = page.title()
     levels: list[str] = [title, "", "", ""]
     out: list[tuple[list[str], str, list[str]]] = [([title], "", [])]
-
-    def visit(node: _Node) -> None:
-        for x in node.items:
-            if isinstance(x, str):
-                if node.tag in ("div", "section", "article", "main", "body", "root") and (t := _clean(x)):
-                    out[-1][2].append(t)
-            elif x.tag in JUNK:
-                continue
-            elif x.tag in ("h1", "h2", "h3", "h4"):
-                if t := _clean(x.text()):
-                    k = int(x.tag[1]) - 1
-                    levels[k:] = [t] + [""] * (3 - k)
-                    out.append(([h for h in levels if h], f"#{x.attrs['id']}" if x.attrs.get("id") else "", []))
-            elif x.tag == "table":
-                out[-1][2].extend(table_lines(x))
-            elif x.tag == "li":
-                out[-1][2].extend(item_lines(x))
-            elif x.tag in ("p", "blockquote", "pre"):
-                if t := _clean(x.text()):
-                    out[-1][2].append(t)
-            else:
-                visit(x)
-
-    visit(main)
-    found = [(path, anchor, _clean(" ".join(lines))) for path, anchor, lines in out]
-    found = [f for f in found if f[2]]
-    return found or ([([title], "", t)] if (t := _clean(main.text())) else [])
-
-
-def lines_of(html: str) -> list[str]:
+    stack: list[tuple[str, _Node | str]] = [(page.content.tag, x) for x in reversed(page.content.items)]
+    while stack:
+        within, x = stack.pop()
+        if isinstance(x, str):
+            if within in ("div", "section", "article", "main", "body", "root") and (t := _clean(x)):
+                out[-1][2].append(t)
+        elif x.junk:
+            continue
+        elif x.tag in HEADINGS:
+            if t := page.text(x):
+                k = int(x.tag[1]) - 1
+                levels[k:] = [t] + [""] * (3 - k)
+                out.append(([h for h in levels if h], f"#{x.attrs['id']}" if x.attrs.get("id") else "", []))
+        elif x.tag == "table":
+            out[-1][2].extend(table_lines(page, x))
+        elif x.tag == "li":
+            out[-1][2].extend(item_lines(page, x))
+        elif x.tag in ("p", "blockquote", "pre"):
+            if t := page.text(x):
+                out[-1][2].append(t)
+        elif x.tag not in ("head", "title"):
+            stack += [(x.tag, y) for y in reversed(x.items)]
+    found = [(path, anchor, t) for path, anchor, lines in out if (t := _clean(" ".join(lines)))]
+    return found or ([([title], "", t)] if (t := page.text(page.content)) else [])
+
+
+def lines_of(page: Page) -> list[str]:
     """Markdown lines: headings, list items, table rows and paragraphs."""
-    main, out = container(parsed(html)), []
-    for n in main.walk():
-        t = _clean(n.text())
-        if not t:
+    out = []
+    for n in page.content.walk():
+        if n.tag not in (*HEADINGS, "li", "p", "tr") or not (t := page.text(n)):
             continue
-        if re.fullmatch("h[1-4]", n.tag):
+        if n.tag in HEADINGS:
             out.append("#" * int(n.tag[1]) + " " + t)
         elif n.tag == "li":
             out.append(f"- {t}")
         elif n.tag == "p":
             out.append(t)
-        elif n.tag == "tr":
-            cells = [_clean(c.text()) for c in n.items if isinstance(c, _Node) and c.tag in ("td", "th")]
-            out.append("Table row: " + " | ".join(c for c in cells if c))
-    return out or [_clean(main.text())]
+        else:
+            out.append("Table row: " + " | ".join(c for c in map(page.text, n.children("td", "th")) if c))
+    return out or [page.text(page.content)]
+
+
+def resolved_links(page: Page, base: str | None) -> list[str | None]:
+    """The page's links as whole addresses; null where no address can be made of one."""
+
+    def one(href: str) -> str | None:
+        try:
+            return urljoin(base or "", href.strip())
+        except ValueError:
+            return None
+
+    return [one(h) for h in page.links()]
 
 
-def _mapped(pages: DataFrame, key: str, html: str, schema: str, rows_of) -> DataFrame:
-    names = ["key", *(x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema))]
+#: What can be read off a page, its type, and how, given the page and its address.
+PARTS: dict[str, tuple[str, Callable[[Page, str | None], object]]] = {
+    "title": ("string", lambda page, base: page.title()),
+    "last_updated": ("string", lambda page, base: page.updated()),
+    "links": ("array<string>", resolved_links),
+    "sections": ("array<struct<heading_path:array<string>,anchor:string,text:string>>", lambda page, base: [{"heading_path": p, "anchor": a or None, "text": t} for p, a, t in sections_of(page)]),
+    "markdown": ("string", lambda page, base: "\n\n".join(dict.fromkeys(lines_of(page)))),
+}
+
+
+def parts(pages: DataFrame, *names: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, and each of ``names`` out of PARTS): every page is parsed once, whatever is asked of it; a null page is an empty one."""
 
     def run(frames):
         for frame in frames:
-            out = [(k, *row) for k, h in zip(frame["key"], frame["html"]) for row in rows_of(h or "")]
-            yield pd.DataFrame(out, columns=names)
+            read = [(k, Page(h), u) for k, u, h in zip(frame["key"], frame["url"], frame["html"])]
+            yield pd.DataFrame({"key": frame["key"], **{name: pd.Series([PARTS[name][1](page, u) for _, page, u in read], dtype=object) for name in names}})
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+    rows = pages.select(F.col(key).alias("key"), (F.col(url) if url in pages.columns else F.lit("")).alias("url"), F.col(html).alias("html"))
+    kinds = ", ".join(f"{name} {PARTS[name][0]}" for name in names)
+    return rows.mapInPandas(run, f"key {pages.schema[key].dataType.simpleString()}, {kinds}").withColumnRenamed("key", key)
 
 
 def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, section_index, heading_path, top_heading, anchor, text)."""
-    found = _mapped(pages, key, html, "section_index int, heading_path array<string>, top_heading string, anchor string, text string", lambda h: [(i, p, p[0], a or None, t) for i, (p, a, t) in enumerate(sections_of(h))])
-    return found
+    found = parts(pages, "sections", key=key, html=html).select(key, F.posexplode("sections").alias("section_index", "s"))
+    return found.select(key, "section_index", "s.heading_path", F.col("s.heading_path")[0].alias("top_heading"), "s.anchor", "s.text")
 
 
 def markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, markdown): each different line once, where it is first."""
-    return _mapped(pages, key, html, "markdown string", lambda h: [("\n\n".join(dict.fromkeys(lines_of(h))),)])
-
-
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)["']"""
-
-
-def main_part(html: Column) -> Column:
-    """The main element of a page, else all of it."""
-    return F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<main(?:\s[^>]*)?>(.*)</main>", 1), F.lit("")), html)
+    return parts(pages, "markdown", key=key, html=html)
 
 
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, pos, link): canonical links of a page's main part, each where it is first; relative ones are resolved."""
-    raw = pages.select(F.col(key).alias("key"), F.col(url).alias("base"), F.posexplode(F.regexp_extract_all(main_part(F.col(html)), F.lit(HREF), 1)).alias("pos", "href"))
-    full = raw.select("key", "pos", urls.resolved("href", "base").alias("full"))
-    canonical = urls.with_canonical(full, "full", "link").where("link is not null")
+    """(key, pos, link): canonical links of the part that is crawled, each where it is first; relative ones are resolved."""
+    raw = parts(pages, "links", key=key, url=url, html=html).select(F.col(key).alias("key"), F.posexplode("links").alias("pos", "full"))
+    canonical = urls.with_canonical(raw, "full", "link").where("link is not null")
     return canonical.groupBy("key", "link").agg(F.min("pos").alias("pos")).select(F.col("key").alias(key), "pos", "link")
 
 

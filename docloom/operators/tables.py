@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from docloom.operators.scans import Batches, Sums, scanned
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -128,36 +128,17 @@ def active_citations(messages: DataFrame, chat: str = "chat_id", order: str = "t
 def batches(records: DataFrame, group: str, order: str, size: str, most_records: int, most_bytes: int) -> DataFrame:
     """Adds ``batch``: records packed in order until the next would exceed either limit; an oversized one goes alone.
 
-    Whether a record begins a batch depends on where the one before began, so this is no window sum:
-    tasks walk their sorted groups once, with the open batch's count and bytes as their only state.
     Ties of the order go by size; a null group is a group, and a null size counts for nothing.
     """
-    names, kind = records.columns, T.StructType([*records.schema.fields, T.StructField("batch", T.LongType())])
-
-    def run(parts):
-        own, batch, n, held = None, 0, 0, 0
-        for part in parts:
-            out = []
-            for key, one in zip(part.column(names.index(group)).to_pylist(), part.column(names.index(size)).to_pylist()):
-                one = one or 0
-                if n and (key,) == own and n + 1 <= most_records and held + one <= most_bytes:
-                    n, held = n + 1, held + one
-                else:
-                    batch = batch + 1 if (key,) == own else 0
-                    own, n, held = (key,), 1, one
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], [*names, "batch"])
-
-    return records.repartition(group).sortWithinPartitions(group, order, size).mapInArrow(run, kind)
+    return scanned(records, [group], [order, size], Batches(most_records, most_bytes), F.col(size))
 
 
 def even_batches(records: DataFrame, group: str, order: str, size: str, most_records: int = 100, most_bytes: int = 1_800_000) -> DataFrame:
     """Adds ``batch``: each group in order, cut into equal numbers of records that fit the bytes on average; one at least."""
     fits = F.greatest(F.lit(1), F.least(F.lit(most_records), F.floor(most_bytes / F.greatest(F.avg(size), F.lit(1.0)))))
     sizes = records.groupBy(F.col(group).alias("of")).agg(fits.alias("fits"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order, size)) - 1
-    own = records.select("*", place.alias("batch")).select(F.struct(*records.columns).alias("own"), "batch", F.col(group).alias("key"))
-    return own.join(sizes, F.col("key").eqNullSafe(F.col("of"))).select("own.*", F.floor(F.col("batch") / F.col("fits")).alias("batch"))
+    placed = scanned(records.select(F.struct("*").alias("own"), F.col(group).alias("key"), F.col(order).alias("order"), F.col(size).alias("size")), ["key"], ["order", "size"], Sums("batch"), F.lit(1))
+    return placed.join(sizes, F.col("key").eqNullSafe(F.col("of"))).select("own.*", F.floor(F.col("batch") / F.col("fits")).alias("batch"))
 
 
 def chunks_replaced(existing: DataFrame, new: DataFrame, parents: DataFrame, source: str, at: str) -> tuple[DataFrame, DataFrame]:

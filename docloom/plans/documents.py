@@ -19,7 +19,28 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.sections(table(spark, sf_dir, "pages"))
+    got = html.sections(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "section_index", F.array_join("heading_path", " > ").alias("path"), "top_heading", "anchor", "text")
+
+
+#: What is put in front of a page's body, by its number: containers, junk and dates of several kinds; FILLER makes a container long enough.
+FILLER = "What this part of the page says about the matter is long enough that it may well be the content. " * 2
+FRONTS = (
+    f'<main><p>{FILLER}</p><ul><li>Date modified: <time>2024-03-05</time></li></ul></main><h1>Beside</h1>',
+    f'<div id="main-content"><h1>Own <b>title</b></h1><div class="cookie-banner">Last updated: 2001-01-01</div>{FILLER}<p>Last   updated March 5, 2024</p></div>',
+    '<footer><p>Date updated: 5 Mar 2023</p></footer><form><p>Date updated: 6 Apr 2023</p></form>',
+    f'<main>short</main><div role="main"><p>{FILLER}</p></div><aside><strong>last\nupdated</strong> Sept 31, 2024 <span>Date modified 31 Sept 2024</span></aside>',
+    '<table><tr><td>Date modified 2024-01-01</td></tr></table><div class="content wide">short</div>',
+    f'<div class="site content"><h1></h1><p>Date modified: Foo 5, 2024 or 7 June 2022</p>{FILLER}</div>',
+)
+
+
+def content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, date and text of the content of pages whose bodies begin in several ways."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), picked(FRONTS, F.col("page_id")))).alias("html"))
+    got = html.parts(pages, "title", "last_updated", "sections")
+    texts_of = F.array_join(F.transform("sections", lambda s: s["text"]), " ")
+    return got.select("page_id", "title", "last_updated", F.size("sections").alias("n_sections"), F.md5(texts_of).alias("text_hash"))
 
 
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +66,12 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = chunking.chunked_sections(html_sections(spark, sf_dir), most=600, least=120, overlap=120)
+    got = chunking.chunked_sections(html.sections(table(spark, sf_dir, "pages")), most=600, least=120, overlap=120)
     return got.select("page_id", "section_index", "chunk_index", "start_char", "end_char", "est_tokens")
 
 
 def heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.heading_distribution(html_sections(spark, sf_dir))
+    return reports.heading_distribution(html.sections(table(spark, sf_dir, "pages")))
 
 
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +98,11 @@ def running_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def printed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of printed documents: cleaned pages, cut at headings, with the pages that they span."""
     k = F.col("doc_id")
-    heading = F.when(k % 7 == 3, F.concat(F.lit("1.2 Scope of "), k.cast("string"), F.lit("\nIt begins\n\n"))).when(k % 7 == 5, "OVERVIEW\n\n").otherwise("")
+    heading = F.when(k % 7 == 3, F.concat(F.lit("1.2 Scope of "), k.cast("string"), F.lit("\nIt begins\n\n"))).when(k % 7 == 5, "OVERVIEW\n\n").when(k % 11 == 6, "4.1.3 Deep\n\n").otherwise("")
     body = F.concat(F.lit("2024-01-01\n"), heading, "text", F.lit("\n\nrules ..... 12\nhyphen-\nated"))
     pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), k.alias("page"), chunking.cleaned_page(body).alias("text"))
-    got = chunking.page_sections(pages, "doc", "page", "text").where("heading like 'Scope%' or heading = 'Document' or heading = 'OVERVIEW' or heading like '1.2 Scope%'")
-    return got.select("doc", "heading", F.array_join("heading_path", " > ").alias("path"), "page_start")
+    got = chunking.page_sections(pages, "doc", "page", "text")
+    return got.select("doc", "section", "heading", F.array_join("heading_path", " > ").alias("path"), "page_start", "page_end", F.md5("text").alias("text_hash"))
 
 
 def chunk_page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +190,7 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    html_title, html_sections, html_markdown, html_links, html_text, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, running_line_counts, printed_sections, chunk_page_spans, markdown_sections, heading_lines, page_quality,
+    html_title, html_sections, content_parts, html_markdown, html_links, html_text, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, running_line_counts, printed_sections, chunk_page_spans, markdown_sections, heading_lines, page_quality,
     crawl_bfs, crawl_statuses, seed_urls, hub_links, front_matter, library_search, case_search, citation_memo, prompt_assembly,
 )}
 _MD = f"md AS (SELECT doc_id, {sql_picked(PHRASES[:5], 'doc_id')} AS h, text AS t FROM documents)"
@@ -181,7 +202,22 @@ w AS (SELECT *, trim(t) <> '' AS filled, sum((trim(t) <> '')::INT) OVER (PARTITI
 z AS (SELECT doc, page, n, t, regexp_replace(regexp_replace(lower(trim(t)), '\d+', '#', 'g'), '\s+', ' ', 'g') AS k, filled AND up <= 4 AS top, filled AND down <= 4 AS bottom FROM w),
 size AS (SELECT doc, greatest(3, floor(count(*) * 0.55::DOUBLE)) AS least FROM pages2 GROUP BY doc),
 c AS (SELECT doc, k, sum(top::INT) AS n_top, sum(bottom::INT) AS n_bottom, sum(top::INT) >= min(least) AS head, sum(bottom::INT) >= min(least) AS foot FROM z JOIN size USING (doc) WHERE top OR bottom GROUP BY doc, k)"""
+_PLAIN = lambda e: f"trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({e}, '</?p>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
+_ARTICLE = f"""parts AS (SELECT page_id, {_PLAIN("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad, {_PLAIN("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, {_PLAIN("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+  {_PLAIN("regexp_extract(html, '(?s)</h1>(.*?)</article>', 1)")} AS body FROM pages)"""
+#: The levels of ``lines`` (line, ...), where they are headings.
+_LEVELS = r"""tidy AS (SELECT *, regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^[:-]+|[:-]+$', '', 'g') AS x FROM lines),
+split AS (SELECT *, regexp_extract(x, '^(\d+(?:\.\d+)*)(?:[.)])?\s+(.+)$', ['number', 'title']) AS r FROM tidy),
+leveled AS (SELECT *, CASE WHEN length(x) NOT BETWEEN 4 AND 130 OR regexp_matches(x, '^[-*•]|[;,]$|\bv\.\s+[A-Z]|\.{3,}') OR contains(lower(x), '(canada.ca)') OR lower(x) IN ('table of contents', 'updates to chapter', 'page details') OR length(r.title) > 100 AND contains(r.title, ';') THEN NULL
+  WHEN r.number <> '' THEN len(string_split(r.number, '.')) WHEN regexp_matches(x, '^[A-Z][A-Z0-9 ,:/()\-]{4,}$') THEN 1 END AS level FROM split)"""
 SQL = {
+    "html_sections": f"""WITH {_ARTICLE}, s AS (SELECT page_id, 0 AS k, h1, ad AS text FROM parts UNION ALL SELECT page_id, 1, h1, body FROM parts)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS section_index, h1 AS path, h1 AS top_heading, NULL::VARCHAR AS anchor, text FROM s WHERE text <> ''""",
+    "content_parts": f"""WITH {_ARTICLE}, f AS (SELECT *, page_id % 6 AS k, '{FILLER.strip()}' AS filler FROM parts)
+SELECT page_id, CASE k WHEN 0 THEN title WHEN 1 THEN 'Own title' WHEN 2 THEN h1 WHEN 3 THEN title WHEN 4 THEN h1 ELSE title END AS title,
+  CASE k WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2024-03-05' WHEN 2 THEN '2023-04-06' WHEN 3 THEN '2024-10-01' WHEN 5 THEN '2022-06-07' END AS last_updated, CASE WHEN k IN (2, 4) THEN 2 ELSE 1 END AS n_sections,
+  md5(CASE k WHEN 0 THEN filler || ' - Date modified: 2024-03-05' WHEN 1 THEN filler || ' Last updated March 5, 2024' WHEN 2 THEN 'Date updated: 6 Apr 2023 ' || ad || ' ' || body WHEN 3 THEN filler
+      WHEN 4 THEN 'Date modified 2024-01-01 short ' || ad || ' ' || body ELSE 'Date modified: Foo 5, 2024 or 7 June 2022 ' || filler END) AS text_hash FROM f""",
     "html_title": r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'Untitled') AS title FROM pages",
     "html_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, md5(t) AS text_hash, length(t)::INTEGER AS n_chars FROM t",
     "html_links": r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1)) AS h, generate_subscripts(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1), 1) - 1 AS pos FROM pages),
@@ -203,11 +239,27 @@ SELECT doc_id, level::INTEGER AS level, count(*) AS n FROM h WHERE level IS NOT
     "running_lines": f"""WITH {_ZONES}, kept AS (SELECT z.* FROM z LEFT JOIN c ON z.doc = c.doc AND z.k = c.k WHERE NOT ((top AND coalesce(head, false)) OR (bottom AND coalesce(foot, false))))
 SELECT doc, page, coalesce(sum(length(t) + 1)::BIGINT - 1, 0)::INTEGER AS n_chars, coalesce(bool_or(contains(t, 'Manual 12')), false) AS has_header FROM pages2 LEFT JOIN kept USING (doc, page) GROUP BY doc, page""",
     "running_line_counts": f"WITH {_ZONES} SELECT doc, k AS key, n_top::BIGINT AS n_top, n_bottom::BIGINT AS n_bottom, head, foot FROM c WHERE n_top + n_bottom > 1",
-    "printed_sections": """WITH k AS (SELECT source AS doc, doc_id AS page, doc_id % 7 AS m FROM documents),
-s AS (SELECT *, min(page) OVER (PARTITION BY doc) AS first, max(CASE WHEN m = 5 THEN page END) OVER (PARTITION BY doc ORDER BY page) AS top FROM k)
-SELECT doc, 'OVERVIEW' AS heading, 'OVERVIEW' AS path, page AS page_start FROM s WHERE m = 5
-UNION ALL SELECT doc, '1.2 Scope of ' || page, CASE WHEN top IS NULL THEN 'Document' ELSE 'OVERVIEW' END || ' > 1.2 Scope of ' || page, page FROM s WHERE m = 3
-UNION ALL SELECT DISTINCT doc, 'Document', 'Document', first FROM s WHERE page = first AND m NOT IN (3, 5)""",
+    "printed_sections": rf"""WITH RECURSIVE bodies AS (
+  SELECT source AS doc, doc_id AS page, string_split('2024-01-01' || chr(10) || CASE WHEN doc_id % 7 = 3 THEN '1.2 Scope of ' || doc_id || chr(10) || 'It begins' || chr(10) || chr(10) WHEN doc_id % 7 = 5 THEN 'OVERVIEW' || chr(10) || chr(10)
+    WHEN doc_id % 11 = 6 THEN '4.1.3 Deep' || chr(10) || chr(10) ELSE '' END || text || chr(10) || chr(10) || 'rules ..... 12' || chr(10) || 'hyphen-' || chr(10) || 'ated', chr(10)) AS ls FROM documents),
+raw AS (SELECT doc, page, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM bodies),
+numbered AS (SELECT doc, page, i, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM raw),
+led AS (SELECT *, regexp_replace(t, '(\.{{3,}}\s*|\s{{2,}})\d{{1,4}}$', '') AS cut FROM numbered WHERE t = '' OR NOT regexp_matches(t, '^\.*$')),
+clean AS (SELECT doc, page, i, CASE WHEN cut <> t AND regexp_matches(cut, '[A-Za-z]') THEN rtrim(cut, ' ') ELSE regexp_replace(regexp_replace(t, '\.{{3,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS t FROM led),
+joined AS (SELECT doc, page, string_agg(t, chr(10) ORDER BY i) AS t FROM clean WHERE NOT regexp_matches(t, '^\d{{4}}-\d{{2}}-\d{{2}}$') GROUP BY doc, page),
+pages AS (SELECT doc, page, regexp_replace(regexp_replace(regexp_replace(t, '(\w)-\n(\w)', '\1\2', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g') AS t FROM joined),
+cut AS (SELECT doc, page, unnest(string_split(t, chr(10) || chr(10))) AS part, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS n FROM pages),
+parts AS (SELECT doc, page, n, regexp_replace(part, '^\s+|\s+$', '', 'g') AS part FROM cut),
+lines AS (SELECT *, trim(string_split(part, chr(10))[1], ' ') AS line FROM parts WHERE part <> ''),
+{_LEVELS},
+placed AS (SELECT *, sum((level IS NOT NULL)::INT) OVER (PARTITION BY doc ORDER BY page, n) AS section FROM leveled),
+heads AS (SELECT doc, section, level, line FROM placed WHERE level IS NOT NULL),
+paths(doc, section, path) AS (
+  SELECT DISTINCT doc, 0::HUGEINT, ['Document'] FROM placed
+  UNION ALL SELECT h.doc, h.section, list_append(p.path[1:h.level - 1], h.line) FROM paths p JOIN heads h ON h.doc = p.doc AND h.section = p.section + 1)
+SELECT doc, section::BIGINT AS section, CASE section WHEN 0 THEN 'Document' ELSE min(line) FILTER (level IS NOT NULL) END AS heading, array_to_string(any_value(path), ' > ') AS path,
+  CASE section WHEN 0 THEN any_value(f.first) ELSE min(page) END AS page_start, max(page) AS page_end, md5(string_agg(part, chr(10) || chr(10) ORDER BY page, n)) AS text_hash
+FROM placed JOIN paths USING (doc, section) JOIN (SELECT source AS doc, min(doc_id) AS first FROM documents GROUP BY source) f USING (doc) GROUP BY doc, section""",
     "page_quality": f"""WITH t AS (SELECT doc_id, doc_id % 3 AS k, {sql_picked(('Contents' + chr(10) + 'Rules ..... 12', 'short', 'enable javascript'), 'doc_id')} || chr(10) || text AS t FROM documents),
 c AS (SELECT *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS clean FROM t)
 SELECT doc_id, contains(lower(t), 'contents') AND regexp_matches(t, '(?m)\\.{{3,}}\\s*\\d+\\s*$') AS toc_like, length(trim(t)) < 300 AS low_text, CASE WHEN length(clean) < 200 THEN 'content too short (' || length(clean) || ' chars)' WHEN contains(clean, 'enable javascript') THEN 'blocked pattern detected: enable javascript'

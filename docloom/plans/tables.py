@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
-from docloom.operators import guards, reports, tables
+from docloom.operators import guards, remote, reports, tables
 from docloom.plans.binding import FAMILIES, PHRASES, SQL_CHUNKS, chunks, picked, sql_picked
 from docloom.sources.readers import table
 
@@ -133,6 +133,24 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.batches(docs, "source_id", "place", "size", 20, 2_000_000_000).select("source_id", "doc_id", "batch")
 
 
+def _counted(texts: list[str]) -> list[list[float]]:
+    """Stands for a service that does not take all texts."""
+    if any(len(t) % 50 == 0 for t in texts):
+        raise ValueError("a text is refused")
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+def embedded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    got = remote.embedded(docs, _counted, "source", "doc_id", "text", batch_size=8)
+    return got.select("source", "doc_id", "place", "batch", F.col("vector")[0].alias("n_chars"), F.col("vector")[1].alias("n_spaces"), "error")
+
+
+def embedding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return remote.batch_errors(remote.embedded(docs, _counted, "source", "doc_id", "text", batch_size=8), "source")
+
+
 def even_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.when(F.col("source") != "src3", F.col("source")).alias("source_id"), "doc_id", F.col("n_chars").alias("size"))
     return tables.even_batches(docs, "source_id", "doc_id", "size", 100, 20_000).select("source_id", "doc_id", "batch")
@@ -271,9 +289,11 @@ _STATES = ", ".join(f"('{c}', '{s}', {str(r not in guards.NO_RETRY).lower()})" f
 
 QUERIES = {f.__name__: f for f in (
     owner_join_chain, owner_semi_guard, orphan_anti, recent_messages, history_top_sessions, history_nested, citation_first_hit, sync_mismatches, content_hash_dedupe, duplicate_hash_groups, quality_report, top_first_lines,
-    upsert_latest_wins, skip_existing, replace_source, upsert_email_coalesce, session_touch, append_guarded, chat_merge, active_citations, greedy_batches, even_batches, chunk_pool, replaced_chunks, appended_sessions, unique_sources, ingest_stats, page_quality_report, trace_sample, validate_fields, enum_distribution, idempotency_check,
+    upsert_latest_wins, skip_existing, replace_source, upsert_email_coalesce, session_touch, append_guarded, chat_merge, active_citations, greedy_batches, even_batches, embedded_batches, embedding_errors, chunk_pool, replaced_chunks, appended_sessions, unique_sources, ingest_stats, page_quality_report, trace_sample, validate_fields, enum_distribution, idempotency_check,
     eval_summary, budget_counters, trace_phases, trace_runs, trace_contract_errors, contract_check, authority_guard, failure_state,
 )}
+_CALLED = """WITH p AS (SELECT source, doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
+b AS (SELECT *, bool_or(length(t) % 50 = 0) OVER (PARTITION BY source, place // 8) AS refused FROM p)"""
 SQL = {
     "owner_join_chain": "SELECT c_custkey, count(*) AS n_items, count(DISTINCT o_orderkey) AS n_containers, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' GROUP BY c_custkey",
     "owner_semi_guard": "SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
@@ -303,6 +323,8 @@ UNION ALL SELECT session_id, user_id, title, ts FROM reqs WHERE session_id NOT I
     "chat_merge": "SELECT chat_id, message_id, ts, role FROM (SELECT conv_id AS chat_id, turn // 2 AS message_id, turn AS ts, role, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY 1 - turn % 2, turn) AS n FROM conversations) WHERE n = 1",
     "active_citations": """WITH f AS (SELECT conv_id AS chat_id, turn * m % 4 AS citation_id, turn * 10 + m AS value, turn * 2 + i AS spot FROM conversations, (VALUES (0, 1), (1, 3)) v(i, m)),
 g AS (SELECT chat_id, citation_id, arg_max(value, spot) AS value, min(spot) AS first_spot FROM f GROUP BY ALL) SELECT chat_id, citation_id, value, row_number() OVER (PARTITION BY chat_id ORDER BY first_spot)::INTEGER AS place FROM g""",
+    "embedded_batches": f"{_CALLED} SELECT source, doc_id, place, place // 8 AS batch, CASE WHEN NOT refused THEN length(t)::DOUBLE END AS n_chars, CASE WHEN NOT refused THEN (length(t) - length(replace(t, ' ', '')))::DOUBLE END AS n_spaces, CASE WHEN refused THEN 'a text is refused' END AS error FROM b",
+    "embedding_errors": f"{_CALLED} SELECT source, 'embed' AS stage, min(place) AS start_index, max(place) AS end_index, 'a text is refused' AS message FROM b WHERE refused GROUP BY source, place // 8",
     "even_batches": """WITH o AS (SELECT CASE WHEN source <> 'src3' THEN source END AS source_id, doc_id, n_chars AS size FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) - 1 AS r, greatest(1, least(100, floor(20000 / avg(size) OVER (PARTITION BY source_id)))) AS fits FROM o)
 SELECT source_id, doc_id, (r // fits::BIGINT)::BIGINT AS batch FROM n""",

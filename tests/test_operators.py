@@ -1,10 +1,12 @@
 """Behaviour of single operators on small inputs."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import citations, rules, text, urls
-from docloom.operators import chunking, crawl, guards, html, retrieval, tables
+from docloom.operators import chunking, crawl, guards, html, remote, retrieval, scans, tables
 
 
 def one(spark, column):
@@ -77,16 +79,67 @@ def test_source_policy(spark):
 
 
 def test_sections_follow_headings():
-    got = html.sections_of("<body><main><h1>Top</h1><p>" + "intro " * 40 + "</p><h2 id='eligibility'>Who</h2><ul><li>one<ul><li>two</li></ul></li></ul><h3 id='documents'>Papers</h3><p>list</p></main></body>")
+    got = html.sections_of(html.Page("<body><main><h1>Top</h1><p>" + "intro " * 40 + "</p><h2 id='eligibility'>Who</h2><ul><li>one<ul><li>two</li></ul></li></ul><h3 id='documents'>Papers</h3><p>list</p></main></body>"))
     assert [len(p) for p, _, _ in got] == [1, 2, 3]
     assert got[1][1] == "#eligibility" and got[1][2] == "- one - two"
-    assert html.sections_of("<html><title>T</title><body><p>x</p></body></html>") == [(["T"], "", "x")]
-    assert html.sections_of("") == []
+    assert html.sections_of(html.Page("<html><title>T</title><body><p>x</p></body></html>")) == [(["T"], "", "x")]
+    assert html.sections_of(html.Page("")) == []
+
+
+LONG = "enough words that this is the content of the page and no mere notice of anything else, " * 2
+
+
+def page_of(body, head=""):
+    return html.Page(f"<html><head>{head}</head><body>{body}</body></html>")
+
+
+def test_junk_goes_and_forms_stay():
+    page = page_of(f'<div class="cookie-banner">We use cookies</div><div id="sidebar">beside</div><div id="main-content"><h1>T</h1><p>{LONG}</p><nav>n</nav><p id="x-consent">c</p></div>')
+    assert html.sections_of(page) == [(["T"], "", LONG.strip())]
+    page = page_of("<form><p>In a form</p></form><aside><p>In an aside</p></aside>", "<title>T</title>")
+    assert html.sections_of(page) == [(["T"], "", "In a form In an aside")]
+
+
+def test_containers_are_chosen_in_order():
+    long, short = f"<p>{LONG}</p>", "<p>short</p>"
+    for body, tag, attrs in (
+        (f"<article>{long}{long}</article><main>{long}</main>", "main", {}),
+        (f"<main>{short}</main><main>{long}</main><div class='a content'>{long}</div>", "div", {"class": "a content"}),
+        (f"<div class='contents'>{long}</div><div role='main'>{long}</div>", "div", {"role": "main"}),
+        (f"<div class='field--name-body'>{long}</div><div role='main'>{long}</div>", "div", {"class": "field--name-body"}),
+        (f"<main class='banner'>{long}</main><p>{LONG}</p>", "body", {}),
+        (f"<article>{long}</article>", "body", {}),
+    ):
+        got = page_of(body).content
+        assert (got.tag, got.attrs) == (tag, attrs), body
+
+
+def test_titles_and_dates_of_pages():
+    assert page_of("<h1> </h1>", "<title>T</title>").title() == "T" and page_of("").title() == "Untitled PDI" and page_of("<nav><h1>n</h1></nav><h1>a <b>b</b></h1>").title() == "a b"
+    dates = {"2024-03-05": "2024-03-05", "March 5, 2024": "2024-03-05", "Sept 31, 2024": "2024-10-01", "5 Mar 2024": "2024-03-05", "Foo 5, 2024": None, "Mar 32, 2024": None, "05/03/2024": None, "": None, "Foo 1, 2024 and 7 June 2022": "2022-06-07"}
+    assert {d: html.iso_date(d) for d in dates} == dates
+    assert page_of(f"<main>{LONG}</main><p>Date modified: 5 Mar 2024</p>").updated() == "2024-03-05"
+    assert page_of(f"<main>{LONG}<p>last updated soon</p></main><p>Date modified: 5 Mar 2024</p>").updated() is None
+    assert page_of("<td>Date modified: 2024-01-01</td>").updated() is None and page_of("<p>2024-01-01</p>").updated() is None
+    assert page_of("<footer><p>Date modified: 2024-01-01</p></footer>").updated() is None
+
+
+def test_links_of_the_crawled_part(spark):
+    rows = [(1, "https://e.org/a/", "<nav><a href='/n'>n</a></nav><main><a href='b?utm_source=x'>b</a><a href='b'>b</a><a>none</a></main>"), (2, "https://e.org/", "<nav><a href='/n'>n</a></nav>"), (3, "https://e.org/", None), (4, "https://e.org/", "<div id='wb-cont'><a href='http://[bad'>x</a><a href='mailto:x'>m</a></div><a href='/c'>c</a>")]
+    got = html.links(spark.createDataFrame(rows, "page_id int, url string, html string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "https://e.org/a/b"), (2, 0, "https://e.org/n")]
+
+
+def test_deep_pages_are_read():
+    deep = "<div>" * 20_000 + "<p>in it</p><ul>" + "<li>x<ul>" * 3_000
+    page = page_of(deep, "<title>T</title>")
+    (path, _, text), = html.sections_of(page)
+    assert path == ["T"] and text.startswith("in it - x - x") and page.updated() is None and html.lines_of(page)
 
 
 def test_tables_are_labelled():
-    table = next(n for n in html.parsed("<table><caption>Fees</caption><tr><th>Kind</th><th>Cost</th></tr><tr><td>a</td><td>1</td></tr></table>").walk() if n.tag == "table")
-    assert html.table_lines(table) == ["Table: Fees", "Kind: a | Cost: 1"]
+    page = html.Page("<table><caption>Fees</caption><tr><th>Kind</th><th>Cost</th></tr><tr><td>a</td><td>1</td></tr></table>")
+    assert html.table_lines(page, page.root.children("table")[0]) == ["Table: Fees", "Kind: a | Cost: 1"]
 
 
 def test_running_lines_go(spark):
@@ -291,3 +344,126 @@ def test_readers_of_files(spark, tmp_path):
     assert [r["url"] for r in readers.url_list(spark, str(tmp_path / "urls.txt")).orderBy("pos").collect()] == ["https://a.b", "https://c.d"]
     writers.json_rows(spark.createDataFrame([("s", "t")], "source_id string, text string"), str(tmp_path / "out"))
     assert readers.page_json(spark, str(tmp_path / "out")).first()["text"] == "t"
+
+
+def walked_batches(sizes, most_records, most_bytes):
+    out, batch, n, held = [], -1, most_records, 0
+    for size in sizes:
+        if n and n + 1 <= most_records and held + size <= most_bytes:
+            n, held = n + 1, held + size
+        else:
+            batch, n, held = batch + 1, 1, size
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("most_records, most_bytes", [(1, 50), (4, 30), (7, 1_000_000), (1000, 25)])
+def test_batches_equal_a_walk_over_any_ranges(spark, most_records, most_bytes):
+    """A group with most of the rows lies in many ranges, small ones share a range; sizes include none, null and too large ones."""
+    rng = np.random.default_rng(most_records)
+    groups = [None if g == 3 else "hot" if g > 5 else f"g{g}" for g in rng.integers(0, 40, 3_000)]
+    rows = [(g, k, None if s == 13 else int(s) * 10 ** int(s == 28) * int(s != 29)) for k, (g, s) in enumerate(zip(groups, rng.integers(0, 30, 3_000)))]
+    made = tables.batches(spark.createDataFrame(rows, "s string, k int, n int").repartition(8), "s", "k", "n", most_records, most_bytes)
+    got = {r["k"]: r["batch"] for r in made.collect()}
+    for g in set(groups):
+        own = [(k, n or 0) for s, k, n in rows if s == g]
+        assert [got[k] for k, _ in own] == walked_batches([n for _, n in own], most_records, most_bytes)
+
+
+def test_scans_agree_with_walks_over_any_stretches():
+    """State by state: a stretch's summary does what walking it does, whatever came before."""
+    rng = np.random.default_rng(5)
+    sizes, wide = scans.Batches(5, 40), scans.Outline("Document")
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("heading", pa.string())]))
+    for trial in range(60):
+        sized, lined = sizes.start(), wide.start()
+        for stretch in range(8):
+            column = [pa.array(rng.integers(0, 25, int(rng.integers(1, 12))))]
+            _, after = sizes.walk(column, sized)
+            assert sizes.after(sized, sizes.summary(column)) == after
+            sized = after
+            heads = [pa.array([[{"level": int(v), "heading": f"{trial}.{stretch}.{k}.{v}"} for v in rng.integers(1, 7, int(rng.integers(0, 3)))] for k in range(int(rng.integers(1, 4)))], kind)]
+            _, after = wide.walk(heads, lined)
+            assert wide.after(lined, wide.summary(heads)) == after
+            lined = after
+
+
+def test_sections_of_a_long_document_over_many_ranges(spark):
+    """Against a plain walk with one stack, pages in any order."""
+    rng = np.random.default_rng(9)
+    docs = {}
+    for doc, n in (("long", 400), (None, 7), ("short", 2), ("blank", 3)):
+        for page in range(n):
+            parts = [["", "plain words here", f"{'.'.join('1' * int(rng.integers(1, 6)))} Title {page}", "ALL CAPITALS"][int(k)] for k in rng.integers(0, 4, 4)] if doc != "blank" else ["", " "]
+            docs[doc, page] = "\n\n".join(parts)
+    pages = spark.createDataFrame([(d, p, t) for (d, p), t in docs.items()], "doc string, page int, text string").repartition(6)
+    want = set()
+    for doc in {d for d, _ in docs}:
+        stack, section, held = ["Document"], (0, "Document", ("Document",), 0), []
+
+        def done(doc=doc):
+            if held:
+                want.add((doc, *section[:4], held[-1][0], "\n\n".join(t for _, t in held)))
+
+        for page in range(sum(d == doc for d, _ in docs)):
+            for part in filter(None, map(str.strip, docs[doc, page].split("\n\n"))):
+                level = part.split()[0].count(".") + 1 if part[0] == "1" else 1 if part.isupper() else None
+                if level:
+                    done()
+                    stack = [*stack[: level - 1], part]
+                    section, held = (section[0] + 1, part, tuple(stack), page), [(page, part)]
+                else:
+                    held.append((page, part))
+        done()
+    got = chunking.page_sections(pages, "doc", "page", "text").collect()
+    assert {(r["doc"], r["section"], r["heading"], tuple(r["heading_path"]), r["page_start"], r["page_end"], r["text"]) for r in got} == want and len(got) == len(want)
+
+
+def test_page_spans_and_even_batches_of_a_large_group(spark):
+    rows = [("a" if k % 10 else None, k, "x" * (k % 7)) for k in range(900)]
+    spans = {(r["doc"], r["page"]): (r["first"], r["last"]) for r in chunking.page_spans(spark.createDataFrame([*rows, ("b", 1, None), ("b", 2, "yy")], "doc string, page int, text string").repartition(5), "doc", "page", "text").collect()}
+    for doc in ("a", None):
+        at = 0
+        for _, k, t in (r for r in rows if r[0] == doc):
+            assert spans[doc, k] == (at, at + len(t))
+            at += len(t) + 2
+    assert spans["b", 1] == (0, 0) and spans["b", 2] == (2, 4)
+    even = tables.even_batches(spark.createDataFrame([(d, k, len(t)) for d, k, t in rows], "s string, k int, n int"), "s", "k", "n", 100, 30).collect()
+    place = {}
+    for r in sorted(even, key=lambda r: r["k"]):
+        fits = max(1, min(100, int(30 // max(1.0, np.mean([len(t) for d, _, t in rows if d == r["s"]])))))
+        assert r["batch"] == place.setdefault(r["s"], 0) // fits
+        place[r["s"]] += 1
+
+
+def test_faults_of_a_batch_are_kept_apart(spark, tmp_path):
+    tried = str(tmp_path / "tried")
+
+    def call(texts):
+        with open(tried, "a") as f:
+            f.write(texts[0] + "\n")
+        if "bad" in texts:
+            raise ValueError("bad text")
+        if "down" in texts:
+            raise remote.Retryable("service is down")
+        if "flaky" in texts and open(tried).read().split("\n").count("flaky") < 3:
+            raise ConnectionError("try again")
+        if "short" in texts:
+            return [[1.0]]
+        if "gap" in texts:
+            return [None if t == "gap" else [1.0] for t in texts]
+        return [[float(len(t))] for t in texts]
+
+    plain = [("a", k, f"t{k}") for k in range(10)] + [(None, k, "x" * k) for k in range(3)]
+    odd = [(g, 0, g) for g in ("bad", "down", "flaky", "short", "gap")] + [(g, 1, None) for g in ("bad", "down", "flaky", "short", "gap")]
+    rows = spark.createDataFrame([*plain, *odd], "g string, k int, t string").repartition(3)
+    found = remote.embedded(rows, call, "g", "k", "t", batch_size=4, concurrency=3, retries=2, wait=lambda attempt: 0.0)
+    got = {(r["g"], r["k"]): r for r in found.collect()}
+    assert len(got) == len(plain) + len(odd)
+    assert all(got[g, k]["vector"] == [float(len(t))] and got[g, k]["error"] is None and got[g, k]["batch"] == k // 4 for g, k, t in plain)
+    assert got["flaky", 0]["vector"] == [5.0] and got["flaky", 1]["vector"] == [0.0]
+    faults = {g: {(got[g, k]["vector"], got[g, k]["error"]) for k in (0, 1)} for g in ("bad", "down", "short", "gap")}
+    assert faults == {"bad": {(None, "bad text")}, "down": {(None, "service is down")}, "short": {(None, "1 vectors for 2 texts")}, "gap": {(None, "no vector for text 0")}}
+    errors = {r["g"]: (r["stage"], r["start_index"], r["end_index"]) for r in remote.batch_errors(found, "g").collect()}
+    assert errors == {g: ("embed", 0, 1) for g in ("bad", "down", "short", "gap")}
+    assert remote.embedded(rows.where("false"), call, "g", "k", "t").count() == 0
