@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import let
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_TOKENS = 1_000_000
 #: Texts that are Python strings at a time; pieces of up to LONGEST characters that a task remembers, some 80 MB, and pairs.
@@ -131,7 +133,7 @@ class Encoder:
                 self.shorter[i] = next(ids[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ids)
         self.automaton.make_automaton()
         self.split = regex.compile(known.pattern).findall
-        self.neighbours = lru_cache(PAIRS)(self._neighbours)
+        self.fitting = lru_cache(PAIRS)(self._fitting)
         self.pieces = Pieces({t.decode(): (i,) for i, t in tokens.items() if _is_text(t)}, self.backtracked)
 
     def _neighbours(self, a: int, b: int) -> bool:
@@ -152,36 +154,44 @@ class Encoder:
             else:
                 until, b = b + 1, left[b]
 
+    def _fitting(self, last: int, token: int) -> int:
+        """The longest prefix of a token, the token included, that may follow ``last`` (-1: the beginning); -1 if none may."""
+        while token >= 0 and last >= 0 and not self._neighbours(last, token):
+            token = self.shorter[token]
+        return token
+
     def backtracked(self, piece: str) -> tuple[int, ...]:
         """The ids of one piece that is no token itself."""
         body = piece.encode()
-        size, shorter, may_follow = self.size, self.shorter, self.neighbours
+        size, shorter, fitting = self.size, self.shorter, self.fitting
         longest = list(map(self.byte.__getitem__, body))
         for end, token in self.automaton.iter(piece if len(piece) == len(body) else body.decode("latin-1")):
             longest[end + 1 - size[token]] = token  # later ends are longer
-        at, n, last, found, dead = 0, len(body), -1, [], set()
+        at, n, found, dead = 0, len(body), [-1], set()
         token = longest[0]
         while at < n:
-            while token >= 0 and (at + size[token] in dead or (last >= 0 and not may_follow(last, token))):
-                token = shorter[token]
+            token = fitting(found[-1], token)
+            while token >= 0 and dead and at + size[token] in dead:
+                token = fitting(found[-1], shorter[token])
             if token >= 0:
                 found.append(token)
                 at += size[token]
-                last, token = token, longest[at] if at < n else -1
+                token = longest[at] if at < n else -1
             else:
                 dead.add(at)
                 token = found.pop()
                 at -= size[token]
-                last, token = found[-1] if found else -1, shorter[token]
+                token = shorter[token]
+        del found[0]
         return tuple(found)
 
     def encoded(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))), np.int32)
 
 
-def encoded(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
-    """(doc, ids) of each row: the token ids of its whole text."""
-    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def encoded(docs: DataFrame, known: Vocabulary, text_col: str = "text", carried: Column | None = None) -> DataFrame:
+    """(doc, ids) of each row: the token ids of its whole text; ``doc`` holds the row's columns, or what is ``carried`` instead."""
+    rows = docs.select((F.struct("*") if carried is None else carried).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,5 +211,5 @@ def decoded(ids: Column, known: Vocabulary) -> Column:
     """The bytes of token ids: tokens as Latin-1 strings are looked up in a constant array and joined."""
     names = [None if t is None else t.decode("latin-1") for t in known.tokens]
     constant = F.from_json(F.lit(json.dumps(names)), "array<string>")
-    parts = F.transform(ids, lambda i: F.get(constant, i))
-    return F.when(~F.exists(parts, lambda p: p.isNull()), F.encode(F.array_join(parts, ""), "ISO-8859-1"))
+    joined = lambda parts: F.when(F.size(F.array_compact(parts)) == F.size(parts), F.encode(F.array_join(parts, ""), "ISO-8859-1"))
+    return F.when(ids.isNotNull(), let(F.transform(ids, lambda i: F.get(constant, i)), joined))

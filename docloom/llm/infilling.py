@@ -77,14 +77,14 @@ def drawn(id_col: str, seed: str) -> list[Column]:
     return [F.conv(F.substring(digest, k, 8), 16, 10).cast("bigint") for k in (1, 9, 17, 25)]
 
 
-def infilled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: str = "characters", rate: int = 90, spm_rate: int = 20, seed: str = "1", sentinels: tuple[str, str, str] = SENTINELS) -> DataFrame:
-    """(doc, n, form, prefix_chars, middle_chars, output) of each row.
+def infilled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: str = "characters", rate: int = 90, spm_rate: int = 20, seed: str = "1", sentinels: tuple[str, str, str] = SENTINELS, carried: Column | None = None) -> DataFrame:
+    """(doc, n, form, prefix_chars, middle_chars, output) of each row; ``doc`` holds the row's columns, or what is ``carried`` instead.
 
     ``rate`` per cent of the texts are cut, and of these ``spm_rate`` per cent put the suffix first
     (form spm: suffix, prefix, middle), the others the prefix (psm: prefix, suffix, middle).
     """
     h1, h2, h3, h4 = drawn(id_col, seed)
-    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), h1.alias("h1"), h2.alias("h2"), (h3 % 100 < rate).alias("cut"), (h4 % 100 < spm_rate).alias("spm"))
+    rows = docs.select((F.struct("*") if carried is None else carried).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), h1.alias("h1"), h2.alias("h2"), (h3 % 100 < rate).alias("cut"), (h4 % 100 < spm_rate).alias("spm"))
     encode, (p, s, m) = RUNS[units], [x.encode() for x in sentinels]
 
     def characters(part: bytes) -> int:

@@ -174,9 +174,9 @@ FROM runs
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = byte_bpe.of_file(public_tokenizers.path(byte_bpe.VOCABULARY))
-    found = byte_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), known)
+    found = byte_bpe.encoded(table(spark, sf_dir, "documents"), known, carried=F.col("doc_id"))
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return found.select("doc.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("ids"), known), 256).alias("decoded_sha256"))
+    return found.select(F.col("doc").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(byte_bpe.decoded(F.col("ids"), known), 256).alias("decoded_sha256"))
 
 
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +216,10 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 
 
 def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = infilling.infilled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = infilling.infilled(table(spark, sf_dir, "documents"), carried=F.col("doc_id"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     back = infilling.restored(F.col("output"), F.col("form"))
-    return found.select("doc.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+    return found.select(F.col("doc").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
 
 
 OP13_SQL = """
