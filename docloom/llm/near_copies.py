@@ -10,8 +10,16 @@ the posted shingles that both have, which bounds what they can share, then by th
 Only what connects is needed.  First each posting's members are compared with the member that has the
 posting's shingle nearest to its start, one with few rare shingles of its own, which large groups
 of copies have in their middle.  Then only pairs that are not connected yet are compared: members
-outside a posting's largest component with all others of it.  The order is that of a sample's counts,
-then of the hashes; any order gives the same groups.
+outside a posting's largest component with all others of it.
+
+The order begins as that of a sample's counts, then of the hashes; any order gives the same groups.  What the sample
+does not show is counted over the whole table: a posting with over ``CROWD`` members outside its largest
+component holds a common passage rather than copies, and its shingle moves to the end of the order.  The texts that
+post it post their next shingles instead, and what these bring together is compared in a further round; texts that do
+not post it would not either way.  So each shingle brings a member together with a bounded number of others,
+unless a text has too few others to post.
+
+Texts are named by 128 bits of a hash, sets of shingles are told apart by as many and numbered.
 
 Defined cases: letters A-Z are lower-cased and words end at ASCII white space; a text of fewer than
 five words is one shingle; a null text is like an empty one; texts of any length are taken whole; ties
@@ -38,8 +46,10 @@ WORDS_EACH = 5
 SAMPLE, MOST_COUNTED = 4_000, 100_000
 #: Texts that are Python bytes at a time.
 ROWS = 250
-#: Rows of two numbers that are sent to every task at most: 16 megabytes.
+#: Rows of a number and a hash that are sent to every task at most: 24 megabytes.
 BROADCAST_ROWS = 1_000_000
+#: Members outside a posting's largest component with which all are compared, and rounds in which shingles of larger ones are moved to the end.
+CROWD, ROUNDS = 64, 6
 
 
 def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +68,15 @@ def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
 
 
-def prefix(hashes: np.ndarray, counted: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles to post: enough of the first ones that no set of Jaccard 0.8 has none of them."""
+def prefix(hashes: np.ndarray, counted: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """The shingles to post: enough of the first ones that no set of Jaccard 0.8 has none of them.  Those in ``common`` are the last."""
+    weight = np.zeros(len(hashes), np.int64)
     if len(counted):
         at = np.minimum(np.searchsorted(counted, hashes), len(counted) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(counted[at] == hashes, counts[at], 0)))]
-    return hashes[: len(hashes) // 5 + 1]
+        weight = np.where(counted[at] == hashes, counts[at], 0)
+    if common is not None:
+        weight[np.isin(hashes, common)] = np.iinfo(np.int64).max
+    return hashes[np.lexsort((hashes, weight))][: len(hashes) // 5 + 1]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -71,7 +84,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +121,16 @@ def _compared(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         return result(_compared_with(texts, sets, pairs, whole, compare), "similar")
 
 
+def _of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, and the columns of ``wanted``) of each text that is wanted by its name ``t``, once."""
+    few = wanted.count() <= BROADCAST_ROWS  # else texts and names meet by shuffles
+    names = wanted.select("t")
+    return texts.join(F.broadcast(names) if few else names, "t", "left_semi").dropDuplicates(["t"]).join(wanted, "t")
+
+
 def _compared_with(texts: DataFrame, sets: DataFrame, pairs: DataFrame, whole, compare) -> DataFrame:
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(sets.select("node", "t"), "node"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS  # else texts and what is wanted meet by shuffles
-    bodies = texts.join(F.broadcast(wanted) if few else wanted, "t").dropDuplicates(["t"]).select("node", "text").mapInArrow(whole, "node bigint, hashes binary")
-    bodies = written(bodies, "bodies")
+    bodies = written(_of(texts, wanted).select("node", "text").mapInArrow(whole, "node bigint, hashes binary"), "bodies")
     a, b = (bodies.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a bigint, b bigint")
 
@@ -136,27 +155,68 @@ def _within_reach(met: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(9 * (F.size(F.array_intersect("keys_a", "keys_b")) + beyond) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def jaccard_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the ``sets`` (node, t, n, keys) just as all pairs of Jaccard 0.8 do."""
-    post = sets.select("node", "n", F.posexplode("keys").alias("place", "key")).repartition("key")
-    shared = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    post = written(post.join(shared, "key").select("key", F.struct("node", "place", "n", F.col("node").alias("root")).alias("p")), "postings")
+def _postings(sets: DataFrame) -> DataFrame:
+    return sets.select("node", "n", F.posexplode("keys").alias("place", "key")).select("key", F.struct("node", "place", "n", F.col("node").alias("root")).alias("p"))
+
+
+def _met_in(texts: DataFrame, sets: DataFrame, post: DataFrame, known: DataFrame | None, moved: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(links, crowded): the ``known`` links and those of what ``post`` brings together beyond what they connect.
+
+    Postings that are ``crowded`` (key) are left for the next round, unless this is the last or their shingle is ``moved`` already.
+    """
     middle = post.groupBy("key").agg(F.min_by("p", F.struct("p.place", F.xxhash64("p.node", "key"))).alias("p"))
     stars = written(_within_reach(_met(post, middle), sets), "stars")
     first = _compared(texts, sets, stars)
+    linked = first if known is None else known.union(first)
 
-    roots = components(first).select(F.col("node").alias("of"), F.col("root").alias("to"))
+    roots = components(linked).select(F.col("node").alias("of"), F.col("root").alias("to"))
     own = F.struct("p.node", "p.place", "p.n", F.coalesce("to", "p.root").alias("root"))
     rooted = written(post.join(roots, post["p.node"] == roots["of"], "left").select("key", own.alias("p")), "rooted")
-    sizes = rooted.groupBy("key", F.col("p.root").alias("root")).agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    apart = written(sizes.where("parts > 1").select("key", "main"), "apart")
-    rest = rooted.join(apart, "key")
+    sizes = rooted.groupBy("key", F.col("p.root").alias("root")).agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+    apart = sizes.where("parts > 1").select("key", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n") > (2**62 if last else CROWD)).alias("crowd"))
+    apart = written(apart if moved is None else apart.join(moved.withColumn("_moved", F.lit(True)), "key", "left").select("key", "main", (F.col("crowd") & F.col("_moved").isNull()).alias("crowd")), "apart")
+    rest = rooted.join(apart.where("NOT crowd").drop("crowd"), "key")
     pairs = written(_within_reach(_met(rest.where("p.root <> main"), rest).join(stars, ["a", "b"], "left_anti"), sets), "pairs")
-    return first.union(_compared(texts, sets, pairs))
+    return written(linked.union(_compared(texts, sets, pairs)).distinct(), "links"), apart.where("crowd").select("key")
+
+
+def _reposted(texts: DataFrame, sets: DataFrame, moved: DataFrame, turn: int, counted: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """The ``sets``, where those that post shingles since ``moved`` to the end post the next ones; ``common`` gathers what each has met, ``turn`` is that of its last change."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            both = zip(batch.column("text").cast(pa.binary()), batch.column("common"))
+            keys = [prefix(shingles(t.as_py()), counted, counts, np.array(c.as_py(), np.int64).view(np.uint64)).view(np.int64) for t, c in both]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "t", "n")], pa.array(keys, pa.list_(pa.int64())), batch.column("common")], ["node", "t", "n", "keys", "common"])
+
+    while True:
+        ahead = sets.select("node", F.explode(F.array_except("keys", "common")).alias("key")).join(moved, "key")
+        hit = written(ahead.groupBy("node").agg(F.collect_list("key").alias("more")), "moved_in")
+        if hit.isEmpty():
+            return sets
+        wanted = written(sets.join(hit, "node").select("node", "t", "n", F.array_union("common", "more").alias("common")), "wanted")
+        new = _of(texts, wanted).select("node", "t", "n", "common", "text").mapInArrow(run, "node bigint, t binary, n int, keys array<bigint>, common array<bigint>")
+        sets = written(sets.join(hit, "node", "left_anti").unionByName(new.withColumn("turn", F.lit(turn))), "reposted")
+
+
+def jaccard_links(texts: DataFrame, sets: DataFrame, counted: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Links (a, b) that connect the ``sets`` (node, t, n, keys) just as all pairs of Jaccard 0.8 do."""
+    sets = sets.withColumn("common", F.array().cast("array<bigint>")).withColumn("turn", F.lit(0))
+    links = moved = None
+    for turn in range(ROUNDS):
+        post, new = _postings(sets), _postings(sets.where(F.col("turn") == turn))
+        met = new.groupBy("key").agg(F.count("*").alias("size")).where("size > 1") if turn == 0 else new.select("key").distinct()
+        post = written(post.join(met.select("key"), "key"), "postings")
+        links, crowded = _met_in(texts, sets, post, links, moved, turn == ROUNDS - 1)
+        if crowded.isEmpty():
+            break
+        moved = written(crowded if moved is None else moved.union(crowded), "moved")
+        sets = _reposted(texts, sets, moved, turn + 1, counted, counts)
+    return links
 
 
 def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(t, root): the group of each text that has near copies, texts by their hash."""
+    """(t, root): the group of each text that has near copies, texts by their names."""
     texts = docs.select(text_hash(text_col).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted, counts = _counted(texts)
 
@@ -164,19 +224,21 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in _sliced(batches):
             bodies = [t.as_py() for t in batch.column(1).cast(pa.binary())]
             prints, found = [simhash.simhash(t) for t in bodies], [shingles(t) for t in bodies]
-            nodes = [int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0]) for h in found]
+            own = [xxhash.xxh3_128_digest(h.tobytes(), SEED) for h in found]
             keys = [prefix(h, counted, counts).view(np.int64) for h in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(h) for h in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["t", "fp", "node", "n", "keys"])
+            columns = [batch.column(0), pa.array(prints, pa.int64()), pa.array(own, pa.binary()), pa.array([len(h) for h in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["t", "fp", "own", "n", "keys"])
 
     with scratch(docs.sparkSession) as result:
-        rows = written(texts.mapInArrow(run, "t bigint, fp bigint, node bigint, n int, keys array<bigint>"), "sketches")
-        sets = written(rows.groupBy("node").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select("node", "s.*"), "sets")
+        rows = written(texts.mapInArrow(run, "t binary, fp bigint, own binary, n int, keys array<bigint>"), "sketches")
+        sets = rows.groupBy("own").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select(F.monotonically_increasing_id().alias("node"), "own", "s.*")
+        sets = written(sets, "sets")  # the numbers hold from here on
         prints = written(rows.groupBy("fp").agg(F.min("t").alias("t")), "prints")
 
-        same_set = rows.select("node", F.col("t").alias("a")).join(sets.select("node", F.col("t").alias("b")), "node").select("a", "b")
+        same_set = rows.select("own", F.col("t").alias("a")).join(sets.select("own", F.col("t").alias("b")), "own").select("a", "b")
         same_print = rows.select("fp", F.col("t").alias("a")).join(prints.withColumnRenamed("t", "b"), "fp").select("a", "b")
         links = same_set.union(same_print).where("a <> b").distinct()
-        for found, known, key in ((jaccard_links(texts, sets), sets, "node"), (simhash.links(prints.select("fp")), prints, "fp")):
+        for found, known, key in ((jaccard_links(texts, sets.drop("own"), counted, counts), sets, "node"), (simhash.links(prints.select("fp")), prints, "fp")):
             a, b = (known.select(F.col(key).alias(x), F.col("t").alias(f"t_{x}")) for x in "ab")
             links = links.union(found.join(a, "a").join(b, "b").select("t_a", "t_b"))
         return result(components(links.toDF("a", "b")).withColumnRenamed("node", "t"), "groups")

@@ -1,6 +1,9 @@
 """Near copies by Jaccard 0.8 of five-word shingles against brute force."""
 
+import hashlib
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from docloom.llm import near_copies
@@ -38,6 +41,56 @@ def test_groups_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("crowd, rounds", [(0, 2), (2, 8)])
+def test_groups_are_the_same_with_any_bound_on_crowds(spark, monkeypatch, crowd, rounds):
+    """Passages of several lengths that many texts share, texts that are little else, and near copies of all of these."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    rng, texts = np.random.default_rng(3), []
+    passages = [words(n, 500 + n).split() for n in (6, 12, 40)]
+    for k in range(90):
+        body = words(int(rng.integers(4, 50)), 600 + k).split()
+        for p in passages:
+            if rng.integers(0, 3):
+                at = int(rng.integers(0, len(body) + 1))
+                body[at:at] = p
+        texts.append(" ".join(body))
+        if k % 4 == 0:
+            body[int(rng.integers(0, len(body)))] = "changed"
+            texts.append(" ".join(body))
+    texts = list(enumerate(texts))
+    by_id = dict(texts)
+    root = brute_components(list(by_id), lambda a, b: jaccard(by_id[a], by_id[b]) >= 0.8)
+    found = near_copies.groups(table(spark, texts)).collect()
+    prints = {i: brute_fingerprint(t) for i, t in texts}
+    both = brute_components(list(by_id), lambda a, b: jaccard(by_id[a], by_id[b]) >= 0.8 or bin(prints[a] ^ prints[b]).count("1") <= 2)
+    named = {hashlib.md5(t.encode()).digest(): i for i, t in texts}
+    got = {}
+    for r in found:
+        got.setdefault(bytes(r["root"]), set()).add(named[bytes(r["t"])])
+    want = {}
+    for i, r in both.items():
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1) and root
+
+
+def test_pairs_that_meet_grow_with_the_table(spark, monkeypatch):
+    """A passage in every tenth text, of which the sample shows nothing, brings no pairs together."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 8)
+    compared = []
+    whole = near_copies._compared
+    monkeypatch.setattr(near_copies, "_compared", lambda texts, sets, pairs: compared.append(pairs.count()) or whole(texts, sets, pairs))
+    passage, counts = words(12, 1), []
+    for n in (1000, 4000):
+        rng = np.random.default_rng(n)
+        texts = [(k, " ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 30)) + (f" {passage}" if k % 10 == 0 else "")) for k in range(n)]
+        compared.clear()
+        near_copies.groups(table(spark, texts))
+        counts.append(sum(compared))
+    assert counts[1] <= 4 * max(counts[0], 200), counts
+
+
 def test_any_order_of_shingles_lets_near_sets_meet():
     rng = np.random.default_rng(1)
     for n in range(1, 60):
