@@ -68,14 +68,19 @@ def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
 
 
-def prefix(hashes: np.ndarray, counted: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-    """The shingles to post: enough of the first ones that no set of Jaccard 0.8 has none of them.  Those in ``common`` are the last."""
-    weight = np.zeros(len(hashes), np.int64)
-    if len(counted):
-        at = np.minimum(np.searchsorted(counted, hashes), len(counted) - 1)
-        weight = np.where(counted[at] == hashes, counts[at], 0)
-    if common is not None:
-        weight[np.isin(hashes, common)] = np.iinfo(np.int64).max
+def _among(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hashes stand among the ``known`` ones, which are in order, and which of them do."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
+
+
+def prefix(hashes: np.ndarray, counted: np.ndarray, counts: np.ndarray, moved: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:
+    """The shingles to post: enough of the first ones that no set of Jaccard 0.8 has none of them.  Those that are ``moved`` are the last."""
+    at, found = _among(hashes, counted)
+    weight = np.where(found, counts[at], 0) if len(counted) else np.zeros(len(hashes), np.int64)
+    weight[_among(hashes, moved)[1]] = np.iinfo(np.int64).max
     return hashes[np.lexsort((hashes, weight))][: len(hashes) // 5 + 1]
 
 
@@ -164,6 +169,12 @@ def _met_in(texts: DataFrame, sets: DataFrame, post: DataFrame, known: DataFrame
 
     Postings that are ``crowded`` (key) are left for the next round, unless this is the last or their shingle is ``moved`` already.
     """
+    with scratch(texts.sparkSession) as result:
+        links, crowded = _met_and_compared(texts, sets, post, known, moved, last)
+        return result(links, "links"), result(crowded, "crowded")
+
+
+def _met_and_compared(texts: DataFrame, sets: DataFrame, post: DataFrame, known: DataFrame | None, moved: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame]:
     middle = post.groupBy("key").agg(F.min_by("p", F.struct("p.place", F.xxhash64("p.node", "key"))).alias("p"))
     stars = written(_within_reach(_met(post, middle), sets), "stars")
     first = _compared(texts, sets, stars)
@@ -177,41 +188,69 @@ def _met_in(texts: DataFrame, sets: DataFrame, post: DataFrame, known: DataFrame
     apart = written(apart if moved is None else apart.join(moved.withColumn("_moved", F.lit(True)), "key", "left").select("key", "main", (F.col("crowd") & F.col("_moved").isNull()).alias("crowd")), "apart")
     rest = rooted.join(apart.where("NOT crowd").drop("crowd"), "key")
     pairs = written(_within_reach(_met(rest.where("p.root <> main"), rest).join(stars, ["a", "b"], "left_anti"), sets), "pairs")
-    return written(linked.union(_compared(texts, sets, pairs)).distinct(), "links"), apart.where("crowd").select("key")
+    return linked.union(_compared(texts, sets, pairs)).distinct(), apart.where("crowd").select("key")
+
+
+def _changed(sets: DataFrame, new: DataFrame) -> DataFrame:
+    return sets.join(new.select("node"), "node", "left_anti").unionByName(new)
 
 
-def _reposted(texts: DataFrame, sets: DataFrame, moved: DataFrame, turn: int, counted: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The ``sets``, where those that post shingles since ``moved`` to the end post the next ones; ``common`` gathers what each has met, ``turn`` is that of its last change."""
+def _reposted(texts: DataFrame, sets: DataFrame, moved: DataFrame, turn: int, counted: np.ndarray, counts: np.ndarray) -> DataFrame | None:
+    """Those of the ``sets`` that post shingles ``moved`` to the end since, with the next ones instead; ``turn`` is that of a set's last change.
+
+    Tasks get all moved shingles where these are few.  Else a set learns by its postings which of its own are
+    moved, gathers them in ``common``, and may learn of more by what it posts instead.
+    """
+    few = moved.count() <= BROADCAST_ROWS
+    known = np.sort(moved.toPandas()["key"].to_numpy(np.int64).view(np.uint64)) if few else np.zeros(0, np.uint64)
+    shared = sets.sparkSession.sparkContext.broadcast((known, counted, counts))
 
     def run(batches):
+        known, counted, counts = shared.value
         for batch in _sliced(batches):
-            both = zip(batch.column("text").cast(pa.binary()), batch.column("common"))
-            keys = [prefix(shingles(t.as_py()), counted, counts, np.array(c.as_py(), np.int64).view(np.uint64)).view(np.int64) for t, c in both]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "t", "n")], pa.array(keys, pa.list_(pa.int64())), batch.column("common")], ["node", "t", "n", "keys", "common"])
-
+            posted, common = [], []
+            for text, own in zip(batch.column("text").cast(pa.binary()), batch.column("common")):
+                all_moved = known if few else np.sort(np.array(own.as_py(), np.int64).view(np.uint64))
+                keys = prefix(shingles(text.as_py()), counted, counts, all_moved)
+                posted.append(keys.view(np.int64))
+                common.append(keys[_among(keys, all_moved)[1]].view(np.int64) if few else own.as_py())
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "t", "n")], pa.array(posted, kind), pa.array(common, kind)], ["node", "t", "n", "keys", "common"])
+
+    changed = None
     while True:
-        ahead = sets.select("node", F.explode(F.array_except("keys", "common")).alias("key")).join(moved, "key")
+        now = sets if changed is None else _changed(sets, changed)
+        ahead = now.select("node", F.explode(F.array_except("keys", "common")).alias("key")).join(moved, "key")
         hit = written(ahead.groupBy("node").agg(F.collect_list("key").alias("more")), "moved_in")
         if hit.isEmpty():
-            return sets
-        wanted = written(sets.join(hit, "node").select("node", "t", "n", F.array_union("common", "more").alias("common")), "wanted")
+            return changed
+        wanted = written(now.join(hit, "node").select("node", "t", "n", F.array_union("common", "more").alias("common")), "wanted")
         new = _of(texts, wanted).select("node", "t", "n", "common", "text").mapInArrow(run, "node bigint, t binary, n int, keys array<bigint>, common array<bigint>")
-        sets = written(sets.join(hit, "node", "left_anti").unionByName(new.withColumn("turn", F.lit(turn))), "reposted")
+        new = written(new.withColumn("turn", F.lit(turn)), "reposted")
+        changed = new if changed is None else written(_changed(changed, new), "changed")
 
 
 def jaccard_links(texts: DataFrame, sets: DataFrame, counted: np.ndarray, counts: np.ndarray) -> DataFrame:
     """Links (a, b) that connect the ``sets`` (node, t, n, keys) just as all pairs of Jaccard 0.8 do."""
-    sets = sets.withColumn("common", F.array().cast("array<bigint>")).withColumn("turn", F.lit(0))
-    links = moved = None
+    first = sets.withColumn("common", F.array().cast("array<bigint>")).withColumn("turn", F.lit(0))
+    links = moved = changed = None
     for turn in range(ROUNDS):
-        post, new = _postings(sets), _postings(sets.where(F.col("turn") == turn))
-        met = new.groupBy("key").agg(F.count("*").alias("size")).where("size > 1") if turn == 0 else new.select("key").distinct()
-        post = written(post.join(met.select("key"), "key"), "postings")
-        links, crowded = _met_in(texts, sets, post, links, moved, turn == ROUNDS - 1)
+        sets = first if changed is None else _changed(first, changed)
+        with scratch(texts.sparkSession) as result:
+            post = _postings(sets)
+            if turn == 0:
+                post = post.repartition("key")  # once for the counts and the join
+                met = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+            else:
+                met = _postings(changed.where(F.col("turn") == turn)).select("key").distinct()
+            post = written(post.join(met.select("key"), "key"), "postings")
+            links, crowded = (result(x, "met") for x in _met_in(texts, sets, post, links, moved, turn == ROUNDS - 1))
         if crowded.isEmpty():
             break
-        moved = written(crowded if moved is None else moved.union(crowded), "moved")
-        sets = _reposted(texts, sets, moved, turn + 1, counted, counts)
+        moved = crowded if moved is None else moved.union(crowded)
+        with scratch(texts.sparkSession) as result:
+            new = _reposted(texts, sets, moved, turn + 1, counted, counts)
+            changed = result(new if changed is None else _changed(changed, new), "changed")
     return links
 
 
@@ -230,9 +269,11 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["t", "fp", "own", "n", "keys"])
 
     with scratch(docs.sparkSession) as result:
-        rows = written(texts.mapInArrow(run, "t binary, fp bigint, own binary, n int, keys array<bigint>"), "sketches")
-        sets = rows.groupBy("own").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select(F.monotonically_increasing_id().alias("node"), "own", "s.*")
-        sets = written(sets, "sets")  # the numbers hold from here on
+        with scratch(docs.sparkSession) as lasting:
+            sketches = written(texts.mapInArrow(run, "t binary, fp bigint, own binary, n int, keys array<bigint>"), "sketches")
+            sets = sketches.groupBy("own").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select(F.monotonically_increasing_id().alias("node"), "own", "s.*")
+            sets = lasting(sets, "sets")  # the numbers hold from here on
+            rows = lasting(sketches.select("t", "own", "fp"), "names")
         prints = written(rows.groupBy("fp").agg(F.min("t").alias("t")), "prints")
 
         same_set = rows.select("own", F.col("t").alias("a")).join(sets.select("own", F.col("t").alias("b")), "own").select("a", "b")

@@ -41,11 +41,12 @@ def test_groups_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
 
 
-@pytest.mark.parametrize("crowd, rounds", [(0, 2), (2, 8)])
-def test_groups_are_the_same_with_any_bound_on_crowds(spark, monkeypatch, crowd, rounds):
+@pytest.mark.parametrize("crowd, rounds, rows", [(0, 2, 0), (2, 8, 1_000_000)])
+def test_groups_are_the_same_with_any_bound_on_crowds(spark, monkeypatch, crowd, rounds, rows):
     """Passages of several lengths that many texts share, texts that are little else, and near copies of all of these."""
     monkeypatch.setattr(near_copies, "CROWD", crowd)
     monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(near_copies, "SAMPLE", 1)
     rng, texts = np.random.default_rng(3), []
     passages = [words(n, 500 + n).split() for n in (6, 12, 40)]
