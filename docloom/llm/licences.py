@@ -6,7 +6,10 @@ they share t m / (2 - t) of them; a text that has fewer of a template's bigrams
 it.  For the others, every window of the template's number of words that begins with one of its
 bigrams is compared, wherever it stands: in a line, over several, or in a long text.  Of the windows
 that reach t the best is reported, then the best of those that do not overlap it, and so on; ties go
-to the longer window, then to the earlier, then by name.  All of it happens within a row: no join and
+to the longer window, then to the earlier, then by name.  Licences of one family differ in a word or a
+number out of many, which the coefficient hardly sees, so what tells them apart must agree besides: a
+window has all of its template's bigrams with a version or a qualifying word (``lesser``, ``nc``), and no such
+word that the template lacks.  All of it happens within a row: no join and
 no shuffle.  Templates reach every task as constants; their size is checked.
 
 Defined cases: a null text has no words; texts and templates without a bigram match nothing; notices
@@ -43,6 +46,10 @@ _GNU = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
     "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
 )
+#: Creative Commons licences: short forms, names, and versions with their names.
+_CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CREATIVE_VERSIONS = {"4.0": " International", "3.0": " Unported", "2.5": "", "2.0": "", "1.0": ""}
+_OLDER = {"GPL-1.0": ("General Public License", "1"), "LGPL-2.0": ("Library General Public License", "2"), "LGPL-2.1": ("Lesser General Public License", "2.1")}
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License, version 3.", _GNU.format("Affero General Public License")),
     "Apache-2.0": (
@@ -55,9 +62,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License.",
         f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_WARRANTY}",
     ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", _GNU.format("General Public License").replace("version 3", "version 2")),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", _GNU.format("General Public License")),
     "ISC": (
@@ -79,7 +83,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
+    **{f"CC-{short}-{v}": (f"Licensed under CC {short} {v}.", f"This work is licensed under a Creative Commons {name} {v}{kind} License.") for short, name in _CREATIVE.items() for v, kind in _CREATIVE_VERSIONS.items()},
+    **{key: (f"This work is licensed under the GNU {name}, version {v}.", f"Licensed under the GNU {name}, version {v}.", _GNU.format(name).replace("version 3", f"version {v}")) for key, (name, v) in _OLDER.items()},
 }
+#: Words that make another licence of one, and bigrams with these, with a version or with a number of clauses.
+QUALIFIERS = "affero lesser library nc nd noncommercial noderivatives noderivs sa sharealike".split()
+TELLING = rf"(^| )({'|'.join(QUALIFIERS)})( |$)|^(version|v|license|attribution|by|bsd) [0-9]+$|^[0-9]+ ([0-9]+|clause)$"
 # End of fixed values.
 THRESHOLD = 0.8
 #: Bigrams of all templates that tasks get as constants at most.
@@ -109,10 +118,13 @@ def bigram_codes(words: Column) -> Column:
 
 def _known(templates: DataFrame, threshold: float) -> list[dict]:
     rows = templates.where("licence is not null").select("licence", words_of(F.col("text")).alias("words"))
-    rows = rows.select("licence", F.size("words").alias("n"), F.array_sort(F.array_distinct(bigram_codes(F.col("words")))).alias("codes")).where("size(codes) > 0").distinct()
+    pairs = F.transform("words", lambda w, i: F.struct(F.concat_ws(" ", w, F.get(F.col("words"), i + 1)).alias("pair"), F.xxhash64(w, F.get(F.col("words"), i + 1)).alias("code")))
+    telling = F.transform(F.filter(F.slice(pairs, 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda p: p["pair"].rlike(TELLING)), lambda p: p["code"])
+    qualified = F.array_intersect(F.array(*map(F.lit, QUALIFIERS)), F.col("words"))
+    rows = rows.select("licence", F.size("words").alias("n"), F.array_sort(F.array_distinct(bigram_codes(F.col("words")))).alias("codes"), F.array_sort(F.array_distinct(telling)).alias("telling"), F.array_sort(qualified).alias("qualified")).where("size(codes) > 0").distinct()
     if rows.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0] > MOST_BIGRAMS:
         raise ValueError(f"templates of over {MOST_BIGRAMS} bigrams do not fit into every task")
-    return [{"name": r["licence"], "n": r["n"], "codes": r["codes"], **dict(zip(("low", "high"), size_bounds(len(r["codes"]), threshold)))} for r in rows.orderBy("licence", "n", "codes").collect()]
+    return [{"name": r["licence"], "n": r["n"], "codes": r["codes"], "telling": r["telling"], "others": sorted(set(QUALIFIERS) - set(r["qualified"])), **dict(zip(("low", "high"), size_bounds(len(r["codes"]), threshold)))} for r in rows.orderBy("licence", "n", "codes").collect()]
 
 
 def _constant(value: list, kind: str) -> Column:
@@ -138,13 +150,19 @@ def scanned(docs: DataFrame, text_col: str = "text", templates: DataFrame | None
     rows = _known(template_table(docs.sparkSession) if templates is None else templates, threshold)
     if not rows:
         return docs.select(F.struct("*").alias("doc"), F.lit(0).alias("first_word"), F.lit(0).alias("n_words"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).where("false")
-    known = _constant(rows, "array<struct<name:string,n:int,codes:array<bigint>,low:int,high:int>>")
+    known = _constant(rows, "array<struct<name:string,n:int,codes:array<bigint>,telling:array<bigint>,others:array<string>,low:int,high:int>>")
     in_any, fewest = _bucketed(c for r in rows for c in r["codes"]), min(r["low"] for r in rows)
 
     # Each value that is used more than once is bound by ``let``: a column would be computed anew inside the functions of arrays.
     window = "array<struct<minus:double,n:int,at:int,name:string>>"
     none = F.array().cast(window)
 
+    def told(words: Column, codes: Column, t: Column, w: Column) -> Column:
+        """What tells licences apart agrees in a window and its template."""
+        n, at = -w["n"], w["at"] + 1
+        has = F.size(F.array_intersect(F.slice(codes, at, n - 1), t["telling"])) == F.size(t["telling"])
+        return has & ~F.arrays_overlap(F.slice(words, at, n), t["others"])
+
     def like(codes: Column, t: Column, h: Column) -> Column:
         """The window of a template's length that begins at a hit, as (minus dice, minus words, at, name)."""
 
@@ -155,13 +173,14 @@ def scanned(docs: DataFrame, text_col: str = "text", templates: DataFrame | None
 
         return let(F.array_distinct(F.slice(codes, h["at"] + 1, t["n"] - 1)), compared)
 
-    def alike(codes: Column, hits: Column, own: Column) -> Column:
+    def alike(words: Column, codes: Column, hits: Column, own: Column) -> Column:
         """All windows that reach the threshold."""
         shares = F.filter(known, lambda t: (F.size(own) >= t["low"]) & (F.size(F.array_intersect(own, t["codes"])) >= t["low"]))
 
         def of_template(t: Column) -> Column:
             starts = F.filter(hits, lambda h: F.array_contains(t["codes"], h["code"]))
-            return F.filter(F.transform(starts, lambda h: like(codes, t, h)), lambda w: w["minus"] <= -threshold)
+            near = F.filter(F.transform(starts, lambda h: like(codes, t, h)), lambda w: w["minus"] <= -threshold)
+            return F.filter(near, lambda w: told(words, codes, t, w))
 
         return F.flatten(F.transform(shares, of_template)).cast(window)
 
@@ -169,14 +188,14 @@ def scanned(docs: DataFrame, text_col: str = "text", templates: DataFrame | None
         over = F.exists(kept, lambda k: (k["at"] < w["at"] - w["n"]) & (w["at"] < k["at"] - k["n"]))
         return F.when(over, kept).otherwise(F.concat(kept, F.array(w)))
 
-    def best(codes: Column, hits: Column) -> Column:
-        found = let(F.array_distinct(F.transform(hits, lambda h: h["code"])), lambda own: F.aggregate(F.array_sort(alike(codes, hits, own)), none, apart))
+    def best(words: Column, codes: Column, hits: Column) -> Column:
+        found = let(F.array_distinct(F.transform(hits, lambda h: h["code"])), lambda own: F.aggregate(F.array_sort(alike(words, codes, hits, own)), none, apart))
         return F.when(F.size(hits) >= fewest, found)
 
-    def of_codes(codes: Column) -> Column:
+    def of_codes(words: Column, codes: Column) -> Column:
         hits = F.array_compact(F.transform(codes, lambda c, i: F.when(in_any(c), F.struct(i.alias("at"), c.alias("code")))))
-        return let(hits, lambda hits: best(codes, hits))
+        return let(hits, lambda hits: best(words, codes, hits))
 
-    windows = let(words_of(F.col(text_col)), lambda words: let(bigram_codes(words), of_codes))
+    windows = let(words_of(F.col(text_col)), lambda words: let(bigram_codes(words), lambda codes: of_codes(words, codes)))
     found = docs.select(F.struct("*").alias("doc"), F.explode(windows).alias("w"))
     return found.select("doc", (F.col("w.at") + 1).alias("first_word"), (-F.col("w.n")).alias("n_words"), F.col("w.name").alias("licence"), (-F.col("w.minus")).alias("dice"))

@@ -48,7 +48,8 @@ _PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 OP3_SQL = rf"""
 WITH template(licence, text) AS (VALUES {_KNOWN}),
 known AS (
-  SELECT row_number() OVER () AS k, licence, len(w) AS n, list_distinct({_PAIRS}) AS own FROM (SELECT licence, {_WORDS} AS w FROM template)),
+  SELECT row_number() OVER () AS k, licence, len(w) AS n, list_distinct({_PAIRS}) AS own, list_filter(list_distinct({_PAIRS}), lambda x: regexp_matches(x, '{licences.TELLING}')) AS telling, list_filter({licences.QUALIFIERS}, lambda x: NOT list_contains(w, x)) AS others
+  FROM (SELECT licence, {_WORDS} AS w FROM template)),
 bounded AS (SELECT *, ceil({licences.THRESHOLD} * len(own) / {2 - licences.THRESHOLD} - 1e-9) AS low, floor(len(own) * {2 - licences.THRESHOLD} / {licences.THRESHOLD} + 1e-9) AS high FROM known),
 terms AS (SELECT k, unnest(own) AS pair FROM known),
 docs AS (SELECT r, doc_id, {_PAIRS} AS p FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 1),
@@ -56,9 +57,9 @@ spots AS (SELECT r, unnest(range(0, len(p))) AS pos, unnest(p) AS pair FROM docs
 hits AS (SELECT r, k, pos, pair FROM spots JOIN terms USING (pair)),
 enough AS (SELECT r, k FROM hits JOIN bounded USING (k) GROUP BY r, k, low HAVING count(DISTINCT pair) >= low),
 windows AS (
-  SELECT r, pos, least(n, len(p) + 1 - pos) AS n, licence, own, low, high, list_distinct(p[pos + 1:pos + n - 1]) AS here
+  SELECT r, pos, least(n, len(p) + 1 - pos) AS n, licence, own, low, high, telling, others, list_distinct(p[pos + 1:pos + n - 1]) AS here
   FROM hits JOIN enough USING (r, k) JOIN bounded USING (k) JOIN docs USING (r)),
-scored AS (SELECT r, pos, n, licence, 2.0::DOUBLE * len(list_intersect(here, own)) / (len(here) + len(own)) AS dice FROM windows WHERE len(here) BETWEEN low AND high),
+scored AS (SELECT r, pos, n, licence, 2.0::DOUBLE * len(list_intersect(here, own)) / (len(here) + len(own)) AS dice FROM windows WHERE len(here) BETWEEN low AND high AND len(list_intersect(here, telling)) = len(telling) AND NOT list_has_any(string_split(array_to_string(here, ' '), ' '), others)),
 best AS (
   SELECT r, list_reduce(list([{{'pos': pos, 'n': n, 'licence': licence, 'dice': dice}}] ORDER BY dice DESC, n DESC, pos, licence),
     lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.pos < x[1].pos + x[1].n AND x[1].pos < y.pos + y.n)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept

@@ -279,6 +279,22 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_licences_of_one_family_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it under the terms. It is licensed under the GNU {}, version {}."
+    notices = {
+        gnu.format("General Public License", 1): "GPL-1.0", gnu.format("General Public License", 2): "GPL-2.0", gnu.format("General Public License", 3): "GPL-3.0", gnu.format("General Public License", 4): None,
+        gnu.format("Lesser General Public License", "2.1"): "LGPL-2.1", gnu.format("Library General Public License", 2): "LGPL-2.0", gnu.format("Lesser General Public License", 3): "LGPL-3.0", gnu.format("Lesser General Public License", 2): None,
+        gnu.format("Affero General Public License", 3): "AGPL-3.0", gnu.format("Affero General Public License", 1): None,
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": "CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY 2.5.": "CC-BY-2.5", "Licensed under CC BY 9.0.": None,
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause", "Released under the BSD 4-Clause License.": None, "Licensed under the Apache License, Version 1.1.": None,
+    }
+    docs = table(spark, [(k, f"Some words. {t} Copyright 2024 and more words.") for k, t in enumerate(notices)])
+    got = {r["doc_id"]: r["licence"] for r in licences.scanned(docs).select("doc.doc_id", "licence").collect()}
+    assert {t: got.get(k) for k, t in enumerate(notices)} == notices
+
+
 def test_licences(spark):
     notice, mit = "Licensed under the Apache License, Version 2.0.", licences.TEMPLATES["MIT"][2]
     wrapped = "This work is licensed under the GNU General\nPublic License, version 3."
