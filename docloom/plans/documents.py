@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,16 +134,31 @@ def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", html.toc_like(t).alias("toc_like"), html.low_text(t).alias("low_text"), texts.block_page_reason(t).alias("block_reason"))
 
 
-def _link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link graph over page numbers."""
-    k = F.col("page_id")
-    links = F.posexplode(F.array((k * 2 + 1) % 200, (k * 3 + 2) % 200, k, (k + 50) % 250)).alias("pos", "l")
-    return table(spark, sf_dir, "pages").select(k, links).select(F.concat(F.lit("p"), "page_id").alias("url"), "pos", F.concat(F.lit("p"), "l").alias("link"))
+def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """((word, words), (word, pos)): the words that pages link to, with those of one of the pages that do; and every tenth page's first word, to begin with."""
+    linked = html.parts(table(spark, sf_dir, "pages"), "links").select("page_id", F.transform("links", lambda u: F.regexp_extract(u, "/([^/]*)$", 1)).alias("words"))
+    linked = crawl.saved(linked)
+    owner = linked.select("page_id", F.explode("words").alias("word")).groupBy("word").agg(F.min_by("page_id", F.md5(F.concat("word", F.col("page_id").cast("string")))).alias("page_id"))
+    return owner.join(linked, "page_id").select("word", "words"), linked.where("page_id % 10 = 3 AND size(words) > 0").select(F.col("words")[0].alias("word"), F.col("page_id").alias("pos"))
 
 
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([("p0", 0), ("p7", 1)], "url string, pos int")
-    return crawl.breadth_first(seeds, _link_table(spark, sf_dir), 3, 40)
+    """The crawl over the links of all pages."""
+    words, seeds = _words(spark, sf_dir)
+    return crawl.breadth_first(seeds.withColumnRenamed("word", "url"), words.select(F.col("word").alias("url"), F.posexplode("words").alias("pos", "link")), 3, 1_000_000)
+
+
+def crawl_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with addresses, of which those in capitals lead to others, and words that end in commas are out of bounds; stopped after each level."""
+    site, lower = F.lit("https://words.example.org/"), F.regexp_replace(F.lower("word"), "[.]$", "")
+    words, seeds = _words(spark, sf_dir)
+    there = words.select(F.col("word").alias("at"))
+    pages = words.join(there, lower == F.col("at"), "left").select(F.concat(site, "word").alias("url"), F.concat(site, F.coalesce("at", "word")).alias("final_url"), F.transform("words", lambda w: F.concat(site, w)).alias("links"))
+    pages, path = crawl.saved(pages), f"{crawl.shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    seeds = seeds.select(F.concat(site, "word").alias("url"), F.col("pos").cast("int").alias("pos"))
+    for _ in range(4):
+        found = crawl.crawled(pages, seeds, path, 3, 1_000_000, lambda u: ~F.endswith(u, F.lit(",")), most_levels=1)
+    return found
 
 
 def crawl_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +208,7 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     html_title, html_sections, content_parts, html_markdown, html_links, html_text, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, running_line_counts, printed_sections, chunk_page_spans, markdown_sections, heading_lines, page_quality,
-    crawl_bfs, crawl_statuses, seed_urls, hub_links, front_matter, library_search, case_search, citation_memo, prompt_assembly,
+    crawl_bfs, crawl_resumed, crawl_statuses, seed_urls, hub_links, front_matter, library_search, case_search, citation_memo, prompt_assembly,
 )}
 _MD = f"md AS (SELECT doc_id, {sql_picked(PHRASES[:5], 'doc_id')} AS h, text AS t FROM documents)"
 _SLUG = lambda e: f"'#' || regexp_replace(regexp_replace(lower({e}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -264,14 +281,16 @@ FROM placed JOIN paths USING (doc, section) JOIN (SELECT source AS doc, min(doc_
 c AS (SELECT *, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS clean FROM t)
 SELECT doc_id, contains(lower(t), 'contents') AND regexp_matches(t, '(?m)\\.{{3,}}\\s*\\d+\\s*$') AS toc_like, length(trim(t)) < 300 AS low_text, CASE WHEN length(clean) < 200 THEN 'content too short (' || length(clean) || ' chars)' WHEN contains(clean, 'enable javascript') THEN 'blocked pattern detected: enable javascript'
   WHEN contains(clean, 'access denied') THEN 'blocked pattern detected: access denied' WHEN contains(clean, 'captcha') THEN 'blocked pattern detected: captcha' WHEN contains(clean, 'cloudflare') THEN 'blocked pattern detected: cloudflare' END AS block_reason FROM c""",
-    "crawl_bfs": """WITH RECURSIVE edges AS (SELECT page_id AS a, unnest([0, 1, 2, 3]) AS pos, unnest([(page_id * 2 + 1) % 200, (page_id * 3 + 2) % 200, page_id, (page_id + 50) % 250]) AS b FROM pages),
-lev0 AS (SELECT * FROM (VALUES (0::BIGINT, 1), (7, 2)) v(u, position)),
-l1 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), 'p' || b) + 2 AS position FROM lev0 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM lev0) GROUP BY b),
+    "crawl_bfs": """WITH linked AS (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS words FROM pages),
+owner AS (SELECT word, arg_min(page_id, md5(word || page_id)) AS page_id FROM (SELECT page_id, unnest(words) AS word FROM linked) GROUP BY word),
+edges AS (SELECT word AS a, unnest(words) AS b, generate_subscripts(words, 1) - 1 AS pos FROM owner JOIN linked USING (page_id)),
+lev0 AS (SELECT words[1] AS u, row_number() OVER (ORDER BY min(page_id)) AS position FROM linked WHERE page_id % 10 = 3 AND len(words) > 0 GROUP BY words[1]), n0 AS (SELECT count(*) AS n FROM lev0),
+l1 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), b) + (SELECT n FROM n0) AS position FROM lev0 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM lev0) GROUP BY b),
 v1 AS (SELECT * FROM lev0 UNION ALL SELECT * FROM l1), n1 AS (SELECT count(*) AS n FROM v1),
-l2 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), 'p' || b) + (SELECT n FROM n1) AS position FROM l1 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM v1) GROUP BY b),
+l2 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), b) + (SELECT n FROM n1) AS position FROM l1 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM v1) GROUP BY b),
 v2 AS (SELECT * FROM v1 UNION ALL SELECT * FROM l2), n2 AS (SELECT count(*) AS n FROM v2),
-l3 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), 'p' || b) + (SELECT n FROM n2) AS position FROM l2 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM v2) GROUP BY b)
-SELECT 'p' || u AS url, depth, position::INTEGER AS position FROM (SELECT u, 0 AS depth, position FROM lev0 UNION ALL SELECT u, 1, position FROM l1 UNION ALL SELECT u, 2, position FROM l2 UNION ALL SELECT u, 3, position FROM l3) WHERE position <= 40""",
+l3 AS (SELECT b AS u, row_number() OVER (ORDER BY min((position, pos)), b) + (SELECT n FROM n2) AS position FROM l2 JOIN edges ON a = u WHERE b NOT IN (SELECT u FROM v2) GROUP BY b)
+SELECT u AS url, depth, position::INTEGER AS position FROM (SELECT u, 0 AS depth, position FROM lev0 UNION ALL SELECT u, 1, position FROM l1 UNION ALL SELECT u, 2, position FROM l2 UNION ALL SELECT u, 3, position FROM l3)""",
     "crawl_statuses": """WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS clean FROM documents)
 SELECT CASE WHEN doc_id % 5 = 2 THEN 'out_of_scope' WHEN doc_id % 9 = 4 THEN 'pdf_asset' WHEN length(clean) < 200 OR contains(clean, 'enable javascript') OR contains(clean, 'access denied') OR contains(clean, 'request blocked') OR contains(clean, 'captcha') OR contains(clean, 'cloudflare') THEN 'quality_rejected' WHEN n > 1 THEN 'duplicate_content' ELSE 'saved' END AS status, count(*) AS n FROM d GROUP BY 1""",
     "seed_urls": f"{TEXT_SQL['canonical_url_fast'].partition('SELECT page_id, canonical, ')[0]} SELECT page_id, canonical AS seed FROM canon WHERE canonical IS NOT NULL UNION SELECT page_id, 'http://hub.example.org/x' FROM pages",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
-from docloom.operators import guards, remote, reports, tables
+from docloom.operators import crawl, guards, remote, reports, tables
 from docloom.plans.binding import FAMILIES, PHRASES, SQL_CHUNKS, chunks, picked, sql_picked
+from docloom.sources import store
 from docloom.sources.readers import table
 
 PHASES = ("signup", "view", "click", "purchase", "error", "refund")
@@ -133,6 +136,16 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.batches(docs, "source_id", "place", "size", 20, 2_000_000_000).select("source_id", "doc_id", "batch")
 
 
+def stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of orders in storage, merged with later versions of every fourth and with new ones, then with all orders of some customers replaced."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(1).alias("version"), F.col("o_totalprice").alias("price"))
+    path = f"{crawl.shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    store.created(orders.where("o_orderkey % 5 <> 0"), path, ["o_orderkey"], 32)
+    store.merged(orders.where("o_orderkey % 4 = 0 OR o_orderkey % 5 = 0").withColumn("version", F.when(F.col("o_orderkey") % 8 == 0, 0).otherwise(2)).withColumn("price", F.col("price") * 2), path, "version")
+    store.sources_replaced(orders.where("o_custkey % 10 = 3 AND o_orderkey % 2 = 0").withColumn("version", F.lit(3)), path, "o_custkey")
+    return store.read(spark, path)
+
+
 def _counted(texts: list[str]) -> list[list[float]]:
     """Stands for a service that does not take all texts."""
     if any(len(t) % 50 == 0 for t in texts):
@@ -289,7 +302,7 @@ _STATES = ", ".join(f"('{c}', '{s}', {str(r not in guards.NO_RETRY).lower()})" f
 
 QUERIES = {f.__name__: f for f in (
     owner_join_chain, owner_semi_guard, orphan_anti, recent_messages, history_top_sessions, history_nested, citation_first_hit, sync_mismatches, content_hash_dedupe, duplicate_hash_groups, quality_report, top_first_lines,
-    upsert_latest_wins, skip_existing, replace_source, upsert_email_coalesce, session_touch, append_guarded, chat_merge, active_citations, greedy_batches, even_batches, embedded_batches, embedding_errors, chunk_pool, replaced_chunks, appended_sessions, unique_sources, ingest_stats, page_quality_report, trace_sample, validate_fields, enum_distribution, idempotency_check,
+    upsert_latest_wins, skip_existing, replace_source, upsert_email_coalesce, session_touch, append_guarded, chat_merge, active_citations, greedy_batches, even_batches, embedded_batches, embedding_errors, stored_merge, chunk_pool, replaced_chunks, appended_sessions, unique_sources, ingest_stats, page_quality_report, trace_sample, validate_fields, enum_distribution, idempotency_check,
     eval_summary, budget_counters, trace_phases, trace_runs, trace_contract_errors, contract_check, authority_guard, failure_state,
 )}
 _CALLED = """WITH p AS (SELECT source, doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
@@ -323,6 +336,10 @@ UNION ALL SELECT session_id, user_id, title, ts FROM reqs WHERE session_id NOT I
     "chat_merge": "SELECT chat_id, message_id, ts, role FROM (SELECT conv_id AS chat_id, turn // 2 AS message_id, turn AS ts, role, row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY 1 - turn % 2, turn) AS n FROM conversations) WHERE n = 1",
     "active_citations": """WITH f AS (SELECT conv_id AS chat_id, turn * m % 4 AS citation_id, turn * 10 + m AS value, turn * 2 + i AS spot FROM conversations, (VALUES (0, 1), (1, 3)) v(i, m)),
 g AS (SELECT chat_id, citation_id, arg_max(value, spot) AS value, min(spot) AS first_spot FROM f GROUP BY ALL) SELECT chat_id, citation_id, value, row_number() OVER (PARTITION BY chat_id ORDER BY first_spot)::INTEGER AS place FROM g""",
+    "stored_merge": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p FROM orders),
+merged AS (SELECT k, c, CASE WHEN k % 5 = 0 OR k % 4 = 0 AND k % 8 <> 0 THEN CASE WHEN k % 8 = 0 THEN 0 ELSE 2 END ELSE 1 END AS version, CASE WHEN k % 5 = 0 OR k % 4 = 0 AND k % 8 <> 0 THEN p * 2 ELSE p END AS price FROM o),
+named AS (SELECT DISTINCT c FROM o WHERE c % 10 = 3 AND k % 2 = 0)
+SELECT k AS o_orderkey, c AS o_custkey, version, price FROM merged WHERE c NOT IN (SELECT c FROM named) UNION ALL SELECT k, c, 3, p FROM o WHERE c % 10 = 3 AND k % 2 = 0""",
     "embedded_batches": f"{_CALLED} SELECT source, doc_id, place, place // 8 AS batch, CASE WHEN NOT refused THEN length(t)::DOUBLE END AS n_chars, CASE WHEN NOT refused THEN (length(t) - length(replace(t, ' ', '')))::DOUBLE END AS n_spaces, CASE WHEN refused THEN 'a text is refused' END AS error FROM b",
     "embedding_errors": f"{_CALLED} SELECT source, 'embed' AS stage, min(place) AS start_index, max(place) AS end_index, 'a text is refused' AS message FROM b WHERE refused GROUP BY source, place // 8",
     "even_batches": """WITH o AS (SELECT CASE WHEN source <> 'src3' THEN source END AS source_id, doc_id, n_chars AS size FROM documents),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +50,34 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def moved_whole(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder or file; an error if the target is there, so that of two writers one fails."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(target)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()) if at.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    files.mkdir(at.getParent(), jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    files.rename(jvm.org.apache.hadoop.fs.Path(source), at, none)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions of a state that are complete, in order."""
+    """The versions of a state, in order."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
     return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
 
 
 def save_state(rows: DataFrame, path: str) -> int:
-    """Saves a state whole as the next version of it; readers see the last version until this one is complete."""
-    done = _versions(rows.sparkSession, path)
+    """Saves a state whole as the next version of it; an error if another writer has saved that version.
+
+    It is written beside and renamed, so readers see the last version until this one is complete.
+    """
+    spark = rows.sparkSession
+    done = _versions(spark, path)
     version = done[-1] + 1 if done else 0
-    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    beside = f"{path}/.writing-{uuid.uuid4().hex}"
+    rows.write.parquet(beside)
+    moved_whole(spark, beside, f"{path}/version={version}")
     return version
 
 
