@@ -7,11 +7,11 @@ offsets.  About one position in sixty is an anchor and stands for the run of win
 anchors (its context).
 
 1. Anchors whose string occurs once cannot lie in a repeat: a count by hash drops them.
-2. Contexts that occur again whole are told by two hashes of 64 bits each, of different bytes'
-   values and bases: that of the anchor's string and that of the context.  One copy of each stands
-   for the others in the sort.
-3. The suffixes at the windows of different contexts of one anchor string are sorted (deep-shallow,
-   see ``suffixes``); windows that share ``length`` bytes with a neighbour in that order repeat.
+2. Contexts that occur again whole are a class, told by 64 bits of a hash of the anchor's string and 64 of one of the
+   context's bytes.  One copy of each goes into the sort and stands for all, with their number.
+3. The suffixes at the windows of the contexts of one anchor string are sorted (deep-shallow, see ``suffixes``).
+   Windows that share ``length`` bytes with a neighbour in that order repeat, and those of a context that
+   stands for several have their copies as neighbours.  What the sort finds of a class holds for all its members.
 
 Anchor strings are dealt to tasks by their hash.  One with over ``part`` occurrences is dealt to
 several tasks by a salt of the row, each of which sorts its part in the same way and passes on one
@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(32))
 
 
-def anchors(hashing: _Hash, other: _Hash, buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
+def anchors(hashing: _Hash, buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
     """(lo, hi, key, context): runs of windows lo..hi of one anchor, for windows that start in first[i]..last[i]."""
     sums = hashing.sums(buf)
     own = _mix((sums[gram:] - sums[:-gram]) * hashing.inverse[: len(buf) - gram + 1])
@@ -94,9 +95,9 @@ def anchors(hashing: _Hash, other: _Hash, buf: np.ndarray, first: np.ndarray, la
     cut = cut[:0] if not len(p) else cut
     a, b = np.concatenate([np.zeros(min(1, len(p)), np.int64), cut]), np.concatenate([cut, np.full(min(1, len(p)), len(p))]) - 1
     lo, hi, x = p[a], p[b], x[a]
-    whole = other.sums(buf)
-    context = (whole[hi + length] - whole[lo]) * other.inverse[lo] + (x - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return lo, hi, own[x], _mix(context)
+    view, digest = memoryview(buf), xxhash.xxh3_64_intdigest
+    context = [digest(view[a:b], seed) for a, b, seed in zip(lo.tolist(), (hi + length).tolist(), (x - lo).tolist())]
+    return lo, hi, own[x], np.array(context, np.uint64)
 
 
 def _pieces(texts: list[bytes], length: int):
@@ -155,12 +156,12 @@ def anchor_runs(named: DataFrame, length: int, gram: int) -> DataFrame:
     """(row, key, context, at) of every anchor of every text; at: lo, the row's tag and hi - lo in 30, 24 and 9 bits."""
 
     def run(batches):
-        hashing, other = _Hash(), _Hash(31_337, 0xD1342543DE82EF95)
+        hashing = _Hash()
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             row, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
             for buf, owner, offset, first, last in _pieces(texts, length):
-                lo, hi, key, context = anchors(hashing, other, buf, first, last, length, gram)
+                lo, hi, key, context = anchors(hashing, buf, first, last, length, gram)
                 part = np.searchsorted(first, lo, "right") - 1
                 whose = owner[part]
                 at = (lo + offset[part] - first[part]) << 33 | tag[whose] << 9 | hi - lo
@@ -180,17 +181,17 @@ def _batch(rows: list[tuple], schema: str, kinds) -> pa.RecordBatch:
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, salt, row, tag, lo, alone, body): the bytes of the contexts ``wanted``."""
-    runs = wanted.groupBy("row", "tag").agg(F.collect_list(F.struct("key", "salt", "lo", "hi", "alone")).alias("runs"))
-    schema = "key bigint, salt int, row bigint, tag int, lo int, alone boolean, body binary"
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    """(key, salt, row, tag, lo, alone, context, body): the bytes of the contexts ``wanted``."""
+    runs = wanted.groupBy("row", "tag").agg(F.collect_list(F.struct("key", "salt", "lo", "hi", "alone", "context")).alias("runs"))
+    schema = "key bigint, salt int, row bigint, tag int, lo int, alone boolean, context bigint, body binary"
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
 
     def run(batches):
         unpack, out = zstandard.ZstdDecompressor().decompress, []
         for batch in batches:
             for row, tag, z, runs in zip(*batch.columns):
                 text, row, tag = unpack(z.as_py()), row.as_py(), tag.as_py()
-                out += [(r["key"], r["salt"], row, tag, r["lo"], r["alone"], text[r["lo"] : r["hi"] + length]) for r in runs.as_py()]
+                out += [(r["key"], r["salt"], row, tag, r["lo"], r["alone"], r["context"], text[r["lo"] : r["hi"] + length]) for r in runs.as_py()]
                 if len(out) >= 10_000:
                     yield _batch(out, schema, kinds)
                     out = []
@@ -201,38 +202,42 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_runs(contexts: DataFrame, length: int, merge: bool) -> DataFrame:
-    """(row, tag, lo, hi, body): runs of repeated windows in the contexts that stand alone, by sorting suffixes key by key.
+    """What sorting suffixes key by key finds to repeat: (row, tag, lo, hi) of runs of windows in contexts that stand alone, and (key, context) of classes.
 
     Keys meet whole, or in parts by a salt.  If parts are to ``merge``, one window of each kind of a
     part follows with its body; its row is null unless that window stands alone.
     """
-    schema = "row bigint, tag int, lo int, hi int, body binary"
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    schema = "row bigint, tag int, lo int, hi int, body binary, key bigint, context bigint"
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
     def solve(held):
         size = np.array([len(h[-1]) for h in held])
         start, count = np.cumsum(size) - size, size - length + 1
         buf = np.frombuffer(b"".join(h[-1] for h in held) + bytes(8), np.uint8)
-        windows = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        begin = np.cumsum(count) - count
+        windows = np.repeat(start - begin, count) + np.arange(count.sum())
         new = np.array([k > 0 and h[0] != held[k - 1][0] for k, h in enumerate(held)])
-        found, leads = repeated(buf, windows.copy(), length, np.repeat(np.cumsum(new), count))
-        single, again = np.array([h[4] for h in held]), np.zeros(len(buf), bool)
+        single, again, several = np.array([h[4] for h in held]), np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+        several[windows] = np.repeat(~single, count)
+        found, leads = repeated(buf, windows.copy(), length, np.repeat(np.cumsum(new), count), several)
         again[found] = True
+        for k in np.flatnonzero(np.logical_and.reduceat(again[windows], begin) & ~single).tolist():
+            yield None, None, None, None, None, held[k][0][0], held[k][5]
         at = windows[again[windows]]
         part = np.searchsorted(start, at, "right") - 1
         at, part = at[single[part]], part[single[part]]
         first = np.ones(len(at), bool)
         first[1:] = (np.diff(at) != 1) | (np.diff(part) != 0)
         for a, b, k in zip(at[first].tolist(), at[np.roll(first, -1)].tolist(), part[first].tolist()):
-            _, row, tag, lo, _, _ = held[k]
+            _, row, tag, lo, *_ = held[k]
             shift = lo - int(start[k])
-            yield row, tag, a + shift, b + shift, None
+            yield row, tag, a + shift, b + shift, None, None, None
         if merge:
             text, kinds_of = buf.tobytes(), np.concatenate([found[leads], windows[~again[windows]]])
             for a, k in zip(kinds_of.tolist(), (np.searchsorted(start, kinds_of, "right") - 1).tolist()):
-                _, row, tag, lo, alone, _ = held[k]
+                _, row, tag, lo, alone, *_ = held[k]
                 alone = alone and not again[a]
-                yield row if alone else None, tag, lo + a - int(start[k]), lo + a - int(start[k]), text[a : a + length]
+                yield row if alone else None, tag, lo + a - int(start[k]), lo + a - int(start[k]), text[a : a + length], None, None
 
     def run(batches):
         held, windows, last, out = [], 0, None, []
@@ -255,12 +260,11 @@ def _sorted_runs(contexts: DataFrame, length: int, merge: bool) -> DataFrame:
     return contexts.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, schema)
 
 
-def _merged_runs(found: DataFrame) -> DataFrame:
-    """(row, tag, lo, hi) of what the parts of keys have found, and of windows that stand alone in theirs and occur in another."""
+def _across_parts(found: DataFrame) -> DataFrame:
+    """(row, tag, lo, hi) of windows that stand alone in their part of a key and occur in another."""
     kinds = found.where("body is not null")
     twice = written(kinds.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body"), "windows_of_several_parts")
-    across = kinds.where("row is not null").join(twice, "body").select("row", "tag", "lo", "hi")
-    return found.where("body is null").select("row", "tag", "lo", "hi").union(across)
+    return kinds.where("row is not null").join(twice, "body").select("row", "tag", "lo", "hi")
 
 
 def repeated_runs(named: DataFrame, texts: DataFrame, length: int, gram: int, part: int) -> DataFrame:
@@ -268,14 +272,20 @@ def repeated_runs(named: DataFrame, texts: DataFrame, length: int, gram: int, pa
     found = anchor_runs(named, length, gram)
     counts = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchor_counts")
     again = written(found.join(counts, "key"), "repeated_anchors")
-    kinds = written(again.groupBy("key", "context").agg(F.count("*").alias("same"), F.max("n").alias("n"), F.min(F.struct("row", "at")).alias("one")), "contexts")
-    copied = _spans(again.join(kinds.where("same > 1").select("key", "context"), ["key", "context"]))
-    salt = F.pmod(F.xxhash64("one.row"), F.ceil(F.col("n") / part)).cast("int")
-    varied = kinds.where("same < n").select("one.row", "one.at", "key", salt.alias("salt"), (F.col("n") > part).alias("hot"), (F.col("same") == 1).alias("alone"))
-    wanted = _spans(varied, "key", "salt", "hot", "alone")
-    runs = copied.union(_sorted_runs(_contexts(texts, wanted.where("not hot"), length), length, False).select("row", "tag", "lo", "hi"))
-    hot = wanted.where("hot")
-    return runs if hot.isEmpty() else runs.union(_merged_runs(written(_sorted_runs(_contexts(texts, hot, length), length, True), "sorted_parts")))
+    kinds = again.groupBy("key", "context").agg(F.count("*").alias("same"), F.max("n").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    hot = (F.col("n") > part) & (F.col("same") < F.col("n"))  # a class that is all of its key's has nothing to meet
+    salt = F.when(hot, F.pmod(F.xxhash64("one.row"), F.ceil(F.col("n") / part))).otherwise(0).cast("int")
+    wanted = _spans(kinds.select("one.row", "one.at", "key", "context", salt.alias("salt"), hot.alias("hot"), (F.col("same") == 1).alias("alone")), "key", "context", "salt", "hot", "alone")
+    wanted = written(wanted, "contexts")
+    runs = written(_sorted_runs(_contexts(texts, wanted.where("not hot"), length), length, False), "sorted")
+    crowded = wanted.where("hot")
+    if not crowded.isEmpty():
+        parts = written(_sorted_runs(_contexts(texts, crowded, length), length, True), "sorted_parts")
+        runs = runs.union(parts.where("body is null"))
+    own = runs.where("row is not null").select("row", "tag", "lo", "hi")
+    classes = runs.where("key is not null").select("key", "context")
+    copied = _spans(again.join(classes, ["key", "context"])).select("row", "tag", "lo", "hi")
+    return own.union(copied) if crowded.isEmpty() else own.union(copied).union(_across_parts(parts))
 
 
 def removed_spans(docs: DataFrame, carried: Column, text_col: str = "text", length: int = 200, gram: int = 64, part: int = 4096, keep: str = "nothing") -> DataFrame:

@@ -23,15 +23,15 @@ def _word(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def multikey_quicksort(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, number): the suffixes that share their first ``depth`` bytes with another of their group, in order.
+def multikey_quicksort(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int = SHALLOW, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, number, single): the suffixes that share their first ``depth`` bytes with another of their group, in order, and those of ``several`` that do not.
 
     ``group`` numbers are not decreasing; suffixes of different groups are not compared.  All
     groups are partitioned around a pivot of their own at once: what is less, equal (and goes on
-    with the next character) or greater.  Suffixes that have become unique are dropped.  ``buf``
-    holds 8 bytes at least after each position that is read.
+    with the next character) or greater.  Suffixes that have become unique are dropped, unless
+    ``several`` marks their position as one at which several equal suffixes begin.  ``buf`` holds 8 bytes at least after each position that is read.
     """
-    at, done = np.zeros(len(starts), np.int64), []
+    at, done, single = np.zeros(len(starts), np.int64), [], [starts[:0]]
     while len(starts):
         edge = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         size = np.diff(np.append(edge, len(group)))
@@ -41,6 +41,9 @@ def multikey_quicksort(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, d
         if deep.any():
             mine = deep[own]
             done.append((starts[mine], group[mine]))
+        if several is not None:
+            left = starts[(size == 1)[own]]
+            single.append(left[several[left]])
         live = ~ready
         if not live.any():
             break
@@ -66,11 +69,11 @@ def multikey_quicksort(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, d
         order[place] = np.arange(len(starts))
         starts, at, group = starts[order], (at + 8 * same)[order], number[order]
     if not done:
-        return starts[:0], group[:0]
+        return starts[:0], group[:0], np.concatenate(single)
     # Groups were numbered anew in each round, so what was finished in different rounds is told apart by its round.
     found = np.concatenate([s for s, _ in done])
     size = np.concatenate([np.diff(np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g))) for _, g in done])
-    return found, np.repeat(np.arange(len(size)), size)
+    return found, np.repeat(np.arange(len(size)), size), np.concatenate(single)
 
 
 def blind_trie(text: bytes, starts: list[int], begin: int, end: int) -> tuple[list[int], list[int]]:
@@ -128,15 +131,15 @@ def blind_trie(text: bytes, starts: list[int], begin: int, end: int) -> tuple[li
     return order, shared
 
 
-def deep_shallow(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, shared, first): in order, the suffixes that share ``SHALLOW`` bytes with another of their group.
+def deep_shallow(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, shared, first, single): in order, the suffixes that share ``SHALLOW`` bytes with another of their group, and those of ``several`` that do not.
 
     shared is the length, up to ``length``, of the prefix that a suffix has in common with the one
     before; where ``first``, another part of the order begins and it counts for nothing.
     """
-    starts, part = multikey_quicksort(buf, starts, group)
+    starts, part, single = multikey_quicksort(buf, starts, group, several=several)
     if not len(starts):
-        return starts, np.zeros(0, np.int64), np.zeros(0, bool)
+        return starts, np.zeros(0, np.int64), np.zeros(0, bool), single
     first = np.diff(part, prepend=-1) != 0
     shared = np.full(len(starts), SHALLOW, np.int64)
     size = np.bincount(part)
@@ -159,15 +162,19 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
         own = slice(k, k + size[part[k]])
         order, shared[own] = blind_trie(text, starts[own].tolist(), SHALLOW, length)
         starts[own] = starts[own][order]
-    return starts, shared, first
+    return starts, shared, first, single
 
 
-def repeated(buf: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, leads): the positions whose next ``length`` bytes begin at another of their group too; of equal ones one leads."""
+def repeated(buf: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray | None = None, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, leads): the positions whose next ``length`` bytes begin at another of their group too; of equal ones one leads.
+
+    A position that ``several`` marks stands for as many suffixes, which follow each other in the order: it repeats wherever it comes to stand.
+    """
     if length < SHALLOW:
         raise ValueError(f"length must be {SHALLOW} at least")
-    starts, shared, first = deep_shallow(buf, starts, np.zeros(len(starts), np.int64) if group is None else group, length)
+    starts, shared, first, single = deep_shallow(buf, starts, np.zeros(len(starts), np.int64) if group is None else group, length, several)
     like_before = (shared >= length) & ~first
-    like_after = np.append(like_before[1:], False)
-    again = like_before | like_after
-    return starts[again], (like_after & ~like_before)[again]
+    again = like_before | np.append(like_before[1:], False)
+    if several is not None:
+        again |= several[starts]
+    return np.concatenate([starts[again], single]), np.concatenate([~like_before[again], np.ones(len(single), bool)])

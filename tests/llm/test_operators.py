@@ -142,6 +142,27 @@ def test_suffix_dedup_equals_brute_force(spark, texts, length, gram, part):
     assert all(hashlib.sha256(r["kept"] or b"").hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_all_that_suffix_dedup_removes_comes_from_the_sort(spark, texts, monkeypatch):
+    docs = table(spark, texts)
+    assert suffix_dedup.removed_spans(docs, F.col("doc_id")).where("size(spans) > 0").count() > 0
+    kind = "row bigint, tag int, lo int, hi int, body binary, key bigint, context bigint"
+    monkeypatch.setattr(suffix_dedup, "_sorted_runs", lambda contexts, length, merge: spark.createDataFrame([], kind))
+    assert suffix_dedup.removed_spans(docs, F.col("doc_id")).where("size(spans) > 0").count() == 0
+
+
+def test_positions_of_several_suffixes_repeat_wherever_they_stand():
+    rng = np.random.default_rng(2)
+    body = bytes(rng.integers(97, 99, 600, dtype=np.uint8)) + bytes(rng.integers(97, 123, 600, dtype=np.uint8))
+    buf, starts, length = np.frombuffer(body + bytes(48), np.uint8), np.arange(len(body) - 40), 40
+    several = np.zeros(len(buf), bool)
+    several[rng.integers(0, len(starts), 200)] = True
+    found, leads = suffixes.repeated(buf, starts.copy(), length, None, several)
+    of = {s: body[s : s + length] for s in starts.tolist()}
+    counts = Counter(of.values())
+    assert sorted(found.tolist()) == [s for s in starts.tolist() if several[s] or counts[of[s]] > 1]
+    assert Counter(of[s] for s in found[leads].tolist()) == Counter({of[s] for s in found.tolist()})
+
+
 def test_suffix_dedup_of_texts_beyond_a_piece(spark):
     body = words(260_000, 9, 1 << 40)
     assert len(body) > suffix_dedup.PIECE
@@ -170,7 +191,7 @@ def test_sorted_suffixes_have_order_and_shared_prefixes(length):
     found, leads = suffixes.repeated(buf, starts.copy(), length, group)
     assert sorted(found.tolist()) == want
     assert sorted({(group[k], body[k : k + length]) for k in want}) == sorted((group[k], body[k : k + length]) for k in found[leads].tolist())
-    ordered, shared, first = suffixes.deep_shallow(buf, starts.copy(), group, length)
+    ordered, shared, first, _ = suffixes.deep_shallow(buf, starts.copy(), group, length)
     for i in range(1, len(ordered)):
         if not first[i]:
             a, b = (body[k : k + length] for k in ordered[i - 1 : i + 1])
