@@ -88,7 +88,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Words that make another licence of one, and bigrams with these, with a version or with a number of clauses.
 QUALIFIERS = "affero lesser library nc nd noncommercial noderivatives noderivs sa sharealike".split()
-TELLING = rf"(^| )({'|'.join(QUALIFIERS)})( |$)|^(version|v|license|attribution|by|bsd) [0-9]+$|^[0-9]+ ([0-9]+|clause)$"
+TELLING = rf"(^| )({'|'.join(QUALIFIERS)})( |$)|^(version|v|license|attribution|by|bsd) [0-9]+$|^[0-9]+ ([1-9][0-9]*|clause)$"
 # End of fixed values.
 THRESHOLD = 0.8
 #: Bigrams of all templates that tasks get as constants at most.
