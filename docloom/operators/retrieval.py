@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules
 from docloom.functions.text import bound
+from docloom.operators.crawl import saved
 
 #: Bytes of questions that are sent to every task at most; larger sets meet the chunks cell by cell.
 BROADCAST_BYTES = 64 << 20
 #: Parts that chunks are dealt to in each block of questions, then.
 CELLS = 64
-#: Questions of one owner that a chunk is scored against at a time.
-QUESTIONS_EACH = 256
 
 
 def compiled(filter: Mapping | None, schema_arrays: Sequence[str] = ()) -> Column:
@@ -195,37 +194,46 @@ def lexical_rank(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame
 
     Words of three letters or digits at least count as often as they occur, substrings are hits,
     the whole phrase adds a quarter, and chunks without a hit stay.  Questions meet the chunks of
-    their own ``owner`` only.
+    their own ``owner`` only, in which ``chunk_index`` tells chunks apart.
 
-    The questions of an owner are packed in blocks of ``QUESTIONS_EACH``.  A chunk is put in lower
-    case once and looked through once for each different word of a block; questions then count what
-    was found by the places of their words.
+    Words are found by an index of three-character strings: a word is listed under the one of its own that the
+    fewest of its owner's chunks contain, a chunk is looked up by its strings and the words met are verified in its
+    text, so a pair that shares no such string is never made.  What has no hit has score 0, whatever it says: it fills up in
+    order of ``chunk_index``, and the first 2 k chunks of an owner are enough for that.
     """
+    k = max(1, min(12, k))
     words = F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
     asked = queries.select("query_id", "owner", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    sizes = asked.groupBy(F.col("owner").alias("of")).agg(F.ceil(F.count("*") / QUESTIONS_EACH).alias("blocks"))
-    asked = asked.join(sizes, F.col("owner") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
-    blocks = asked.groupBy("owner", "block").agg(F.collect_list(F.struct("query_id", "words")).alias("asks"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all"))
-    places = lambda ws: F.transform(ws, lambda w: F.array_position(F.col("all"), w).cast("int") - 1)
-    blocks = blocks.select("owner", "all", F.transform("asks", lambda a: F.struct(a["query_id"].alias("query_id"), places(a["words"]).alias("at"), F.array_join(a["words"], " ").alias("phrase"))).alias("asks"))
-
-    def scores(low: Column) -> Column:
-        def of_found(found: Column) -> Column:
-            def one(a: Column) -> Column:
-                hits = F.size(F.filter(a["at"], lambda i: F.get(found, i)))
-                share = F.when(F.size(a["at"]) > 0, hits / F.size(a["at"])).otherwise(0.0)
-                bonus = F.when((F.size(a["at"]) > 0) & F.contains(low, a["phrase"]), 0.25).otherwise(0.0)
-                return F.struct(a["query_id"].alias("query_id"), F.least(F.lit(1.0), share + bonus).alias("score"))
-
-            return F.transform("asks", one)
-
-        return bound(F.transform("all", lambda w: F.contains(low, w)), of_found)
-
-    met = chunks.where(F.trim("text") != "").select("owner", "chunk_index", "text").join(blocks, "owner")
-    scored = met.select("owner", "chunk_index", F.explode_outer(bound(F.lower("text"), scores)).alias("s")).select("s.query_id", "owner", "chunk_index", "s.score")
-    k = max(1, min(12, k))
+    texts = chunks.where(F.trim("text") != "").select("owner", "chunk_index", F.lower("text").alias("low"))
+    grams = lambda c: bound(F.split(c, ""), lambda x: F.array_distinct(F.transform(x, lambda y, i: F.concat(y, F.get(x, i + 1), F.get(x, i + 2)))))
+
+    terms = asked.select("owner", F.explode("words").alias("word")).distinct()
+    of_terms = saved(terms.select("owner", "word", F.explode(grams(F.col("word"))).alias("gram")).where("length(gram) = 3"))
+    posted = texts.select("owner", "chunk_index", F.explode(grams(F.col("low"))).alias("gram"))
+    posted = saved(posted.join(of_terms.select("owner", "gram").distinct(), ["owner", "gram"], "left_semi"))
+    sizes = posted.groupBy("owner", "gram").agg(F.count("*").alias("n"))
+    listed = of_terms.join(sizes, ["owner", "gram"], "left").groupBy("owner", "word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("by"))
+    listed = listed.where("by.n > 0").select("owner", "word", "by.gram")  # a word with a string that no chunk has is in none
+
+    met = posted.join(listed, ["owner", "gram"]).groupBy("owner", "chunk_index").agg(F.collect_list("word").alias("met"))
+    found = texts.join(met, ["owner", "chunk_index"]).withColumn("met", F.filter("met", lambda w: F.contains("low", w))).where("size(met) > 0")
+    found = saved(found)
+    counts = asked.select("query_id", "owner", F.explode("words").alias("word")).groupBy("query_id", "owner", "word").agg(F.count("*").alias("times"))
+    hits = found.select("owner", "chunk_index", F.explode("met").alias("word")).join(counts, ["owner", "word"])
+    hits = hits.groupBy("query_id", "owner", "chunk_index").agg(F.sum("times").alias("hits"))
+    whole = asked.select("query_id", "owner", F.size("words").alias("n"), F.array_join("words", " ").alias("phrase"))
+    hits = hits.join(whole, ["query_id", "owner"])
+
+    # Only a chunk with all words can have the phrase, so few texts are looked at again.
+    full = hits.where("hits = n").join(found.select("owner", "chunk_index", "low"), ["owner", "chunk_index"]).where(F.contains("low", F.col("phrase"))).select("query_id", "owner", "chunk_index", F.lit(0.25).alias("bonus"))
+    scored = hits.join(full, ["query_id", "owner", "chunk_index"], "left").select("query_id", "owner", "chunk_index", F.least(F.lit(1.0), F.col("hits") / F.col("n") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    scored = saved(scored)
+
+    place = Window.partitionBy("owner").orderBy("chunk_index")
+    first = texts.select("owner", "chunk_index").withColumn("place", F.row_number().over(place)).where(F.col("place") <= 2 * k).select("owner", "chunk_index")
+    rest = asked.select("query_id", "owner").join(first, "owner").join(scored, ["query_id", "owner", "chunk_index"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id", "owner").orderBy(F.desc("score"), "chunk_index")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return scored.unionByName(rest).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
