@@ -49,7 +49,7 @@ ROWS = 250
 #: Rows of a number and a hash that are sent to every task at most: 24 megabytes.
 BROADCAST_ROWS = 1_000_000
 #: Members outside a posting's largest component with which all are compared, and rounds in which shingles of larger ones are moved to the end.
-CROWD, ROUNDS = 64, 6
+CROWD, ROUNDS = 256, 6
 
 
 def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
