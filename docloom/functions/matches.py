@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
-from docloom.functions.text import comma_list, iso_date, parsed_list, to_text
+from docloom.functions.text import comma_list, iso_date, parsed_list, snippet, to_text
 
 # The names under which fields arrive, in order of preference, and defaults.
 MATCH_FIELDS = {"text": ("text", "content", "chunk"), "title": ("title", "caseName", "name"), "source": ("source", "url", "docId"), "source_url": ("source_url", "url"), "authority_level": ("authority_level",), "doc_family": ("doc_family",), "jurisdiction": ("jurisdiction",), "effective_date": ("effective_date",), "section_id": ("section_id",)}
@@ -45,10 +45,10 @@ def good_enough(score: Column, least: float) -> Column:
 def case_source(record: Column) -> Column:
     """A case from a search result's map, null with neither title nor snippet; a missing id is the record's hash."""
     got = {field: first_of(record, names) for field, names in CASE_FIELDS.items()}
-    snippet = F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(got["snippet"], F.lit("")), "<[^>]+>", " "), r"\s+", " ")), 1, 1200)
+    shown = snippet(F.coalesce(got["snippet"], F.lit("")), "search")
     key = F.coalesce(got["id"], F.concat(F.lit("a2aj-"), F.substring(F.sha1(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(record))))), 1, 8)))
-    made = F.struct(key.alias("id"), F.coalesce(got["title"], F.lit(DEFAULT_CASE)).alias("title"), *[got[c].alias(c) for c in ("court", "date", "neutral_citation", "url")], snippet.alias("snippet"))
-    return F.when(got["title"].isNotNull() | (snippet != ""), made)
+    made = F.struct(key.alias("id"), F.coalesce(got["title"], F.lit(DEFAULT_CASE)).alias("title"), *[got[c].alias(c) for c in ("court", "date", "neutral_citation", "url")], shown.alias("snippet"))
+    return F.when(got["title"].isNotNull() | (shown != ""), made)
 
 
 def identity(*candidates: Column) -> Column:

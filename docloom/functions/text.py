@@ -60,8 +60,21 @@ def strip_tags(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
-def snippet(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+# Characters that are shown of each kind of text, and the bounds of the one that may be set.
+SNIPPETS = {"search": 1200, "document": 1200, "decision": 1600, "error": 300, "injection": 220, "title": 80}
+DECISION_BOUNDS = (500, 4000)
+# End of fixed values.
+
+
+def snippet(c: Column, kind: str, most: int | None = None) -> Column:
+    """What is shown of a text: without tags and spare space if it is a search result, cut to its kind's length; a null text has none.
+
+    ``most`` sets the length for decisions, within bounds; a kind that is not known is an error.
+    """
+    n = SNIPPETS[kind]
+    if kind == "decision" and most is not None:
+        n = max(DECISION_BOUNDS[0], min(DECISION_BOUNDS[1], most))
+    return F.substring(strip_tags(c) if kind == "search" else F.trim(c), 1, n)
 
 
 def slug(url: Column) -> Column:

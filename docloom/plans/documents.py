@@ -58,6 +58,12 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(plain).alias("text_hash"), F.length(plain).alias("n_chars"))
 
 
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be shown of each page, as a search result, a document, and a decision with a length below its bounds."""
+    cut = lambda kind, most=None: F.md5(texts.snippet(F.col("html"), kind, most)).alias(kind)
+    return table(spark, sf_dir, "pages").select("page_id", cut("search"), cut("document"), cut("decision", 100), cut("error"))
+
+
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = chunking.chunked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "chunk_index", F.md5("chunk_text").alias("chunk_hash"), "est_tokens", "start_char", "end_char")
@@ -207,7 +213,7 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    html_title, html_sections, content_parts, html_markdown, html_links, html_text, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, running_line_counts, printed_sections, chunk_page_spans, markdown_sections, heading_lines, page_quality,
+    html_title, html_sections, content_parts, html_markdown, html_links, html_text, snippets, chunk_docs, chunk_stats, chunk_sections, heading_counts, recursive_chunks, running_lines, running_line_counts, printed_sections, chunk_page_spans, markdown_sections, heading_lines, page_quality,
     crawl_bfs, crawl_resumed, crawl_statuses, seed_urls, hub_links, front_matter, library_search, case_search, citation_memo, prompt_assembly,
 )}
 _MD = f"md AS (SELECT doc_id, {sql_picked(PHRASES[:5], 'doc_id')} AS h, text AS t FROM documents)"
@@ -237,6 +243,7 @@ SELECT page_id, CASE k WHEN 0 THEN title WHEN 1 THEN 'Own title' WHEN 2 THEN h1
       WHEN 4 THEN 'Date modified 2024-01-01 short ' || ad || ' ' || body ELSE 'Date modified: Foo 5, 2024 or 7 June 2022 ' || filler END) AS text_hash FROM f""",
     "html_title": r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'Untitled') AS title FROM pages",
     "html_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, md5(t) AS text_hash, length(t)::INTEGER AS n_chars FROM t",
+    "snippets": r"""SELECT page_id, md5(left(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1200)) AS search, md5(left(trim(html), 1200)) AS document, md5(left(trim(html), 500)) AS decision, md5(left(trim(html), 300)) AS error FROM pages""",
     "html_links": r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1)) AS h, generate_subscripts(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1), 1) - 1 AS pos FROM pages),
 p AS (SELECT page_id, pos, lower(regexp_extract(CASE WHEN starts_with(h, '/') THEN url ELSE h END, '^(https?://[^/?#]+)', 1)) AS origin, regexp_replace(regexp_extract(CASE WHEN starts_with(h, '/') THEN h ELSE regexp_extract(h, '^https?://[^/?#]+(.*)$', 1) END, '^([^?#]*)', 1), '/{2,}', '/', 'g') AS way FROM h)
 SELECT page_id, min(pos)::INTEGER AS pos, origin || CASE WHEN way IN ('', '/') THEN '/' ELSE rtrim(way, '/') END AS link FROM p WHERE origin <> '' GROUP BY ALL""",

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.crawl import saved
 from docloom.operators.tables import upserted
 from docloom.sources.writers import load_state, save_state
 
@@ -49,6 +50,23 @@ def merged(new: DataFrame, path: str, version: str) -> list[int]:
     return sorted(touched)
 
 
+def append_markdown(pages: DataFrame, path: str, buckets: int = 256) -> int:
+    """Adds pages (name, content) to a table of markdown texts by name, and says how many; a name that is there already is never written again.
+
+    Of pages that share a name the least content counts.
+    """
+    new = pages.groupBy("name").agg(F.min("content").alias("content"))
+    if not load_state(pages.sparkSession, f"{path}/versions", MANIFEST).isEmpty():
+        new = new.join(read(pages.sparkSession, path).select("name"), "name", "left_anti")
+        new = saved(new)
+        if n := new.count():
+            merged(new, path, "content")
+        return n
+    new = saved(new)
+    created(new, path, ["name"], buckets)
+    return new.count()
+
+
 def sources_replaced(new: DataFrame, path: str, source: str) -> list[int]:
     """All rows of the sources that ``new`` has go, and its own come; says which buckets were written anew."""
     spark = new.sparkSession

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import snippet
+
 
 def partitioned_vectors(vectors: DataFrame, path: str, partition: str = "namespace") -> None:
     """Overwrites only the partitions that ``vectors`` has."""
@@ -23,28 +25,6 @@ def markdown_body(meta: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n"), body)
 
 
-def append_markdown(pages: DataFrame, path: str) -> int:
-    """Adds pages (name, content) to a folder of markdown texts by name, and says how many; a name that is there already is never written again.
-
-    Of pages that share a name the least content counts.
-    """
-    spark = pages.sparkSession
-    new = pages.groupBy("name").agg(F.min("content").alias("content"))
-    if _exists(spark, path):
-        new = new.join(markdown_store(spark, path).select("name"), "name", "left_anti")
-    new = new.cache()
-    n = new.count()
-    if n:
-        new.withColumnRenamed("content", "value").write.mode("append").option("lineSep", "\u0000").partitionBy("name").text(path)
-    new.unpersist()
-    return n
-
-
-def markdown_store(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of the folder that ``append_markdown`` fills."""
-    return spark.read.schema("value string, name string").option("lineSep", "\u0000").text(path).select("name", F.col("value").alias("content"))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -87,6 +67,45 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={done[-1]}") if done else spark.createDataFrame([], schema)
 
 
+def write_once(rows: DataFrame, path: str, run: str, by: str) -> bool:
+    """Writes the artifacts of a run as JSON, a group of files for each value of ``by``; says whether it did.
+
+    A run is written beside and renamed whole, so one that was cut off leaves nothing that readers see, and one that is
+    repeated, or that another writer has finished meanwhile, changes nothing.
+    """
+    spark, target = rows.sparkSession, f"{path}/run={run}"
+    if _exists(spark, target):
+        return False
+    beside = f"{path}/.writing-{uuid.uuid4().hex}"
+    rows.repartition(by).write.partitionBy(by).json(beside)
+    try:
+        moved_whole(spark, beside, target)
+    except Exception:
+        if not _exists(spark, target):
+            raise
+        return False
+    return True
+
+
+def artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_once`` has written, with ``run``; ``schema`` includes the column that the files are grouped by."""
+    return spark.read.schema(f"{schema}, run string").json(path)
+
+
+def chunk_artifact(chunks: DataFrame, path: str, run: str) -> bool:
+    """Chunks (source_id, chunk_index, text, page_start, page_end, ...) for review, a group of files for each source: each once a run."""
+    preview = snippet(F.col("text"), "error")
+    return write_once(chunks.select("*", F.length("text").alias("n_chars"), preview.alias("preview")), path, run, "source_id")
+
+
+def evaluation_report(results: DataFrame, path: str, run: str) -> bool:
+    """The results of an evaluation (query, status, errors): a row for each, and one that counts them by status, each once a run."""
+    counted = results.groupBy("status").agg(F.count("*").alias("n"))
+    summary = counted.agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"))
+    rows = results.withColumn("part", F.lit("results")).unionByName(summary.withColumn("part", F.lit("summary")), allowMissingColumns=True)
+    return write_once(rows, path, run, "part")
+
+
 def json_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -226,14 +226,14 @@ def test_chunks_touch_pages_across_stretches(spark):
 
 
 def test_markdown_and_state_are_stored_once(spark, tmp_path):
-    from docloom.sources import writers
+    from docloom.sources import store, writers
 
     folder, state = str(tmp_path / "md"), str(tmp_path / "state")
     pages = spark.createDataFrame([("a.md", "one\ntwo\n"), ("b.md", "")], "name string, content string")
-    assert writers.append_markdown(pages, folder) == 2
+    assert store.append_markdown(pages, folder) == 2
     again = spark.createDataFrame([("a.md", "changed"), ("c.md", "new")], "name string, content string")
-    assert writers.append_markdown(again, folder) == 1
-    assert {r["name"]: r["content"] for r in writers.markdown_store(spark, folder).collect()} == {"a.md": "one\ntwo\n", "b.md": "", "c.md": "new"}
+    assert store.append_markdown(again, folder) == 1 and store.append_markdown(again, folder) == 0
+    assert {r["name"]: r["content"] for r in store.read(spark, folder).collect()} == {"a.md": "one\ntwo\n", "b.md": "", "c.md": "new"}
     assert writers.load_state(spark, state, "path string, n int").count() == 0
     for n in (1, 2):
         assert writers.save_state(spark.createDataFrame([("f", n)], "path string, n int"), state) == n - 1
@@ -467,3 +467,12 @@ def test_faults_of_a_batch_are_kept_apart(spark, tmp_path):
     errors = {r["g"]: (r["stage"], r["start_index"], r["end_index"]) for r in remote.batch_errors(found, "g").collect()}
     assert errors == {g: ("embed", 0, 1) for g in ("bad", "down", "short", "gap")}
     assert remote.embedded(rows.where("false"), call, "g", "k", "t").count() == 0
+
+
+def test_snippets_by_kind(spark):
+    long = "x" * 5000
+    sizes = {("search", None): 1200, ("document", None): 1200, ("decision", None): 1600, ("decision", 100): 500, ("decision", 9000): 4000, ("decision", 700): 700, ("error", None): 300, ("injection", None): 220, ("title", None): 80}
+    assert {k: len(one(spark, text.snippet(F.lit(long), *k))) for k in sizes} == sizes
+    assert one(spark, text.snippet(F.lit(" <p>a</p>\n <b>b</b> "), "search")) == "a b" and one(spark, text.snippet(F.lit(" <p>"), "document")) == "<p>" and one(spark, text.snippet(F.lit(None), "error")) is None
+    with pytest.raises(KeyError):
+        text.snippet(F.lit("x"), "other")

@@ -1,6 +1,7 @@
 """Tables merged in storage, and crawls that stop and go on."""
 
 import glob
+import hashlib
 import os
 from collections import deque
 
@@ -127,3 +128,45 @@ def test_no_version_is_written_twice(spark, tmp_path):
     with pytest.raises(PySparkException):
         writers.save_state(spark.range(3).select(F.raise_error(F.lit("lost")).alias("id")), path)
     assert writers.load_state(spark, path, "id bigint").count() == 2
+
+
+def test_artifacts_are_written_once(spark, tmp_path):
+    path, kind = str(tmp_path / "out"), "chunk_index int, text string, n_chars int, preview string, source_id string"
+    chunks = spark.createDataFrame([("s1", 0, "one"), ("s1", 1, "x" * 400), ("s 2/é", 0, None)], "source_id string, chunk_index int, text string")
+    assert writers.chunk_artifact(chunks, path, "r1") and not writers.chunk_artifact(chunks.where("false"), path, "r1")
+    got = writers.artifacts(spark, path, kind)
+    assert sorted((r["source_id"], r["chunk_index"], r["n_chars"], len(r["preview"] or "")) for r in got.collect()) == [("s 2/é", 0, None, 0), ("s1", 0, 3, 3), ("s1", 1, 400, 300)]
+    with pytest.raises(PySparkException):
+        writers.chunk_artifact(chunks.withColumn("text", F.raise_error(F.lit("killed")).cast("string")), path, "r2")
+    assert writers.artifacts(spark, path, kind).count() == 3
+    assert writers.chunk_artifact(chunks, path, "r2") and writers.artifacts(spark, path, kind).groupBy("run").count().count() == 2
+
+
+def test_the_evaluation_report_counts_its_results(spark, tmp_path):
+    results = spark.createDataFrame([("q1", "passed", []), ("q2", "failed", ["no date"]), ("q3", "passed", [])], "query string, status string, errors array<string>")
+    assert writers.evaluation_report(results, str(tmp_path / "eval"), "r1") and not writers.evaluation_report(results, str(tmp_path / "eval"), "r1")
+    got = writers.artifacts(spark, str(tmp_path / "eval"), "query string, status string, errors array<string>, n bigint, by_status map<string,bigint>, part string").collect()
+    assert [(r["n"], r["by_status"]) for r in got if r["part"] == "summary"] == [(3, {"failed": 1, "passed": 2})]
+    assert sorted((r["query"], r["errors"]) for r in got if r["part"] == "results") == [("q1", []), ("q2", ["no date"]), ("q3", [])]
+
+
+def test_the_registered_crawl_equals_one_queue(spark, data):
+    """Over the links of all pages; addresses in capitals or with a full stop lead to the plain word, if pages link to it."""
+    import re
+
+    from docloom.plans import documents
+
+    html = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html").orderBy("page_id").collect()
+    linked = {r["page_id"]: re.findall('href="/([^"]*)"', r["html"]) for r in html}
+    owner = {}
+    for p, words in linked.items():
+        for w in words:
+            key = hashlib.md5(f"{w}{p}".encode()).hexdigest()
+            owner[w] = min(owner.get(w, (key, p)), (key, p))
+    site = "https://words.example.org/"
+    final = lambda w: site + (v if (v := re.sub("[.]$", "", w.lower())) in owner else w)
+    pages = {site + w: (final(w), [site + x for x in linked[p]]) for w, (_, p) in owner.items()}
+    seeds = [site + linked[p][0] for p in sorted(linked) if p % 10 == 3 and linked[p]]
+    got = sorted(map(tuple, documents.crawl_resumed(spark, data).collect()), key=lambda r: r[4])
+    assert got == walked(pages, seeds, 3, 1_000_000, lambda u: not u.endswith(","))
+    assert {r[5] for r in got} >= {"fetched"}
