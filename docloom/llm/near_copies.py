@@ -14,9 +14,10 @@ outside a posting's largest component with all others of it.
 
 The order begins as that of a sample's counts, then of the hashes; any order gives the same groups.  What the sample
 does not show is counted over the whole table: a posting with over ``CROWD`` members outside its largest
-component holds a common passage rather than copies, and its shingle moves to the end of the order.  The texts that
-post it post their next shingles instead, and what these bring together is compared in a further round; texts that do
-not post it would not either way.  So each shingle brings a member together with a bounded number of others,
+component holds a common passage rather than copies, and its shingle moves to the end of the order.  With it go all other
+shingles of the passage: of all that the texts posting it have, those in over ``CROWD`` of these texts' components.  The
+texts post their next shingles instead, and what these bring together is compared in a further round; texts that do
+not post a moved shingle would not either way.  So each shingle brings a member together with a bounded number of others,
 unless a text has too few others to post.
 
 Texts are named by 128 bits of a hash, sets of shingles are told apart by as many and numbered.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import simhash
 from docloom.llm.graph import components
-from docloom.llm.shared import scratch, written
+from docloom.llm.shared import scratch, small_batches, written
 
 SEED = 42
 WORDS_EACH = 5
@@ -49,7 +50,7 @@ ROWS = 250
 #: Rows of a number and a hash that are sent to every task at most: 24 megabytes.
 BROADCAST_ROWS = 1_000_000
 #: Members outside a posting's largest component with which all are compared, and rounds in which shingles of larger ones are moved to the end.
-CROWD, ROUNDS = 256, 6
+CROWD, ROUNDS = 32, 6
 
 
 def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +192,22 @@ def _met_and_compared(texts: DataFrame, sets: DataFrame, post: DataFrame, known:
     return linked.union(_compared(texts, sets, pairs)).distinct(), apart.where("crowd").select("key")
 
 
+def _crowding(texts: DataFrame, sets: DataFrame, links: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(key): the ``crowded`` shingles, and those that over ``CROWD`` components of the sets that post these have."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            size = [len(h) for h in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["root", "key"])
+
+    hit = sets.select("node", "t", F.explode("keys").alias("key")).join(crowded, "key").select("node", "t").distinct()
+    wanted = hit.join(components(links), "node", "left").select("t", F.coalesce("root", "node").alias("root"))
+    every = _of(texts, written(wanted, "crowds")).select("root", "text").mapInArrow(run, "root bigint, key bigint")
+    common = every.groupBy("key", "root").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    return crowded.union(common.select("key")).distinct()
+
+
 def _changed(sets: DataFrame, new: DataFrame) -> DataFrame:
     return sets.join(new.select("node"), "node", "left_anti").unionByName(new)
 
@@ -247,8 +264,9 @@ def jaccard_links(texts: DataFrame, sets: DataFrame, counted: np.ndarray, counts
             links, crowded = (result(x, "met") for x in _met_in(texts, sets, post, links, moved, turn == ROUNDS - 1))
         if crowded.isEmpty():
             break
-        moved = crowded if moved is None else moved.union(crowded)
         with scratch(texts.sparkSession) as result:
+            crowded = _crowding(texts, sets, links, crowded)
+            moved = result(crowded if moved is None else moved.union(crowded).distinct(), "moved")
             new = _reposted(texts, sets, moved, turn + 1, counted, counts)
             changed = result(new if changed is None else _changed(changed, new), "changed")
     return links
@@ -256,7 +274,11 @@ def jaccard_links(texts: DataFrame, sets: DataFrame, counted: np.ndarray, counts
 
 def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(t, root): the group of each text that has near copies, texts by their names."""
-    texts = docs.select(text_hash(text_col).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _groups(docs.select(text_hash(text_col).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+
+
+def _groups(texts: DataFrame) -> DataFrame:
     counted, counts = _counted(texts)
 
     def run(batches):
@@ -268,8 +290,8 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [batch.column(0), pa.array(prints, pa.int64()), pa.array(own, pa.binary()), pa.array([len(h) for h in found], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["t", "fp", "own", "n", "keys"])
 
-    with scratch(docs.sparkSession) as result:
-        with scratch(docs.sparkSession) as lasting:
+    with scratch(texts.sparkSession) as result:
+        with scratch(texts.sparkSession) as lasting:
             sketches = written(texts.mapInArrow(run, "t binary, fp bigint, own binary, n int, keys array<bigint>"), "sketches")
             sets = sketches.groupBy("own").agg(F.min(F.struct("t", "n", "keys")).alias("s")).select(F.monotonically_increasing_id().alias("node"), "own", "s.*")
             sets = lasting(sets, "sets")  # the numbers hold from here on

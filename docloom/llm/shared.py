@@ -90,3 +90,15 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         for path in own:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """A scope in which so many rows at most go to Python at a time; for jobs that run within it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
