@@ -236,6 +236,7 @@ leveled AS (SELECT *, CASE WHEN length(x) NOT BETWEEN 4 AND 130 OR regexp_matche
 SQL = {
     "html_sections": f"""WITH {_ARTICLE}, s AS (SELECT page_id, 0 AS k, h1, ad AS text FROM parts UNION ALL SELECT page_id, 1, h1, body FROM parts)
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS section_index, h1 AS path, h1 AS top_heading, NULL::VARCHAR AS anchor, text FROM s WHERE text <> ''""",
+    "heading_counts": f"""WITH {_ARTICLE}, s AS (SELECT h1, ad AS text FROM parts UNION ALL SELECT h1, body FROM parts) SELECT coalesce(nullif(h1, ''), 'Unknown') AS heading, count(*) AS n FROM s WHERE text <> '' GROUP BY 1""",
     "content_parts": f"""WITH {_ARTICLE}, f AS (SELECT *, page_id % 6 AS k, '{FILLER.strip()}' AS filler FROM parts)
 SELECT page_id, CASE k WHEN 0 THEN title WHEN 1 THEN 'Own title' WHEN 2 THEN h1 WHEN 3 THEN title WHEN 4 THEN h1 ELSE title END AS title,
   CASE k WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2024-03-05' WHEN 2 THEN '2023-04-06' WHEN 3 THEN '2024-10-01' WHEN 5 THEN '2022-06-07' END AS last_updated, CASE WHEN k IN (2, 4) THEN 2 ELSE 1 END AS n_sections,
