@@ -2,25 +2,32 @@
 
 A chunk table has (id, vector, authority_level, doc_family, instrument, jurisdiction,
 effective_date); a question table has (query_id, vector) and, for tiers, the query profile.  Each
-question's filter is a join condition on small arrays, a pair is scored once for all tiers it is in,
-and only the best rows of a question leave each task, as the ranking is cut before the shuffle.
+question's filter is worked out once for each two kinds of profiles and chunks, tiles of vectors are
+multiplied in each task, and only the best rows of a question leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import rules
 from docloom.functions.text import bound
 from docloom.operators.crawl import saved
+from docloom.operators.scans import stretches
 
-#: Bytes of questions that are sent to every task at most; larger sets meet the chunks cell by cell.
-BROADCAST_BYTES = 64 << 20
-#: Parts that chunks are dealt to in each block of questions, then.
-CELLS = 64
+#: Bytes and rows of a block of questions at most.
+BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 4096
+#: Chunks that meet a block in one task, about, and the parts that chunks are dealt to at least.
+CELL_ROWS, LEAST_CELLS = 32_768, 32
+#: Chunks that are scored at a time, pairs whose scores are computed anew at a time, and rows that leave a task at a time.
+TILE, PAIRS, ROWS_OUT = 1024, 16_384, 10_000
 
 
 def compiled(filter: Mapping | None, schema_arrays: Sequence[str] = ()) -> Column:
@@ -57,42 +64,181 @@ def with_norms(rows: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def question_blocks(queries: DataFrame, vector: str = "vector") -> int:
-    """How many blocks of ``BROADCAST_BYTES`` at most the questions make; their number and largest vector are looked up once."""
+    """How many blocks of ``BLOCK_BYTES`` and ``BLOCK_ROWS`` at most the questions make; their number and largest vector are looked up once."""
     n, dims = queries.agg(F.count("*"), F.max(F.size(vector))).first()
-    return max(1, -(-n * (8 * (dims or 0) + 1024) // BROADCAST_BYTES))
+    return max(1, -(-n // BLOCK_ROWS), -(-n * (8 * (dims or 0) + 1024) // BLOCK_BYTES))
 
 
-def pairs_of(queries: DataFrame, chunks: DataFrame, fits: Column | None = None, blocks: int | None = None) -> DataFrame:
-    """(question and chunk columns, score): the cosine of every fitting pair, null where there is none.
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The rows of an array of equally long lists."""
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
-    One block of questions is sent to every task.  Several are dealt to cells of (block, part of the
-    chunks), so that neither side is sent whole to any task.
+
+def _cosines(a: np.ndarray, b: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The cosines of the rows of two arrays, added up from the first component on, so that they do not depend on what else is in the arrays."""
+    total = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        total += x * y
+    return total / norms
+
+
+class _Asked:
+    """The questions of a block that have vectors of one length, and the best chunks of each and its tiers so far.
+
+    Scores of whole tiles come from products of matrices, whose last bits depend on the tile; they only tell which
+    pairs can be among the best, and these are computed anew.
+    """
+
+    def __init__(self, rows: np.ndarray, asks: list[str], vectors: np.ndarray, norms: np.ndarray):
+        self.rows, self.vectors, self.norms = rows, vectors, norms
+        #: What the last bits of a cosine and of its two norms can amount to.
+        self.slack = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
+        self.members = {ask: np.flatnonzero(np.array(asks) == ask) for ask in dict.fromkeys(asks)}
+        self.best: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def _plain(norms: np.ndarray) -> np.ndarray:
+        """Norms whose products neither overflow nor lose digits; pairs of others are computed one by one."""
+        return (norms > 1e-100) & (norms < 1e100)
+
+    def meet(self, at: np.ndarray, has: list[str], vectors: np.ndarray, norms: np.ndarray, admitted: dict[str, dict[str, set[str]]], sizes: Mapping[str, int], rest: int) -> None:
+        """Takes in the chunks ``at``, in order of their ids; ``admitted`` has the kinds of chunks that each tier of each question takes."""
+        kinds, kind = np.unique(has, return_inverse=True)
+        for ask, members in self.members.items():
+            takes = {tier: np.array([x in of for x in kinds.tolist()])[kind] for tier, of in admitted.get(ask, {}).items()}
+            some = np.flatnonzero(np.any(list(takes.values()), axis=0)) if takes else np.zeros(0, int)
+            if not len(some):
+                continue
+            with np.errstate(all="ignore"):
+                rough = (self.vectors[members] @ vectors[some].T) / (self.norms[members, None] * norms[some])
+            rough[~self._plain(self.norms[members])] = np.nan
+            rough[:, ~self._plain(norms[some])] = np.nan
+            for tier, fit in takes.items():
+                among = np.flatnonzero(fit[some])
+                if len(among):
+                    self._keep(ask, tier, sizes.get(tier, rest), members, rough if len(among) == len(some) else rough[:, among], at, some[among], vectors, norms)
+
+    def _keep(self, ask: str, tier: str, k: int, members: np.ndarray, rough: np.ndarray, at: np.ndarray, some: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
+        """Merges the chunks ``some``, whose rough scores are given, into the best ``k`` of the questions ``members``."""
+        held = self.best.get((ask, tier), (np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
+        least = np.full(len(members), -np.inf)
+        last = np.flatnonzero(np.bincount(held[0], minlength=len(members)) == k)
+        if len(last):
+            # What is held is in order of question and place.
+            ends = np.searchsorted(held[0], last, side="right") - 1
+            least[last] = np.where(np.isnan(held[2][ends]), np.inf, held[2][ends])
+        unsure = np.isnan(rough)
+        if len(last) < len(members) and rough.shape[1] > k:
+            least = np.maximum(least, np.partition(np.where(unsure, -np.inf, rough), -k, axis=1)[:, -k] - self.slack)
+        r, c = np.nonzero(unsure | (rough >= least[:, None] - self.slack))
+        if not len(r):
+            return
+        exact = np.empty(len(r))
+        with np.errstate(all="ignore"):
+            for i in range(0, len(r), PAIRS):
+                q, x = members[r[i : i + PAIRS]], some[c[i : i + PAIRS]]
+                exact[i : i + PAIRS] = _cosines(self.vectors[q], vectors[x], self.norms[q] * norms[x])
+        r, c, score = np.concatenate([held[0], r]), np.concatenate([held[1], at[some[c]]]), np.concatenate([held[2], exact])
+        order = np.lexsort((c, np.where(np.isnan(score), -np.inf, -score), r))  # not-a-number is the largest
+        r, c, score = r[order], c[order], score[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        self.best[ask, tier] = r[first], c[first], score[first]
+
+    def found(self) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """(tier, places of questions, places of chunks, scores)."""
+        for (ask, tier), (r, c, score) in self.best.items():
+            yield tier, self.rows[self.members[ask][r]], c, score
+
+
+def _answers(batches: Iterable[pa.RecordBatch], sizes: Mapping[str, int], rest: int) -> Iterator[pa.RecordBatch]:
+    """The best rows of each cell, whose rows come by kind: what fits what, the questions, then the chunks in order of ids."""
+    cell: int | None = None
+    admitted: dict[str, dict[str, set[str]]] = {}
+    asked: list[pa.RecordBatch] = []
+    groups: dict[int, _Asked] | None = None
+    held: list[pa.Array] = []
+    n = 0
+
+    def by_length(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch | pa.Table]]:
+        lengths = np.asarray(pc.list_value_length(rows.column("vector")))
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            yield length, at, rows.take(pa.array(at))
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if not groups or not n:
+            return
+        questions, chunks = pa.concat_arrays([x.column("q") for x in asked]), pa.concat_arrays(held)
+        for tier, q, c, score in (found for group in groups.values() for found in group.found()):
+            for i in range(0, len(q), ROWS_OUT):
+                s = slice(i, i + ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([questions.take(pa.array(q[s])), chunks.take(pa.array(c[s])), pa.array([tier] * len(q[s]), pa.string()), pa.array(score[s])], ["q", "c", "tier", "score"])
+
+    for batch in batches:
+        for a, b in stretches(batch.column("key")):
+            part = batch.slice(a, b - a)
+            to, kind = divmod(part.column("key")[0].as_py(), 3)
+            if to != cell:
+                yield from closed()
+                cell, admitted, asked, groups, held, n = to, {}, [], None, [], 0
+            if kind == 0:
+                for ask, has, tiers in zip(*(part.column(c).to_pylist() for c in ("ask", "has", "tiers"))):
+                    for tier in tiers:
+                        admitted.setdefault(ask, {}).setdefault(tier, set()).add(has)
+            elif kind == 1:
+                asked.append(part)
+            else:
+                if groups is None:
+                    rows = pa.Table.from_batches(asked).combine_chunks() if asked else None
+                    groups = {d: _Asked(at, own.column("ask").to_pylist(), _vectors(own.column("vector").combine_chunks()), own.column("norm").to_numpy()) for d, at, own in by_length(rows)} if rows else {}
+                for i in range(0, len(part), TILE):
+                    tile = part.slice(i, TILE)
+                    for length, at, own in by_length(tile):
+                        if length in groups:
+                            groups[length].meet(n + at, own.column("has").to_pylist(), _vectors(own.column("vector")), own.column("norm").to_numpy(), admitted, sizes, rest)
+                    held.append(tile.column("c"))
+                    n += len(tile)
+    yield from closed()
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, tiers: Column, sizes: Mapping[str, int], rest: int, asks: Sequence[str], has: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """(question and chunk columns, tier, score, position): the most similar chunks of each question in each of its tiers, ties by id.
+
+    ``tiers`` is an array of names, of which those without a size have ``rest``, told by the columns ``asks`` of questions and ``has`` of chunks alone, so that it is
+    worked out once for each two kinds of them.  Blocks of questions meet parts of the chunks in cells, whose tasks hold one block, one
+    tile of chunks and the best rows so far; neither side is sent whole to any task.
     """
     blocks = question_blocks(queries) if blocks is None else blocks
-    q = with_norms(queries).withColumnRenamed("vector", "q_vector").withColumnRenamed("norm", "q_norm")
-    c = with_norms(chunks)
-    fit = F.lit(True) if fits is None else fits
-    if blocks > 1:
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        q = q.select(F.struct("*").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(CELLS).alias("cell"))
-        c = c.select(F.struct("*").alias("c"), F.pmod(F.xxhash64("id"), F.lit(CELLS)).cast("int").alias("cell"), each(blocks).alias("block"))
-        pairs = q.join(c, ["block", "cell"]).select("q.*", "c.*").where(fit)
-    else:
-        pairs = c.join(F.broadcast(q), fit)
-    score = F.when((F.col("q_norm") > 0) & (F.col("norm") > 0) & (F.size("q_vector") == F.size("vector")), dot(F.col("q_vector"), F.col("vector")) / (F.col("q_norm") * F.col("norm")))
-    return pairs.withColumn("score", score).drop("q_vector", "vector", "q_norm", "norm")
-
-
-def _best(scored: DataFrame, keys: Sequence[str], most: int, k: Column | int) -> DataFrame:
-    """The first ``k`` of each group by score, ties by id, with ``position``; ``most`` is what ``k`` can be at most."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    # The cut by a constant is what Spark makes in each task; conditions on the score follow it, as before it they would compute each score twice.
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most).where(F.col("position") <= k).where("score is not null")
-
-
-def top_k(queries: DataFrame, chunks: DataFrame, k: int, fits: Column | None = None, minimum: float | None = None, blocks: int | None = None) -> DataFrame:
-    """(query columns, chunk columns, score, position): the ``k`` most similar fitting chunks of each question, ties by id."""
-    best = _best(pairs_of(queries, chunks, fits, blocks), ["query_id"], k, k)
+    cells = max(LEAST_CELLS, -(-chunks.count() // CELL_ROWS))
+    kind = lambda names: F.to_json(F.struct(*names)) if names else F.lit("")
+    own = lambda df: F.struct(*[c for c in df.columns if c != "vector"])
+    each = lambda n, key: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: key(x).cast("bigint"))).alias("key")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    q = with_norms(queries).select(own(queries).alias("q"), kind(asks).alias("ask"), F.col("vector").cast("array<double>").alias("vector"), "norm", part("query_id", blocks).alias("block")).where("norm > 0")
+    c = with_norms(chunks).select(own(chunks).alias("c"), kind(has).alias("has"), "id", F.col("vector").cast("array<double>").alias("vector"), "norm", part("id", cells).alias("cell")).where("norm > 0")
+    a, b = queries.select(kind(asks).alias("ask"), *asks).dropDuplicates(["ask"]), chunks.select(kind(has).alias("has"), *has).dropDuplicates(["has"])
+    fits = a.crossJoin(b).select("ask", "has", tiers.alias("tiers")).where(F.size("tiers") > 0)
+
+    fits = fits.select("*", each(blocks * cells, lambda x: x * 3))
+    q = q.select("q", "ask", "vector", "norm", each(cells, lambda x: (F.col("block") * cells + x) * 3 + 1))
+    c = c.select("c", "has", "id", "vector", "norm", each(blocks, lambda x: (x * cells + F.col("cell")) * 3 + 2))
+    rows = c.unionByName(q, allowMissingColumns=True).unionByName(fits, allowMissingColumns=True)
+    dealt = rows.repartition(blocks * cells, F.expr("key div 3")).sortWithinPartitions("key", "id")
+    schema = T.StructType([dealt.schema["q"], dealt.schema["c"], T.StructField("tier", T.StringType()), T.StructField("score", T.DoubleType())])
+    sizes = dict(sizes)
+    found = dealt.mapInArrow(lambda batches: _answers(batches, sizes, rest), schema).select("q.*", "c.*", "tier", "score")
+    order = Window.partitionBy("query_id", "tier").orderBy(F.desc("score"), "id")
+    size = F.lit(rest)
+    for t, k in sizes.items():
+        size = F.when(F.col("tier") == t, k).otherwise(size)
+    # The cut by a constant is what Spark makes in each task.
+    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max(rest, *sizes.values(), 0)).where(F.col("position") <= size)
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, k: int, minimum: float | None = None, blocks: int | None = None) -> DataFrame:
+    """(query columns, chunk columns, score, position): the ``k`` most similar chunks of each question, ties by id."""
+    best = _nearest(queries, chunks, F.array(F.lit("")), {}, k, [], [], blocks).drop("tier")
     return best if minimum is None else best.where(F.col("score") >= minimum)
 
 
@@ -138,17 +284,15 @@ def tiered(queries: DataFrame, chunks: DataFrame, k: int = 8, fallback: bool = F
         family = F.get(families, F.lit(place))
         fits.append(F.when(F.coalesce(compares & (F.col("doc_family") == family), F.lit(False)), F.concat(F.lit("compare_"), family)))
     tiers = F.array_compact(F.array(*fits))
-    most = max(sizes.values())
-    size = F.when(F.col("tier") == "binding", sizes["binding"]).otherwise(sizes["guidance"])
-    scored = pairs_of(queries, chunks, F.size(tiers) > 0, blocks)
-    found = _best(scored.withColumn("tier", F.explode(tiers)), ["query_id", "tier"], most, size)
+    found = _nearest(queries, chunks, tiers, sizes, sizes["guidance"], ["profile"], ["doc_family", "authority_level", "instrument", "jurisdiction"], blocks)
     if not fallback:
         return found
+    found = saved(found)
     asked = queries.withColumn("tier", F.explode(F.array(*map(F.lit, sizes))))
     unanswered = asked.join(found.select("query_id", "tier").distinct(), ["query_id", "tier"], "left_anti")
-    again = unanswered.groupBy("query_id").agg(F.collect_set("tier").alias("tiers")).join(queries, "query_id")
-    again = pairs_of(again, chunks, None, blocks).withColumn("tier", F.explode("tiers")).drop("tiers")
-    return found.unionByName(_best(again, ["query_id", "tier"], most, size))
+    again = unanswered.groupBy("query_id").agg(F.sort_array(F.collect_set("tier")).alias("tiers"))
+    again = _nearest(saved(queries.join(again, "query_id")), chunks, F.col("tiers"), sizes, 0, ["tiers"], [], blocks).drop("tiers")
+    return found.unionByName(again.select(*found.columns))
 
 
 def tier_order() -> Column:

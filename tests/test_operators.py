@@ -476,3 +476,46 @@ def test_snippets_by_kind(spark):
     assert one(spark, text.snippet(F.lit(" <p>a</p>\n <b>b</b> "), "search")) == "a b" and one(spark, text.snippet(F.lit(" <p>"), "document")) == "<p>" and one(spark, text.snippet(F.lit(None), "error")) is None
     with pytest.raises(KeyError):
         text.snippet(F.lit("x"), "other")
+
+
+def test_nearest_chunks_are_those_of_brute_force(spark):
+    from pyspark.sql import types as T
+
+    random = np.random.default_rng(5)
+    vectors = random.integers(-3, 4, (300, 5)).astype(float)
+    vectors[:40] = vectors[0]  # exact copies tie
+    vectors[40:80] = 3 * vectors[1]  # and those that differ in length alone, nearly
+    vectors[80] *= 0
+    vectors[81], vectors[82] = 1e-120 * vectors[2], 1e130 * vectors[2]
+    lists = [v.tolist() for v in vectors] + [[1.0, 2.0], [2.0, 1.0], None, [], [1.0, None, 0.0, 0.0, 0.0]]
+    rows = [(i, v, "ab"[i % 2]) for i, v in enumerate(lists)]
+    chunks = spark.createDataFrame(rows, "id bigint, vector array<double>, kind string")
+    queries = chunks.where("id % 3 = 0 OR id > 290").select(F.col("id").alias("query_id"), "vector", F.when(F.col("id") % 2 == 0, "a").otherwise("").alias("wants"))
+    tiers = F.array_compact(F.array(F.lit("any"), F.when((F.col("wants") == "") | (F.col("kind") == F.col("wants")), "own")))
+
+    def cosine(a, b):
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y)), 0.0)
+        sound = a and b and len(a) == len(b) and None not in a and None not in b
+        size = (dot(a, a) ** 0.5, dot(b, b) ** 0.5) if sound else (0, 0)
+        return dot(a, b) / (size[0] * size[1]) if min(size) > 0 else None
+
+    want = set()
+    for q, v, wants in queries.collect():
+        scored = sorted((-s, i, kind) for i, c, kind in rows if (s := cosine(v, c)) is not None)
+        want |= {(q, i, "any", n, -s) for n, (s, i, _) in enumerate(scored[:7], 1)}
+        want |= {(q, i, "own", n, -s) for n, (s, i, _) in enumerate([x for x in scored if wants in ("", x[2])][:3], 1)}
+    for blocks in (1, 3):
+        got = retrieval._nearest(queries, chunks, tiers, {"own": 3}, 7, ["wants"], ["kind"], blocks)
+        assert isinstance(got.schema["score"].dataType, T.DoubleType)
+        assert {tuple(r) for r in got.select("query_id", "id", "tier", "position", "score").collect()} == want
+
+
+def test_tiles_of_vectors_keep_a_bounded_number(monkeypatch):
+    vectors = np.ones((2000, 8))
+    asked = retrieval._Asked(np.arange(50), [""] * 50, vectors[:50], np.full(50, 8**0.5))
+    computed, exact = [], retrieval._cosines
+    monkeypatch.setattr(retrieval, "_cosines", lambda a, b, n: computed.append(len(a)) or exact(a, b, n))
+    for at in range(0, 2000, 500):
+        asked.meet(np.arange(at, at + 500), [""] * 500, vectors[at : at + 500], np.full(500, 8**0.5), {"": {"": {""}}}, {}, 4)
+    (tier, q, c, _), = asked.found()
+    assert c.tolist() == [0, 1, 2, 3] * 50 and max(computed) <= retrieval.PAIRS
