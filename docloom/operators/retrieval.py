@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import rules
-from docloom.functions.text import bound
 from docloom.operators.crawl import saved
 from docloom.operators.scans import stretches
 
@@ -333,6 +332,30 @@ def summary(queries: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("query_id", "n_sources", "n_binding", F.coalesce("top_ids", F.array().cast("array<bigint>")).alias("top_ids"), (F.col("profile.requires_binding") & (F.col("n_binding") == 0)).alias("no_binding_found"))
 
 
+#: A number for each letter or digit that words have, and one for all other bytes.
+LETTERS = np.full(256, 36, np.int32)
+LETTERS[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = np.arange(36)
+
+
+def grams(text: bytes) -> np.ndarray:
+    """The different runs of three letters or digits of a text in lower case, as numbers."""
+    x = LETTERS[np.frombuffer(text, np.uint8)]
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    has = np.zeros(36**3, bool)
+    has[(a * 1296 + b * 36 + c)[np.maximum(np.maximum(a, b), c) < 36]] = True
+    return np.flatnonzero(has).astype(np.int32)
+
+
+def _grams_of(low: Column) -> Column:
+    @F.arrow_udf("array<int>")
+    def each(texts: pa.Array) -> pa.Array:
+        found = [grams(t.as_py() or b"") for t in texts.cast(pa.binary())]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+    return each(low)
+
+
 def lexical_rank(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     """(query_id, owner, chunk_index, score, position): chunks by the share of a question's words they contain.
 
@@ -349,15 +372,13 @@ def lexical_rank(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame
     words = F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
     asked = queries.select("query_id", "owner", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
     texts = chunks.where(F.trim("text") != "").select("owner", "chunk_index", F.lower("text").alias("low"))
-    grams = lambda c: bound(F.split(c, ""), lambda x: F.array_distinct(F.transform(x, lambda y, i: F.concat(y, F.get(x, i + 1), F.get(x, i + 2)))))
-
     terms = asked.select("owner", F.explode("words").alias("word")).distinct()
-    of_terms = saved(terms.select("owner", "word", F.explode(grams(F.col("word"))).alias("gram")).where("length(gram) = 3"))
-    posted = texts.select("owner", "chunk_index", F.explode(grams(F.col("low"))).alias("gram"))
-    posted = saved(posted.join(of_terms.select("owner", "gram").distinct(), ["owner", "gram"], "left_semi"))
+    of_terms = saved(terms.select("owner", "word", F.explode(_grams_of(F.col("word"))).alias("gram")))
+    # Cheaper to make again than to keep: it is many times the texts.
+    posted = texts.select("owner", "chunk_index", _grams_of(F.col("low")).alias("grams")).select("owner", "chunk_index", F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL")
     sizes = posted.groupBy("owner", "gram").agg(F.count("*").alias("n"))
     listed = of_terms.join(sizes, ["owner", "gram"], "left").groupBy("owner", "word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("by"))
-    listed = listed.where("by.n > 0").select("owner", "word", "by.gram")  # a word with a string that no chunk has is in none
+    listed = saved(listed.where("by.n > 0").select("owner", "word", "by.gram"))  # a word with a string that no chunk has is in none
 
     met = posted.join(listed, ["owner", "gram"]).groupBy("owner", "chunk_index").agg(F.collect_list("word").alias("met"))
     found = texts.join(met, ["owner", "chunk_index"]).withColumn("met", F.filter("met", lambda w: F.contains("low", w))).where("size(met) > 0")
