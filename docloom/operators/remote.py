@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def embedded(rows: DataFrame, call: Callable[[list[str]], Vectors], group: str,
     """
     batch_size, concurrency, retries = _clamped(batch_size, 1, 128), _clamped(concurrency, 1, 8), _clamped(retries, 0, 8)
     placed = scanned(rows, [group], [order], Sums("place"), F.lit(1)).withColumn("batch", F.expr(f"place div {batch_size}"))
-    own = placed.select(F.struct("*").alias("own"), F.to_json(F.struct(group, "batch")).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), "place")
+    own = placed.select(F.struct("*").alias("own"), F.to_json(F.struct(group, "batch")).alias("key"), "place")
     dealt = own.repartition("key").sortWithinPartitions("key", "place")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,11 @@ def embedded(rows: DataFrame, call: Callable[[list[str]], Vectors], group: str,
         def whole() -> Iterator[tuple[pa.Array, list[str]]]:
             """The rows and texts of each batch, whose rows may come in several parts."""
             key, held = None, []
-            joined = lambda: (pa.concat_arrays([h.column("own") for h in held]), [t for h in held for t in h.column("text").to_pylist()])
+
+            def joined() -> tuple[pa.Array, list[str]]:
+                own = pa.concat_arrays([h.column("own") for h in held])
+                return own, [t or "" for t in pc.struct_field(own, text).to_pylist()]
+
             for part in parts:
                 for a, b in stretches(part.column("key")):
                     if held and part.column("key")[a].as_py() != key:

@@ -17,7 +17,7 @@ from typing import Any, Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +57,9 @@ def scanned(rows: DataFrame, group: Sequence[str], order: Sequence[str], scan: S
     names = [f"in{i}" for i in range(len(inputs))]
     own = rows.select(F.struct("*").alias("own"), F.to_json(F.struct(*group)).alias("key"), *[c.alias(n) for c, n in zip(inputs, names)])
     by = ["key", *[F.col("own")[c] for c in order], F.xxhash64("own")]
+    own = own.persist(StorageLevel.DISK_ONLY)  # the bounds of the ranges and the dealing see rows that are made once
     ordered = saved(own.repartitionByRange(*by).sortWithinPartitions(*by))
+    own.unpersist()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: tuple[str, bytes] | None = None
@@ -80,7 +82,8 @@ def scanned(rows: DataFrame, group: Sequence[str], order: Sequence[str], scan: S
             last = (own, told())
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (TaskContext.get().partitionId(), *(first or last), *last, first is None)], ["part", "key", "summary", "last_key", "last_summary", "single"])
 
-    found = ordered.mapInArrow(summed, "part bigint, key string, summary binary, last_key string, last_summary binary, single boolean")
+    # Only what is summed up goes along: a slice that is held keeps its whole batch.
+    found = ordered.select("key", *names).mapInArrow(summed, "part bigint, key string, summary binary, last_key string, last_summary binary, single boolean")
     carried: tuple[str, Any] | None = None
     begins: dict[int, Any] = {}
     for r in found.orderBy("part").toLocalIterator():  # one row a range

@@ -519,3 +519,94 @@ def test_tiles_of_vectors_keep_a_bounded_number(monkeypatch):
         asked.meet(np.arange(at, at + 500), [""] * 500, vectors[at : at + 500], np.full(500, 8**0.5), {"": {"": {""}}}, {}, 4)
     (tier, q, c, _), = asked.found()
     assert c.tolist() == [0, 1, 2, 3] * 50 and max(computed) <= retrieval.PAIRS
+
+
+def test_one_page_at_a_time_is_a_tree(monkeypatch):
+    alive, most = set(), []
+
+    class Counted(html.Page):
+        def __init__(self, text):
+            alive.add(id(self))
+            most.append(len(alive))
+            super().__init__(text)
+
+        def __del__(self):
+            alive.discard(id(self))
+
+    monkeypatch.setattr(html, "Page", Counted)
+    pages = [f"<title>T{i}</title><p>text {i}</p>" for i in range(450)] + [None]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(451)), "url": [""] * 451, "html": pages})
+    got = list(html._read(iter([batch]), ("title", "markdown")))
+    assert max(most) <= 2 and max(len(b) for b in got) <= html.PAGES_OUT
+    titles = [t for b in got for t in b.column("title").to_pylist()]
+    assert titles == [f"T{i}" for i in range(450)] + ["Untitled PDI"] and sum(map(len, got)) == 451
+
+
+def test_few_texts_at_a_time_are_chunks():
+    alive, most = [0], [0]
+
+    class Chunks(list):
+        def __init__(self, of):
+            super().__init__(of)
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    texts = pa.array([f"a {i}" for i in range(501)] + [None])
+    got = chunking._of_each(texts, lambda t: Chunks([t]) if t else Chunks([]), pa.list_(pa.string()))
+    assert got.to_pylist() == [[f"a {i}"] for i in range(501)] + [[]] and most[0] <= 2 * chunking.TEXTS
+    assert chunking._of_each(texts.slice(0, 0), Chunks, pa.list_(pa.string())).to_pylist() == []
+
+
+def test_sums_of_a_scan_hold_no_rows(spark):
+    class Small(scans.Sums):
+        def summary(self, columns):
+            buffer = columns[0].buffers()[1]
+            while buffer.parent is not None:
+                buffer = buffer.parent
+            assert buffer.size < 1 << 20
+            return super().summary(columns)
+
+    rows = spark.range(0, 40, 1, 1).select("id", F.lit(1).alias("g"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = scans.scanned(rows, ["g"], ["id"], Small("n"), F.lit(1)).select("id", "n").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(40)]
+
+
+def test_white_space_of_all_kinds_is_stripped(spark):
+    points = [chr(i) for i in (*range(1, 0x300), *range(0x1680, 0x1681), *range(0x180E, 0x180F), *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(c,) for c in points], "c string").select(F.concat("c", "c", F.lit("a"), "c", F.lit("b"), "c").alias("t"))
+    assert rows.where(text.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def test_plain_lines_take_one_expression(spark):
+    lines = ["plain words here", "Smith went home", "1.2 Scope", ":-3) Deep", " :- 3) Deep", "TABLE OF RULES", "\tTAB  LED", "A  B C", "AB C", "", "4.5.6) Deep heading", "--OVERVIEW--", "-- OVERVIEW --", "- bullet", "PAGE DETAILS", "12", "1 x;", "Éa 1"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {r["line"]: r["level"] for r in rows.select("line", chunking.heading_level(F.col("line")).alias("level")).collect()}
+    assert {k: v for k, v in got.items() if v} == {"1.2 Scope": 2, ":-3) Deep": 1, "TABLE OF RULES": 1, "A  B C": 1, "4.5.6) Deep heading": 3, "--OVERVIEW--": 1}
+    assert str(chunking.heading_level(F.col("line"))).lower().count("regexp_replace") == 2
+
+
+def test_leaders_and_dates_of_a_page_are_cleaned(spark):
+    page = " 2024-01-01 \n....\nRules ..... 12\nFees   7\n.... 5\nv1\n2024-01-0199\na...b\n12.5....\n\n\n\nhyphen-\nated  x\n"
+    assert one(spark, chunking.cleaned_page(F.lit(page))) == "Rules\nFees\n5\nv1\n2024-01-0199\na b\n12.5\n\nhyphenated x"
+
+
+def test_a_scan_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(0, 60, 1, 3).withColumn("g", F.lit(1)).mapInArrow(counted, "id bigint, g int")
+    got = scans.scanned(rows, ["g"], ["id"], scans.Sums("n"), F.lit(1)).select("id", "n").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(60)] and made.value == 60
+
+
+def test_strings_of_three_letters_are_numbers():
+    number = lambda s: sum("0123456789abcdefghijklmnopqrstuvwxyz".index(x) * 36**k for k, x in enumerate(reversed(s)))
+    assert retrieval.grams("ab1 abcébcd abc".encode()).tolist() == sorted(map(number, ("ab1", "abc", "bcd")))
+    assert [len(retrieval.grams(t)) for t in (b"", b"a", b"ab", b"abc", b"a-c")] == [0, 0, 0, 1, 0]
