@@ -14,16 +14,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     large: each node's larger neighbours move to its least neighbour; else its smaller
     neighbours and the node itself do.  Only the minimum is gathered for each node.
     """
-    if large:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges.select("a", "b")
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     if large:
-        least = least.withColumn("m", F.least("a", "m"))
-        moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     else:
-        moved = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        to = F.col("m").alias("b")
+        moved = both.join(least, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), to), F.struct("a", to))))
     return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -36,7 +33,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     with scratch(links.sparkSession) as result:
         edges, seen = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"), None
         for k in range(most_rounds):
-            edges = written(_stars(_stars(edges, True), False), f"stars{k}")
+            edges = written(_stars(written(_stars(edges, True), f"large{k}"), False), f"stars{k}")  # two small plans: the driver keeps each with all its changes
             now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             if now == seen:
                 return result(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct()), "roots")

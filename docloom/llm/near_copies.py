@@ -12,8 +12,8 @@ posting's shingle nearest to its start, one with few rare shingles of its own, w
 of copies have in their middle.  Then only pairs that are not connected yet are compared: members
 outside a posting's largest component with all others of it.
 
-The order begins as that of a sample's counts, then of the hashes; any order gives the same groups.  What the sample
-does not show is counted over the whole table: a posting with over ``CROWD`` members outside its largest
+The order begins as that of a sample's counts, then of the hashes; any order gives the same groups.  The sample is a share
+of the table, so that what becomes frequent with more rows stands late from the start.  What it does not show is counted over the whole table: a posting with over ``CROWD`` members outside its largest
 component holds a common passage rather than copies, and its shingle moves to the end of the order.  With it go all other
 shingles of the passage: of all that the texts posting it have, those in over ``CROWD`` of these texts' components.  The
 texts post their next shingles instead, and what these bring together is compared in a further round; texts that do
@@ -43,8 +43,8 @@ from docloom.llm.shared import scratch, small_batches, written
 
 SEED = 42
 WORDS_EACH = 5
-#: Documents whose shingles are counted for the order, and the shingles whose counts are used.
-SAMPLE, MOST_COUNTED = 4_000, 100_000
+#: So many of each so many documents have their shingles counted for the order, whose counts are used for so many shingles at most.
+SAMPLE, OUT_OF, MOST_COUNTED = 4_000, 24_000, 100_000
 #: Texts that are Python bytes at a time.
 ROWS = 250
 #: Rows of a number and a hash that are sent to every task at most: 24 megabytes.
@@ -102,7 +102,8 @@ def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0).cast(pa.binary()):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["key"])
 
-    every = max(1, texts.count() // SAMPLE)
+    n = texts.count()
+    every = max(1, n // (SAMPLE * max(1, -(-n // OUT_OF))))  # a share of the table: else what a larger one repeats often is unknown to the order
     some = texts.where(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(every)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(run, "key bigint")
     found = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(MOST_COUNTED).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
@@ -208,12 +209,8 @@ def _crowding(texts: DataFrame, sets: DataFrame, links: DataFrame, crowded: Data
     return crowded.union(common.select("key")).distinct()
 
 
-def _changed(sets: DataFrame, new: DataFrame) -> DataFrame:
-    return sets.join(new.select("node"), "node", "left_anti").unionByName(new)
-
-
-def _reposted(texts: DataFrame, sets: DataFrame, moved: DataFrame, turn: int, counted: np.ndarray, counts: np.ndarray) -> DataFrame | None:
-    """Those of the ``sets`` that post shingles ``moved`` to the end since, with the next ones instead; ``turn`` is that of a set's last change.
+def _reposted(texts: DataFrame, sets: DataFrame, moved: DataFrame, counted: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Those of the ``sets`` that post shingles ``moved`` to the end since, with the next ones instead.
 
     Tasks get all moved shingles where these are few.  Else a set learns by its postings which of its own are
     moved, gathers them in ``common``, and may learn of more by what it posts instead.
@@ -234,32 +231,31 @@ def _reposted(texts: DataFrame, sets: DataFrame, moved: DataFrame, turn: int, co
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "t", "n")], pa.array(posted, kind), pa.array(common, kind)], ["node", "t", "n", "keys", "common"])
 
-    changed = None
+    changed, now = None, sets
     while True:
-        now = sets if changed is None else _changed(sets, changed)
         ahead = now.select("node", F.explode(F.array_except("keys", "common")).alias("key")).join(moved, "key")
         hit = written(ahead.groupBy("node").agg(F.collect_list("key").alias("more")), "moved_in")
-        if hit.isEmpty():
+        if changed is not None and hit.isEmpty():
             return changed
         wanted = written(now.join(hit, "node").select("node", "t", "n", F.array_union("common", "more").alias("common")), "wanted")
         new = _of(texts, wanted).select("node", "t", "n", "common", "text").mapInArrow(run, "node bigint, t binary, n int, keys array<bigint>, common array<bigint>")
-        new = written(new.withColumn("turn", F.lit(turn)), "reposted")
-        changed = new if changed is None else written(_changed(changed, new), "changed")
+        new = written(new, "reposted")
+        changed = now = new if changed is None else written(changed.join(new.select("node"), "node", "left_anti").unionByName(new), "changed")
+        if few:
+            return changed
 
 
 def jaccard_links(texts: DataFrame, sets: DataFrame, counted: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Links (a, b) that connect the ``sets`` (node, t, n, keys) just as all pairs of Jaccard 0.8 do."""
-    first = sets.withColumn("common", F.array().cast("array<bigint>")).withColumn("turn", F.lit(0))
-    links = moved = changed = None
+    """Links (a, b) that connect the ``sets`` (node, t, n, keys) just as all pairs of Jaccard 0.8 do.
+
+    A pair that a round has left first meets at a crowded posting, which both its sets post, so both post
+    others in the next round: there sets that have not changed take no part.
+    """
+    sets, links, moved = sets.withColumn("common", F.array().cast("array<bigint>")), None, None
     for turn in range(ROUNDS):
-        sets = first if changed is None else _changed(first, changed)
         with scratch(texts.sparkSession) as result:
-            post = _postings(sets)
-            if turn == 0:
-                post = post.repartition("key")  # once for the counts and the join
-                met = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-            else:
-                met = _postings(changed.where(F.col("turn") == turn)).select("key").distinct()
+            post = _postings(sets).repartition("key")  # once for the counts and the join
+            met = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
             post = written(post.join(met.select("key"), "key"), "postings")
             links, crowded = (result(x, "met") for x in _met_in(texts, sets, post, links, moved, turn == ROUNDS - 1))
         if crowded.isEmpty():
@@ -267,8 +263,7 @@ def jaccard_links(texts: DataFrame, sets: DataFrame, counted: np.ndarray, counts
         with scratch(texts.sparkSession) as result:
             crowded = _crowding(texts, sets, links, crowded)
             moved = result(crowded if moved is None else moved.union(crowded).distinct(), "moved")
-            new = _reposted(texts, sets, moved, turn + 1, counted, counts)
-            changed = result(new if changed is None else _changed(changed, new), "changed")
+            sets = result(_reposted(texts, sets, moved, counted, counts), "sets")
     return links
 
 

@@ -92,6 +92,29 @@ def test_pairs_that_meet_grow_with_the_table(spark, monkeypatch):
     assert counts[1] <= 4 * max(counts[0], 200), counts
 
 
+def test_only_sets_that_post_others_take_part_in_later_rounds(spark, monkeypatch):
+    """100 texts hold a common passage; each shares a phrase with two texts that do not."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    taking_part, met_in = [], near_copies._met_in
+    monkeypatch.setattr(near_copies, "_met_in", lambda texts, sets, post, *more: taking_part.append(post.select("p.node").distinct().count()) or met_in(texts, sets, post, *more))
+    passage, texts = words(20, 1), []
+    for k in range(100):
+        phrase = words(20, 1000 + k)
+        texts += [f"{words(30, 2000 + 3 * k + i)} {phrase}{f' {passage}' if i == 0 else ''}" for i in range(3)]
+    assert near_copies.groups(table(spark, list(enumerate(texts)))).count() == 0
+    assert len(taking_part) > 1 and taking_part[0] > 200 and max(taking_part[1:]) <= 100, taking_part
+
+
+def test_shingles_are_counted_over_a_share_of_the_table(spark, monkeypatch):
+    """What a fiftieth of all texts has is known to the order of a table of any size."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 100)
+    monkeypatch.setattr(near_copies, "OUT_OF", 200, raising=False)
+    passage = words(8, 1)
+    texts = [(k, f"{words(12, 100 + k)} {passage}" if k % 50 == 0 else words(20, 100 + k)) for k in range(1000)]
+    rows = table(spark, texts).select(near_copies.text_hash("text").alias("t"), "text")
+    assert set(near_copies.shingles(passage.encode()).tolist()) <= set(near_copies._counted(rows)[0].tolist())
+
+
 def test_any_order_of_shingles_lets_near_sets_meet():
     rng = np.random.default_rng(1)
     for n in range(1, 60):
