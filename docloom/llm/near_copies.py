@@ -14,8 +14,11 @@ outside a posting's largest component with all others of it.
 
 The order begins as that of a sample's counts, then of the hashes; any order gives the same groups.  The sample is a share
 of the table, so that what becomes frequent with more rows stands late from the start.  What it does not show is counted over the whole table: a posting with over ``CROWD`` members outside its largest
-component holds a common passage rather than copies, and its shingle moves to the end of the order.  With it go all other
-shingles of the passage: of all that the texts posting it have, those in over ``CROWD`` of these texts' components.  The
+component holds a common passage rather than copies, and its shingle moves to the end of the order.  With it go the other
+shingles of the passage: of those that stand within ``REACH`` places of it in a text of each component that posts it, those
+that texts of over ``CROWD`` components have there.  So what is looked at grows with the places of crowded shingles, not with
+the lengths and copies of the texts around them; a passage that reaches further is found by the others of its shingles that
+are crowded, in the same round or the next.  The
 texts post their next shingles instead, and what these bring together is compared in a further round; texts that do
 not post a moved shingle would not either way.  So each shingle brings a member together with a bounded number of others,
 unless a text has too few others to post.
@@ -51,6 +54,8 @@ ROWS = 250
 BROADCAST_ROWS = 1_000_000
 #: Members outside a posting's largest component with which all are compared, and rounds in which shingles of larger ones are moved to the end.
 CROWD, ROUNDS = 32, 6
+#: Places to either side of a crowded shingle that are looked at for others of its passage.
+REACH = 64
 
 
 def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,15 +63,29 @@ def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
 
 
-def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
-    """The hashes of a text's different shingles, in order."""
+def _in_place(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
+    """The hashes of a text's shingles as they stand in it."""
     words = text.lower().split()
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - words_each + 1)
     spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist()) if words else [(0, 0)]
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
+    """The hashes of a text's different shingles, in order."""
+    return np.unique(_in_place(text, words_each))
+
+
+def _around(text: bytes, own: np.ndarray) -> np.ndarray:
+    """The hashes of the different shingles that stand within ``REACH`` places of one of a text's ``own``, in order."""
+    hashes = _in_place(text)
+    at, change = np.flatnonzero(np.isin(hashes, own)), np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(change, np.maximum(at - REACH, 0), 1)
+    np.add.at(change, np.minimum(at + REACH + 1, len(hashes)), -1)
+    return np.unique(hashes[np.cumsum(change[:-1]) > 0])
 
 
 def _among(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +213,19 @@ def _met_and_compared(texts: DataFrame, sets: DataFrame, post: DataFrame, known:
 
 
 def _crowding(texts: DataFrame, sets: DataFrame, links: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(key): the ``crowded`` shingles, and those that over ``CROWD`` components of the sets that post these have."""
+    """(key): the ``crowded`` shingles, and those near one of them in texts of over ``CROWD`` components, of which each shows one text for each crowded shingle."""
 
     def run(batches):
         for batch in _sliced(batches):
-            found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            found = [_around(t.as_py(), np.array(own.as_py(), np.int64).view(np.uint64)).view(np.int64) for own, t in zip(batch.column(1), batch.column(2).cast(pa.binary()))]
             size = [len(h) for h in found]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["root", "key"])
 
-    hit = sets.select("node", "t", F.explode("keys").alias("key")).join(crowded, "key").select("node", "t").distinct()
-    wanted = hit.join(components(links), "node", "left").select("t", F.coalesce("root", "node").alias("root"))
-    every = _of(texts, written(wanted, "crowds")).select("root", "text").mapInArrow(run, "root bigint, key bigint")
+    hit = sets.select("node", "t", F.explode("keys").alias("key")).join(crowded, "key")
+    rooted = hit.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shown = rooted.groupBy("key", "root").agg(F.min(F.struct("node", "t")).alias("shown"))
+    wanted = shown.groupBy("root", "shown.t").agg(F.collect_list("key").alias("own"))
+    every = _of(texts, written(wanted, "crowds")).select("root", "own", "text").mapInArrow(run, "root bigint, key bigint")
     common = every.groupBy("key", "root").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     return crowded.union(common.select("key")).distinct()
 

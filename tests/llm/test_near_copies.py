@@ -115,6 +115,31 @@ def test_shingles_are_counted_over_a_share_of_the_table(spark, monkeypatch):
     assert set(near_copies.shingles(passage.encode()).tolist()) <= set(near_copies._counted(rows)[0].tolist())
 
 
+def test_what_is_looked_at_for_a_passage_grows_with_its_places_alone(spark, monkeypatch):
+    """Neither longer texts around a common passage nor copies of these make more rows, and all of the passage is found."""
+    made, frame = [], type(spark.range(0))
+    inner = frame.mapInArrow
+
+    def spied(self, func, schema, *more, **named):
+        out = inner(self, func, schema, *more, **named)
+        if schema == "root bigint, key bigint":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    passage = words(20, 1)
+    common = near_copies.shingles(passage.encode()).view(np.int64).tolist()
+    crowded = spark.createDataFrame([(common[0],)], "key bigint")
+    for size, copies in ((200, 1), (1000, 3)):
+        texts = [f"{words(size, 5000 + k)} {passage} {words(size, 6000 + k)} copy{c}" for k in range(40) for c in range(copies)]
+        names = [(k, bytearray(hashlib.md5(t.encode()).digest()), t) for k, t in enumerate(texts)]
+        named = spark.createDataFrame([(t, text) for _, t, text in names], "t binary, text string")
+        sets = spark.createDataFrame([(k, t, common[:1]) for k, t, _ in names], "node bigint, t binary, keys array<bigint>")
+        links = spark.createDataFrame([(k, k - k % copies) for k, _, _ in names if k % copies], "a bigint, b bigint")
+        assert sorted(r["key"] for r in near_copies._crowding(named, sets, links, crowded).collect()) == sorted(common)
+    assert len(made) == 2 and max(made) <= 40 * (2 * near_copies.REACH + 1), made
+
+
 def test_any_order_of_shingles_lets_near_sets_meet():
     rng = np.random.default_rng(1)
     for n in range(1, 60):
