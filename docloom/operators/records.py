@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as texts
 from docloom.functions import urls
-from docloom.operators import html
+from docloom.operators import chunking, html
 from docloom.operators.guards import SOURCE_TYPE
 
 SECTIONS = "array<struct<heading:string,heading_path:array<string>,anchor:string,text:string>>"
@@ -27,11 +27,12 @@ def sanitized_metadata(metadata: Column) -> Column:
 
 
 def page_records(pages: DataFrame, url: str = "url", title: str = "title", body: str = "text", crawled_at: str = "crawled_at") -> DataFrame:
-    """Pages (url, title, markdown text, crawled_at, path) in the shape of a page's JSON file."""
+    """Pages (url, title, markdown text, crawled_at, path) in the shape of a page's JSON file; a null text is empty."""
     canonical = F.coalesce(urls.canonical(F.col(url)), F.col(url))
-    clean = texts.normalize_page(F.col(body))
+    raw = F.coalesce(F.col(body), F.lit(""))
+    clean = texts.normalize_page(raw)
     parts = texts.manual_and_chapter(F.col(title))
-    links = F.array_compact(F.array_distinct(F.transform(html.markdown_links(F.col(body)), urls.canonical)))
+    links = F.array_compact(F.array_distinct(F.transform(html.markdown_links(raw), urls.canonical)))
     return pages.select(
         urls.source_id(canonical).alias("source_id"), F.lit(SOURCE_TYPE).alias("source_type"), F.col(url).alias("source_url"), canonical.alias("canonical_url"), F.col(title).alias("title"), texts.language_of_url(canonical).alias("language"),
         parts["manual"].alias("manual"), parts["chapter"].alias("chapter"), F.when(texts.to_text(F.col(title)) != "", F.array(F.col(title))).otherwise(F.array().cast("array<string>")).alias("heading_path"), texts.last_iso_date(clean).alias("last_updated"), F.col(crawled_at).alias("crawl_ts"),
@@ -41,11 +42,14 @@ def page_records(pages: DataFrame, url: str = "url", title: str = "title", body:
     )
 
 
-def with_sections(records: DataFrame, sections: DataFrame) -> DataFrame:
-    """Page records with their sections (source_id, section, heading, heading_path, anchor, text) as an array in order."""
-    one = F.struct("section", "heading", "heading_path", "anchor", F.col("text").alias("text"))
-    parts = sections.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["heading"].alias("heading"), s["heading_path"].alias("heading_path"), s["anchor"].alias("anchor"), s["text"].alias("text"))).alias("sections"))
-    return records.join(parts, "source_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast(SECTIONS)))
+def with_sections(records: DataFrame) -> DataFrame:
+    """Page records with the sections of their texts as an array in order; a page without any has one, its whole text.
+
+    They are found within the row: pages that are listed twice or whose short ids agree by chance keep their own.
+    """
+    found = F.transform(chunking.markdown_sections_of(F.col("text")), lambda s: F.struct(s["heading"].alias("heading"), s["heading_path"].alias("heading_path"), s["anchor"].alias("anchor"), s["text"].alias("text")))
+    whole = F.struct(F.lit("Document").alias("heading"), F.array(F.lit("Document")).alias("heading_path"), texts.anchor(F.lit("Document")).alias("anchor"), F.col("text").alias("text"))
+    return records.withColumn("sections", texts.bound(found, lambda sections: F.when(F.size(sections) > 0, sections).otherwise(F.array(whole))).cast(SECTIONS))
 
 
 def failed_urls(asked: DataFrame, fetched: DataFrame, url: str = "url") -> DataFrame:

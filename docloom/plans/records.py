@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import citations, text
-from docloom.operators import chunking, html, records
+from docloom.operators import html, records
 from docloom.sources.readers import table
 
 
@@ -41,9 +41,7 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(k % 3 == 0, "ENF 2 - Part A").when(k % 3 == 1, "Plain")
     body = F.concat("text", F.when(k % 5 == 0, "\r\n[a](https://a.example.org/x/) https://a.example.org/x 2023-01-02 and 2024-03-04\nContents\nA ..... 7").otherwise(""))
     pages = table(spark, sf_dir, "documents").select(url.alias("url"), title.alias("title"), body.alias("text"), F.lit("2024-01-01T00:00:00Z").alias("crawled_at"), F.concat(F.lit("md/"), "doc_id", F.lit(".md")).alias("path"))
-    got = records.page_records(pages)
-    sections = chunking.markdown_sections(got, "source_id", "text").select("source_id", "section", "heading", "heading_path", "anchor", "text")
-    whole = records.with_sections(got, sections)
+    whole = records.with_sections(records.page_records(pages))
     return whole.select("markdown_path", "source_id", "canonical_url", "language", "manual", "chapter", F.size("heading_path").alias("n_path"), "last_updated", F.array_join("links.outbound", " ").alias("outbound"), "quality.is_toc_like", "quality.is_low_text", F.size("sections").alias("n_sections"), F.get("sections", F.lit(0))["heading"].alias("first_heading"))
 
 

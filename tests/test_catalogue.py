@@ -1,5 +1,6 @@
 """Every registered query of the operators against its SQL, or, without SQL, its rows' bounds."""
 
+import pandas as pd
 import pytest
 
 from docloom.plans import documents, matches, records, retrieval, scalars, tables, text
@@ -41,3 +42,12 @@ def cut_pages(data, tmp_path_factory):
 @pytest.mark.parametrize("name", ["content_parts", "heading_counts", "html_sections"])
 def test_references_cut_short_are_text(spark, cut_pages, name):
     assert_same(QUERIES[name](spark, cut_pages).toPandas(), database(cut_pages).sql(SQL[name]).df())
+
+
+def test_page_records_keep_their_own_sections(spark, tmp_path):
+    """Two pages whose short ids agree, one that is listed twice, and one without text."""
+    docs = pd.DataFrame({"doc_id": [13467383, 30353422, 7, 7, 8], "text": ["one text", "another", "twice", "twice", ""]})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    got = QUERIES["page_records"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.source_id.value_counts()) == [1, 2, 2]
+    assert_same(got, database(str(tmp_path)).sql(SQL["page_records"]).df())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import citations, rules, text, urls
-from docloom.operators import chunking, crawl, guards, html, remote, retrieval, scans, tables
+from docloom.operators import chunking, crawl, guards, html, records, remote, retrieval, scans, tables
 
 
 def one(spark, column):
@@ -610,3 +610,15 @@ def test_strings_of_three_letters_are_numbers():
     number = lambda s: sum("0123456789abcdefghijklmnopqrstuvwxyz".index(x) * 36**k for k, x in enumerate(reversed(s)))
     assert retrieval.grams("ab1 abcébcd abc".encode()).tolist() == sorted(map(number, ("ab1", "abc", "bcd")))
     assert [len(retrieval.grams(t)) for t in (b"", b"a", b"ab", b"abc", b"a-c")] == [0, 0, 0, 1, 0]
+
+
+def test_sections_of_page_records(spark):
+    """A section for each heading with a body in order, and the whole text of a page that has none."""
+    rows = [("a", "before\n# A\none\n## B\n\n### C\ntwo"), ("b", "# Only\n## headings"), ("c", " \n"), ("d", None), ("d", "# D\nlast")]
+    pages = spark.createDataFrame(rows, "url string, text string").selectExpr("concat('https://www.canada.ca/', url) AS url", "'T' AS title", "text", "'2024-01-01' AS crawled_at", "url AS path")
+    got = records.with_sections(records.page_records(pages))
+    assert got.schema["sections"].dataType.simpleString() == records.SECTIONS
+    assert [[(s["heading"], s["heading_path"], s["anchor"], s["text"]) for s in r["sections"]] for r in got.orderBy("markdown_path", "text").collect()] == [
+        [("Document", ["Document"], "#document", "before"), ("A", ["A"], "#a", "one"), ("C", ["A", "B", "C"], "#c", "two")],
+        [("Document", ["Document"], "#document", "# Only\n## headings")], [("Document", ["Document"], "#document", "")], [("Document", ["Document"], "#document", "")], [("D", ["D"], "#d", "last")],
+    ]
